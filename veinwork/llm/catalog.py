@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op1_secret_scan": "secrets_scan",
     "op3_minhash_dedup": "dedup",
     "op5_decontaminate": "decontaminate",
 }
