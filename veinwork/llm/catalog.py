@@ -7,7 +7,10 @@ import importlib
 MODULES = {
     "op1_secret_scan": "secrets_scan",
     "op3_minhash_dedup": "dedup",
+    "op4_quality": "quality",
     "op5_decontaminate": "decontaminate",
+    "op6_exact_topk": "topk",
+    "op7_language_id": "language",
 }
 
 
