@@ -6,11 +6,14 @@ import importlib
 
 MODULES = {
     "op1_secret_scan": "secrets_scan",
+    "op2_sentencepiece": "pieces",
     "op3_minhash_dedup": "dedup",
     "op4_quality": "quality",
     "op5_decontaminate": "decontaminate",
     "op6_exact_topk": "topk",
     "op7_language_id": "language",
+    "op8_html_extract": "pages",
+    "op9_lm_score": "lm",
 }
 
 
