@@ -4,8 +4,9 @@ One pass over the texts gives each document its number of distinct shingles, a 1
 form a class at once; the rest works on one document a class. Bands of the signature deal the classes into buckets. In
 each bucket every member is paired with one hub, the member that meets most others over all its buckets (of near copies of one text
 that is as a rule the text itself), so a bucket of n gives n pairs. Pairs are confirmed on the full sets, and union-find
-(star contraction, distributed) joins what is linked. Buckets that still hold more than one component are compared in
-full, block by block, a block small enough for one task; of each row only the nearest partners in other components leave the task, and
+(star contraction, distributed) joins what is linked. What lies outside the largest component of its hub's group is then compared with the whole group
+on the full sets, block by block, a block small enough for one task; only rows that link components leave the task. Last, members of a bucket that are neither of one component
+nor of one hub are compared by signature; of each, the nearest partners are confirmed, and
 rounds follow until nobody has partners left. So no link between documents that share a band is lost, and no group is ever expanded
 into all its pairs of rows.
 
@@ -125,57 +126,109 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(same * 100 >= (F.size("ha") + F.size("hb") - same) * percent).select("a", "b")
 
 
-def _compare(percent: int, places: int, partners: int):
-    """Within each block pair of a bucket: for every row of the one block the nearest partners of the other in other components."""
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal ``keys``, one at a time, from a stream that is sorted by them."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part])
+        codes = [held.column(k).to_numpy() for k in keys]
+        cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1
+        ends = [0, *cut.tolist()]
+        for x, y in zip(ends, ends[1:]):
+            yield held.slice(x, y - x)
+        held = held.slice(ends[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    side = group.column("side").to_numpy()
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def _likely(percent: int, places: int, partners: int):
+    """For each row on the one side of a block pair, the rows on the other, of another component and group, whose signatures agree enough: the nearest ``partners``."""
     t = percent / 100
     least = places * t - SIGMAS * (places * t * (1 - t)) ** 0.5
 
-    def pairs(g: dict[str, np.ndarray]) -> Iterator[tuple[int, int, bool]]:
-        x, y = (np.flatnonzero(g["side"] == s) for s in (0, 1))
-        if g["diagonal"][0]:
-            x = y = np.arange(len(g["id"]))
-        for i in x.tolist():
-            o = y[y > i] if g["diagonal"][0] else y
-            n = g["n"][i]
-            o = o[(g["component"][o] != g["component"][i]) & (np.minimum(g["n"][o], n) * 100 >= np.maximum(g["n"][o], n) * percent)]
-            if not len(o):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int, bool]] = []
+        for g in groups(batches, ["key", "i", "j"]):
+            x, y = _sides(g)
+            if not len(x) or not len(y):
                 continue
-            agree = (g["sig"][o] == g["sig"][i]).sum(axis=1)
-            o, agree = o[agree >= least], agree[agree >= least]
-            keep = o if len(o) <= partners else o[np.argsort(-agree, kind="stable")[:partners]]
-            for j in keep.tolist():
-                yield int(g["id"][i]), int(g["id"][j]), len(o) > partners
+            id_, n, component, hub = (g.column(k).to_numpy() for k in ("id", "n", "component", "hub"))
+            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(-1, places)
+            for i in x.tolist():
+                o = y[(component[y] != component[i]) & (hub[y] != hub[i]) & (np.minimum(n[y], n[i]) * 100 >= np.maximum(n[y], n[i]) * percent)]
+                if len(o):
+                    agree = (sig[o] == sig[i]).sum(axis=1)
+                    o, agree = o[agree >= least], agree[agree >= least]
+                    keep = o if len(o) <= partners else o[np.argsort(-agree, kind="stable")[:partners]]
+                    found += [(int(id_[i]), int(id_[j]), len(o) > partners) for j in keep.tolist()]
+            if len(found) > 10_000:
+                yield _rows(found)
+                found = []
+        yield _rows(found)
+
+    return run, "a bigint, b bigint, more boolean"
+
+
+def _rows(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.bool_())], names=["a", "b", "more"])
+
+
+def _exact(percent: int):
+    """For each row on the one side of a block pair, one row of each other component on the other side that it is linked to, by the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-
-        def parts(last: bool):
-            if not held:
-                return
-            cut = np.flatnonzero(np.any([np.diff(held[k]) != 0 for k in ("key", "i", "j")], axis=0)) + 1
-            ends = [0, *cut.tolist(), *([len(held["key"])] if last else [])]
-            for a, b in zip(ends, ends[1:]):
-                if b - a > 1:
-                    yield {k: v[a:b] for k, v in held.items()} | {"diagonal": held["i"][a:b] == held["j"][a:b]}
-            for k in held:
-                held[k] = held[k][ends[-1] :]
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.bool_())], names=["a", "b", "more"])
-
-        for batch in batches:
-            if not batch.num_rows:
+        found: list[tuple[int, int, bool]] = []
+        for g in groups(batches, ["hub", "i", "j"]):
+            x, y = _sides(g)
+            if not len(x) or not len(y):
                 continue
-            new = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "i", "j", "side", "id", "n", "component")}
-            new["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, places)
-            for k, v in new.items():
-                held[k] = np.concatenate([held[k], v]) if k in held and len(held[k]) else v
-            yield out([p for g in parts(False) for p in pairs(g)])
-        yield out([p for g in parts(True) for p in pairs(g)])
+            id_, component = g.column("id").to_numpy(), g.column("component").to_numpy()
+            lists = g.column("hashes").combine_chunks()
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            ends = lists.offsets.to_numpy()
+            flat, size = lists.values.to_numpy(), np.diff(ends)
+            theirs = np.concatenate([flat[ends[j] : ends[j + 1]] for j in y.tolist()])
+            owner = np.repeat(np.arange(len(y)), size[y])
+            order = np.argsort(theirs, kind="stable")
+            theirs, owner = theirs[order], owner[order]
+            for i in x.tolist():
+                mine = flat[ends[i] : ends[i + 1]]
+                lo, hi = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, "right")
+                many = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                same = np.bincount(owner[at], minlength=len(y))
+                linked = np.flatnonzero((same * 100 >= (size[i] + size[y] - same) * percent) & (component[y] != component[i]))
+                _, first = np.unique(component[y[linked]], return_index=True)
+                found += [(int(id_[i]), int(id_[y[j]]), False) for j in linked[first].tolist()]
+            if len(found) > 10_000:
+                yield _rows(found)
+                found = []
+        yield _rows(found)
 
     return run, "a bigint, b bigint, more boolean"
 
 
+def _block_pairs(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """In each ``key`` with more than one component, the members outside its largest component (side 0) against all its members (side 1), in blocks
+    of about ``block``: rows with the block numbers i, j and the side. A member is repeated once for each block of the other side."""
+    parts = rows.groupBy(key, "component").agg(F.count("*").alias("own"))
+    main = parts.groupBy(key).agg(F.sum("own").alias("all"), F.max(F.struct("own", (-F.col("component")).alias("main"))).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    main = main.select(key, (-F.col("top.main")).alias("main"), F.ceil(F.col("all") / block).cast("int").alias("nj"), F.ceil((F.col("all") - F.col("top.own")) / block).cast("int").alias("ni"))
+    got = rows.join(main, key)
+    spread = F.xxhash64("id")
+    them = got.withColumn("side", F.lit(1)).withColumn("j", F.pmod(spread, F.col("nj")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
+    some = got.where("component <> main").withColumn("side", F.lit(0)).withColumn("i", F.pmod(spread, F.col("ni")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)))
+    return them.unionByName(some).drop("main", "ni", "nj")
+
+
 def near_duplicates(
     docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
     block: int = BLOCK, partners: int = PARTNERS,
@@ -201,32 +254,43 @@ def near_duplicates(
     degree = members.groupBy("id").agg(F.sum("c").alias("degree"))
     ranked = members.join(degree, "id")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), F.col("n").alias("hub_n"))).alias("hub"))
-    star = members.join(hubs, "key").select("id", "n", (-F.col("hub.minus")).alias("hub"), "hub.hub_n").where(F.col("id") != F.col("hub"))
+    met = members.join(hubs, "key").select("id", "n", "hub")
+    star = met.select("id", "n", (-F.col("hub.minus")).alias("hub"), "hub.hub_n").where(F.col("id") != F.col("hub"))
     pairs = stage(star.where(_fits(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    main_hub = stage(met.groupBy("id").agg(F.max("hub").alias("hub"), F.first("n").alias("n")).select("id", "n", (-F.col("hub.minus")).alias("hub")), "hubs")
 
-    involved = members.select("id").distinct()
     run, schema = _sets(width)
-    texts = docs.join(involved, docs["doc_id"] == involved["id"], "left_semi")
+    texts = docs.join(main_hub, docs["doc_id"] == main_hub["id"], "left_semi")
     sets = stage(map_arrow(texts, run, schema), "sets")
     links = stage(_confirmed(pairs, sets, percent), "links")
     linked = components(links)
 
+    # Members of one hub that are not of one component yet: compared on the full sets.
+    groups_ = main_hub.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    large = groups_.join(groups_.groupBy("hub").agg(F.count("*").alias("c")).where("c > 2").select("hub"), "hub")
+    run, schema = _exact(percent)
+    dealt = _block_pairs(large.select("hub", "id", "component"), "hub", block).join(sets, "id")
+    near = map_arrow(dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j"), run, schema)
+    more = stage(near.select("a", "b").distinct(), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        linked = components(links)
+
+    # Members of one bucket that are neither of one component nor of one hub: likely pairs by signature, then confirmed.
     sigs = sketch.select(F.col("doc_id").alias("id"), "sig")
+    owned = members.select("key", "id").join(main_hub, "id")
     while True:
-        named = members.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = named.join(open_, "key").join(sigs, "id")
-        blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
-        dealt = rest.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "sig")
-        run, schema = _compare(percent, bands * rows, partners)
+        named = owned.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        run, schema = _likely(percent, bands * rows, partners)
+        dealt = _block_pairs(named, "key", block).join(sigs, "id")
         near = stage(map_arrow(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, schema), "near")
         count = near.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
         if not count["n"]:
             break
-        new = stage(_confirmed(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "links")
-        links = links.union(new)
-        linked = components(links)
+        more = stage(_confirmed(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            linked = components(links)
         if not count["more"]:
             break
         partners *= 8
