@@ -1,33 +1,55 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each written and read again before the next.
+
+Every stage takes all that the one before kept. All but the last return the columns of the documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinwork.llm import decontaminate, dedup
+from veinwork.llm import decontaminate, dedup, language, pieces, secrets_scan
 from veinwork.llm.scratch import stage, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no learned language go: those without a letter, and those that noise explains as well."""
+    return language.filter_language(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies stays, that with the smallest id: five-word shingles, similarity 0.8 or more."""
     return dedup.deduplicate(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go: five-word shingles, containment of 0.8 or more."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts; every document stays."""
+    return secrets_scan.redact(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their pieces, which are decoded again as a check."""
+    return pieces.encode(docs)
+
+
 STAGES = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("encoding", encoding),
 ]
 
-#: SQL can't express the stages.
+#: SQL can't express the language model's inference or the encoding; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all documents."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)

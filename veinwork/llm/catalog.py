@@ -14,6 +14,7 @@ MODULES = {
     "op7_language_id": "language",
     "op8_html_extract": "pages",
     "op9_lm_score": "lm",
+    "op10_token_counts": "tokens",
 }
 
 

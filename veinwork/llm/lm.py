@@ -31,7 +31,7 @@ from veinwork.llm.words import hash_words, mix, slices, split_words
 
 FILTER_BYTES, BITS, HEAD = 64 << 20, 8, 1 << 20
 #: Characters of training text that one shard's n-grams come from, and n-grams that a task gathers before it sends them on.
-SHARD_CHARS, FLUSH = 32 << 20, 4 << 20
+SHARD_CHARS, FLUSH = 32 << 20, 2 << 20
 #: How many occurrences of a history make its bigrams weigh as much as the unigrams.
 PRIOR = 4.0
 

@@ -228,16 +228,21 @@ def _load(spark: SparkSession, model: str):
 
 
 def encode(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
-    """The documents' columns and ``piece_ids`` array<int>."""
-    shared, names = _load(docs.sparkSession, model), [c for c in docs.columns if c != "piece_ids"]
+    """The documents' columns, ``piece_ids`` array<int>, ``n_pieces`` and ``round_trip``: whether decoding gives the text
+    again (marks in a text come back as spaces). Columns of these names are replaced."""
+    made = ("piece_ids", "n_pieces", "round_trip")
+    shared, names = _load(docs.sparkSession, model), [c for c in docs.columns if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            got = shared.value.encode(batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            got = shared.value.encode(texts)
             ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))], names=[*names, "piece_ids"])
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))
+            back = pa.array([shared.value.decode(g) == (t or "").replace(MARK, " ") for g, t in zip(got, texts)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(ends)), back], names=[*names, *made])
 
-    schema = docs.select(*names).schema.add("piece_ids", "array<int>")
+    schema = docs.select(*names).schema.add("piece_ids", "array<int>").add("n_pieces", "int").add("round_trip", "boolean")
     return map_arrow(docs.select(*names), run, schema)
 
 
