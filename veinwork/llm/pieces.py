@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from veinwork.llm.scratch import map_arrow, table
 from veinwork.llm.words import slices
@@ -240,9 +240,9 @@ def encode(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))
             back = pa.array([shared.value.decode(g) == (t or "").replace(MARK, " ") for g, t in zip(got, texts)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(ends)), back], names=[*names, *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(ends), pa.int32()), back], names=[*names, *made])
 
-    schema = docs.select(*names).schema.add("piece_ids", "array<int>").add("n_pieces", "int").add("round_trip", "boolean")
+    schema = docs.select(*names).schema.add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", "integer").add("round_trip", "boolean")
     return map_arrow(docs.select(*names), run, schema)
 
 
