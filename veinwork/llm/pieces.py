@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from veinwork.llm.words import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose pieces a worker keeps from slice to slice; beyond that it starts afresh.
-MAX_WORDS = 500_000
+MAX_WORDS = 1_000_000
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -91,15 +92,13 @@ class Pieces:
         self.ids = {t: i for i, t in enumerate(self.text) if self.kind[i] in (NORMAL, DEFINED)}
         self.byte = {int(t[3:5], 16): i for i, t in enumerate(self.text) if self.kind[i] == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kind) if k == UNKNOWN), 0)
-        self.longest = max(map(len, self.ids), default=1)
         #: Pieces that merging their own characters gives; others can't end a segmentation.
-        self.whole = {t for t in self.ids if len(t) == 1 or self.merge(t) == [t]} if self.merges else set()
-        self.reach: dict[str, int] = {}
-        for t in self.whole or self.ids:
-            self.reach[t[-1]] = max(self.reach.get(t[-1], 1), len(t))
+        usable = {t: i for t, i in self.ids.items() if not self.merges or len(t) == 1 or self.merge(t) == [t]}
+        #: Every beginning of a piece: the piece's id + 1, or 0 where it is a beginning only.
+        self.begins = {t[:n]: 0 for t in usable for n in range(1, len(t))} | {t: i + 1 for t, i in usable.items()}
         self.floor = min(self.score, default=0.0) - 10.0
         self.is_byte = np.array([k == BYTE for k in self.kind])
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def marked(self, text: str | None) -> str:
@@ -124,83 +123,88 @@ class Pieces:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return parts
 
-    def stays(self, u: str, t: str) -> bool:
-        key = (u, t)
+    def stays(self, u: int, t: int) -> bool:
+        """Whether merging the pieces' characters together leaves just these two."""
+        key = (u << 32) | t
         got = self.fits.get(key)
         if got is None:
             if len(self.fits) > 2_000_000:
                 self.fits.clear()
-            got = self.fits[key] = self.merge(u + t) == [u, t]
+            a, b = self.text[u], self.text[t]
+            got = self.fits[key] = self.merge(a + b) == [a, b]
         return got
 
-    def _forward(self, word: str, end: int, last: list, sums: list) -> None:
-        """Sets the state of the prefix of length ``end``: its last piece (and, for unigrams, the best sum)."""
-        low = max(0, end - self.reach.get(word[end - 1], 1))
-        if self.merges:
-            whole, fits = self.whole, self.fits
-            for a in range(low, end):
-                t = word[a:end]
-                if t in whole:
-                    if not a:
-                        break
-                    got = fits.get((last[a], t))
-                    if got or got is None and self.stays(last[a], t):
-                        break
-            last[end] = t  # a character without a piece stands alone
-            return
-        ids = self.ids
-        best = None
-        for a in range(low, end):
-            t = word[a:end]
-            i = ids.get(t)
-            if i is None and end - a > 1:
-                continue
-            value = sums[a] + (self.score[i] if i is not None else self.floor)
-            if best is None or value > best[0]:
-                best = (value, t)
-        sums[end], last[end] = best
-
-    def segment(self, words: set[str]) -> dict[str, list[str]]:
-        """The pieces of each distinct word; the words are walked in order, so as the branches of their trie."""
-        out, before, last, sums = {}, "", [""], [0.0]
+    def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """The pieces of each distinct word, as ids or -1 for a character without a piece. The words are walked in order, so as the branches of
+        their trie; ``last``, ``start``, ``live`` and ``sums`` hold the states of the prefixes down to where the walk stands."""
+        begins, fits, stays, score, merges = self.begins, self.fits, self.stays, self.score, self.merges
+        before, last, start, sums = "", [-1], [0], [0.0]
+        live: list[list[int]] = [[]]  # where the beginnings of pieces that go on up to here start
         for word in sorted(words):
-            same = 0
-            for x, y in zip(before, word):
-                if x != y:
-                    break
+            same, n = 0, min(len(before), len(word))
+            while same < n and before[same] == word[same]:
                 same += 1
-            del last[same + 1 :], sums[same + 1 :]
+            del last[same + 1 :], start[same + 1 :], sums[same + 1 :], live[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                last.append("")
-                sums.append(0.0)
-                self._forward(word, end, last, sums)
+                going, best, at, value = [], -1, end - 1, None
+                for a in (*live[end - 1], end - 1):
+                    i = begins.get(word[a:end])
+                    if i is None:
+                        continue
+                    going.append(a)
+                    if not i:
+                        continue
+                    i -= 1
+                    if merges:  # the first that stays is the only one
+                        if best < 0:
+                            u = last[a]
+                            if u < 0 or (got := fits.get((u << 32) | i)) or got is None and stays(u, i):
+                                best, at = i, a
+                    elif value is None or sums[a] + score[i] > value:
+                        best, at, value = i, a, sums[a] + score[i]
+                last.append(best)
+                start.append(at)
+                live.append(going)
+                sums.append(value if value is not None else sums[end - 1] + self.floor)
             parts, at = [], len(word)
             while at:
                 parts.append(last[at])
-                at -= len(last[at])
-            out[word] = parts[::-1]
+                at = start[at]
+            yield word, parts[::-1]
             before = word
-        return out
 
-    def numbers(self, parts: list[str]) -> list[int]:
-        got = []
-        for t in parts:
-            i = self.ids.get(t)
-            if i is not None:
+    def numbers(self, word: str, parts: list[int]) -> list[int]:
+        """The ids with bytes, or else the unknown piece, in place of characters without a piece."""
+        if -1 not in parts:
+            return parts
+        got, at = [], 0
+        for i in parts:
+            n = len(self.text[i]) if i >= 0 else 1
+            if i >= 0:
                 got.append(i)
             elif self.byte:
-                got.extend(self.byte[b] for b in t.encode("utf-8", "surrogatepass"))
+                got.extend(self.byte[b] for b in word[at].encode("utf-8", "surrogatepass"))
             elif not got or got[-1] != self.unknown:
                 got.append(self.unknown)
+            at += n
         return got
 
+    def cut(self, text: str | None) -> list[str]:
+        """The marked words."""
+        marked = self.marked(text)
+        if self.prefix and MARK * 2 not in marked and "\0" not in marked:
+            return marked.split(MARK)[1:] if marked else []  # one mark each, left out for brevity
+        return [f"\0{w}" for w in _WORD.findall(marked)]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [_WORD.findall(self.marked(t)) for t in texts]
+        cut = [self.cut(t) for t in texts]
         known = self.known
         if len(known) > MAX_WORDS:
             known.clear()
-        fresh = {w for c in cut for w in c if w not in known}
-        known.update((w, np.array(self.numbers(p), np.int32).tobytes()) for w, p in self.segment(fresh).items())
+        fresh = {w for c in cut for w in c}.difference(known)
+        whole = {(w[1:] if w[:1] == "\0" else MARK + w): w for w in fresh}
+        for word, parts in self.segment(whole):
+            known[whole[word]] = array("i", self.numbers(word, parts)).tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32) for c in cut]
 
     def decode(self, numbers: np.ndarray) -> str:
