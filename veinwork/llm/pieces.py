@@ -202,9 +202,9 @@ class Pieces:
         if len(known) > MAX_WORDS:
             known.clear()
         fresh = {w for c in cut for w in c}.difference(known)
-        whole = {(w[1:] if w[:1] == "\0" else MARK + w): w for w in fresh}
-        for word, parts in self.segment(whole):
-            known[whole[word]] = array("i", self.numbers(word, parts)).tobytes()
+        whole = {w: w[1:] if w[:1] == "\0" else MARK + w for w in fresh}
+        done = {word: array("i", self.numbers(word, parts)).tobytes() for word, parts in self.segment(set(whole.values()))}
+        known.update((w, done[x]) for w, x in whole.items())
         return [np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32) for c in cut]
 
     def decode(self, numbers: np.ndarray) -> str:
