@@ -26,8 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veinwork.llm.language import held_out
-from veinwork.llm.scratch import map_arrow, ship, stage, table
+from veinwork.llm.scratch import map_arrow, stage, table
 from veinwork.llm.words import hash_words, mix, slices, split_words
+from veinwork.ship import ship
 
 FILTER_BYTES, BITS, HEAD = 64 << 20, 8, 1 << 20
 #: Characters of training text that one shard's n-grams come from, and n-grams that a task gathers before it sends them on.
@@ -101,6 +102,7 @@ def _count(train: DataFrame, shards: int) -> DataFrame:
             out |= {f"{name}_keys": [keys.tobytes()], f"{name}_n": [n.tobytes()], f"{name}_levels": [levels.tolist()]}
         return pa.table({k: pa.array(out[k], t) for k, t in (("shard", pa.int32()), ("tokens", pa.int64()), ("uni_keys", pa.binary()), ("uni_n", pa.binary()), ("uni_levels", pa.list_(pa.int64())), ("bi_keys", pa.binary()), ("bi_n", pa.binary()), ("bi_levels", pa.list_(pa.int64())))})
 
+    ship(train.sparkSession)
     sent = map_arrow(train.select("text"), gather, "shard int, order int, keys binary, n binary")
     return sent.groupBy("shard").applyInArrow(total, "shard int, tokens bigint, uni_keys binary, uni_n binary, uni_levels array<bigint>, bi_keys binary, bi_n binary, bi_levels array<bigint>")
 
@@ -186,7 +188,6 @@ class Model:
 def train(docs: DataFrame, *, filter_bytes: int = FILTER_BYTES, bits: int = BITS, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model, and the (key, n) counts of the words that are not in its head."""
     spark = docs.sparkSession
-    ship(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / SHARD_CHARS))
     counted = stage(_count(docs, shards), "ngrams")

@@ -5,6 +5,7 @@ Words are maximal runs of anything but the six ASCII white-space characters, aft
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from xxhash import xxh64_intdigest
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -26,17 +27,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Gives memory that is free but held back to the system, since idle workers live on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``size`` bytes of text (one row at least), so that memory is bounded by
     ``size`` and the longest text."""
     for batch in batches:
         if not batch.num_rows:
             continue
+        release()
         n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(n, dtype=np.int64) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.take(pa.array(np.arange(a, b)))  # a copy: Arrow's string kernels misread sliced offsets
+    release()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
