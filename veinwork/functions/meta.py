@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-from veinwork.functions.text import blank, collapse, dash_value, dense, filled, first_filled, has_any, meta_map, poor_title, shorten, strip, unbracket
+from veinwork.functions.text import bind, blank, collapse, dash_value, dense, filled, first_filled, has_any, meta_map, poor_title, shorten, strip, unbracket
 from veinwork.domain import REGULATIONS, Profile
 
 
@@ -143,20 +143,26 @@ def plain_title(c: Column) -> Column:
 
 def title(text: Column, path: Column, profile: Profile = REGULATIONS) -> Column:
     """The first line that can be a title; else the file's or the folder's name."""
+    names = F.struct(plain_title(file_name(parent(path))).alias("folder"), plain_title(stem(file_name(path))).alias("name"), file_name(parent(path)).alias("raw_folder"), stem(file_name(path)).alias("raw_name"))
+    return F.coalesce(F.get(_title_lines(text, profile), 0)["text"], bind(names, lambda n: _title_of_names(n["folder"], n["name"], n["raw_folder"], n["raw_name"], profile)))
+
+
+def _title_lines(text: Column, profile: Profile) -> Column:
     lines = F.transform(F.split(filled(text), r"\R"), strip)
     header = F.transform(lines, lambda t: F.struct(F.startswith(t, F.lit("#")).alias("marked"), F.regexp_replace(t, r"^#+\s*", "").alias("text")))
     good = F.filter(header, lambda h: ~poor_title(h["text"], profile) & (h["marked"] | (F.length(h["text"]) > 6)))
-    folder, name = plain_title(file_name(parent(path))), plain_title(stem(file_name(path)))
+    return F.filter(F.slice(good, 1, 1), lambda h: h.isNotNull())
+
+
+def _title_of_names(folder: Column, name: Column, raw_folder: Column, raw_name: Column, profile: Profile) -> Column:
     generic = F.lower(folder).isin("", "corpus", "data", "tmp", "temp", "附件", "attachment")
-    numbered = (_numbered(dense(name), profile.doc_no) != "") | dense(name).rlike(profile.doc_no_order)
-    legal = name.rlike(profile.legal_file) | numbered
-    fallback = (
+    legal = name.rlike(profile.legal_file) | (_numbered(dense(name), profile.doc_no) != "") | dense(name).rlike(profile.doc_no_order)
+    return (
         F.when(~poor_title(name, profile) & (legal | poor_title(folder, profile) | generic), name)
         .when(~poor_title(folder, profile) & ~generic, folder)
         .when(~poor_title(name, profile), name)
-        .otherwise(F.when(blank(file_name(parent(path))), stem(file_name(path))).otherwise(file_name(parent(path))))
+        .otherwise(F.when(blank(raw_folder), raw_name).otherwise(raw_folder))
     )
-    return F.when(F.size(good) > 0, F.element_at(good, 1)["text"]).otherwise(fallback)
 
 
 def repaired_title(current: Column, path: Column, profile: Profile = REGULATIONS) -> Column:
@@ -193,11 +199,14 @@ def enriched(chunk: Column, law: Column, kind: Column, article: Column, clause:
 
 def meta_json(c: Column, profile: Profile = REGULATIONS, most: int = 18, longest: int = 200) -> Column:
     """struct of the fields of a meta.json by their first filled alias, and ``extras``: the other scalar fields in order."""
-    m = F.from_json(c, T.MapType(T.StringType(), T.StringType()))
     known = [a for _, names in profile.meta_aliases for a in names]
-    own = F.filter(F.map_entries(m), lambda e: ~e["key"].isin(known) & ~blank(e["value"]) & ~e["value"].rlike(r"^\s*[\[{]"))
-    extras = F.map_from_entries(F.transform(F.slice(own, 1, most), lambda e: F.struct(e["key"], shorten(collapse(e["value"]), longest))))
-    return F.struct(*(first_filled(*(m[a] for a in names)).alias(k) for k, names in profile.meta_aliases), F.coalesce(extras, F.create_map().cast("map<string,string>")).alias("extras"))
+
+    def fields(m: Column) -> Column:
+        own = F.filter(F.map_entries(m), lambda e: ~e["key"].isin(known) & ~blank(e["value"]) & ~e["value"].rlike(r"^\s*[\[{]"))
+        extras = F.map_from_entries(F.transform(F.slice(own, 1, most), lambda e: F.struct(e["key"], shorten(collapse(e["value"]), longest))))
+        return F.struct(*(first_filled(*(m[a] for a in names)).alias(k) for k, names in profile.meta_aliases), F.coalesce(extras, F.create_map().cast("map<string,string>")).alias("extras"))
+
+    return bind(F.from_json(c, T.MapType(T.StringType(), T.StringType())), fields)
 
 
 def front_matter(c: Column) -> Column:

@@ -55,7 +55,12 @@ def excerpt(c: Column, most: int) -> Column:
 
 def first_filled(*cols: Column) -> Column:
     """The first that is not blank, stripped; else empty."""
-    return F.coalesce(*(F.when(~blank(c), strip(c)) for c in cols), F.lit(""))
+    return F.coalesce(*(F.nullif(strip(c), F.lit("")) for c in cols), F.lit(""))
+
+
+def bind(c: Column, f) -> Column:
+    """``f`` of a column that is worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def has_any(c: Column, words: tuple[str, ...]) -> Column:

@@ -166,22 +166,18 @@ def longer(*texts: Column) -> Column:
 def documents(main: DataFrame, metas: DataFrame, profile: Profile = REGULATIONS) -> DataFrame:
     """The document table (id, title, region_level, source_path, text) of main documents (path, text, reason), with a header of marked lines. ``metas``: (folder, json) of meta.json files."""
     got = main.withColumn("folder", parent(F.col("path"))).join(metas.select("folder", "json"), "folder", "left").withColumn("m", meta_json(F.col("json"), profile))
-    text = strip(F.col("text"))
-    found = title(text, F.col("path"), profile)
-    whole = unbracket(F.concat_ws(" ", "path", found, text))
-    name = plain_title(first_filled(F.col("m.title"), found))
-    number = doc_number_or_self(first_filled(F.col("m.doc_no"), doc_number(whole, profile)), profile)
-    fields = [
-        ("文号", number), ("发文机关", first_filled(F.col("m.issuer"), issuer(whole, profile))), ("发布日期", first_filled(date(F.col("m.publish_date"), profile), publish_date(whole, profile))),
-        ("施行日期", first_filled(date(F.col("m.effective_date"), profile), effective_date(whole, profile))), ("来源链接", F.col("m.source_url")),
-        ("元数据", F.array_join(F.transform(F.map_entries("m.extras"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")),
-    ]
-    summary, bad = summary_page(text, file_name(F.col("path")), profile), garbled(text)
-    said = lambda c: F.when(c, "true").otherwise("false")
-    scanned = blank(text)
-    hint = F.when(scanned, "主文疑似扫描稿或可读文本为空。").when(bad, "主文文本疑似乱码，检索将自动降权，建议补充高质量来源。").when(summary, "当前页面疑似摘要/导航页，正文以同目录附件或兄弟正文文件为准。")
-    header = header_lines([("文档类型", F.lit("主文")), ("主文判定", F.col("reason")), ("来源文件", F.col("path")), *fields, ("抽取策略", F.lit("text")), ("疑似扫描", said(scanned)), ("疑似乱码", said(bad)), ("疑似摘要页", said(summary)), ("提示", hint)])
-    body = F.when(summary, shrink_summary(text)).otherwise(text)
+    got = got.withColumn("text", strip(F.col("text"))).withColumn("found", title(F.col("text"), F.col("path"), profile))
+    got = got.withColumn("whole", unbracket(F.concat_ws(" ", "path", "found", "text"))).withColumn("name", plain_title(first_filled(F.col("m.title"), F.col("found"))))
+    whole, text, name, number = (F.col(c) for c in ("whole", "text", "name", "number"))
+    got = got.withColumn("number", doc_number_or_self(first_filled(F.col("m.doc_no"), doc_number(whole, profile)), profile)).withColumn("issuer", first_filled(F.col("m.issuer"), issuer(whole, profile)))
+    got = got.withColumn("published", first_filled(date(F.col("m.publish_date"), profile), publish_date(whole, profile))).withColumn("effective", first_filled(date(F.col("m.effective_date"), profile), effective_date(whole, profile)))
+    got = got.withColumn("summary", summary_page(text, file_name(F.col("path")), profile)).withColumn("bad", garbled(text)).withColumn("scanned", blank(text))
+    extras = F.array_join(F.transform(F.map_entries("m.extras"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+    fields = [("文号", number), ("发文机关", F.col("issuer")), ("发布日期", F.col("published")), ("施行日期", F.col("effective")), ("来源链接", F.col("m.source_url")), ("元数据", extras)]
+    said = lambda c: F.when(F.col(c), "true").otherwise("false")
+    hint = F.when(F.col("scanned"), "主文疑似扫描稿或可读文本为空。").when(F.col("bad"), "主文文本疑似乱码，检索将自动降权，建议补充高质量来源。").when(F.col("summary"), "当前页面疑似摘要/导航页，正文以同目录附件或兄弟正文文件为准。")
+    header = header_lines([("文档类型", F.lit("主文")), ("主文判定", F.col("reason")), ("来源文件", F.col("path")), *fields, ("抽取策略", F.lit("text")), ("疑似扫描", said("scanned")), ("疑似乱码", said("bad")), ("疑似摘要页", said("summary")), ("提示", hint)])
+    body = F.when(F.col("summary"), shrink_summary(text)).otherwise(text)
     full_title = F.when((number != "") & ~F.contains(name, number), F.concat(name, F.lit("（"), number, F.lit("）"))).otherwise(name)
     return got.select(path_id(F.col("path")).alias("id"), full_title.alias("title"), region(F.col("path"), profile).alias("region_level"), F.col("path").alias("source_path"), strip(F.concat_ws("\n\n", header, F.when(~blank(body), body))).alias("text"))
 
