@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from veinwork.functions.meta import title_parts
 from veinwork.functions.text import blank, filled, first_filled, has_any, shorten, squeeze, strip
@@ -78,7 +78,7 @@ def answer_with(prompts_: DataFrame, chat: Callable[[list[str]], list[str]]) ->
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chat(b.column("prompt").to_pylist()), pa.string())], names=[*b.schema.names, "answer"])
 
     ship(prompts_.sparkSession)
-    return prompts_.mapInArrow(run, prompts_.schema.add("answer", "string"))
+    return prompts_.mapInArrow(run, T.StructType([*prompts_.schema.fields, T.StructField("answer", T.StringType())]))
 
 
 def embed_with(texts: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], batch: int = 32) -> DataFrame:
@@ -94,10 +94,8 @@ def embed_with(texts: DataFrame, embed: Callable[[list[str]], list[list[float] |
                 out += [*got, *[None] * len(part)][: len(part)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names, "vector"])
 
-    from pyspark.sql import types as T
-
     ship(texts.sparkSession)
-    return texts.mapInArrow(run, texts.schema.add("vector", T.ArrayType(T.FloatType())))
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
 def export_lines(text: Column, width: int = 95) -> Column:

@@ -137,12 +137,12 @@ class Asked:
         return np.divide((weight * np.append(hit, False)[which]).sum(axis=1), total, out=np.zeros(len(which)), where=total > 0)
 
 
-def _blocks(questions: DataFrame, make) -> Iterator:
-    """The question set in blocks of bounded size, each collected to be broadcast."""
+def _blocks(questions: DataFrame, make, *columns) -> Iterator:
+    """The question set in blocks of bounded size, each collected to be broadcast; ``columns`` are worked out for each block."""
     blocks = max(1, math.ceil(questions.count() / (0.8 * BLOCK)))
     for b in range(blocks):
         part = questions.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else questions
-        yield make(part.orderBy("qid").collect())
+        yield make(sorted(part.select("qid", *columns).collect(), key=lambda r: r["qid"]))
 
 
 def _frequencies(texts: DataFrame, column: str, asked) -> tuple[dict[int, int], int]:
@@ -284,12 +284,15 @@ def retrieve(chunk_features: DataFrame, questions: DataFrame, k: int = REGULATIO
     """(qid, ord, score, rank): each question's k best chunks, by the whole score or one ``part`` of it. ``questions``: (qid, question) and, for hybrid scores, vector;
     ``vectors``: (ord, vector) of the chunks. Questions without terms have no result. Scores are rounded to six places, ties go to the smaller ord."""
     id_type = questions.schema["qid"].dataType.simpleString()
-    asked_rows = questions.withColumn("p", profile_of(F.col("question"), profile)).where(F.size("p.terms") + F.size("p.phrases") > 0)
     rows = chunk_features if vectors is None else chunk_features.join(vectors.select("ord", "vector"), "ord", "left")
-    parts = []
-    hybrid = "vector" in questions.columns and vectors is not None
-    picked = asked_rows.select("qid", "p", *["vector"] * hybrid)
-    for asked, score in _blocks(picked, lambda got: (Asked([r["qid"] for r in got], [r["p"]["terms"] for r in got], [r["p"]["phrases"] for r in got], [r["p"]["compact"] for r in got], [r["p"]["article"] for r in got]), _Hybrid([r["vector"] for r in got]) if hybrid else _Part(part) if part else _plain)):
+    hybrid, parts = "vector" in questions.columns and vectors is not None, []
+
+    def make(got: list) -> tuple:
+        got = [r for r in got if r["p"]["terms"] or r["p"]["phrases"]]
+        asked = Asked([r["qid"] for r in got], [r["p"]["terms"] for r in got], [r["p"]["phrases"] for r in got], [r["p"]["compact"] for r in got], [r["p"]["article"] for r in got])
+        return asked, _Hybrid([r["vector"] for r in got]) if hybrid else _Part(part) if part else _plain
+
+    for asked, score in _blocks(questions, make, profile_of(F.col("question"), profile).alias("p"), *["vector"] * hybrid):
         df, n = _frequencies(chunk_features, "full", asked)
         asked.weigh(df, n)
         parts.append(_local_top(rows, _COLUMNS + ["vector"] * hybrid, score, asked, k, id_type))
@@ -299,9 +302,8 @@ def retrieve(chunk_features: DataFrame, questions: DataFrame, k: int = REGULATIO
 def term_idf(chunk_features: DataFrame, questions: DataFrame, profile: Profile = REGULATIONS) -> DataFrame:
     """(term, df, idf) of all the questions' terms over all chunks."""
     spark = chunk_features.sparkSession
-    rows = questions.withColumn("p", profile_of(F.col("question"), profile))
     parts = []
-    for asked in _blocks(rows.select("qid", "p"), lambda got: Asked([r["qid"] for r in got], [r["p"]["terms"] for r in got], [[] for _ in got], [""] * len(got), [""] * len(got))):
+    for asked in _blocks(questions, lambda got: Asked([r["qid"] for r in got], [r["p"]["terms"] for r in got], [[] for _ in got], [""] * len(got), [""] * len(got)), profile_of(F.col("question"), profile).alias("p")):
         df, n = _frequencies(chunk_features, "full", asked)
         parts.append(spark.createDataFrame([(t, int(df.get(i, 0)), math.log((n + 1.0) / (df.get(i, 0) + 0.5)) + 1.0) for i, t in enumerate(asked.all)], "term string, df bigint, idf double"))
     out = parts[0]
@@ -323,13 +325,37 @@ def fast_recall(chunks: DataFrame, questions: DataFrame, k: int = REGULATIONS.fa
     texts = chunks.select("ord", squeeze(F.concat_ws(" ", *(filled(F.col(c)) for c in ("title", "doc_no", "article_no", "content")))).alias("all"), *(squeeze(F.col(c)).alias(c) for c in ("content", "title", "doc_no", "article_no")), own.alias("own"))
     id_type = questions.schema["qid"].dataType.simpleString()
     parts = []
-    for asked in _blocks(questions.select("qid", fast_terms(F.col("question"), profile).alias("terms")), lambda got: Asked([r["qid"] for r in got], [r["terms"] for r in got], [[] for _ in got], [""] * len(got), [""] * len(got))):
+    for asked in _blocks(questions, lambda got: Asked([r["qid"] for r in got], [r["terms"] for r in got], [[] for _ in got], [""] * len(got), [""] * len(got)), fast_terms(F.col("question"), profile).alias("terms")):
         df, n = _frequencies(texts, "all", asked)
         asked.weigh(df, max(n, 1))
         parts.append(_local_top(texts, ["content", "title", "doc_no", "article_no", "own"], _fast, asked, k, id_type))
     return _merged(parts, k)
 
 
+def _second(asked: str, text: str) -> float:
+    """Pairs of characters in common, and the longest fragment of the question that the text holds, as in ``score.rerank``."""
+    a, b = ({t[i : i + 2] for i in range(len(t) - 1)} or {t} for t in (asked, text))
+    same, n = len(a & b), len(asked)
+    phrase = 0.0
+    if n >= 4:
+        phrase = 1.0 if asked in text else next((k / min(12, n) for k in range(min(12, n), 3, -1) if any(asked[i : i + k] in text for i in range(n - k + 1))), 0.0)
+    return same / (len(a) + len(b) - same) * 0.28 + phrase * 0.10
+
+
+def second_stage(rows: DataFrame, k: int = REGULATIONS.fast_rerank) -> DataFrame:
+    """(qid, ord, score, rank): the k best of the first stage's rows (qid, ord, first, asked, text), both texts squeezed, re-scored."""
+    id_type = rows.schema["qid"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, first, asked, text = (b.column(c).to_pylist() for c in ("qid", "first", "asked", "text"))
+            scores = [round(f * 0.62 + _second(a or "", t or ""), 6) for f, a, t in zip(first, asked, text)]
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("ord"), pa.array(scores, pa.float64())], names=["qid", "ord", "score"])
+
+    ship(rows.sparkSession)
+    return _merged([spread(rows).mapInArrow(run, f"qid {id_type}, ord bigint, score double")], k)
+
+
 def merge_best(first: DataFrame, second: DataFrame, limit: int) -> DataFrame:
     """Two result lists (qid, ord, score) as one: the better score of each chunk, the best ``limit``."""
     both = first.select("qid", "ord", "score").union(second.select("qid", "ord", "score")).groupBy("qid", "ord").agg(F.max("score").alias("score"))
@@ -351,7 +377,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         def __init__(self, got):
             self.ids, self.h = [r["qid"] for r in got], _Hybrid([r["vector"] for r in got])
 
-    for asked in _blocks(queries.select("qid", "vector"), Block):
+    for asked in _blocks(queries, Block, "vector"):
         v, norm, ids = asked.h.v, asked.h.norm, asked.ids
         shared = vectors.sparkSession.sparkContext.broadcast((v, norm, ids))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from veinwork.functions.meta import bare_number
-from veinwork.functions.text import blank, dense, filled, fold, has_any, has_token
+from veinwork.functions.text import bind, blank, dense, filled, fold, has_any, has_token
 from veinwork.operators.terms import char_bigrams, compare_pair, grams, kinds
 from veinwork.domain import REGULATIONS, Profile
 
@@ -40,9 +40,11 @@ def exact_match(query: Column, text: Column) -> Column:
 
 def phrase_hit(query: Column, text: Column) -> Column:
     """The same, but fragments count from four characters on."""
-    q = dense(query)
-    n = F.length(q)
-    return F.when((n >= 4) & F.contains(text, q), 1.0).when(n <= 3, 0.0).otherwise(longest_shared(q, text) / F.least(F.lit(12), n))
+    def of(q: Column) -> Column:
+        n = F.length(q)
+        return F.when((n >= 4) & F.contains(text, q), 1.0).when(n <= 3, 0.0).otherwise(longest_shared(q, text) / F.least(F.lit(12), n))
+
+    return bind(dense(query), of)
 
 
 def article_boost(asked: Column, article: Column, body: Column) -> Column:
@@ -75,7 +77,14 @@ def cosine01(a: Column, b: Column, truncate: bool = False) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    same = F.size(F.array_intersect(a, b))
+    def of(x: Column) -> Column:
+        a, b, same = x["a"], x["b"], F.size(F.array_intersect(x["a"], x["b"]))
+        return _jaccard(a, b, same)
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), of)
+
+
+def _jaccard(a: Column, b: Column, same: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(same / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - same))
 
 

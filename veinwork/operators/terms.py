@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from veinwork.functions.meta import article_no
-from veinwork.functions.text import blank, dense, filled, fold, has_any, mostly_digits, squeeze, strip
+from veinwork.functions.text import bind, blank, dense, filled, fold, has_any, mostly_digits, squeeze, strip
 from veinwork.domain import REGULATIONS, Profile
 
 
@@ -17,8 +17,7 @@ def grams(c: Column, n: Column | int) -> Column:
 
 def char_bigrams(c: Column) -> Column:
     """The distinct pairs of characters without white space; a text of one character is its own."""
-    t = dense(c)
-    return F.when(F.length(t) < 2, F.array(t)).otherwise(F.array_distinct(grams(t, 2)))
+    return bind(dense(c), lambda t: F.when(F.length(t) < 2, F.array(t)).otherwise(F.array_distinct(grams(t, 2))))
 
 
 def word_terms(folded: Column, profile: Profile = REGULATIONS) -> Column:
@@ -36,19 +35,26 @@ def gram_terms(compact: Column, low: int, high: int, most: int, profile: Profile
 
 def profile_of(question: Column, profile: Profile = REGULATIONS) -> Column:
     """struct<folded, compact, terms, phrases, article> of a question."""
-    folded = fold(question)
-    compact = dense(folded)
-    terms = F.slice(F.array_distinct(F.concat(word_terms(folded, profile), gram_terms(compact, 2, 4, profile.max_terms, profile))), 1, 2 * profile.max_terms)
-    long = F.slice(F.filter(terms, lambda t: F.length(t) >= 4), 1, profile.max_phrases)
-    phrases = F.when(F.size(long) > 0, long).otherwise(gram_terms(compact, 4, 6, profile.max_phrases, profile))
-    return F.struct(folded.alias("folded"), compact.alias("compact"), F.slice(terms, 1, profile.max_terms).alias("terms"), phrases.alias("phrases"), article_no(folded, profile).alias("article"))
+
+    def with_terms(folded: Column, compact: Column, terms: Column) -> Column:
+        long = F.slice(F.filter(terms, lambda t: F.length(t) >= 4), 1, profile.max_phrases)
+        phrases = F.when(F.size(long) > 0, long).otherwise(gram_terms(compact, 4, 6, profile.max_phrases, profile))
+        return F.struct(folded.alias("folded"), compact.alias("compact"), F.slice(terms, 1, profile.max_terms).alias("terms"), phrases.alias("phrases"), article_no(folded, profile).alias("article"))
+
+    def terms_of(folded: Column, compact: Column) -> Column:
+        return F.array_distinct(F.concat(word_terms(folded, profile), gram_terms(compact, 2, 4, profile.max_terms, profile)))
+
+    return bind(fold(question), lambda f: bind(dense(f), lambda c: bind(terms_of(f, c), lambda t: with_terms(f, c, t))))
 
 
 def fast_terms(question: Column, profile: Profile = REGULATIONS) -> Column:
     """Words, then substrings, the short ones first."""
-    t = squeeze(question)
-    words = F.filter(F.split(t, "[^\\p{IsHan}A-Za-z0-9]+"), lambda w: F.length(w) >= 2)
-    return F.slice(F.array_distinct(F.concat(words, *(grams(t, n) for n in (2, 3, 4)))), 1, profile.max_fast_terms)
+
+    def of(t: Column) -> Column:
+        words = F.filter(F.split(t, "[^\\p{IsHan}A-Za-z0-9]+"), lambda w: F.length(w) >= 2)
+        return F.slice(F.array_distinct(F.concat(words, *(grams(t, n) for n in (2, 3, 4)))), 1, profile.max_fast_terms)
+
+    return bind(squeeze(question), of)
 
 
 def intent(question: Column, profile: Profile = REGULATIONS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veinwork.domain import REGULATIONS as P
 from veinwork.functions import text as T
-from veinwork.operators import answer as A, retrieve as R, score as S, selection as E
+from veinwork.operators import answer as A, retrieve as R, selection as E
 from veinwork.plans.base import any_sql, collapse_sql, corpus, CORPUS_SQL, dense_sql, fold_sql, grams_sql, query, questions, squeeze_sql, table
 from veinwork.plans.texts import FAST_SQL, GARBLED_SQL, SUMMARY_SQL, TERMS_SQL, WEAK_SQL
 
@@ -112,18 +112,16 @@ def fast_recall(spark, sf):
     return R.fast_recall(_fast_corpus(spark, sf), questions(spark, sf), 50)
 
 
-_JACCARD = "len(list_intersect(qb, db)) / (len(qb) + len(db) - len(list_intersect(qb, db)))"
-_STAGE2 = f"""s2 as materialized (select qid, ord, score, s as qt, all_ as dt, list_distinct({grams_sql('s', 2)}) as qb, list_distinct({grams_sql('all_', 2)}) as db from s1 join fq using (qid) join fc using (ord)),
-    lg as materialized (select qid, ord, max(k) as longest from (select distinct qid, k, unnest({grams_sql('s', 'k')}) as g from fq, range(4, 13) r(k)) join (select ord, k, g from (select distinct ord, k, unnest({grams_sql('all_', 'k')}) as g from fc, range(4, 13) r(k))) using (k, g) group by qid, ord)"""
+_STAGE2 = f"""s2 as materialized (select qid, ord, score, s as qt, all_ as dt, len(qb) as nq, len(db) as nd, len(list_intersect(qb, db)) as common from (select *, list_distinct({grams_sql('s', 2)}) as qb, list_distinct({grams_sql('all_', 2)}) as db from s1 join fq using (qid) join fc using (ord))),
+    s3 as materialized (select *, list_max(list_transform(range(4, 13), lambda k: case when len(list_filter({grams_sql('qt', 'k')}, lambda g: contains(dt, g))) > 0 then k else 0 end)) as longest from s2)"""
 
 
-@query("two_stage_rerank", f"with {_STAGE1}, {_STAGE2} " + _top(f"select qid, ord, round(score * 0.62 + {_JACCARD} * 0.28 + (case when length(qt) >= 4 and contains(dt, qt) then 1.0 when length(qt) <= 3 then 0.0 else coalesce(longest, 0) / least(12, length(qt)) end) * 0.10, 6) as score from s2 left join lg using (qid, ord)", 8))
+@query("two_stage_rerank", f"with {_STAGE1}, {_STAGE2} " + _top("select qid, ord, round(score * 0.62 + common / (nq + nd - common) * 0.28 + (case when length(qt) >= 4 and contains(dt, qt) then 1.0 when length(qt) <= 3 then 0.0 else longest / least(12, length(qt)) end) * 0.10, 6) as score from s3", 8))
 def two_stage_rerank(spark, sf):
     first = F.broadcast(fast_recall(spark, sf).select("qid", "ord", F.col("score").alias("first")))  # 50 rows a question of a block
     text = T.squeeze(F.concat_ws(" ", "title", "article_no", "content"))
     got = _fast_corpus(spark, sf).join(first, "ord").select("qid", "ord", "first", text.alias("text")).join(F.broadcast(questions(spark, sf)), "qid")
-    scored = got.select("qid", "ord", F.round(S.rerank(F.col("first"), T.squeeze(F.col("question")), F.col("text")), 6).alias("score"))
-    return R._merged([scored], 8)
+    return R.second_stage(got.select("qid", "ord", "first", T.squeeze(F.col("question")).alias("asked"), "text"), 8)
 
 
 # Selection out of the plain top list; source is the law and the file.

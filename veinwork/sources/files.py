@@ -8,7 +8,7 @@ from io import BytesIO
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from veinwork.functions.meta import date, doc_number, doc_number_or_self, effective_date, extension, file_name, header_lines, issuer, meta_json, parent, path_id, plain_title, publish_date, region, stem, title
 from veinwork.functions.text import blank, dense, filled, first_filled, garbled, html_to_text, shrink_summary, strip, unbracket
@@ -123,7 +123,7 @@ def read_texts(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] |
 
     by_spark = files.where(ext.isin("md", "txt", "html", "htm", "csv", "json")).withColumn("text", F.when(ext.isin("html", "htm"), html_to_text(plain)).otherwise(plain))
     ship(files.sparkSession)
-    by_code = files.where(~ext.isin("md", "txt", "html", "htm", "csv", "json")).mapInArrow(run, files.schema.add("text", "string"))
+    by_code = files.where(~ext.isin("md", "txt", "html", "htm", "csv", "json")).mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("text", T.StringType())]))
     return by_spark.unionByName(by_code)
 
 
