@@ -32,7 +32,7 @@ from veinwork.llm.words import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose pieces a worker keeps from slice to slice; beyond that it starts afresh.
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from veinwork.ship import ship
 
@@ -42,7 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
-    ship(df.sparkSession)
+#: Rows and bytes of one Arrow batch between Spark and Python: texts are long, and a batch lies in memory on both sides.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors, in batches of bounded size."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(run, schema)
