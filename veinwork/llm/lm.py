@@ -2,7 +2,7 @@
 
 Unigrams and bigrams of the training texts are counted exactly, in shards by hash. A count ``c`` is quantised to the level ``floor(log_b c)``, and a filter holds
 each n-gram once for every level up to its own. A reader probes level after level until one is absent: the last present one gives the count. Smoothed
-probabilities interpolate the bigram's estimate with the unigram's add-one estimate, by a weight that grows with the history's count.
+probabilities interpolate the bigram's estimate with the unigram's add-one estimate.
 
 The filter is broadcast and has a fixed bound, ``FILTER_BYTES``. The base ``b`` is the least power of two with which all
 levels fit at ``BITS`` bits each, so a larger corpus is quantised more coarsely, but every n-gram is counted. The false-positive rate is about 2 per cent at 8 bits.
@@ -33,8 +33,8 @@ from veinwork.ship import ship
 FILTER_BYTES, BITS, HEAD = 64 << 20, 8, 1 << 20
 #: Characters of training text that one shard's n-grams come from, and n-grams that a task gathers before it sends them on.
 SHARD_CHARS, FLUSH = 32 << 20, 2 << 20
-#: How many occurrences of a history make its bigrams weigh as much as the unigrams.
-PRIOR = 4.0
+#: The bigrams' weight beside the unigrams, where the history is known.
+WEIGHT = 0.4
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
@@ -107,6 +107,10 @@ def _count(train: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(total, "shard int, tokens bigint, uni_keys binary, uni_n binary, uni_levels array<bigint>, bi_keys binary, bi_n binary, bi_levels array<bigint>")
 
 
+def level_step(level: int) -> np.uint64:
+    return np.uint64(level * int(_STEP) & (1 << 64) - 1)
+
+
 class Filter:
     """One Bloom filter a shard, end to end in one bit array."""
 
@@ -123,7 +127,7 @@ class Filter:
 
     @staticmethod
     def places(keys: np.ndarray, level: int, size: np.ndarray, hashes: int) -> Iterator[np.ndarray]:
-        g = mix(keys + np.uint64(level) * _STEP)
+        g = mix(keys + level_step(level))
         step = mix(g ^ _TWO) | np.uint64(1)
         for _ in range(hashes):
             yield (g % size).astype(np.int64)
@@ -148,7 +152,7 @@ class Filter:
         while len(live):
             start, size = self.starts[shard[live]], self.sizes[shard[live]].astype(np.uint64)
             k = keys[live]
-            g = mix(k + np.uint64(level) * _STEP)
+            g = mix(k + level_step(level))
             step = mix(g ^ _TWO) | np.uint64(1)
             for _ in range(self.hashes):
                 at = start + (g % size).astype(np.int64)
@@ -180,7 +184,7 @@ class Model:
         single = self.filter.count(kinds)[which]
         word, before = single[1:], single[:-1]
         uni = (word + 1) / (self.tokens + self.types + 1)
-        weight = before / (before + PRIOR)
+        weight = np.where(before > 0, WEIGHT, 0.0)
         bi = np.minimum(together, before) / np.maximum(before, 1)
         return np.log10(weight * bi + (1 - weight) * uni)
 

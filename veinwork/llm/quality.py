@@ -24,6 +24,7 @@ from veinwork.llm.scratch import map_arrow, table
 from veinwork.llm.words import slices, split_words
 
 MAX_LABELLED, MAX_PAIRS, CUT = 20_000, 200_000, 0.3
+N_FEATURES = 29
 
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\t\r", ".,;:?", "!", "|", "#$%&*@<>{}[]\\/=+~^_`", "\"'()-"]):
@@ -37,7 +38,7 @@ def features(texts: pa.Array) -> np.ndarray:
     words, ends = split_words(texts)
     coded = words.dictionary_encode()
     codes, lengths = coded.indices.to_numpy(), pa.compute.binary_length(words).to_numpy()
-    out = np.zeros((len(texts), 29))
+    out = np.zeros((len(texts), N_FEATURES))
     for i, text in enumerate(texts.to_pylist()):
         raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
         n, own = max(1, len(raw)), codes[ends[i] : ends[i + 1]]
@@ -101,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
             yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["quality", "x"])
 
     got = map_arrow(texts, run, "quality bigint, x array<double>").orderBy("x", "quality").limit(2 * max_labelled).toArrow()
-    x = np.array(got.column("x").to_pylist()).reshape(got.num_rows, -1)
+    x = np.array(got.column("x").to_pylist()).reshape(got.num_rows, N_FEATURES)
     return Ranker(x, got.column("quality").to_numpy())
 
 
