@@ -71,7 +71,7 @@ def compare_counts(spark, sf):
     return compare_old_new(spark, sf).groupBy("compare").agg(F.count("*").alias("n"))
 
 
-@query("stratified_sample", """select doc_id, source, round, place from (select *, row_number() over (order by round, size desc, source) as place from (select doc_id, source, row_number() over (partition by source order by md5(doc_id::varchar), doc_id) as round, count(*) over (partition by source) as size from documents) where round <= 50) where place <= 50""")
+@query("stratified_sample", """select doc_id, source, round::int as round, place::int as place from (select *, row_number() over (order by round, size desc, source) as place from (select doc_id, source, row_number() over (partition by source order by md5(doc_id::varchar), doc_id) as round, count(*) over (partition by source) as size from documents) where round <= 50) where place <= 50""")
 def stratified_sample(spark, sf):
     return V.stratified(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 50).select("doc_id", "source", "round", "place")
 

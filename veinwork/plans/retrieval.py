@@ -31,7 +31,7 @@ _LEXICAL = f"""lex as materialized (select qid, ord, 0.36 * a.v + 0.20 * b.v + 0
 
 
 def _top(source: str, k: int) -> str:
-    return f"select qid, ord, score, rank from (select *, row_number() over (partition by qid order by score desc, ord) as rank from ({source})) where rank <= {k}"
+    return f"select qid, ord, score, rank::int as rank from (select *, row_number() over (partition by qid order by score desc, ord) as rank from ({source})) where rank <= {k}"
 
 
 def _top_part(name: str, k: int) -> str:
@@ -137,12 +137,12 @@ _DEDUP = "ded as materialized (select qid, ord, score, title, law_title, content
 _FLOOR = "flo as materialized (select * exclude (rank, ok, any_ok), row_number() over (partition by qid order by score desc, ord) as rank from (select *, max(ok) over (partition by qid) as any_ok from (select *, score >= greatest(0.03, 0.55 * max(score) over (partition by qid)) as ok from ded)) where ok or (not any_ok and rank <= 6))"
 
 
-@query("dedupe_best", f"with {_CAND}, {_DEDUP} select qid, ord, score, rank from ded")
+@query("dedupe_best", f"with {_CAND}, {_DEDUP} select qid, ord, score, rank::int as rank from ded")
 def dedupe_best(spark, sf):
     return E.dedupe_best(_candidates(spark, sf)).select("qid", "ord", "score", "rank")
 
 
-@query("evidence_floor", f"with {_CAND}, {_DEDUP}, {_FLOOR} select qid, ord, score, rank from flo")
+@query("evidence_floor", f"with {_CAND}, {_DEDUP}, {_FLOOR} select qid, ord, score, rank::int as rank from flo")
 def evidence_floor(spark, sf):
     return E.above_floor(E.dedupe_best(_candidates(spark, sf))).select("qid", "ord", "score", "rank")
 
@@ -157,7 +157,7 @@ def single_evidence(spark, sf):
 _PER_LAW = "pl as materialized (select *, row_number() over (partition by qid order by (n > 2)::int, seed desc, rank) as place from (select *, row_number() over (partition by qid, lang order by seed desc, rank) as n from (select cand.*, lang, row_number() over (partition by qid order by (source_path = 'src3') desc, rank) = 1 and source_path = 'src3' as seed from cand join documents on doc_id = ord)))"
 
 
-@query("select_evidence", f"with {_CAND}, {_PER_LAW} select qid, ord, score, rank, place from pl where place <= 6")
+@query("select_evidence", f"with {_CAND}, {_PER_LAW} select qid, ord, score, rank::int as rank, place::int as place from pl where place <= 6")
 def select_evidence(spark, sf):
     rows = E.ranked(_candidates(spark, sf)).withColumn("law_title", F.col("region_level"))
     return E.per_law(rows, F.col("source_path") == "src3", 6).select("qid", "ord", "score", "rank", "place")

@@ -299,7 +299,7 @@ def fast_chunks(spark, sf):
       union all select w.id, i + 1, s2, e2, e2 >= n from (select w.*, d.n, d.t, case when i = 0 then 0 else greatest(0, e - 120) end as s2 from w join d using (id) where not over) w,
       lateral (select least(s2 + 800, n) as raw), lateral (select greatest(s2, raw - 60) as low), lateral (select length(regexp_extract(substr(t, low + 1, raw - low + 1), '(?s)^(.*[\\n。；;])', 1)) as behind, length(regexp_extract(substr(t, raw + 1, least(n - 1, raw + 30) - raw + 1), '(?s)^([^\\n。；;]*[\\n。；;])', 1)) as ahead),
       lateral (select case when raw >= n then n when behind > 0 then low + behind when ahead > 0 then raw + ahead else raw end as e2))
-    select id as doc_id, i - 1 as pos, md5(substr(t, s + 1, e - s)) as piece, e - s as size from w join d using (id) where i > 0""")
+    select id as doc_id, (i - 1)::bigint as pos, md5(substr(t, s + 1, e - s)) as piece, (e - s)::bigint as size from w join d using (id) where i > 0""")
 def chunk_windows(spark, sf):
     got = table(spark, sf, "documents").select("doc_id", F.posexplode(C.windows(F.col("text"))).alias("pos", "piece"))
     return got.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5("piece").alias("piece"), F.length("piece").cast("bigint").alias("size"))
