@@ -113,3 +113,19 @@ def test_pipeline_stages(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     assert all(r["piece_ids"] == lib.encode(kept[d]) and r["round_trip"] for d, r in rows["encoding"].items()) and rows["encoding"].keys() == kept.keys()
     assert corpus_pipeline.run(spark, SF).count() == len(kept)
+
+
+def test_pipeline_of_nothing(spark):
+    docs = documents(spark, [])
+    for _, step in corpus_pipeline.STAGES:
+        docs = stage(step(spark, docs, SF), "none")
+    assert docs.count() == 0 and {"component", "n", "piece_ids"} <= set(docs.columns)
+
+
+def test_pipeline_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "one two three four five six token=abcdefghijklmnop"), (3, "one two three four five six token=abcdefghijklmnop"), (4, "one two three four five six token=abcdefghijklmnop"), (None, "seven eight nine ten eleven")]
+    docs = documents(spark, rows).withColumn("base", F.lit("b"))
+    for name, step in corpus_pipeline.STAGES[1:]:
+        docs = stage(step(spark, docs, SF), name)
+    got = sorted((r["doc_id"] or 0, r["text"], r["base"], r["component"]) for r in docs.collect() if r["text"])
+    assert got == [(0, "seven eight nine ten eleven", "b", "x")] + [(3, "one two three four five six [SECRET]", "b", "x")] * 2 and docs.count() == 5

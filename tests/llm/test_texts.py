@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import SF, documents
 from veinwork.llm import language, pages, pieces, quality, secrets_scan, tokens
@@ -55,6 +56,9 @@ def test_secrets(spark):
         assert [(s["start"], s["ord"], s["end"], s["kind"]) for s in r["secrets"]] == sorted(base + hot_runs(TEXTS[r["doc_id"]], base))
     kept = {r["doc_id"]: r["text"] for r in secrets_scan.redact(docs).collect()}
     assert kept[2] == "no secret" and kept[0] is None and kept[3] == '[SECRET]" 🙂 SECRET:short' and kept[5] == "[SECRET] [SECRET] deadbeef"
+    clash = docs.withColumns({c: F.lit(c) for c in ("base", "secrets", "_text", "_row", "_hit")})
+    r = secrets_scan.redact(clash).where("doc_id = 5").first()
+    assert (r["text"], r["base"], r["_text"], r["n_chars"]) == (kept[5], "base", "_text", len(kept[5]))
     assert secrets_scan.redact(docs).columns == docs.columns and secrets_scan.find_secrets(documents(spark, [])).count() == 0
 
 

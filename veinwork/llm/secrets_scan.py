@@ -128,7 +128,8 @@ def redact(docs: DataFrame, *, marker: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by the marker (spans that overlap by one), ``n_chars`` counted anew where
     there is such a column. Texts without a secret, null texts among them, stay as they are."""
     names = docs.columns
-    found = find_secrets(docs.withColumn("_own", F.col("text")), keep=(*names, "_own"))
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")  # whatever its columns are called
+    found = find_secrets(docs.select(row, "text"), keep=("_row",))
 
     def cut(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
@@ -136,11 +137,13 @@ def redact(docs: DataFrame, *, marker: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(kept, F.lit(marker)))).otherwise(acc["out"]).alias("out"))
 
     parts = F.aggregate("secrets", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")), cut, lambda acc: F.concat_ws("", acc["out"], F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), F.length(F.col("_text")))))
-    out = found.withColumn("text", F.when(F.size("secrets") > 0, parts).otherwise(F.col("_own")))
+    hit = F.size("secrets") > 0
+    own = {c: F.col("_row").getField(c) for c in names}
+    text = F.when(hit, parts).otherwise(own["text"])
+    made = {"text": text}
     if "n_chars" in names:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(*names)
+        made["n_chars"] = F.when(hit, F.length(text)).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(made.get(c, own[c]).alias(c) for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
