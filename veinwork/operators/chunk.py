@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veinwork.functions.meta import article_no, category, clause_no, enriched, law_title
-from veinwork.functions.text import blank, dense, filled, strip
+from veinwork.functions.text import bind, blank, dense, filled, strip
 from veinwork.domain import REGULATIONS, Profile
 
 
@@ -44,15 +44,20 @@ def windows(c: Column, size: int = REGULATIONS.chunk_size, overlap: int = REGULA
     n = F.length(t)
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, _: Column) -> Column:
-        raw = F.least(acc["at"] + size, n)
-        low = F.greatest(acc["at"], raw - 60)
-        back = F.substring(t, low + 1, raw - low + 1)  # the characters low .. raw
-        behind = F.length(F.regexp_extract(back, "(?s)^(.*[\\n。；;])", 1))
+    def ahead(raw: Column) -> Column:
         on = F.substring(t, raw + 1, F.least(n - 1, raw + 30) - raw + 1)
-        ahead = F.length(F.regexp_extract(on, "(?s)^([^\\n。；;]*[\\n。；;])", 1))
-        end = F.when(raw >= n, n).when(behind > 0, low + behind).when(ahead > 0, raw + ahead).otherwise(raw)
-        fresh = F.struct(F.greatest(F.lit(0), end - overlap).alias("at"), (end >= n).alias("over"), F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, end - acc["at"]))).alias("out"))
+        return bind(F.length(F.regexp_extract(on, "(?s)^([^\\n。；;]*[\\n。；;])", 1)), lambda k: F.when(k > 0, raw + k).otherwise(raw))
+
+    def end_of(at: Column, raw: Column) -> Column:
+        low = F.greatest(at, raw - 60)
+        back = F.substring(t, low + 1, raw - low + 1)  # the characters low .. raw
+        return bind(F.length(F.regexp_extract(back, "(?s)^(.*[\\n。；;])", 1)), lambda k: F.when(k > 0, low + k).otherwise(ahead(raw)))
+
+    def step(acc: Column, _: Column) -> Column:
+        def cut(end: Column) -> Column:
+            return F.struct(F.greatest(F.lit(0), end - overlap).alias("at"), (end >= n).alias("over"), F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, end - acc["at"]))).alias("out"))
+
+        fresh = bind(F.least(acc["at"] + size, n), lambda raw: bind(F.when(raw >= n, n).otherwise(end_of(acc["at"], raw)), cut))
         return F.when(acc["over"], acc).otherwise(fresh)
 
     steps = F.sequence(F.lit(0), F.ceil(n / F.lit(max(1, size - overlap - 60))).cast("int"))

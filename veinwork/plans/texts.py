@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veinwork.domain import REGULATIONS as P
 from veinwork.functions import meta as M, text as T
 from veinwork.operators import chunk as C, terms as Q
+from veinwork.operators.retrieve import spread
 from veinwork.plans.base import any_sql, collapse_sql, corpus, CORPUS_SQL, dense_sql, distinct_sql, fixture, fold_sql, grams_sql, list_sql, query, questions, QUESTIONS_SQL, squeeze_sql, strip_sql, table, values
 
 _NUM = "[一二三四五六七八九十百千万0-9]+"
@@ -301,7 +302,7 @@ def fast_chunks(spark, sf):
       lateral (select case when raw >= n then n when behind > 0 then low + behind when ahead > 0 then raw + ahead else raw end as e2))
     select id as doc_id, (i - 1)::bigint as pos, md5(substr(t, s + 1, e - s)) as piece, (e - s)::bigint as size from w join d using (id) where i > 0""")
 def chunk_windows(spark, sf):
-    got = table(spark, sf, "documents").select("doc_id", F.posexplode(C.windows(F.col("text"))).alias("pos", "piece"))
+    got = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(C.windows(F.col("text"))).alias("pos", "piece"))
     return got.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5("piece").alias("piece"), F.length("piece").cast("bigint").alias("size"))
 
 
