@@ -31,8 +31,8 @@ from veinwork.llm.scratch import map_arrow, table
 from veinwork.llm.words import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose pieces a worker keeps from slice to slice; beyond that it starts afresh.
-MAX_WORDS = 300_000
+#: Words whose pieces a worker keeps from slice to slice; beyond that it starts afresh. A worker that sends on all ids has less room.
+MAX_WORDS, FEWER_WORDS = 1_000_000, 300_000
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -70,7 +70,8 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 class Pieces:
     """The pieces of a model file and the encoder over them."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, max_words: int = MAX_WORDS):
+        self.max_words = max_words
         self.text: list[str] = []
         self.score: list[float] = []
         self.kind: list[int] = []
@@ -199,7 +200,7 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.cut(t) for t in texts]
         known = self.known
-        if len(known) > MAX_WORDS:
+        if len(known) > self.max_words:
             known.clear()
         fresh = {w for c in cut for w in c}.difference(known)
         whole = {w: w[1:] if w[:1] == "\0" else MARK + w for w in fresh}
@@ -226,16 +227,16 @@ class Pieces:
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
-def _load(spark: SparkSession, model: str):
+def _load(spark: SparkSession, model: str, max_words: int = MAX_WORDS):
     with open(model, "rb") as f:  # the vocabulary: on the driver only
-        return spark.sparkContext.broadcast(Pieces(f.read()))
+        return spark.sparkContext.broadcast(Pieces(f.read(), max_words))
 
 
-def encode(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, *, model: str = MODEL, max_words: int = FEWER_WORDS) -> DataFrame:
     """The documents' columns, ``piece_ids`` array<int>, ``n_pieces`` and ``round_trip``: whether decoding gives the text
     again (marks in a text come back as spaces). Columns of these names are replaced."""
     made = ("piece_ids", "n_pieces", "round_trip")
-    shared, names = _load(docs.sparkSession, model), [c for c in docs.columns if c not in made]
+    shared, names = _load(docs.sparkSession, model, max_words), [c for c in docs.columns if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
