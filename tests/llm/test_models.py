@@ -80,6 +80,19 @@ def test_empty_training(spark):
     assert r["n_tokens"] == 3 and r["n_known"] == 0 and r["base_score"] == 0.0
 
 
+def test_what_occurs_once_is_known(spark):
+    train = [(1, "red fox"), (3, "blue owl")] + [(10 + i, f"w{i} x{i}") for i in range(3000)]
+    docs = documents(spark, train + [(-1, "red fox"), (-2, "red owl"), (-3, "grey elk")]).withColumn("held_out", F.col("doc_id") < 0)
+    model, rest = lm.train(docs.where("not held_out"))
+    hashed = lambda ws: hash_words(pa.array(ws, pa.large_string()))
+    assert (model.filter.level(hashed([w for _, t in train for w in t.split()])) >= 0).all()
+    assert (model.filter.level(hashed([f"y{i}" for i in range(1000)])) < 0).mean() > 0.94
+    pairs = lm.bigrams(lm.tokens(pa.array([t for _, t in train]))[0])
+    assert (model.filter.level(pairs) >= 0).all()
+    score = {r["doc_id"]: r["score"] for r in lm.score(docs, model, rest).collect()}
+    assert score[-1] > score[-2] > score[-3] and score[-1] == pytest.approx(score[1])
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}

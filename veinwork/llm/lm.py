@@ -1,11 +1,12 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Unigrams and bigrams of the training texts are counted exactly, in shards by hash. A count ``c`` is quantised to the level ``floor(log_b c)``, and a filter holds
-each n-gram once for every level up to its own. A reader probes level after level until one is absent: the last present one gives the count. Smoothed
-probabilities interpolate the bigram's estimate with the unigram's add-one estimate.
+Unigrams and bigrams of the training texts are counted exactly, in shards by hash. A count ``c`` is quantised to the level ``floor(log2 c)``, and a filter holds
+each n-gram once for every level up to its own, 0 among them: what occurs once is known too. A reader probes level after level until one is absent: the last
+present one gives the count. Smoothed probabilities interpolate the bigram's estimate with the unigram's add-one estimate.
 
-The filter is broadcast and has a fixed bound, ``FILTER_BYTES``. The base ``b`` is the least power of two with which all
-levels fit at ``BITS`` bits each, so a larger corpus is quantised more coarsely, but every n-gram is counted. The false-positive rate is about 2 per cent at 8 bits.
+Each shard has a filter of its own, of ``BITS`` bits for each n-gram and level, and shards come from about equal parts of the corpus, so the filter as a whole grows with
+the n-grams and no task holds more than a shard's part. It is never in one place: a slice of texts sends its distinct n-grams to their shards and gets the levels back.
+The false-positive rate is about 2 per cent at 8 bits.
 
 Beside the model's score there is an exact one, add-one unigrams. The counts of frequent words (at most ``HEAD``, by a threshold on the count)
 are broadcast; for other words, each text sends its distinct words to the counts: no vocabulary of unbounded size is ever in one place.
@@ -30,7 +31,7 @@ from veinwork.llm.scratch import map_arrow, stage, table
 from veinwork.llm.words import hash_words, mix, slices, split_words
 from veinwork.ship import ship
 
-FILTER_BYTES, BITS, HEAD = 64 << 20, 8, 1 << 20
+BITS, HEAD = 8, 1 << 20
 #: Characters of training text that one shard's n-grams come from, and n-grams that a task gathers before it sends them on.
 SHARD_CHARS, FLUSH = 32 << 20, 2 << 20
 #: The bigrams' weight beside the unigrams, where the history is known.
@@ -59,9 +60,9 @@ def bigrams(tokens_: np.ndarray) -> np.ndarray:
     return mix(mix(before * _ONE + _STEP) + tokens_)
 
 
-def _count(train: DataFrame, shards: int) -> DataFrame:
-    """A row for each shard: its unigrams with their counts, its bigrams that occur more than once, and for either order the number of types by
-    floor(log2(count)), the number of tokens."""
+def _count(train: DataFrame, shards: int, bits: int) -> DataFrame:
+    """A row for each shard: its number of tokens, its unigrams with their counts, the number of them by floor(log2(count)), and its filter."""
+    hashes = hashes_of(bits)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -87,132 +88,141 @@ def _count(train: DataFrame, shards: int) -> DataFrame:
         yield from flush()
 
     def total(group: pa.Table) -> pa.Table:
-        out = {"shard": [group.column("shard")[0].as_py()]}
         orders = group.column("order").to_numpy()
         keys_, n_ = group.column("keys").to_pylist(), group.column("n").to_pylist()
-        for order, name in enumerate(("uni", "bi")):
+        both = []
+        for order in range(2):
             at = np.flatnonzero(orders == order)
             keys, own = np.unique(np.frombuffer(b"".join(keys_[i] for i in at), np.uint64), return_inverse=True)
-            n = np.bincount(own, np.frombuffer(b"".join(n_[i] for i in at), np.uint32), len(keys)).astype(np.int64)
-            levels = np.bincount(np.log2(n).astype(np.int64), minlength=64) if len(n) else np.zeros(64, np.int64)
-            if order:
-                keys, n = keys[n > 1], n[n > 1]
-            else:
-                out["tokens"] = [int(n.sum())]
-            out |= {f"{name}_keys": [keys.tobytes()], f"{name}_n": [n.tobytes()], f"{name}_levels": [levels.tolist()]}
-        return pa.table({k: pa.array(out[k], t) for k, t in (("shard", pa.int32()), ("tokens", pa.int64()), ("uni_keys", pa.binary()), ("uni_n", pa.binary()), ("uni_levels", pa.list_(pa.int64())), ("bi_keys", pa.binary()), ("bi_n", pa.binary()), ("bi_levels", pa.list_(pa.int64())))})
+            both.append((keys, np.bincount(own, np.frombuffer(b"".join(n_[i] for i in at), np.uint32), len(keys)).astype(np.int64)))
+        keys, n = both[0]
+        levels = np.bincount(np.log2(n).astype(np.int64), minlength=64)
+        built = Filter.build(*(np.concatenate(x) for x in zip(*both)), hashes, bits)
+        out = {"shard": group.column("shard")[0].as_py(), "tokens": int(n.sum()), "uni_keys": keys.tobytes(), "uni_n": n.tobytes(), "uni_levels": levels.tolist(), "bits": built}
+        return pa.Table.from_pylist([out], pa.schema([("shard", pa.int32()), ("tokens", pa.int64()), ("uni_keys", pa.binary()), ("uni_n", pa.binary()), ("uni_levels", pa.list_(pa.int64())), ("bits", pa.binary())]))
 
     ship(train.sparkSession)
     sent = map_arrow(train.select("text"), gather, "shard int, order int, keys binary, n binary")
-    return sent.groupBy("shard").applyInArrow(total, "shard int, tokens bigint, uni_keys binary, uni_n binary, uni_levels array<bigint>, bi_keys binary, bi_n binary, bi_levels array<bigint>")
+    return sent.groupBy("shard").applyInArrow(total, "shard int, tokens bigint, uni_keys binary, uni_n binary, uni_levels array<bigint>, bits binary")
 
 
 def level_step(level: int) -> np.uint64:
     return np.uint64(level * int(_STEP) & (1 << 64) - 1)
 
 
+def hashes_of(bits: int) -> int:
+    return max(1, round(bits * math.log(2)))
+
+
 class Filter:
-    """One Bloom filter a shard, end to end in one bit array."""
-
-    def __init__(self, shards: int, width: int, hashes: int, parts: list[tuple[int, bytes]]):
-        self.shards, self.width, self.hashes = shards, width, hashes
-        sizes = np.zeros(shards, np.int64)
-        for s, raw in parts:
-            sizes[s] = len(raw)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        self.bits = np.zeros(int(starts[-1]) + 1, np.uint8)
-        for s, raw in parts:
-            self.bits[starts[s] : starts[s] + len(raw)] = np.frombuffer(raw, np.uint8)
-        self.starts, self.sizes = starts[:-1] * 8, sizes * 8
-
-    @staticmethod
-    def places(keys: np.ndarray, level: int, size: np.ndarray, hashes: int) -> Iterator[np.ndarray]:
-        g = mix(keys + level_step(level))
-        step = mix(g ^ _TWO) | np.uint64(1)
-        for _ in range(hashes):
-            yield (g % size).astype(np.int64)
-            g = g + step
+    """The Bloom filter of one shard."""
+
+    def __init__(self, raw: bytes, hashes: int):
+        self.bits, self.hashes = np.frombuffer(raw, np.uint8), hashes
 
     @classmethod
-    def build(cls, keys: np.ndarray, n: np.ndarray, width: int, hashes: int, bits: int) -> bytes:
-        levels = np.log2(n).astype(np.int64) // width if len(n) else n
-        size = int(levels.sum()) * bits
-        out = np.zeros(-(-size // 8), np.uint8)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            for at in cls.places(keys[levels >= level], level, np.uint64(len(out) * 8), hashes):
-                np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return out.tobytes()
+    def build(cls, keys: np.ndarray, n: np.ndarray, hashes: int, bits: int) -> bytes:
+        levels = np.log2(n).astype(np.int64)
+        size = -(-int((levels + 1).sum()) * bits // 8) * 8
+        out = np.zeros(size, bool)
+        for level in range(int(levels.max(initial=-1)) + 1):
+            g = mix(keys[levels >= level] + level_step(level + 1))
+            step = mix(g ^ _TWO) | np.uint64(1)
+            for _ in range(hashes):
+                out[(g % np.uint64(size)).astype(np.int64)] = True
+                g = g + step
+        return np.packbits(out, bitorder="little").tobytes()
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """The level that probing finds for each key."""
-        found = np.zeros(len(keys), np.int64)
-        shard = (keys % np.uint64(self.shards)).astype(np.int64)
-        live = np.flatnonzero(self.sizes[shard] > 0)
-        level = 1
+        """The level that probing finds for each key, -1 for a key at none."""
+        found = np.full(len(keys), -1, np.int64)
+        live = np.arange(len(keys) if len(self.bits) else 0)
+        size, level = np.uint64(len(self.bits) * 8), 0
         while len(live):
-            start, size = self.starts[shard[live]], self.sizes[shard[live]].astype(np.uint64)
-            k = keys[live]
-            g = mix(k + level_step(level))
+            g = mix(keys[live] + level_step(level + 1))
             step = mix(g ^ _TWO) | np.uint64(1)
             for _ in range(self.hashes):
-                at = start + (g % size).astype(np.int64)
+                at = (g % size).astype(np.int64)
                 there = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 if not there.all():
-                    live, start, size, g, step = live[there], start[there], size[there], g[there], step[there]
+                    live, g, step = live[there], g[there], step[there]
                 g = g + step
             found[live] = level
             level += 1
         return found
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """The estimate: the middle of the level's counts on a log scale, 0 at no level."""
-        level = self.level(keys)
-        return np.where(level > 0, 2.0 ** (self.width * (level + 0.5)) if self.width > 1 else 1.414 * 2.0**level, 0.0)
 
+class Shards:
+    """The filters of all shards, as a table (shard, bits)."""
+
+    #: The levels' base is 2 to this power, whatever the size of the corpus.
+    width = 1
+
+    def __init__(self, parts: DataFrame, shards: int, hashes: int):
+        self.parts, self.shards, self.hashes = parts, shards, hashes
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each of a few keys, worked out on the driver, a shard at a time."""
+        found, own = np.full(len(keys), -1, np.int64), shard_of(keys, self.shards)
+        for s in np.unique(own).tolist():
+            part = self.parts.where(F.col("shard") == s).first()
+            if part:
+                found[own == s] = Filter(part["bits"], self.hashes).level(keys[own == s])
+        return found
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys % np.uint64(shards)).astype(np.int64)
 
-class Model:
-    def __init__(self, filter_: Filter, tokens_: int, types: int, head: np.ndarray, head_n: np.ndarray):
-        self.filter, self.tokens, self.types = filter_, tokens_, types
-        at = np.argsort(head)
-        self.head, self.head_n = head[at], head_n[at]
 
-    def log_probabilities(self, t: np.ndarray) -> np.ndarray:
-        """log10 of each token's smoothed probability."""
-        pairs, own = np.unique(bigrams(t), return_inverse=True)
-        together = self.filter.count(pairs)[own]
-        kinds, which = np.unique(np.concatenate([[END], t]), return_inverse=True)
-        single = self.filter.count(kinds)[which]
+def count_of(level: np.ndarray) -> np.ndarray:
+    """The estimate: the middle of the level's counts on a log scale, 1 at level 0, which has no other count, 0 at none."""
+    return np.where(level > 0, 1.414 * 2.0**level, level + 1.0)
+
+
+class Grams:
+    """The distinct n-grams of a slice's tokens, by shard, and where in the slice they are."""
+
+    def __init__(self, t: np.ndarray, shards: int):
+        keys, own = np.unique(np.concatenate([[END], t, bigrams(t)]), return_inverse=True)
+        shard = shard_of(keys, shards)
+        at = np.argsort(shard, kind="stable")
+        place = np.empty(len(at), np.int64)
+        place[at] = np.arange(len(at))
+        self.keys, self.shard, self.own, self.n = keys[at], shard[at], place[own], len(t)
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard in order, with its n-grams."""
+        cuts = [0, *(np.flatnonzero(np.diff(self.shard)) + 1).tolist(), len(self.shard)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield int(self.shard[a]), self.keys[a:b]
+
+    def log_probabilities(self, levels: np.ndarray, tokens_: int, types: int) -> np.ndarray:
+        """log10 of each token's smoothed probability, from the levels of all n-grams in the order of ``parts``."""
+        counts = count_of(levels)[self.own]
+        single, together = counts[: self.n + 1], counts[self.n + 1 :]
         word, before = single[1:], single[:-1]
-        uni = (word + 1) / (self.tokens + self.types + 1)
+        uni = (word + 1) / (tokens_ + types + 1)
         weight = np.where(before > 0, WEIGHT, 0.0)
         bi = np.minimum(together, before) / np.maximum(before, 1)
         return np.log10(weight * bi + (1 - weight) * uni)
 
 
-def train(docs: DataFrame, *, filter_bytes: int = FILTER_BYTES, bits: int = BITS, head: int = HEAD) -> tuple[Model, DataFrame]:
+class Model:
+    def __init__(self, filter_: Shards, tokens_: int, types: int, head: np.ndarray, head_n: np.ndarray):
+        self.filter, self.tokens, self.types = filter_, tokens_, types
+        at = np.argsort(head)
+        self.head, self.head_n = head[at], head_n[at]
+
+
+def train(docs: DataFrame, *, bits: int = BITS, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model, and the (key, n) counts of the words that are not in its head."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / SHARD_CHARS))
-    counted = stage(_count(docs, shards), "ngrams")
-    levels = lambda name: [F.sum(F.element_at(name, i + 1)) for i in range(64)]
-    got = counted.agg(F.sum("tokens"), *levels("uni_levels"), *levels("bi_levels")).first()
-    total, uni, bi = int(got[0] or 0), np.array([int(x or 0) for x in got[1:65]]), np.array([int(x or 0) for x in got[65:129]])
-
-    both, width = uni + bi, 1
-    while int((both * (np.arange(64) // width)).sum()) * bits > filter_bytes * 8 and width < 60:
-        width += 1
-    hashes = max(1, round(bits * math.log(2)))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys = np.concatenate([np.frombuffer(row[f"{k}_keys"], np.uint64) for k in ("uni", "bi")])
-                n = np.concatenate([np.frombuffer(row[f"{k}_n"], np.int64) for k in ("uni", "bi")])
-                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([Filter.build(keys[n > 1], n[n > 1], width, hashes, bits)], pa.binary())], names=["shard", "bits"])
-
-    built = map_arrow(counted.select("shard", "uni_keys", "uni_n", "bi_keys", "bi_n"), build, "shard int, bits binary").toArrow()  # filter_bytes at most
-    model_filter = Filter(shards, width, hashes, list(zip(built.column("shard").to_pylist(), built.column("bits").to_pylist())))
+    counted = stage(_count(docs, shards, bits), "ngrams")
+    got = counted.agg(F.sum("tokens"), *[F.sum(F.element_at("uni_levels", i + 1)) for i in range(64)]).first()
+    total, uni = int(got[0] or 0), np.array([int(x or 0) for x in got[1:]])
 
     above = np.cumsum(uni[::-1])[::-1]  # types of a count of 2^i or more
     least = 1 << int(np.argmax(above <= head))
@@ -224,35 +234,71 @@ def train(docs: DataFrame, *, filter_bytes: int = FILTER_BYTES, bits: int = BITS
 
     counts = map_arrow(counted.select("uni_keys", "uni_n"), flat, "key bigint, n bigint")
     top = counts.where(F.col("n") >= least).toArrow()  # at most ``head`` rows
-    model = Model(model_filter, total, int(uni.sum()), top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy())
+    model = Model(Shards(counted.select("shard", "bits"), shards, hashes_of(bits)), total, int(uni.sum()), top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy())
     return model, counts.where(F.col("n") < least)
 
 
 def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of (doc_id, held_out, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    ship(spark)
+    heads = spark.sparkContext.broadcast((model.head, model.head_n))
+    shards, hashes, tokens_, types = model.filter.shards, model.filter.hashes, model.tokens, model.types
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    sent = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
+    sent_type = "slice bigint, shard int, data binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, row = shared.value, TaskContext.get().partitionId() << 33
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each slice, a row for each shard with the n-grams to look up there, and one with the texts, under a number of its own below 0."""
+        at = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
-            t, ends = tokens(batch.column("text"))
-            logs = np.add.reduceat(m.log_probabilities(t), ends[:-1])
-            at = np.minimum(np.searchsorted(m.head, t), max(0, len(m.head) - 1))
-            there = m.head[at] == t if len(m.head) else np.zeros(len(t), bool)
-            c = np.where(there, m.head_n[at], 0) if len(m.head) else np.zeros(len(t))
-            base, known = np.add.reduceat(np.log10(c + 1.0), ends[:-1]), np.add.reduceat(there.astype(np.int64), ends[:-1])
-            keys, n = [], []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                k, f = np.unique(t[a:b][~there[a:b]], return_counts=True)
-                keys.append(k.view(np.int64))
-                n.append(f.astype(np.int64))
-            lists = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-            rows = np.arange(row, row + batch.num_rows)
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(ends)), pa.array(known), pa.array(base), pa.array(logs), pa.ListArray.from_arrays(lists, pa.array(np.concatenate(keys))), pa.ListArray.from_arrays(lists, pa.array(np.concatenate(n)))], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "keys", "tf"])
-
-    read = stage(map_arrow(docs.select("doc_id", "held_out", "text"), run, f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, keys array<bigint>, tf array<bigint>"), "scores")
+            parts = list(Grams(tokens(batch.column("text"))[0], shards).parts())
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            data = [sink.getvalue().to_pybytes(), *(k.tobytes() for _, k in parts)]
+            # texts go to a group by slice, spread over as many numbers as there are shards
+            own = -1 - int(mix(np.array([at], np.uint64))[0] % np.uint64(shards))
+            yield pa.RecordBatch.from_arrays([pa.array([at] * len(data), pa.int64()), pa.array([own, *(s for s, _ in parts)], pa.int32()), pa.array(data, pa.binary())], schema=sent)
+            at += batch.num_rows
+
+    def answer(group: pa.Table) -> pa.Table:
+        """The levels of a shard's n-grams, a byte each; texts go through as they are."""
+        shard = group.column("shard")[0].as_py()
+        if shard < 0:
+            return group
+        at, data = group.column("slice").to_pylist(), group.column("data").to_pylist()
+        filter_ = Filter(b"".join(d for k, d in zip(at, data) if k < 0), hashes)
+        asked = [(k, d) for k, d in zip(at, data) if k >= 0]
+        out = [filter_.level(np.frombuffer(d, np.uint64)).astype(np.int8).tobytes() for _, d in asked]
+        return pa.table([pa.array([k for k, _ in asked], pa.int64()), pa.array([shard] * len(out), pa.int32()), pa.array(out, pa.binary())], schema=sent)
+
+    def finish(group: pa.Table) -> pa.Table:
+        row, shard, data = group.column("slice")[0].as_py(), group.column("shard").to_pylist(), group.column("data").to_pylist()
+        (texts,) = [d for s, d in zip(shard, data) if s < 0]
+        levels = np.frombuffer(b"".join(d for s, d in sorted(zip(shard, data)) if s >= 0), np.int8).astype(np.int64)
+        batch = pa.ipc.open_stream(texts).read_next_batch()
+        head, head_n = heads.value
+        t, ends = tokens(batch.column("text"))
+        logs = np.add.reduceat(Grams(t, shards).log_probabilities(levels, tokens_, types), ends[:-1])
+        at = np.minimum(np.searchsorted(head, t), max(0, len(head) - 1))
+        there = head[at] == t if len(head) else np.zeros(len(t), bool)
+        c = np.where(there, head_n[at], 0) if len(head) else np.zeros(len(t))
+        base, known = np.add.reduceat(np.log10(c + 1.0), ends[:-1]), np.add.reduceat(there.astype(np.int64), ends[:-1])
+        keys, n = [], []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            k, f = np.unique(t[a:b][~there[a:b]], return_counts=True)
+            keys.append(k.view(np.int64))
+            n.append(f.astype(np.int64))
+        lists = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
+        rows = np.arange(row, row + batch.num_rows)
+        return pa.table({"row": pa.array(rows), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(np.diff(ends)), "known": pa.array(known), "base": pa.array(base), "score": pa.array(logs), "keys": pa.ListArray.from_arrays(lists, pa.array(np.concatenate(keys))), "tf": pa.ListArray.from_arrays(lists, pa.array(np.concatenate(n)))})
+
+    asked = map_arrow(docs.select("doc_id", "held_out", "text"), ask, sent_type)
+    parts = model.filter.parts.select(F.lit(-1).cast("bigint").alias("slice"), "shard", F.col("bits").alias("data"))
+    found = asked.union(parts).repartition(shards, "shard").groupBy("shard").applyInArrow(answer, sent_type)
+    read = found.repartition(shards, "slice").groupBy("slice").applyInArrow(finish, f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, keys array<bigint>, tf array<bigint>")
+    read = stage(read, "scores")
     rare = read.select("row", F.explode(F.arrays_zip("keys", "tf")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.tf").alias("tf"))
     more = rare.join(rest, "key").groupBy("row").agg(F.sum("tf").alias("k"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("b"))
     whole = math.log10(model.tokens + model.types + 1)
