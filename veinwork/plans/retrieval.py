@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from veinwork.domain import REGULATIONS as P
 from veinwork.functions import text as T
 from veinwork.operators import answer as A, retrieve as R, selection as E
-from veinwork.plans.base import any_sql, collapse_sql, corpus, CORPUS_SQL, dense_sql, fold_sql, grams_sql, query, questions, squeeze_sql, table
+from veinwork.plans.base import ORACLES, QUERIES, any_sql, collapse_sql, corpus, CORPUS_SQL, dense_sql, fold_sql, grams_sql, query, questions, squeeze_sql, table
 from veinwork.plans.texts import FAST_SQL, GARBLED_SQL, SUMMARY_SQL, TERMS_SQL, WEAK_SQL
 
 _OWN = f"""(case when length(law) >= 4 then 0.03 else 0.0 end) + (case when not summ and not garb then 0.02 else 0.0 end) - (case when n <= 1000 then 0.0 else least(0.18, (n - 1000) / 5200.0) end)
@@ -42,18 +45,18 @@ _PLAIN = "select qid, ord, round(lexical + own, 6) as score from lex"
 
 
 @query("lexical_topk", f"with {_SETUP}, {_LEXICAL} " + _top(_PLAIN, 24))
-def lexical_topk(spark, sf):
-    return R.retrieve(R.features(corpus(spark, sf)), questions(spark, sf), 24)
+def lexical_topk(spark, sf, profile=P):
+    return R.retrieve(R.features(corpus(spark, sf), profile), questions(spark, sf), 24)
 
 
 @query("term_idf", f"with {_SETUP} select term, df, round(w, 6) as idf from idf where term in (select term from t)")
-def term_idf(spark, sf):
-    got = R.term_idf(R.features(corpus(spark, sf)), questions(spark, sf))
+def term_idf(spark, sf, profile=P):
+    got = R.term_idf(R.features(corpus(spark, sf), profile), questions(spark, sf))
     return got.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _part(name):
-    return lambda spark, sf: R.retrieve(R.features(corpus(spark, sf)), questions(spark, sf), 10, part=name)
+    return lambda spark, sf, profile=P: R.retrieve(R.features(corpus(spark, sf), profile), questions(spark, sf), 10, part=name)
 
 
 query("weighted_coverage", _top_part("coverage", 10))(_part("coverage"))
@@ -82,19 +85,19 @@ def vector_topk(spark, sf):
 
 
 @query("hybrid_topk", f"with {_SETUP}, {_LEXICAL} " + _top("select qid, ord, round(case when qv.vec_id is not null and cv.vec_id is not null then lexical * 0.66 + (list_cosine_similarity(qv.embedding::double[], cv.embedding::double[]) + 1) * 0.5 * 0.34 else lexical end + own, 6) as score from lex left join embeddings qv on qv.vec_id = qid left join embeddings cv on cv.vec_id = ord", 24))
-def hybrid_topk(spark, sf):
-    return R.retrieve(R.features(corpus(spark, sf)), _question_vectors(spark, sf), 24, vectors=_chunk_vectors(spark, sf))
+def hybrid_topk(spark, sf, profile=P):
+    return R.retrieve(R.features(corpus(spark, sf), profile), _question_vectors(spark, sf), 24, vectors=_chunk_vectors(spark, sf))
 
 
 @query("merge_max", f"with {_SETUP}, {_LEXICAL} " + _top(f"select qid, ord, max(score) as score from (select qid, ord, score from ({_top(_PLAIN, 24)}) union all select qid, ord, score from ({_top(_VECTORS, 24)})) group by qid, ord", 30))
-def merge_max(spark, sf):
+def merge_max(spark, sf, profile=P):
     asked = _question_vectors(spark, sf).where("vector is not null").select("qid", "vector")
-    return R.merge_best(lexical_topk(spark, sf), R.vector_search(_chunk_vectors(spark, sf), asked, 24), 30)
+    return R.merge_best(lexical_topk(spark, sf, profile), R.vector_search(_chunk_vectors(spark, sf), asked, 24), 30)
 
 
 @query("docno_first", f"with {_SETUP}, {_LEXICAL}, wide as materialized ({_top(_PLAIN, 240)}), hit as materialized ({_top('select qid, ord, score from wide join documents on doc_id = ord where contains(text, (qid % 7)::varchar)', 24)}) select * from hit union all select qid, ord, score, rank from wide where rank <= 48 and qid not in (select qid from hit)")
-def docno_first(spark, sf):
-    wide = R.retrieve(R.features(corpus(spark, sf)), questions(spark, sf), 240).join(table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text"), "ord")
+def docno_first(spark, sf, profile=P):
+    wide = R.retrieve(R.features(corpus(spark, sf), profile), questions(spark, sf), 240).join(table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text"), "ord")
     return R.number_first(wide, F.contains("text", (F.col("qid") % 7).cast("string")), wide.where("rank <= 48").select("qid", "ord", "score", "rank"), 24)
 
 
@@ -127,8 +130,8 @@ def two_stage_rerank(spark, sf):
 # Selection out of the plain top list; source is the law and the file.
 
 
-def _candidates(spark, sf):
-    top = lexical_topk(spark, sf).select("qid", "ord", "score")
+def _candidates(spark, sf, profile=P):
+    top = lexical_topk(spark, sf, profile).select("qid", "ord", "score")
     return top.join(corpus(spark, sf), "ord").withColumn("base", F.col("score"))
 
 
@@ -138,18 +141,18 @@ _FLOOR = "flo as materialized (select * exclude (rank, ok, any_ok), row_number()
 
 
 @query("dedupe_best", f"with {_CAND}, {_DEDUP} select qid, ord, score, rank::int as rank from ded")
-def dedupe_best(spark, sf):
-    return E.dedupe_best(_candidates(spark, sf)).select("qid", "ord", "score", "rank")
+def dedupe_best(spark, sf, profile=P):
+    return E.dedupe_best(_candidates(spark, sf, profile)).select("qid", "ord", "score", "rank")
 
 
 @query("evidence_floor", f"with {_CAND}, {_DEDUP}, {_FLOOR} select qid, ord, score, rank::int as rank from flo")
-def evidence_floor(spark, sf):
-    return E.above_floor(E.dedupe_best(_candidates(spark, sf))).select("qid", "ord", "score", "rank")
+def evidence_floor(spark, sf, profile=P):
+    return E.above_floor(E.dedupe_best(_candidates(spark, sf, profile))).select("qid", "ord", "score", "rank")
 
 
 @query("evidence_leads", f"with {_CAND}, {_DEDUP}, l as (select qid, max(score) filter (rank = 1) as top, max(score) filter (rank = 2) as second from ded group by qid) select qid, top, second, round(top - coalesce(second, 0), 6) as gap, case when top >= 0.78 and (second is null or top - second >= 0.18) then 2 else 3 end as definition_limit, second is null or (top >= 0.58 and top - second >= 0.12) as single from l")
-def single_evidence(spark, sf):
-    l = E.leads(E.dedupe_best(_candidates(spark, sf)))
+def single_evidence(spark, sf, profile=P):
+    l = E.leads(E.dedupe_best(_candidates(spark, sf, profile)))
     return l.select("qid", "top", "second", F.round("gap", 6).alias("gap"), E.evidence_limit(F.col("top"), F.col("second"), F.lit(True)).alias("definition_limit"), E.fast_single(F.col("top"), F.col("second"), F.lit(False), F.lit(False)).alias("single"))
 
 
@@ -158,13 +161,13 @@ _PER_LAW = "pl as materialized (select *, row_number() over (partition by qid or
 
 
 @query("select_evidence", f"with {_CAND}, {_PER_LAW} select qid, ord, score, rank::int as rank, place::int as place from pl where place <= 6")
-def select_evidence(spark, sf):
-    rows = E.ranked(_candidates(spark, sf)).withColumn("law_title", F.col("region_level"))
+def select_evidence(spark, sf, profile=P):
+    rows = E.ranked(_candidates(spark, sf, profile)).withColumn("law_title", F.col("region_level"))
     return E.per_law(rows, F.col("source_path") == "src3", 6).select("qid", "ord", "score", "rank", "place")
 
 
-def _selected(spark, sf):
-    rows = E.ranked(_candidates(spark, sf)).withColumn("law_title", F.col("region_level"))
+def _selected(spark, sf, profile=P):
+    rows = E.ranked(_candidates(spark, sf, profile)).withColumn("law_title", F.col("region_level"))
     got = E.per_law(rows, F.col("source_path") == "src3", 6).join(questions(spark, sf), "qid")
     return got.select("qid", "question", "place", F.col("source_path").alias("title"), T.excerpt(F.col("content"), 200).alias("snippet"))
 
@@ -174,13 +177,20 @@ _SNIP = f"case when length({collapse_sql('content')}) > 200 then substr({collaps
 
 @query("evidence_prompt", f"""with {_CAND}, {_PER_LAW} select qid, '用户问题：' || chr(10) || any_value(text) || chr(10) || chr(10) || '可用依据（按相关度排序）：' || chr(10) || string_agg('证据 ' || place || chr(10) || '- 法规标题：' || source_path || chr(10) || '- 证据片段：' || chr(10) || {_SNIP} || chr(10) ||
     '- 引用要求：以“法规标题 + 条号/款项”定位，不得输出文件路径。', chr(10) || chr(10) order by place) as prompt, count(*) as n from pl join benchmark on item_id = qid where place <= 6 group by qid""")
-def evidence_prompt(spark, sf):
-    return A.prompts(_selected(spark, sf)).select("qid", "prompt", F.col("n").cast("bigint").alias("n"))
+def evidence_prompt(spark, sf, profile=P):
+    return A.prompts(_selected(spark, sf, profile)).select("qid", "prompt", F.col("n").cast("bigint").alias("n"))
 
 
 @query("fallback_answer", f"""with {_CAND}, {_PER_LAW} select qid, '当前大模型不可用，先基于检索证据给出参考结论。' || chr(10) || '结论：已命中多条相关依据，请按以下优先顺序核对。' || chr(10) || '依据列表：' || chr(10) || string_agg(place || '. ' || source_path || chr(10) || '   摘要：' ||
     case when length({_SNIP}) > 180 then substr({_SNIP}, 1, 180) || '...' else {_SNIP} end, chr(10) order by place) as answer from pl where place <= 3 group by qid""")
-def fallback_answer(spark, sf):
-    return A.fallback_answers(_selected(spark, sf))
+def fallback_answer(spark, sf, profile=P):
+    return A.fallback_answers(_selected(spark, sf, profile))
 
 
+# The same over whole texts: here documents are not cut into chunks before, so the cap on a chunk's indexed characters must not fall on them.
+# SQL for those without fragments only: all fragments of whole texts are too many for it.
+WHOLE = replace(P, max_index_chars=(1 << 31) - 1)
+_WHOLE_SQL = ("term_idf", "weighted_coverage", "phrase_coverage", "field_hit")
+for _name in (*_WHOLE_SQL, *"lexical_topk exact_match hybrid_topk merge_max docno_first dedupe_best evidence_floor evidence_leads select_evidence evidence_prompt fallback_answer".split()):
+    _sql = ORACLES[_name].replace(f"substr(content, 1, {P.max_index_chars}) as content", "content") if _name in _WHOLE_SQL else None
+    query(f"{_name}_whole", _sql)(partial(QUERIES[_name], profile=WHOLE))
