@@ -134,6 +134,19 @@ def test_pages(html, want):
     assert pages.extract(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (PAGE % "<article><p>One, two. Three.</p></article><article><p>Four, five. Six.</p></article>", "One, two. Three.\nFour, five. Six."),
+        (PAGE % "<div class=entry><p>One, two.</p></div><div class=entry><p>Three, four.</p></div>", "One, two.\nThree, four."),
+        (PAGE % "<article><h2 id=related-work>Related work</h2><p class=comment-on-law>One, two.</p><div class=share>Share, now.</div></article>", "Related work\nOne, two."),
+        (PAGE % "<article><p>One, two. Three, four. Five, six.</p><div class=box>Login</div></article>", "One, two. Three, four. Five, six."),
+    ],
+)
+def test_marked_parts(html, want):
+    assert pages.extract(html) == want
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>a, b</p>", "x"), (None, None, None, "x")], "page_id bigint, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in pages.extract_pages(df).collect()) == [(0, "", 0), (1, "a, b", 4)]

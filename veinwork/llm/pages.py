@@ -4,8 +4,8 @@ A page is read into text nodes, each under its root-to-leaf path of tags with th
 summed over its nodes: a path's text ratio and punctuation ratio say how much running text its nodes hold. The ratios are smoothed along the page with a
 Gaussian, fused (text ratio by punctuation ratio), and cut at a threshold drawn from their own spread; paths above it are content. Where the page marks its article
 (``article``, ``main`` or the like), or names parts as menus, adverts, comments and so on, that bounds the choice: boilerplate
-elements never count, and of several marked parts the one with the highest ratios and most text is taken whole. In a page without marks
-the headings, paragraphs, list items, quotes and cells of the element that holds all content paths belong to the text too.
+elements never count, and of the marked parts each that has a content path is taken: its content paths, its headings, paragraphs, list items, quotes and cells.
+Where no marked part has one, the part with the most text is taken whole. In a page without marks the headings, paragraphs, list items, quotes and cells of the element that holds all content paths belong to the text too.
 
 Defined results: null and empty html, and pages without content, give an empty text. Character references are decoded; white
 space inside a block becomes one space; blocks are trimmed, empty ones left out, and joined in page order by a line feed. Unclosed and
@@ -132,8 +132,11 @@ def text_nodes(page: str) -> list[tuple[str, int, int, str, str]]:
         called = " ".join(names.get(k, "") for k in ("class", "id", "role")).lower().split()
         said = {w for c in called if not c.startswith(("has-", "with-", "no-")) for w in _NAME.findall(c)}
         top = stack[-1]
+        own = " ".join(names.get(k, "") for k in (("class", "role") if tag in PLAIN else ("class", "id", "role"))).lower().split()
+        # in an article, and of running text anywhere, a part of a name says nothing: a heading may be about comments
+        named = set(own) if top.marked or tag in PLAIN else {w for c in own if not c.startswith(("has-", "with-", "no-")) for w in _NAME.findall(c)}
         hidden = "hidden" in names or names.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", names.get("style", ""))
-        drop = top.drop or tag in DROP or bool(hidden) or (tag not in ("html", "body", *MARKED) and bool(said & DROP_WORDS))
+        drop = top.drop or tag in DROP or bool(hidden) or (tag not in ("html", "body", *MARKED) and bool(named & DROP_WORDS))
         if tag == "header" and not top.marked:
             drop = True
         marked = top.marked
@@ -182,23 +185,27 @@ def extract(page: str | None) -> str:
     if not full:
         return ""
     fused = path_scores([nodes[i][0] for i in full], [nodes[i][4].strip() for i in full])
-    marked: dict[int, float] = {}
-    for i, s in zip(full, fused):
-        if nodes[i][2]:
-            marked[nodes[i][2]] = marked.get(nodes[i][2], 0.0) + s + len(nodes[i][4])
-    part = 0
-    if marked:
-        part = max(marked, key=lambda k: (marked[k], -k))
     best = {}
     for i, s in zip(full, fused):
         best[nodes[i][0]] = max(best.get(nodes[i][0], 0.0), s)
     cut = min(float(fused.std()), float(fused.mean()))
     content = {p for p, s in best.items() if s >= cut and s > 0}
+    # every marked part with a content path; if none has one, the part with the highest ratios and most text
+    parts = {nodes[i][2] for i in full if nodes[i][2] and nodes[i][0] in content}
+    whole = 0
+    if not parts:
+        marked: dict[int, float] = {}
+        for i, s in zip(full, fused):
+            if nodes[i][2]:
+                marked[nodes[i][2]] = marked.get(nodes[i][2], 0.0) + s + len(nodes[i][4])
+        whole = max(marked, key=lambda k: (marked[k], -k), default=0)
     within = _common([p for p in best if p in content] or list(best))
 
     def kept(x: tuple) -> bool:
-        if part:
-            return x[2] == part
+        if whole:
+            return x[2] == whole
+        if parts:
+            return x[2] in parts and (x[0] in content or x[3] in PLAIN or not x[4].strip())
         return x[0] in content or x[3] in PLAIN and (x[0] + "/").startswith(within + "/")
 
     lines: list[str] = []
