@@ -1,15 +1,17 @@
 """Main-text extraction from HTML by tag-path ratios.
 
-A page is read into text nodes, each under its root-to-leaf path of tags with their classes. Per path, text length and punctuation are
-summed over its nodes: a path's text ratio and punctuation ratio say how much running text its nodes hold. The ratios are smoothed along the page with a
-Gaussian, fused (text ratio by punctuation ratio), and cut at a threshold drawn from their own spread; paths above it are content. Where the page marks its article
-(``article``, ``main`` or the like), or names parts as menus, adverts, comments and so on, that bounds the choice: boilerplate
-elements never count, and of the marked parts each that has a content path is taken: its content paths, its headings, paragraphs, list items, quotes and cells.
-Where no marked part has one, the part with the most text is taken whole. In a page without marks the headings, paragraphs, list items, quotes and cells of the element that holds all content paths belong to the text too.
+A page is read into text nodes, one for each block of text, each under its root-to-leaf path of tags with their classes (inline elements of a block belong to its path, unless they are named boilerplate). Per path, text length and punctuation are
+summed over its nodes: a path's text ratio and punctuation ratio say how much running text its nodes hold. The ratios, on a log scale, are fused (added up) and smoothed along the page with a
+Gaussian; a path's score is the mean over its nodes, plus what its features add. Features are what the page says of its parts by tags and names: an article's mark, plain text
+blocks, a heading beside the path raise a score; links, and tags or names of menus, notices, adverts, comments and so on lower it. Paths above a threshold, drawn from the page's best path, are content.
+
+The text is that of the content paths, and within the smallest part of the page that holds them also of plain blocks (headings, paragraphs, list items, quotes, cells) that the features speak against no more than
+against the best path: a heading or a list's item is too short to have a ratio of its own. What browsers don't show as text (scripts, styles, hidden elements, controls of forms) is none here either.
 
 Defined results: null and empty html, and pages without content, give an empty text. Character references are decoded; white
 space inside a block becomes one space; blocks are trimmed, empty ones left out, and joined in page order by a line feed. Unclosed and
-stray tags are put up with: an end tag closes its nearest open element; a new paragraph closes an open one. Each row is worked on alone:
+stray tags are put up with: an end tag closes its nearest open element; a new paragraph closes an open one; a quote that nothing closes is no quote; what follows an element
+of raw text without an end (but scripts and styles) is read as if its tag were not there. Of paths with the same score none goes before another. Time grows with the page's length, whatever its nesting. Each row is worked on alone:
 repeated rows give repeated results, null ids are kept, and columns other than page_id, url and html are ignored.
 """
 
@@ -26,197 +28,252 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veinwork.llm.scratch import map_arrow, table
 from veinwork.llm.words import slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_EDGE = re.compile(r"[>\"']")
+_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z0-9]+")
 
+# What HTML's elements are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "math", "canvas", "object", "xmp", "noframes")
+RAW = frozenset("script style textarea title noscript template svg iframe math canvas object xmp noframes".split())
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that hold menus, page furniture and controls.
-DROP = frozenset("head nav footer aside form button select option input label menu dialog audio video map area datalist fieldset".split())
-#: Words in class, id or role that say the same of any element.
-DROP_WORDS = frozenset(
+#: Controls and what they belong to.
+CONTROLS = frozenset("button select option input label datalist dialog audio video map head".split())
+#: What may stand in a page's head; anything else ends it.
+_HEAD = frozenset("head html base link meta title script style noscript template".split())
+#: Elements and words in class, id or role that speak of menus, page furniture and readers' words.
+BOILER = frozenset("nav footer aside menu form fieldset".split())
+BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "footer sidebar aside complementary contentinfo comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations pagination pager widget toolbar skip search hidden paywall toc masthead topbar".split()
 )
-MARKED = ("article", "main")
+MARKED = frozenset(["article", "main"])
 MARKED_WORDS = frozenset("article main content post entry story articlebody postcontent maincontent".split())
 PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre td th dd dt figcaption caption".split())
+HEADINGS = frozenset(["h1", "h2", "h3"])
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、¿¡…]")
-_CLOSES_P = BLOCK - {"option", "optgroup", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "legend", "body", "html"}
+_CLOSES_P = BLOCK - {"option", "optgroup", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "legend", "body", "html", "head"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
+#: Beyond so many characters and marks a node is running text, and more of them is no more so.
+MOST_CHARS, MOST_MARKS = 400, 8
+#: What the features add to a path's score (powers of two), the threshold's distance from the best path, and by how much the features of a plain block may fall short of that path's.
+MARK_WEIGHT, PLAIN_WEIGHT, HEADING_WEIGHT, LINK_WEIGHT, BOILER_WEIGHT = 3.0, 1.0, 2.0, -5.0, -12.0
+BELOW_BEST, FEATURES_BELOW = 3.0, 4.5
+_KERNEL = np.exp(-0.5 * (np.arange(-2, 3) / 0.7) ** 2)
+_KERNEL /= _KERNEL.sum()
 
-class _Element:
-    __slots__ = ("tag", "path", "drop", "marked", "block")
-
-    def __init__(self, tag: str, path: str, drop: bool, marked: int, block: int):
-        self.tag, self.path, self.drop, self.marked, self.block = tag, path, drop, marked, block
-
-
-def text_nodes(page: str) -> list[tuple[str, int, int, str, str]]:
-    """(path, block, marked part, nearest block's tag, text) of every node outside boilerplate, in page order."""
-    out, stack, blocks, marks = [], [_Element("", "", False, 0, 0)], 0, 0
-    at, n = 0, len(page)
-
-    def emit(raw: str) -> None:
-        top = stack[-1]
-        if raw and not top.drop:
-            own = next((e.tag for e in reversed(stack) if e.tag in BLOCK), "")
-            out.append((top.path, top.block, top.marked, own, entities.unescape(raw)))
 
-    def close(upto: int) -> None:
-        nonlocal blocks
-        broken = any(e.tag in BLOCK for e in stack[upto:])
-        del stack[upto:]
+class _Element:
+    """An open element. ``cell`` holds the number of the block that text directly in it belongs to; inline elements share their block's."""
+
+    __slots__ = ("tag", "number", "path", "features", "cell", "block", "hidden")
+
+    def __init__(self, tag: str, number: int, path: int, features: tuple[bool, bool, bool], cell: list[int], block: int, hidden: bool):
+        self.tag, self.number, self.path, self.features, self.cell, self.block, self.hidden = tag, number, path, features, cell, block, hidden
+
+
+class Page:
+    """The text nodes of a page, in page order, and its elements.
+
+    A node is [path, element, block, plain, marked, boiler, characters in links, texts]. ``parent`` has each element's parent, which has a smaller number; ``headed`` says whether a heading
+    stands directly in it, ``tags`` has the tag."""
+
+    def __init__(self, source: str):
+        self.nodes: list[list] = []
+        self.parent, self.headed, self.tags = [0], [False], ["html"]
+        self._paths: dict[tuple, int] = {}
+        self._stack = [_Element("", 0, 0, (False, False, False), [0], 0, False)]
+        self._open: dict[str, list[int]] = {}
+        self._blocks = 0
+        self._read(source)
+
+    def _emit(self, raw: str) -> None:
+        top = self._stack[-1]
+        if raw and not top.hidden:
+            marked, boiler, link = top.features
+            text, block = entities.unescape(raw), top.cell[0]
+            if not self.nodes or self.nodes[-1][0] != top.path or self.nodes[-1][2] != block:
+                self.nodes.append([top.path, top.number, block, self._stack[top.block].tag in PLAIN, marked, boiler, 0, []])
+            self.nodes[-1][6] += len(text.strip()) * link
+            self.nodes[-1][7].append(text)
+
+    def _close(self, upto: int) -> None:
+        broken = False
+        while len(self._stack) > upto:
+            e = self._stack.pop()
+            self._open[e.tag].pop()
+            broken = broken or e.tag in BLOCK
         if broken:
-            blocks += 1
-            stack[-1].block = blocks
-            for e in reversed(stack):
-                e.block = blocks
-                if e.tag in BLOCK:
-                    break
-
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            emit(page[at:])
-            break
-        emit(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                emit(m[0][9:].removesuffix("]]>"))
-            continue
-        if m[1]:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if i:
-                close(i)
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if tag in _CLOSES_P:
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in BLOCK), 0)
-            if i and stack[i].tag == "p":
-                close(i)
-        if tag in _SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in _SAME[tag]:
-                    close(i)
-                    if tag != "tr":
+            self._blocks += 1
+            self._stack[-1].cell[0] = self._blocks
+
+    def _last(self, tags) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
+
+    def _read(self, source: str) -> None:
+        at, n, dead, lower = 0, len(source), set(), None
+        while at < n:
+            start = source.find("<", at)
+            if start < 0 or start + 1 >= n:
+                self._emit(source[at:])
+                return
+            after = source[start + 1]
+            if after in "!?":
+                self._emit(source[at:start])
+                for opens, closes, cut in (("<!--", "-->", 0), ("<![CDATA[", "]]>", 9), ("<", ">", 0)):
+                    if source.startswith(opens, start):
+                        end = source.find(closes, start + len(opens))
+                        if cut:
+                            self._emit(source[start + cut : end if end >= 0 else n])
+                        at = n if end < 0 else end + len(closes)
                         break
-                elif i < len(stack) and stack[i].tag in _SCOPE[tag]:
+                continue
+            ends = after == "/"
+            name = _TAG.match(source, start + 1 + ends)
+            if not name:
+                self._emit(source[at : start + 1])
+                at = start + 1
+                continue
+            self._emit(source[at:start])
+            at = name.end()
+            while True:  # quotes after an equals sign may hold a ">"
+                edge = _EDGE.search(source, at)
+                if not edge:
+                    return
+                at = edge.end()
+                if edge[0] == ">":
                     break
+                if edge[0] not in dead and source[max(name.end(), edge.start() - 8) : edge.start()].rstrip().endswith("="):
+                    close = source.find(edge[0], at)
+                    if close < 0:
+                        dead.add(edge[0])
+                    else:
+                        at = close + 1
+            tag = name[0].lower()
+            if ends:
+                if i := self._last([tag]):
+                    self._close(i)
+                continue
+            if tag in RAW:
+                if tag not in dead:
+                    lower = source.lower() if lower is None else lower
+                    lower = lower if len(lower) == n else re.sub("[A-Z]+", lambda m: m[0].lower(), source)
+                    end = lower.find(f"</{tag}", at)
+                    if end >= 0:
+                        end = source.find(">", end)
+                        at = n if end < 0 else end + 1
+                    else:
+                        dead.add(tag)
+                if tag in dead and tag in ("script", "style"):
+                    return
+                continue
+            self._start(tag, source[name.end() : at - 1])
+
+    def _start(self, tag: str, said: str) -> None:
+        stack = self._stack
+        if tag not in _HEAD and (i := self._last(["head"])):
+            self._close(i)
+        if tag in _CLOSES_P and (i := self._last(["p"])) and i >= stack[-1].block:
+            self._close(i)
+        while tag in _SAME and (i := self._last(_SAME[tag])) and i > self._last(_SCOPE[tag]):
+            self._close(i)
+            if tag != "tr":
+                break
         if tag in VOID:
             if tag == "br":
-                emit(" ")
+                self._emit(" ")
             elif tag == "hr":
-                close(len(stack))
-                blocks += 1
-                stack[-1].block = blocks
-            continue
-        names = {}
-        for a in _ATTRIBUTE.finditer(m[3]):
-            names[a[1].lower()] = a[2] or a[3] or a[4] or ""
-        called = " ".join(names.get(k, "") for k in ("class", "id", "role")).lower().split()
-        said = {w for c in called if not c.startswith(("has-", "with-", "no-")) for w in _NAME.findall(c)}
-        top = stack[-1]
-        own = " ".join(names.get(k, "") for k in (("class", "role") if tag in PLAIN else ("class", "id", "role"))).lower().split()
+                self._blocks += 1
+                stack[-1].cell[0] = self._blocks
+            return
+        names: dict[str, str] = {}
+        for a in _ATTRIBUTE.finditer(said):
+            names.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+        top, classes = stack[-1], sorted(names.get("class", "").lower().split())
+        marked, boiler, link = top.features
         # in an article, and of running text anywhere, a part of a name says nothing: a heading may be about comments
-        named = set(own) if top.marked or tag in PLAIN else {w for c in own if not c.startswith(("has-", "with-", "no-")) for w in _NAME.findall(c)}
-        hidden = "hidden" in names or names.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", names.get("style", ""))
-        drop = top.drop or tag in DROP or bool(hidden) or (tag not in ("html", "body", *MARKED) and bool(named & DROP_WORDS))
-        if tag == "header" and not top.marked:
-            drop = True
-        marked = top.marked
-        if not drop and (tag in MARKED or said & MARKED_WORDS and tag in ("div", "section", "td")):
-            if not marked:
-                marks += 1
-                marked = marks
+        whole = [*classes, *names.get("role", "").lower().split(), *([] if tag in PLAIN else names.get("id", "").lower().split())]
+        words = set(whole) if marked or tag in PLAIN else {w for c in whole if not c.startswith(("has-", "with-", "no-")) for w in _NAME.findall(c)}
+        hidden = top.hidden or tag in CONTROLS or "hidden" in names or names.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", names.get("style", "")))
+        boiler = boiler or tag in BOILER or tag == "header" and not marked or tag not in ("html", "body", *MARKED) and bool(words & BOILER_WORDS)
+        marked = marked or not boiler and (tag in MARKED or tag in ("div", "section", "td") and bool({w for c in whole for w in _NAME.findall(c)} & MARKED_WORDS))
+        if tag in HEADINGS:
+            self.headed[top.number] = True
+        path, cell, block = top.path, top.cell, top.block
+        if tag in BLOCK or boiler > top.features[1]:
+            path = self._paths.setdefault((top.path, tag, *classes), len(self._paths) + 1)
         if tag in BLOCK:
-            blocks += 1
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
-            continue
-        stack.append(_Element(tag, f"{top.path}/{tag}" + "".join(f".{c}" for c in sorted(names.get("class", "").split())), drop, marked, blocks if tag in BLOCK else top.block))
-    return out
-
-
-def path_scores(paths: list[str], texts: list[str]) -> np.ndarray:
-    """The fused and smoothed tag-path ratio of each node."""
-    size = np.array([len(t) for t in texts], float)
-    marks = np.array([len(_PUNCTUATION.findall(t)) for t in texts], float)
-    code = {p: i for i, p in enumerate(dict.fromkeys(paths))}
-    own = np.array([code[p] for p in paths])
-    nodes = np.bincount(own)
-    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    kernel /= kernel.sum()
-
-    def ratio(x: np.ndarray) -> np.ndarray:
-        each = (np.bincount(own, x) / nodes)[own]
-        return np.convolve(np.pad(each, 2, mode="edge"), kernel, "valid")
-
-    return ratio(size) * ratio(marks)
-
-
-def _common(paths: list[str]) -> str:
-    """The element that all the paths lie in."""
-    parts = [p.split("/")[:-1] for p in paths]
-    same = 0
-    while all(len(p) > same for p in parts) and len({p[same] for p in parts}) == 1:
-        same += 1
-    return "/".join(parts[0][:same])
-
-
-def extract(page: str | None) -> str:
+            self._blocks += 1
+            cell, block = [self._blocks], len(stack)
+        elif said.rstrip().endswith("/"):
+            return
+        self.parent.append(top.number)
+        self.headed.append(False)
+        self.tags.append(tag)
+        self._open.setdefault(tag, []).append(len(stack))
+        stack.append(_Element(tag, len(self.parent) - 1, path, (marked, boiler, link or tag == "a"), cell, block, hidden))
+
+
+def ratios(paths: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Each path's fused ratio of text and punctuation, smoothed along the page and averaged over the path's nodes; ``paths`` has numbers from 0."""
+    nodes = np.bincount(paths)
+    size = np.bincount(paths, [len(t) for t in texts]) / nodes
+    marks = np.bincount(paths, [len(_PUNCTUATION.findall(t)) for t in texts]) / nodes
+    fused = np.log2(1 + np.minimum(size, MOST_CHARS)) + np.log2(1 + np.minimum(marks, MOST_MARKS))
+    smooth = np.convolve(np.pad(fused[paths], 2, mode="edge"), _KERNEL, "valid")
+    return np.bincount(paths, smooth) / nodes
+
+
+def extract(source: str | None) -> str:
     """The main text of one page."""
-    nodes = text_nodes(page or "")
-    full = [i for i, x in enumerate(nodes) if x[4].strip()]
+    page = Page(source or "")
+    full = [x for x in page.nodes if not all(map(str.isspace, x[7]))]
     if not full:
         return ""
-    fused = path_scores([nodes[i][0] for i in full], [nodes[i][4].strip() for i in full])
-    best = {}
-    for i, s in zip(full, fused):
-        best[nodes[i][0]] = max(best.get(nodes[i][0], 0.0), s)
-    cut = min(float(fused.std()), float(fused.mean()))
-    content = {p for p, s in best.items() if s >= cut and s > 0}
-    # every marked part with a content path; if none has one, the part with the highest ratios and most text
-    parts = {nodes[i][2] for i in full if nodes[i][2] and nodes[i][0] in content}
-    whole = 0
-    if not parts:
-        marked: dict[int, float] = {}
-        for i, s in zip(full, fused):
-            if nodes[i][2]:
-                marked[nodes[i][2]] = marked.get(nodes[i][2], 0.0) + s + len(nodes[i][4])
-        whole = max(marked, key=lambda k: (marked[k], -k), default=0)
-    within = _common([p for p in best if p in content] or list(best))
-
-    def kept(x: tuple) -> bool:
-        if whole:
-            return x[2] == whole
-        if parts:
-            return x[2] in parts and (x[0] in content or x[3] in PLAIN or not x[4].strip())
-        return x[0] in content or x[3] in PLAIN and (x[0] + "/").startswith(within + "/")
+    places, paths = np.unique([x[0] for x in full], return_inverse=True)
+    texts = ["".join(x[7]).strip() for x in full]
+    nodes, chars = np.bincount(paths), np.bincount(paths, list(map(len, texts)))
+    headed, inside = list(page.headed), [False] * len(page.parent)
+    for e in range(1, len(page.parent)):  # parents come first
+        headed[e] = headed[e] or headed[page.parent[e]]
+    share = lambda k: np.bincount(paths, [float(x[k]) for x in full]) / nodes
+    features = MARK_WEIGHT * share(4) + BOILER_WEIGHT * share(5) + LINK_WEIGHT * share(6) * nodes / chars
+    scores = ratios(paths, texts) + features + PLAIN_WEIGHT * share(3) + HEADING_WEIGHT * np.bincount(paths, [float(headed[page.parent[x[1]]]) for x in full]) / nodes
+    top = int(np.argmax(scores))
+    if scores[top] <= 0:
+        return ""
+    content = set(places[(scores > 0) & (scores >= scores[top] - BELOW_BEST)].tolist())
+    spoken = set(places[features >= features[top] - FEATURES_BELOW].tolist())
+
+    # the smallest part that holds all content
+    below = np.bincount([x[1] for x in full if x[0] in content], minlength=len(page.parent))
+    for e in range(len(below) - 1, 0, -1):
+        below[page.parent[e]] += below[e]
+    root = int(np.flatnonzero(below == below[0])[-1])
+    while page.tags[root] in PLAIN or page.tags[root] not in BLOCK:  # what holds a paragraph may hold its heading
+        root = page.parent[root]
+    inside[root] = True
+    for e in range(root + 1, len(inside)):
+        inside[e] = inside[page.parent[e]]
 
     lines: list[str] = []
     last, held = None, []
-    for x in nodes:
-        if not kept(x):
+    for path, element, block, plain, *_, texts in full:
+        if path not in content and not (inside[element] and plain and path in spoken):
             continue
-        if x[1] != last:
+        if block != last:
             lines.append("".join(held))
-            held, last = [], x[1]
-        held.append(x[4])
+            held, last = [], block
+        held += texts
     lines.append("".join(held))
     done = (_SPACE.sub(" ", t).strip() for t in lines)
     return "\n".join(t for t in done if t)
