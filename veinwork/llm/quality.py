@@ -5,6 +5,7 @@ quality 0, by the logistic loss on the difference of their features (Newton step
 the one that separates the labels best. The score is the logistic function of the worth, shifted so that the cut is at ``CUT``.
 
 The classifier is fitted on at most ``MAX_LABELLED`` labelled rows (those with the least hash), ``MAX_PAIRS`` pairs; scoring is a narrow pass over all documents.
+Where doc_ids repeat in the documents, at most twice that number of (document, label) rows, again those with the least hash.
 
 Defined results: null and empty texts have the features of an empty text and are scored. Where the training rows have one label only, every
 score is 1 or 0 accordingly; without any training row, 0.5. A doc_id that has labels several times counts for each; repeated documents get the same score each. A null doc_id counts as not held out.
@@ -52,6 +53,13 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def preferences(good: np.ndarray, bad: np.ndarray, max_pairs: int = MAX_PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are learned from: places of the preferred rows and of those they are preferred to."""
+    rng = np.random.default_rng(7)
+    pairs = min(max_pairs, 20 * max(len(good), len(bad)))
+    return rng.choice(good, pairs), rng.choice(bad, pairs)
+
+
 class Ranker:
     """worth(x) = weights . (x - mean) / spread, and the cut."""
 
@@ -63,9 +71,8 @@ class Ranker:
             return
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = (x - self.mean) / self.spread
-        rng = np.random.default_rng(7)
-        pairs = min(max_pairs, 20 * max(len(good), len(bad)))
-        d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+        a, b = preferences(good, bad, max_pairs)
+        pairs, d = len(a), z[a] - z[b]
         w = np.zeros(z.shape[1])
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
@@ -101,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["quality", "x"])
 
-    got = map_arrow(texts, run, "quality bigint, x array<double>").orderBy("x", "quality").limit(2 * max_labelled).toArrow()
+    # a doc_id that several documents have brings a row for each: the bound holds for these too, by the rows' own hash
+    got = map_arrow(texts, run, "quality bigint, x array<double>").orderBy(F.xxhash64("x", "quality"), "x", "quality").limit(2 * max_labelled).toArrow()
     x = np.array(got.column("x").to_pylist()).reshape(got.num_rows, N_FEATURES)
     return Ranker(x, got.column("quality").to_numpy())
 
