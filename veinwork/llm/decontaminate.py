@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veinwork.llm.scratch import map_arrow, stage, table
+from veinwork.llm.scratch import map_arrow, table
 from veinwork.llm.words import mix, shingle_hashes, slices, split_words
 
 #: Bytes of item shingles that one block of the test set may have; each block is broadcast on its own.
@@ -40,7 +40,7 @@ def word_shingles(text: str | None, width: int) -> set[tuple[str, ...]]:
 class ContainmentIndex:
     """The sketches and full shingle sets of one block of items."""
 
-    def __init__(self, ids: list, texts: list, width: int, percent: int):
+    def __init__(self, ids: pa.Array, texts: list, width: int, percent: int):
         self.ids, self.texts, self.width, self.percent = ids, texts, width, percent
         self.sets = list(shingle_hashes(pa.array(texts, pa.large_string()), width))
         classes: dict[int, list[int]] = {}
@@ -81,6 +81,16 @@ class ContainmentIndex:
             if len(np.intersect1d(docs[d], self.sets[i], assume_unique=True)) >= self.needed(len(self.sets[i])):
                 yield d, i
 
+    def confirmed(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, the item's number of shingles, how many of them the document holds), checked on the words themselves."""
+        words: tuple[int, set] = (-1, set())
+        for d, i in self.search(list(shingle_hashes(texts, self.width))):
+            if words[0] != d:
+                words = (d, word_shingles(texts[d].as_py(), self.width))
+            n, same = self.exact(words[1], i)
+            if same * 100 >= self.percent * n:
+                yield d, i, n, same
+
     def exact(self, doc_words: set, i: int) -> tuple[int, int]:
         """The item's number of shingles and how many of them the document holds."""
         if i not in self.words:
@@ -98,46 +108,49 @@ def find_contaminated(
     The items are taken in blocks of about ``block_bytes``, each broadcast, over all documents: a narrow pass without
     a shuffle. Documents are read in place, so neither long documents nor hot items gather anywhere.
     """
-    spark = docs.sparkSession
-    items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    size = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) * 4 + 64)).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, item_shingles bigint, shared bigint, containment double"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, item_shingles bigint, shared bigint, containment double"
     out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = part.collect()  # bounded by block_bytes
-        index = ContainmentIndex([r[0] for r in rows], [r[1] for r in rows], width, percent)
-        shared = spark.sparkContext.broadcast(index)
+    for index in _blocks(items, item_id, text, width, percent, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def search(batches, shared=shared):
-            index, types = shared.value, None
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in slices(batches, "text"):
-                ids, texts = batch.column("doc_id"), batch.column("text")
-                sets, found = list(shingle_hashes(texts, width)), []
-                words: tuple[int, set] = (-1, set())
-                for d, i in index.search(sets):
-                    if words[0] != d:
-                        words = (d, word_shingles(texts[d].as_py(), width))
-                    n, same = index.exact(words[1], i)
-                    if same * 100 >= percent * n:
-                        found.append((ids[d].as_py(), index.ids[i], n, same, same / n))
-                types = types or pa.schema([("doc_id", ids.type), ("item_id", item_arrow), ("item_shingles", pa.int64()), ("shared", pa.int64()), ("containment", pa.float64())])
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types.types)], schema=types)
-
-        item_arrow = pa.string() if item_type == "string" else pa.int64() if item_type == "bigint" else pa.int32()
+                found = list(index.confirmed(batch.column("text")))
+                d, i, n, same = (pa.array([f[k] for f in found], pa.int64()) for k in range(4))
+                ratio = pa.array([f[3] / f[2] for f in found], pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(d), index.ids.take(i), n, same, ratio], names=["doc_id", "item_id", "item_shingles", "shared", "containment"])
+
         hits = map_arrow(docs, search, schema)
         out = hits if out is None else out.union(hits)
     return out
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no test item; those with a null id always stay."""
-    key = options.get("doc_id", "doc_id")
-    hits = stage(find_contaminated(docs, items, **options).select(F.col("doc_id").alias("_hit")).distinct(), "leaks")
-    return docs.join(hits, docs[key] == hits["_hit"], "left_anti")
+def _blocks(items: DataFrame, item_id: str, text: str, width: int, percent: int, block_bytes: int) -> Iterator[ContainmentIndex]:
+    """The items' indexes, a block of about ``block_bytes`` each."""
+    items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+    size = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) * 4 + 64)).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        rows = part.toArrow()  # bounded by block_bytes
+        yield ContainmentIndex(rows.column("item_id").combine_chunks(), rows.column("text").to_pylist(), width, percent)
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, *, width: int = 5, percent: int = 80, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that hold no test item: each row is judged by its own text, whatever its id. A narrow pass for each block of items."""
+    for index in _blocks(items, item_id, text, width, percent, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[f[0] for f in shared.value.confirmed(batch.column(text))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = map_arrow(docs, clean, docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
