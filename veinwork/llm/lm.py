@@ -1,12 +1,14 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Unigrams and bigrams of the training texts are counted exactly, in shards by hash. A count ``c`` is quantised to the level ``floor(log2 c)``, and a filter holds
+Unigrams and bigrams of the training texts are counted exactly, in shards by hash. A count is quantised to a level on a logarithmic scale (1, 2, 3, 4, 6, 8, 12, 16 and so on), and a filter holds
 each n-gram once for every level up to its own, 0 among them: what occurs once is known too. A reader probes level after level until one is absent: the last
-present one gives the count. Smoothed probabilities interpolate the bigram's estimate with the unigram's add-one estimate.
+present one gives the count's bounds. The smoothed probability of a word is ``WEIGHT`` times the bigram's share of its history, less a discount, plus the rest times the unigram's add-one estimate; a word after
+an unknown history has the unigram's alone. Counts enter by their lower bound above the line and by their upper bound below it, so that over all words the probabilities never add up to more than 1
+(but for false positives); what quantising leaves over belongs to nothing.
 
 Each shard has a filter of its own, of ``BITS`` bits for each n-gram and level, and shards come from about equal parts of the corpus, so the filter as a whole grows with
 the n-grams and no task holds more than a shard's part. It is never in one place: a slice of texts sends its distinct n-grams to their shards and gets the levels back.
-The false-positive rate is about 2 per cent at 8 bits.
+The false-positive rate is about 2 per cent at 8 bits. Bigrams are known by hashes of 16 bits more than the number of characters has, so that one in 65,000 shares its hash at any size; sorted, they are sent as differences.
 
 Beside the model's score there is an exact one, add-one unigrams. The counts of frequent words (at most ``HEAD``, by a threshold on the count)
 are broadcast; for other words, each text sends its distinct words to the counts: no vocabulary of unbounded size is ever in one place.
@@ -34,8 +36,10 @@ from veinwork.ship import ship
 BITS, HEAD = 8, 1 << 20
 #: Characters of training text that one shard's n-grams come from, and n-grams that a task gathers before it sends them on.
 SHARD_CHARS, FLUSH = 32 << 20, 2 << 20
-#: The bigrams' weight beside the unigrams, where the history is known.
-WEIGHT = 0.4
+#: The bigrams' weight beside the unigrams where the history is known, and what a bigram's count is discounted by.
+WEIGHT, DISCOUNT = 0.5, 0.5
+#: The least count of each level.
+STEPS = np.unique(np.concatenate([1 << np.arange(62), 3 << np.arange(60)]))
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
@@ -54,13 +58,34 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, ends + np.arange(n + 1)
 
 
-def bigrams(tokens_: np.ndarray) -> np.ndarray:
-    """A hash of each token with the one before it; a text begins after an end."""
+def bigrams(tokens_: np.ndarray, bits: int = 64) -> np.ndarray:
+    """A hash of ``bits`` bits of each token with the one before it; a text begins after an end."""
     before = np.concatenate([[END], tokens_[:-1]]) if len(tokens_) else tokens_
-    return mix(mix(before * _ONE + _STEP) + tokens_)
+    return mix(mix(before * _ONE + _STEP) + tokens_) >> np.uint64(64 - bits)
 
 
-def _count(train: DataFrame, shards: int, bits: int) -> DataFrame:
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes: high bytes that are all but empty cost next to nothing."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel().astype(np.uint64)
+
+
+def sent_keys(keys: np.ndarray, shards: int) -> bytes:
+    """One shard's ascending keys by their differences, without what the shard itself says."""
+    whole = keys // np.uint64(shards)
+    return packed(np.diff(whole, prepend=np.uint64(0)))
+
+
+def keys_sent(data: bytes, n: int, shards: int, shard: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard)
+
+
+def _count(train: DataFrame, shards: int, bits: int, key_bits: int) -> DataFrame:
     """A row for each shard: its number of tokens, its unigrams with their counts, the number of them by floor(log2(count)), and its filter."""
     hashes = hashes_of(bits)
 
@@ -74,38 +99,51 @@ def _count(train: DataFrame, shards: int, bits: int) -> DataFrame:
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
                 own = (keys % np.uint64(shards)).astype(np.int64)
                 at = np.argsort(own, kind="stable")
-                keys, n, own = keys[at], n[at].astype(np.uint32), own[at]
+                keys, n, own = keys[at], n[at], own[at]
                 cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-                yield pa.RecordBatch.from_arrays([pa.array(own[cuts[:-1]].astype(np.int32)), pa.array([order] * (len(cuts) - 1), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["shard", "order", "keys", "n"])
+                parts_ = list(zip(cuts, cuts[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(own[cuts[:-1]].astype(np.int32)), pa.array([order] * len(parts_), pa.int32()), pa.array([b - a for a, b in parts_], pa.int64()), pa.array([sent_keys(keys[a:b], shards) for a, b in parts_], pa.binary()), pa.array([packed(n[a:b]) for a, b in parts_], pa.binary())], names=["shard", "order", "size", "keys", "n"])
                 parts.clear()
 
         for batch in slices(batches, "text"):
             t, _ = tokens(batch.column("text"))
             held[0].append(t)
-            held[1].append(bigrams(t))
+            held[1].append(bigrams(t, key_bits))
             if sum(map(len, held[0])) > FLUSH:
                 yield from flush()
         yield from flush()
 
     def total(group: pa.Table) -> pa.Table:
-        orders = group.column("order").to_numpy()
-        keys_, n_ = group.column("keys").to_pylist(), group.column("n").to_pylist()
+        shard = group.column("shard")[0].as_py()
+        rows = list(zip(*(group.column(c).to_pylist() for c in ("order", "size", "keys", "n"))))
         both = []
         for order in range(2):
-            at = np.flatnonzero(orders == order)
-            keys, own = np.unique(np.frombuffer(b"".join(keys_[i] for i in at), np.uint64), return_inverse=True)
-            both.append((keys, np.bincount(own, np.frombuffer(b"".join(n_[i] for i in at), np.uint32), len(keys)).astype(np.int64)))
+            own_rows = [r[1:] for r in rows if r[0] == order]
+            every = np.concatenate([np.empty(0, np.uint64), *(keys_sent(k, size, shards, shard) for size, k, _ in own_rows)])
+            times = np.concatenate([np.empty(0, np.uint64), *(unpacked(n, size) for size, _, n in own_rows)])
+            keys, own = np.unique(every, return_inverse=True)
+            both.append((keys, np.bincount(own, times, len(keys)).astype(np.int64)))
         keys, n = both[0]
         levels = np.bincount(np.log2(n).astype(np.int64), minlength=64)
         built = Filter.build(*(np.concatenate(x) for x in zip(*both)), hashes, bits)
-        out = {"shard": group.column("shard")[0].as_py(), "tokens": int(n.sum()), "uni_keys": keys.tobytes(), "uni_n": n.tobytes(), "uni_levels": levels.tolist(), "bits": built}
+        out = {"shard": shard, "tokens": int(n.sum()), "uni_keys": keys.tobytes(), "uni_n": n.tobytes(), "uni_levels": levels.tolist(), "bits": built}
         return pa.Table.from_pylist([out], pa.schema([("shard", pa.int32()), ("tokens", pa.int64()), ("uni_keys", pa.binary()), ("uni_n", pa.binary()), ("uni_levels", pa.list_(pa.int64())), ("bits", pa.binary())]))
 
     ship(train.sparkSession)
-    sent = map_arrow(train.select("text"), gather, "shard int, order int, keys binary, n binary")
+    sent = map_arrow(train.select("text"), gather, "shard int, order int, size bigint, keys binary, n binary")
     return sent.groupBy("shard").applyInArrow(total, "shard int, tokens bigint, uni_keys binary, uni_n binary, uni_levels array<bigint>, bits binary")
 
 
+def level_of(n: np.ndarray) -> np.ndarray:
+    """The level of each count; -1 for 0."""
+    return np.searchsorted(STEPS, n, "right") - 1
+
+
+def bounds_of(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most count of each level; 0 for -1."""
+    return np.where(level >= 0, STEPS[np.maximum(level, 0)], 0), np.where(level >= 0, STEPS[np.maximum(level, 0) + 1] - 1, 0)
+
+
 def level_step(level: int) -> np.uint64:
     return np.uint64(level * int(_STEP) & (1 << 64) - 1)
 
@@ -122,7 +160,7 @@ class Filter:
 
     @classmethod
     def build(cls, keys: np.ndarray, n: np.ndarray, hashes: int, bits: int) -> bytes:
-        levels = np.log2(n).astype(np.int64)
+        levels = level_of(n)
         size = -(-int((levels + 1).sum()) * bits // 8) * 8
         out = np.zeros(size, bool)
         for level in range(int(levels.max(initial=-1)) + 1):
@@ -155,11 +193,8 @@ class Filter:
 class Shards:
     """The filters of all shards, as a table (shard, bits)."""
 
-    #: The levels' base is 2 to this power, whatever the size of the corpus.
-    width = 1
-
-    def __init__(self, parts: DataFrame, shards: int, hashes: int):
-        self.parts, self.shards, self.hashes = parts, shards, hashes
+    def __init__(self, parts: DataFrame, shards: int, hashes: int, key_bits: int):
+        self.parts, self.shards, self.hashes, self.key_bits = parts, shards, hashes, key_bits
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The level of each of a few keys, worked out on the driver, a shard at a time."""
@@ -175,16 +210,11 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (keys % np.uint64(shards)).astype(np.int64)
 
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    """The estimate: the middle of the level's counts on a log scale, 1 at level 0, which has no other count, 0 at none."""
-    return np.where(level > 0, 1.414 * 2.0**level, level + 1.0)
-
-
 class Grams:
     """The distinct n-grams of a slice's tokens, by shard, and where in the slice they are."""
 
-    def __init__(self, t: np.ndarray, shards: int):
-        keys, own = np.unique(np.concatenate([[END], t, bigrams(t)]), return_inverse=True)
+    def __init__(self, t: np.ndarray, shards: int, key_bits: int):
+        keys, own = np.unique(np.concatenate([[END], t, bigrams(t, key_bits)]), return_inverse=True)
         shard = shard_of(keys, shards)
         at = np.argsort(shard, kind="stable")
         place = np.empty(len(at), np.int64)
@@ -199,12 +229,11 @@ class Grams:
 
     def log_probabilities(self, levels: np.ndarray, tokens_: int, types: int) -> np.ndarray:
         """log10 of each token's smoothed probability, from the levels of all n-grams in the order of ``parts``."""
-        counts = count_of(levels)[self.own]
-        single, together = counts[: self.n + 1], counts[self.n + 1 :]
-        word, before = single[1:], single[:-1]
-        uni = (word + 1) / (tokens_ + types + 1)
+        levels = levels[self.own]
+        (least, most), (together, _) = bounds_of(levels[: self.n + 1]), bounds_of(levels[self.n + 1 :])
+        uni, before = (least[1:] + 1) / (tokens_ + types + 1), most[:-1]
         weight = np.where(before > 0, WEIGHT, 0.0)
-        bi = np.minimum(together, before) / np.maximum(before, 1)
+        bi = np.minimum(np.maximum(together - DISCOUNT, 0), before) / np.maximum(before, 1)
         return np.log10(weight * bi + (1 - weight) * uni)
 
 
@@ -220,7 +249,8 @@ def train(docs: DataFrame, *, bits: int = BITS, head: int = HEAD) -> tuple[Model
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / SHARD_CHARS))
-    counted = stage(_count(docs, shards, bits), "ngrams")
+    key_bits = min(64, 16 + max(1, int(chars)).bit_length())
+    counted = stage(_count(docs, shards, bits, key_bits), "ngrams")
     got = counted.agg(F.sum("tokens"), *[F.sum(F.element_at("uni_levels", i + 1)) for i in range(64)]).first()
     total, uni = int(got[0] or 0), np.array([int(x or 0) for x in got[1:]])
 
@@ -234,7 +264,7 @@ def train(docs: DataFrame, *, bits: int = BITS, head: int = HEAD) -> tuple[Model
 
     counts = map_arrow(counted.select("uni_keys", "uni_n"), flat, "key bigint, n bigint")
     top = counts.where(F.col("n") >= least).toArrow()  # at most ``head`` rows
-    model = Model(Shards(counted.select("shard", "bits"), shards, hashes_of(bits)), total, int(uni.sum()), top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy())
+    model = Model(Shards(counted.select("shard", "bits"), shards, hashes_of(bits), key_bits), total, int(uni.sum()), top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy())
     return model, counts.where(F.col("n") < least)
 
 
@@ -243,23 +273,23 @@ def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     heads = spark.sparkContext.broadcast((model.head, model.head_n))
-    shards, hashes, tokens_, types = model.filter.shards, model.filter.hashes, model.tokens, model.types
+    shards, hashes, key_bits, tokens_, types = model.filter.shards, model.filter.hashes, model.filter.key_bits, model.tokens, model.types
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sent = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
-    sent_type = "slice bigint, shard int, data binary"
+    sent = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("size", pa.int64()), ("data", pa.binary())])
+    sent_type = "slice bigint, shard int, size bigint, data binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each slice, a row for each shard with the n-grams to look up there, and one with the texts, under a number of its own below 0."""
         at = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
-            parts = list(Grams(tokens(batch.column("text"))[0], shards).parts())
+            parts = list(Grams(tokens(batch.column("text"))[0], shards, key_bits).parts())
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
-            data = [sink.getvalue().to_pybytes(), *(k.tobytes() for _, k in parts)]
+            data = [sink.getvalue().to_pybytes(), *(sent_keys(k, shards) for _, k in parts)]
             # texts go to a group by slice, spread over as many numbers as there are shards
             own = -1 - int(mix(np.array([at], np.uint64))[0] % np.uint64(shards))
-            yield pa.RecordBatch.from_arrays([pa.array([at] * len(data), pa.int64()), pa.array([own, *(s for s, _ in parts)], pa.int32()), pa.array(data, pa.binary())], schema=sent)
+            yield pa.RecordBatch.from_arrays([pa.array([at] * len(data), pa.int64()), pa.array([own, *(s for s, _ in parts)], pa.int32()), pa.array([0, *(len(k) for _, k in parts)], pa.int64()), pa.array(data, pa.binary())], schema=sent)
             at += batch.num_rows
 
     def answer(group: pa.Table) -> pa.Table:
@@ -267,20 +297,20 @@ def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
         shard = group.column("shard")[0].as_py()
         if shard < 0:
             return group
-        at, data = group.column("slice").to_pylist(), group.column("data").to_pylist()
+        at, sizes, data = (group.column(c).to_pylist() for c in ("slice", "size", "data"))
         filter_ = Filter(b"".join(d for k, d in zip(at, data) if k < 0), hashes)
-        asked = [(k, d) for k, d in zip(at, data) if k >= 0]
-        out = [filter_.level(np.frombuffer(d, np.uint64)).astype(np.int8).tobytes() for _, d in asked]
-        return pa.table([pa.array([k for k, _ in asked], pa.int64()), pa.array([shard] * len(out), pa.int32()), pa.array(out, pa.binary())], schema=sent)
+        asked = [(k, n, d) for k, n, d in zip(at, sizes, data) if k >= 0]
+        out = [pa.compress(filter_.level(keys_sent(d, n, shards, shard)).astype(np.int8).tobytes(), codec="zstd", asbytes=True) for _, n, d in asked]
+        return pa.table([pa.array([k for k, _, _ in asked], pa.int64()), pa.array([shard] * len(out), pa.int32()), pa.array([n for _, n, _ in asked], pa.int64()), pa.array(out, pa.binary())], schema=sent)
 
     def finish(group: pa.Table) -> pa.Table:
-        row, shard, data = group.column("slice")[0].as_py(), group.column("shard").to_pylist(), group.column("data").to_pylist()
-        (texts,) = [d for s, d in zip(shard, data) if s < 0]
-        levels = np.frombuffer(b"".join(d for s, d in sorted(zip(shard, data)) if s >= 0), np.int8).astype(np.int64)
+        row, parts = group.column("slice")[0].as_py(), sorted(zip(*(group.column(c).to_pylist() for c in ("shard", "size", "data"))))
+        (texts,) = [d for s, _, d in parts if s < 0]
+        levels = np.frombuffer(b"".join(pa.decompress(d, n, codec="zstd", asbytes=True) for s, n, d in parts if s >= 0), np.int8).astype(np.int64)
         batch = pa.ipc.open_stream(texts).read_next_batch()
         head, head_n = heads.value
         t, ends = tokens(batch.column("text"))
-        logs = np.add.reduceat(Grams(t, shards).log_probabilities(levels, tokens_, types), ends[:-1])
+        logs = np.add.reduceat(Grams(t, shards, key_bits).log_probabilities(levels, tokens_, types), ends[:-1])
         at = np.minimum(np.searchsorted(head, t), max(0, len(head) - 1))
         there = head[at] == t if len(head) else np.zeros(len(t), bool)
         c = np.where(there, head_n[at], 0) if len(head) else np.zeros(len(t))
@@ -295,7 +325,7 @@ def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
         return pa.table({"row": pa.array(rows), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(np.diff(ends)), "known": pa.array(known), "base": pa.array(base), "score": pa.array(logs), "keys": pa.ListArray.from_arrays(lists, pa.array(np.concatenate(keys))), "tf": pa.ListArray.from_arrays(lists, pa.array(np.concatenate(n)))})
 
     asked = map_arrow(docs.select("doc_id", "held_out", "text"), ask, sent_type)
-    parts = model.filter.parts.select(F.lit(-1).cast("bigint").alias("slice"), "shard", F.col("bits").alias("data"))
+    parts = model.filter.parts.select(F.lit(-1).cast("bigint").alias("slice"), "shard", F.lit(0).cast("bigint").alias("size"), F.col("bits").alias("data"))
     found = asked.union(parts).repartition(shards, "shard").groupBy("shard").applyInArrow(answer, sent_type)
     read = found.repartition(shards, "slice").groupBy("slice").applyInArrow(finish, f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, keys array<bigint>, tf array<bigint>")
     read = stage(read, "scores")
