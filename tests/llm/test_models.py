@@ -26,17 +26,32 @@ def test_top_k(spark):
     got = {}
     for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block=4).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    q = [(i, [max(-(1 << 28), min(1 << 28, math.floor(256 * float(np.float32(x))))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    q = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = {}
     for i in {i for i, _ in q if i % 50 == 0}:
         own = min((np.float32(v).tolist() for j, v in rows if j == i and v is not None), key=lambda v: v)
-        own = [max(-(1 << 28), min(1 << 28, math.floor(256 * x))) for x in own]
-        ranked = sorted((-sum(a * b for a, b in zip(own, v)), j) for j, v in q if j != i)[:5]
+        own = [math.floor(256 * x) for x in own]
+        ranked = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(own, v)))), j) for j, v in q if j != i)[:5]
         want[i] = [(k, j, -s) for k, (s, j) in enumerate(ranked, 1)]
     assert got == want
+    exact = [(i, [2_000_000.0, 1.0]) for i in (50, 1)] + [(2, [1_500_000.0, 1.0]), (3, [1e7, -3.0]), (4, [0.5, 0.0])]
+    big = spark.createDataFrame(exact, "vec_id bigint, embedding array<double>")
+    rows = topk.top_k(big, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    own = [math.floor(256 * x) for x in exact[0][1]]
+    assert [(r["vec_id"], r["score"]) for r in rows] == sorted(((i, sum(a * math.floor(256 * x) for a, x in zip(own, v))) for i, v in exact[1:]), key=lambda r: -r[1])
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("size", "width"), [(3, 4), (1 << 28, 1024), (1 << 31, 1024), (1 << 40, 3)])
+def test_accumulated_scores_are_exact(size, width):
+    rng = np.random.default_rng(1)
+    q, r = (np.floor(rng.uniform(-size, size, (n, width))) for n in (5, 7))
+    q[0], r[0] = size, size
+    q[1, ::2], r[2] = 0, np.arange(width) % 3
+    want = [[max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(x, y)))) for y in r] for x in q]
+    assert topk.accumulate(q, r).tolist() == want
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "")], "doc_id bigint, text string"))
@@ -68,11 +83,43 @@ def test_model_scores(scored):
     assert per_token("score") > per_token("base_score") and all(r["score"] < 0 for r in rows)
     keys = [w for w in uni if w != "\0end"]
     found = model.filter.level(hash_words(pa.array(keys, pa.large_string())))
-    true = np.array([int(math.log2(uni[w])) for w in keys]) // model.filter.width
+    true = lm.level_of(np.array([uni[w] for w in keys]))
     assert (found >= true).all()  # a Bloom filter misses nothing
     assert (found > true).mean() < 0.06
 
 
+def quantised(c):
+    steps = sorted({1 << k for k in range(40)} | {3 << k for k in range(40)})
+    level = max(i for i, s in enumerate(steps) if s <= c) if c else None
+    return (steps[level], steps[level + 1] - 1) if c else (0, 0)
+
+
+def test_scores_by_brute_force(spark):
+    """With so many bits that no false positive comes up, the score is what plain dictionaries give, and no word's successors add up to more than 1."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "")], "doc_id bigint, text string"))
+    docs = docs.withColumn("held_out", lm.held_out(parts=7, part=2))
+    model, rest = lm.train(docs.where("not held_out"), bits=60)
+    uni, bi = Counter(), Counter()
+    lists = {}
+    for r in docs.collect():
+        t = lists[r["doc_id"]] = [*words(r["text"]), "\0end"]
+        if not r["held_out"]:
+            uni.update(t)
+            bi.update(zip(["\0end", *t], t))
+    n, v = sum(uni.values()), len(uni)
+
+    def p(before, word):
+        one = (quantised(uni[word])[0] + 1) / (n + v + 1)
+        most = quantised(uni[before])[1]
+        return 0.5 * min(max(0, quantised(bi[before, word])[0] - 0.5), most) / most + 0.5 * one if most else one
+
+    for r in lm.score(docs, model, rest).collect():
+        t = lists[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["\0end", *t], t)), rel=1e-9)
+    for before in ["\0end", "no such word", *list(uni)[:40]]:
+        assert 0 < sum(p(before, w) for w in uni) + p(before, "no such word") <= 1 + 1e-9
+
+
 def test_empty_training(spark):
     docs = documents(spark, [(1, "a b")]).withColumn("held_out", F.lit(True))
     model, rest = lm.train(docs.where("not held_out"))
@@ -87,7 +134,7 @@ def test_what_occurs_once_is_known(spark):
     hashed = lambda ws: hash_words(pa.array(ws, pa.large_string()))
     assert (model.filter.level(hashed([w for _, t in train for w in t.split()])) >= 0).all()
     assert (model.filter.level(hashed([f"y{i}" for i in range(1000)])) < 0).mean() > 0.94
-    pairs = lm.bigrams(lm.tokens(pa.array([t for _, t in train]))[0])
+    pairs = lm.bigrams(lm.tokens(pa.array([t for _, t in train]))[0], model.filter.key_bits)
     assert (model.filter.level(pairs) >= 0).all()
     score = {r["doc_id"]: r["score"] for r in lm.score(docs, model, rest).collect()}
     assert score[-1] > score[-2] > score[-3] and score[-1] == pytest.approx(score[1])

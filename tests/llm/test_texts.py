@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -147,6 +148,57 @@ def test_marked_parts(html, want):
     assert pages.extract(html) == want
 
 
+def plain_scores(page):
+    """What a path's score is made of, node by node, without arrays."""
+    full = [(*x[:7], "".join(x[7])) for x in page.nodes if "".join(x[7]).strip()]
+    by = {}
+    for x in full:
+        by.setdefault(x[0], []).append(x)
+    text = {p: sum(len(x[7].strip()) for x in xs) / len(xs) for p, xs in by.items()}
+    marks = {p: sum(len(re.findall("[.,;:!?。，；：！？、¿¡…]", x[7])) for x in xs) / len(xs) for p, xs in by.items()}
+    fused = [math.log2(1 + min(text[x[0]], 400)) + math.log2(1 + min(marks[x[0]], 8)) for x in full]
+    weights = [math.exp(-0.5 * (k / 0.7) ** 2) for k in range(-2, 3)]
+    smooth = [sum(w * fused[min(max(i + k, 0), len(full) - 1)] for w, k in zip(weights, range(-2, 3))) / sum(weights) for i in range(len(full))]
+    return {p: sum(s for s, x in zip(smooth, full) if x[0] == p) / len(xs) for p, xs in by.items()}
+
+
+def unmarked(html):
+    """A page without what its tags and names say of its parts."""
+    return re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", html).replace('<div class="ad">', "<div>")
+
+
+def test_path_ratios_choose_the_text(spark):
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    same = 0
+    for r in rows:
+        page = pages.Page(r["html"])
+        full = [x for x in page.nodes if "".join(x[7]).strip()]
+        places, paths = np.unique([x[0] for x in full], return_inverse=True)
+        got = dict(zip(places.tolist(), pages.ratios(paths, ["".join(x[7]).strip() for x in full])))
+        assert got == pytest.approx(plain_scores(page))
+        article = r["html"][r["html"].index("<article>") : r["html"].index("</article>")]
+        want = [re.sub(r"\s+", " ", pages.entities.unescape(t)).strip() for t in re.split("<[^>]*>", article)]
+        assert pages.extract(r["html"]).split("\n") == [t for t in want if t]
+        same += pages.extract(unmarked(r["html"])) == pages.extract(r["html"])
+    assert same >= 0.95 * len(rows)  # the ratios find the article without any marks and names
+
+
+@pytest.mark.parametrize("part", ["<b>", "<div>", '<a title="', "<i class='x", "<li>a", "<textarea>", "<ul><li>", "<p><b></i>", "<tr><td>", "<", "<!-- ", "</p>", "<p>x, y."])
+def test_odd_pages_take_linear_time(part):
+    began = time.time()
+    pages.extract(f"<p>One, two. Three.</p>{part * 100_000}")
+    assert time.time() - began < 15
+
+
+def test_odd_markup():
+    assert pages.extract("<p>One, two.</p><textarea>x<p>Three, four.</p>") == "One, two.\nx\nThree, four."
+    assert pages.extract("<head><title>t</title><p>One, two.</p>") == "One, two."
+    assert pages.extract('<p>One, "two".</p><p>And <a href="x>y">three</a>, four five.</p>') == 'One, "two".\nAnd three, four five.'
+    assert pages.extract("<p>One, two. Three, four.</p><p style='display: none'>Five, six.</p><form><p>Mail, please.</p><input value='x'></form>") == "One, two. Three, four."
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>a, b</p>", "x"), (None, None, None, "x")], "page_id bigint, url string, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in pages.extract_pages(df).collect()) == [(0, "", 0), (1, "a, b", 4)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from veinwork.llm.scratch import stage
+from veinwork.llm.scratch import drop, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         if not got["n"] or got == state:
             break
         state = got
-        now = stage(_small_star(_large_star(now)), "edges")
+        before, now = now, stage(_small_star(_large_star(now)), "edges")
+        drop(before)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("id"), F.col("v").alias("component"))
     ).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -10,12 +11,15 @@ from pyspark.sql.types import StructType
 
 from veinwork.ship import ship
 
-DEFAULT_DIR = "file:///tmp/checkpoints"
+LOCAL_DIR = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a default of our own only where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
+    """The cluster's shared folder. Where the session names none, one of our own in local mode (tests), since there all is on one machine; else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or LOCAL_DIR
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -27,16 +31,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veinwork/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/veinwork/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*staged: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more; other tables are left alone."""
+    for df in staged:
+        if at := getattr(df, "_staged_at", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +53,14 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors, in batches of bounded size."""
+    """``mapInArrow`` with this package at hand on the executors, in batches of bounded size.
+
+    Spark reads the bounds when the query runs, so they stay in the session; a session that asks for smaller batches keeps its own."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        own = spark.conf.get(key).rstrip("b")
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(key, most)
     return df.mapInArrow(run, schema)
