@@ -69,6 +69,28 @@ def test_many_spans_keep_their_places(spark):
     assert [(s["start"], s["end"]) for s in r["base"]] == [(i * 21, i * 21 + 18) for i in range(700)]
 
 
+@pytest.mark.parametrize("kind", ["candidate", "hex", "assign", "no hit"])
+def test_long_texts_take_linear_time(spark, kind):
+    rng = random.Random(1)
+    word = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    text = {
+        "candidate": lambda: word("xyzXYZ012", 400_000), "hex": lambda: " ".join(word("0123456789abcdef", 20) for _ in range(50_000)),
+        "assign": lambda: " ".join("token=" + word("xyzXYZ012", 22) for _ in range(50_000)), "no hit": lambda: "0123456789abcdef" * 30_000 + "z",
+    }[kind]()
+    began = time.time()
+    r = secrets_scan.find_secrets(documents(spark, [(1, text)])).first()
+    cut = secrets_scan.redact(documents(spark, [(1, text)])).first()
+    assert time.time() - began < 60
+    base = base_spans(text)
+    assert [(s["start"], s["ord"], s["end"], s["kind"]) for s in r["base"]] == base
+    at, out = 0, []
+    for s in r["secrets"]:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], "[SECRET]"]
+        at = max(at, s["end"])
+    assert cut["text"] == "".join(out) + text[at:]
+
+
 def test_pieces_equal_the_library(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     own = pieces.Pieces(open(pieces.MODEL, "rb").read())

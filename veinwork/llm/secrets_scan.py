@@ -10,8 +10,9 @@ Entropy is held as the integer sum of ``round(10^6 * c * log2 c)`` over the wind
 away is exact and the result does not depend on the order.
 
 Defined results: null and empty texts have no spans. Positions are code points, the end exclusive. Each row is judged alone: repeated rows and ids stay,
-a null doc_id is kept, and columns other than the id and the text are ignored. A text without end costs time in proportion
-to its length; the positions of n matches are summed in blocks, not by copying a growing list.
+a null doc_id is kept, and columns other than the id and the text are ignored. A long text costs time in proportion
+to its length and its matches: running sums over n matches go block by block, not by copying a growing list, and a long candidate is scanned in segments that overlap by a window.
+Among spans of one start, the order is that of the kinds.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ ALLOW = [
     r"^(?:https?|www)",
 ]
 _UNIT = 1_000_000
-_BLOCK = 256
+#: Values of one block of a running sum, characters of one segment of a candidate, characters of one piece of a text that is cut.
+_BLOCK, _SEGMENT, _PIECE = 64, 256, 1024
 GAIN = [0, *(round(_UNIT * c * math.log2(c)) for c in range(1, WINDOW + 1))]
 
 
@@ -54,56 +56,81 @@ def most(bits: float) -> int:
     return round(_UNIT * WINDOW * (math.log2(WINDOW) - bits))
 
 
+def once(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def before(values: Column, op) -> Column:
+    """array<bigint>: for each value what the associative ``op`` makes of all before it, 0 at first. Blocks are summed up, then block starts, then values within their block: a state
+    that grew with the list would be copied at every step, and so would a slice of the list."""
+    fold = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), op)
+    first = lambda x, n: F.slice(x, F.lit(1), n)
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(_BLOCK)), lambda b: F.transform(F.sequence(b, F.least(b + _BLOCK, F.size(v)) - 1), lambda i: F.get(v, i)))
+    within = lambda blocks, at: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x, i: op(F.get(at, k), fold(first(b, i))))))
+    starts = lambda blocks: once(F.transform(blocks, fold), lambda t: F.transform(t, lambda x, k: fold(first(t, k))))
+    every = lambda v: once(cut(v), lambda blocks: once(starts(blocks), lambda at: within(blocks, at)))
+    return once(values, lambda v: F.when(F.size(v) > 0, every(v)).otherwise(F.array().cast("array<bigint>")))
+
+
 def _spans(text: Column, pattern: str, kind: str, order: int, group: int, least: int) -> Column:
     """array<struct<start, ord, end, kind, word>> of the leftmost matches whose group is long enough."""
     item = "struct<start:bigint,ord:int,end:bigint,kind:string,word:string>"
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    word = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    before = F.split(text, pattern, -1)
-    each = F.filter(F.transform(F.arrays_zip(before.alias("before"), whole.alias("whole"), word.alias("word")), lambda x: F.struct(F.length(x["before"]).cast("bigint").alias("skip"), F.length(x["whole"]).cast("bigint").alias("size"), x["word"].alias("word"))), lambda x: x["size"].isNotNull())
-    n = F.size(each)
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / _BLOCK).cast("int") - 1), lambda b: F.slice(each, b * _BLOCK + 1, F.lit(_BLOCK)))
-    lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x["skip"] + x["size"]))
-    at = F.transform(blocks, lambda b, i: F.struct(b.alias("b"), F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("at")))
+    columns = [F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole")]
+    if group:
+        columns.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("word"))
+    each = F.transform(F.arrays_zip(*columns), lambda x: F.struct(F.length(x["before"]).cast("bigint").alias("skip"), F.length(x["whole"]).cast("bigint").alias("size"), x["word" if group else "whole"].alias("word")))
+    each = F.filter(each, lambda x: x["size"].isNotNull())  # what follows the last match
+    span = lambda at, x: F.struct((at + x["skip"]).alias("start"), F.lit(order).alias("ord"), (at + x["skip"] + x["size"]).alias("end"), F.lit(kind).alias("kind"), x["word"].alias("word"))
+    placed = once(each, lambda e: once(before(F.transform(e, lambda x: x["skip"] + x["size"]), lambda a, b: a + b), lambda at: F.transform(e, lambda x, i: span(F.get(at, i), x))))
+    return F.when(text.rlike(pattern), F.filter(placed, lambda x: F.length(x["word"]) >= least)).otherwise(F.array().cast(f"array<{item}>"))
 
-    def walk(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["skip"]
-        end = start + x["size"]
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["word"].alias("word")))
-        return F.struct(end.alias("at"), F.when(F.length(x["word"]) >= least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    found = F.flatten(F.transform(at, lambda p: F.aggregate(p["b"], F.struct(p["at"].alias("at"), F.array().cast(f"array<{item}>").alias("found")), walk, lambda acc: acc["found"])))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{item}>"))
+def least_sum(word: Column) -> Column:
+    """The least sum over all windows of the candidate: the window of the highest entropy.
 
+    The window's counts are the characters of a string, one place for each of the alphabet; a step replaces two of them."""
+    up, down = ([F.lit(v) for v in x] for x in ([b - a for a, b in zip(GAIN, GAIN[1:])], [0, *(a - b for a, b in zip(GAIN, GAIN[1:]))]))
+    up, down = F.array(*up), F.array(*down)
+    count = lambda counts, place: F.ascii(F.substring(counts, place, F.lit(1))) - 65
+    put = lambda counts, place, n: F.overlay(counts, F.char(n + 65), place, F.lit(1))
+    start = F.struct(F.lit("A" * len(ALPHABET)).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("bigint").alias("best"))
 
-def least_sum(word: Column) -> Column:
-    """The least sum over all windows of the candidate: the window of the highest entropy."""
-    chars, gain = F.split(word, ""), F.array(*map(F.lit, GAIN))
-    place = lambda c: F.instr(F.lit(ALPHABET), c)
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("bigint").alias("best"))
+    def slide(acc: Column, x: Column) -> Column:
+        counts, same = acc["counts"], x["enters"] == x["leaves"]
+        c, d = count(counts, x["enters"]), count(counts, x["leaves"])
+        total = acc["sum"] + F.when(same, 0).otherwise(F.get(up, c) + F.when(x["leaves"] > 0, F.get(down, d)).otherwise(0))
+        entered = F.when(same, counts).otherwise(put(F.when(x["leaves"] > 0, put(counts, x["leaves"], d - 1)).otherwise(counts), x["enters"], c + 1))
+        return once(total.cast("bigint"), lambda t: F.struct(entered.alias("counts"), t.alias("sum"), F.when(x["full"], F.least(acc["best"], t)).otherwise(acc["best"]).alias("best")))
 
-    def slide(acc: Column, k: Column) -> Column:
-        enters = place(F.element_at(chars, k))
-        leaves = F.when(k > WINDOW, place(F.element_at(chars, F.greatest(k - WINDOW, F.lit(1))))).otherwise(F.lit(0))
-        c, d = acc["counts"][enters], acc["counts"][leaves]
-        same = enters == leaves
-        total = F.when(same, acc["sum"]).otherwise(acc["sum"] + gain[c + 1] - gain[c] + F.when(leaves > 0, gain[F.greatest(d - 1, F.lit(0))] - gain[d]).otherwise(0))
-        counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda n, i: n + (i == enters).cast("int") - ((i == leaves) & (leaves > 0)).cast("int")))
-        return F.struct(counts.alias("counts"), total.cast("bigint").alias("sum"), F.when(k >= WINDOW, F.least(acc["best"], total.cast("bigint"))).otherwise(acc["best"]).alias("best"))
+    def of(segment: Column) -> Column:
+        places = F.transform(F.split(segment, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+        moves = once(places, lambda p: F.transform(p, lambda e, i: F.struct(e.alias("enters"), F.when(i >= WINDOW, F.get(p, i - WINDOW)).otherwise(0).alias("leaves"), (i >= WINDOW - 1).alias("full"))))
+        return F.aggregate(moves, start, slide, lambda acc: acc["best"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, slide, lambda acc: acc["best"])
+    segments = F.regexp_extract_all(word, F.lit(f"(?=(.{{1,{_SEGMENT}}})).{{1,{_SEGMENT - WINDOW + 1}}}"), F.lit(1))
+    return F.array_min(F.transform(segments, of))
 
 
 def limit_of(word: Column) -> Column:
     """The largest sum that the candidate's class allows; null if it is in none."""
     mixed = word.rlike("[a-z]") & word.rlike("[A-Z]")
-    tests = [word.rlike(CLASSES[0][1]) & word.rlike("[a-fA-F]"), mixed & word.rlike("[0-9]"), word.rlike("[a-zA-Z]") & word.rlike("[0-9]")]
+    tests = [(word.rlike("^[0-9a-f]+$") | word.rlike("^[0-9A-F]+$")) & word.rlike("[0-9]") & word.rlike("[a-fA-F]"), mixed & word.rlike("[0-9]"), word.rlike("[a-zA-Z]") & word.rlike("[0-9]")]
     out = F.when(tests[0], most(CLASSES[0][2]))
     for test, (_, _, bits) in zip(tests[1:], CLASSES[1:]):
         out = out.when(test, most(bits))
     return out
 
 
+def _outside(runs: Column, assigned: Column) -> Column:
+    """The runs that no base span holds. A run has all token characters around it, so an access key or hex string holds it only if it is the run itself; assignments are
+    passed in order, of which the last that began decides, since they don't overlap."""
+    own = F.filter(runs, lambda x: ~x["word"].rlike(f"^{HEX}$") & ~x["word"].rlike(f"^{ACCESS[:-1]}{{14,}}$"))
+    both = F.array_sort(F.concat(assigned, own))
+    ended = lambda x: F.when(x["ord"] == 0, x["end"]).otherwise(0).cast("bigint")
+    return once(both, lambda all_: once(before(F.transform(all_, ended), lambda a, b: F.greatest(a, b)), lambda at: F.filter(all_, lambda x, i: (x["ord"] != 0) & (F.get(at, i) < x["end"]))))
+
+
 def find_secrets(docs: DataFrame, *, text: str = "text", allow: list[str] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, ``base`` and ``secrets``: the base spans and all spans, ordered by start and kind, as
     array<struct<start, ord, end, kind, word>>."""
@@ -114,8 +141,7 @@ def find_secrets(docs: DataFrame, *, text: str = "text", allow: list[str] | None
         got = got.withColumn(f"_{kind}", _spans(F.col("_text"), pattern, kind, order, group, least))
     runs = F.filter(_spans(F.col("_text"), CANDIDATE, "entropy", len(BASE), 0, WINDOW), lambda x: limit_of(x["word"]).isNotNull() & ~x["word"].rlike(allowed))
     got = got.withColumn("base", F.array_sort(F.concat(*(F.col(f"_{k}") for k, *_ in BASE)))).withColumn("_runs", runs)
-    hot = F.filter("_runs", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
-    hot = F.filter(hot, lambda x: least_sum(x["word"]) <= limit_of(x["word"]))
+    hot = F.filter(_outside(F.col("_runs"), F.col("_assign")), lambda x: least_sum(x["word"]) <= limit_of(x["word"]))
     return got.withColumn("_hot", F.when(F.size("_runs") > 0, hot).otherwise(F.col("_runs"))).select(*keep, F.col("_text"), "base", F.array_sort(F.concat("base", "_hot")).alias("secrets"))
 
 
@@ -131,12 +157,16 @@ def redact(docs: DataFrame, *, marker: str = "[SECRET]") -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")  # whatever its columns are called
     found = find_secrets(docs.select(row, "text"), keep=("_row",))
 
-    def cut(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        kept = F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(kept, F.lit(marker)))).otherwise(acc["out"]).alias("out"))
+    def joined(pieces: Column) -> Column:
+        def part(a: Column, z: Column) -> Column:
+            first, last = F.floor(a / _PIECE).cast("int"), F.floor((z - 1) / _PIECE).cast("int")
+            return F.when(z > a, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), (a - first * _PIECE + 1).cast("int"), (z - a).cast("int"))).otherwise("")
+
+        piece = lambda at, x: F.when(x["start"] >= at, F.concat(part(at, x["start"]), F.lit(marker))).otherwise("")
+        kept = once(before(F.transform("secrets", lambda x: x["end"]), lambda a, b: F.greatest(a, b)), lambda at: F.transform("secrets", lambda x, i: piece(F.get(at, i), x)))
+        return F.concat(F.array_join(kept, ""), part(F.array_max(F.transform("secrets", lambda x: x["end"])), F.length(F.col("_text")).cast("bigint")))
 
-    parts = F.aggregate("secrets", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")), cut, lambda acc: F.concat_ws("", acc["out"], F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), F.length(F.col("_text")))))
+    parts = once(F.regexp_extract_all(F.col("_text"), F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), joined)
     hit = F.size("secrets") > 0
     own = {c: F.col("_row").getField(c) for c in names}
     text = F.when(hit, parts).otherwise(own["text"])
