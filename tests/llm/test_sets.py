@@ -34,12 +34,47 @@ def test_components(spark, width, percent):
 
 
 def test_repeated_and_null_ids(spark):
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]
+    same = "a b c d e f"
+    rows = [(1, same), (1, same), (None, same), (2, same), (None, "u v w x y z"), (None, "u v w x y z"), (None, None), (7, None)]
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in dedup.near_duplicates(documents(spark, rows)).collect())
-    assert got == [(-1, -1, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+    assert got == [(-1, -1, False), (-1, -1, True), (-1, -1, True), (-1, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (7, 7, True)]
     assert dedup.near_duplicates(documents(spark, [])).count() == 0
     kept = dedup.deduplicate(documents(spark, rows))
-    assert kept.count() == 3 and kept.columns == documents(spark, rows).columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == [(-1, ""), (-1, "u v w x y z"), (1, same), (7, "")] and kept.columns == documents(spark, rows).columns
+
+
+def test_ids_that_several_texts_have(spark):
+    rng = random.Random(9)
+    a, b = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in dedup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False)}
+    assert sorted(r["text"] for r in dedup.deduplicate(documents(spark, rows)).collect()) == sorted([a, b])
+    near = [(1, a), (1, a + " more")]
+    assert [r["doc_id"] for r in dedup.deduplicate(documents(spark, near)).collect()] == [1]
+
+
+def test_hub_groups_are_compared_whole(spark):
+    """Chains of texts of which only neighbours are linked, in groups of one hub each and of several."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(4):
+        w = [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(200)]
+        for k in range(25):
+            rows.append((100 * g + k, " ".join(w[k * 4 :] + [f"x{g}" for _ in range(k)])))
+    got = dedup.near_duplicates(documents(spark, rows), width=3, percent=85, block=4, partners=1).collect()
+    want = components(rows, 3, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    """2,000 pairs of sets at a similarity of 0.85: each shares a band, and its signatures agree enough to be looked at."""
+    rng = np.random.default_rng(4)
+    for _ in range(2000):
+        x = rng.integers(0, 2**63, 63).astype(np.uint64)
+        a, b = (dedup.superminhash(np.sort(s), dedup.BANDS * dedup.ROWS) for s in (x[:57], np.concatenate([x[:51], x[57:60]])))
+        assert (dedup.bands_of(a, dedup.BANDS, dedup.ROWS) == dedup.bands_of(b, dedup.BANDS, dedup.ROWS)).any()
+        assert (a == b).sum() >= 200 * 0.85 - dedup.SIGMAS * (200 * 0.85 * 0.15) ** 0.5
 
 
 def test_signature_estimates_similarity():

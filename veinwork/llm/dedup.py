@@ -1,16 +1,18 @@
 """MinHash near-duplicate detection.
 
-One pass over the texts gives each document its number of distinct shingles, a 128-bit fingerprint of the set, and a SuperMinHash signature. Equal sets
-form a class at once; the rest works on one document a class. Bands of the signature deal the classes into buckets. In
+One pass over the texts gives each row its number of distinct shingles, a 128-bit fingerprint of the set, and a SuperMinHash signature. Equal sets
+form a class at once, whatever the rows' ids; the rest works on classes, by numbers of their own. Bands of the signature deal the classes into buckets. In
 each bucket every member is paired with one hub, the member that meets most others over all its buckets (of near copies of one text
 that is as a rule the text itself), so a bucket of n gives n pairs. Pairs are confirmed on the full sets, and union-find
 (star contraction, distributed) joins what is linked. What lies outside the largest component of its hub's group is then compared with the whole group
-on the full sets, block by block, a block small enough for one task; only rows that link components leave the task. Last, members of a bucket that are neither of one component
+on the full sets where their sizes allow a link, block by block, a block small enough for one task; only rows that link components leave the task. Joins on a group's key are salted, so that a large group is
+dealt to many tasks. Last, members of a bucket that are neither of one component
 nor of one hub are compared by signature; of each, the nearest partners are confirmed, and
 rounds follow until nobody has partners left. So no link between documents that share a band is lost, and no group is ever expanded
 into all its pairs of rows.
 
-With 200 ranks in 40 bands of 5, a pair at similarity 0.85 shares no band with probability 7e-11, at 0.8 with 1e-7.
+What can be missed: with 200 ranks in 40 bands of 5, a pair at similarity 0.85 shares no band with probability 7e-11, at 0.8 with 1e-7. In the last step a pair whose
+signatures agree ``SIGMAS`` standard deviations less than the threshold demands is not looked at: 4e-11 of the pairs at the threshold, none that the steps before find.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veinwork.llm.components import components
-from veinwork.llm.scratch import map_arrow, stage, table
+from veinwork.llm.scratch import drop, map_arrow, stage, table
 from veinwork.llm.words import mix, shingle_hashes, slices
 
 BANDS, ROWS = 40, 5
 #: Members of a bucket that one block has, and partners that a row sends on in the first round.
 BLOCK, PARTNERS = 256, 8
+#: Parts that the rows of one group are dealt to in a join on the group's key.
+SALT = 32
 #: Agreeing ranks are so many standard deviations below the threshold before a pair is left out unverified.
 SIGMAS = 6.5
 
@@ -79,7 +83,7 @@ def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(width: int, bands: int, rows: int):
-    types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    types = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -98,9 +102,9 @@ def _sketch(width: int, bands: int, rows: int):
                 sigs.append(g)
             flat = np.concatenate(keys)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), lists, pa.array(sigs, pa.binary())], schema=types)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), lists, pa.array(sigs, pa.binary())], schema=types)
 
-    return run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary"
+    return run, "doc_id bigint, text_key bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary"
 
 
 def _sets(width: int):
@@ -108,7 +112,7 @@ def _sets(width: int):
         for batch in slices(batches, "text"):
             sets = list(shingle_hashes(batch.column("text"), width))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "hashes"])
 
     return run, "id bigint, hashes array<bigint>"
 
@@ -200,6 +204,9 @@ def _exact(percent: int):
             order = np.argsort(theirs, kind="stable")
             theirs, owner = theirs[order], owner[order]
             for i in x.tolist():
+                fits = np.minimum(size[y], size[i]) * 100 >= np.maximum(size[y], size[i]) * percent
+                if not (fits & (component[y] != component[i])).any():
+                    continue
                 mine = flat[ends[i] : ends[i + 1]]
                 lo, hi = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, "right")
                 many = hi - lo
@@ -222,13 +229,20 @@ def _block_pairs(rows: DataFrame, key: str, block: int) -> DataFrame:
     parts = rows.groupBy(key, "component").agg(F.count("*").alias("own"))
     main = parts.groupBy(key).agg(F.sum("own").alias("all"), F.max(F.struct("own", (-F.col("component")).alias("main"))).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     main = main.select(key, (-F.col("top.main")).alias("main"), F.ceil(F.col("all") / block).cast("int").alias("nj"), F.ceil((F.col("all") - F.col("top.own")) / block).cast("int").alias("ni"))
-    got = rows.join(main, key)
+    got = _salted(rows, main, key)
     spread = F.xxhash64("id")
     them = got.withColumn("side", F.lit(1)).withColumn("j", F.pmod(spread, F.col("nj")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
     some = got.where("component <> main").withColumn("side", F.lit(0)).withColumn("i", F.pmod(spread, F.col("ni")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)))
     return them.unionByName(some).drop("main", "ni", "nj")
 
 
+def _salted(rows: DataFrame, groups_: DataFrame, key: str) -> DataFrame:
+    """The rows joined with the one row of ``groups_`` for their ``key``; the rows of one key go to ``SALT`` parts, to each of which its row is copied."""
+    many = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    one = groups_.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return many.join(one, [key, "_salt"]).drop("_salt")
+
+
 def near_duplicates(
     docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
     block: int = BLOCK, partners: int = PARTNERS,
@@ -237,18 +251,28 @@ def near_duplicates(
     reaches over links of similarity ``percent`` / 100 or more, and whether that is itself.
 
     Defined results: documents without words (null, empty, white space) have 0 shingles and are linked with nothing;
-    texts under ``width`` words are one shingle. Rows with one doc_id twice count as two documents of that id. A null
-    doc_id is not linked: component null, kept. Columns other than doc_id and text are ignored; an empty table gives
-    an empty result.
+    texts under ``width`` words are one shingle. Rows with one doc_id twice count as two documents of that id, with the same or with different texts. A row with a null
+    doc_id is linked like others: its component is the smallest id that it reaches, or null; where its group has no id at all, one of its rows is kept, else none of those without.
+    Columns other than doc_id and text are ignored; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _labelled(docs, width, percent, bands, rows, block, partners).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key that equal ids and texts share."""
+    return docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame:
+    """As ``near_duplicates``, with ``text_key`` and ``first``: whether the row is the one that stands for its group."""
+    docs = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).withColumnRenamed("_text_key", "text_key")
     run, schema = _sketch(width, bands, rows)
-    sketch = stage(map_arrow(docs, run, schema), "sketch")
+    sketch = stage(map_arrow(docs, run, schema).withColumn("row", F.monotonically_increasing_id()), "sketch")
 
-    full = sketch.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = full.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id"), F.col("n")), "doc_id").dropDuplicates(["doc_id"])
-    banded = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
+    # Classes of equal sets, numbered; the first row stands for each: that with the smallest id, those without an id last.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_key")
+    classes = stage(sketch.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(order).alias("first")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    banded = sketch.select("row", "bands").join(classes.select(F.col("first.row").alias("row"), "id", "n"), "row").select("id", "n", F.explode("bands").alias("key"))
     busy = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = stage(banded.join(busy, "key"), "buckets")
     degree = members.groupBy("id").agg(F.sum("c").alias("degree"))
@@ -259,17 +283,17 @@ def near_duplicates(
     pairs = stage(star.where(_fits(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     main_hub = stage(met.groupBy("id").agg(F.max("hub").alias("hub"), F.first("n").alias("n")).select("id", "n", (-F.col("hub.minus")).alias("hub")), "hubs")
 
+    # The sets of the classes that share a bucket, from the texts of their first rows; texts that come again with the same id are read once.
     run, schema = _sets(width)
-    texts = docs.join(main_hub, docs["doc_id"] == main_hub["id"], "left_semi")
-    sets = stage(map_arrow(texts, run, schema), "sets")
-    links = stage(_confirmed(pairs, sets, percent), "links")
-    linked = components(links)
+    read = classes.join(main_hub, "id", "left_semi").select(F.col("first.text_key").alias("text_key"), "id")
+    sets = stage(map_arrow(docs.join(read, "text_key").dropDuplicates(["text_key", "id"]).select("id", "text"), run, schema), "sets")
+    found = stage(_confirmed(pairs, sets, percent), "links")
+    links, linked = found, components(found)
 
     # Members of one hub that are not of one component yet: compared on the full sets.
-    groups_ = main_hub.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    large = groups_.join(groups_.groupBy("hub").agg(F.count("*").alias("c")).where("c > 2").select("hub"), "hub")
+    grouped = main_hub.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")).select("hub", "id", "component")
     run, schema = _exact(percent)
-    dealt = _block_pairs(large.select("hub", "id", "component"), "hub", block).join(sets, "id")
+    dealt = _block_pairs(grouped, "hub", block).join(sets, "id")
     near = map_arrow(dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j"), run, schema)
     more = stage(near.select("a", "b").distinct(), "links")
     if not more.isEmpty():
@@ -277,7 +301,7 @@ def near_duplicates(
         linked = components(links)
 
     # Members of one bucket that are neither of one component nor of one hub: likely pairs by signature, then confirmed.
-    sigs = sketch.select(F.col("doc_id").alias("id"), "sig")
+    sigs = sketch.select("row", "sig").join(classes.select(F.col("first.row").alias("row"), "id"), "row").select("id", "sig")
     owned = members.select("key", "id").join(main_hub, "id")
     while True:
         named = owned.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -291,22 +315,35 @@ def near_duplicates(
         if not more.isEmpty():
             links = links.union(more)
             linked = components(links)
+        drop(near)
         if not count["more"]:
             break
         partners *= 8
 
-    of_class = classes.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    named = of_class.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("gn"), F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n", "f1", "f2").join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("gn")) & F.col("doc_id").isNotNull(), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that are near copies of one with a smaller id; of rows with the same id all stay or go."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone"))
-    gone = stage(gone, "copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # Each group's first row, over its classes.
+    of_class = classes.join(linked, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    firsts = of_class.groupBy("group").agg(F.min("first").alias("of_group"))
+    named = stage(of_class.join(firsts, "group").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("gn"), F.col("of_group.doc_id").alias("component_id"), F.col("of_group.row").alias("first_row")), "named")
+    drop(members, pairs, main_hub, sets)
+    out = sketch.select("doc_id", "text_key", "row", "n", "f1", "f2").join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("gn")), "left")
+    alone = F.col("first_row").isNull()  # no words
+    first = alone | (F.col("row") == F.col("first_row"))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, first & F.col("doc_id").isNull() & component.isNull()).alias("kept"), "text_key", first.alias("first"), (~alone).alias("words"))
+
+
+def deduplicate(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id, of rows with equal ids one, rows without an id only where no other has one.
+    Documents without words all stay. Of rows with the same id and text, any one stays (they may differ in other columns only)."""
+    marks = _labelled(docs, width, percent).where("words").groupBy("text_key").agg(F.max("first").alias("stays"), F.count("*").alias("times"))
+    marks = stage(marks.where("not stays or times > 1").select(F.col("text_key").alias("_text_key"), F.col("stays").alias("_stays")), "copies")
+    names = docs.columns
+    left = _keyed(docs).join(marks, "_text_key", "left").where("coalesce(_stays, true)")
+    again = marks.where("_stays").select("_text_key")
+    if again.isEmpty():
+        return left.select(*names)
+    single = left.where("_stays").dropDuplicates(["_text_key"]).select(*names)
+    return left.where("_stays is null").select(*names).union(single)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
