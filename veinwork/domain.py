@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace  # noqa: F401
 
 # Patterns, word lists and numbers that results depend on.
-_NUM = "一二三四五六七八九十百千万0-9"
+NUMERALS = _NUM = "一二三四五六七八九十百千万0-9"
 _DOC_NO_INGEST = "财办库|财库|国办发|国发|苏财购函|苏财购|苏财规|扬财购|扬财规|扬财行|扬政务联字|扬银发|财税|财综|财金|财行|苏办发|国务院令|财政部令|公安部令|国家发展改革委令|发展改革委令"
 _DOC_NO_ASKED = "财库|财办库|国办发|苏财购|扬财购|财税|财综|财金|财行"
 _DOC_NO_FAST = "财库|财办库|国办发|苏财购|扬财购|财税|财综|财金|财行|国务院令|财政部令"

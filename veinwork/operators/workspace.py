@@ -82,9 +82,12 @@ def latest_state(events: DataFrame, key: list[str], at: str) -> DataFrame:
     return got.select(*key, at, "_row.*").where(~F.coalesce("deleted", F.lit(False)))
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """The table with the changed rows in place of those with the same key."""
-    return table.join(changes.select(*key), key, "left_anti").unionByName(changes)
+def upsert(table: DataFrame, changes: DataFrame, key: list[str], at: str | None = None) -> DataFrame:
+    """The table with the changed rows in place of those with the same key. Of several changes of one key the last by ``at`` counts, or without it the greatest by all columns in order."""
+    rest = [c for c in changes.columns if c not in key]
+    order = F.struct(*([at] if at else []), *rest)
+    one = changes.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*key, "_row.*") if rest else changes.distinct()
+    return table.join(one.select(*key), key, "left_anti").unionByName(one)
 
 
 def owned(projects: DataFrame, users: DataFrame) -> DataFrame:

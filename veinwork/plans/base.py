@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from veinwork.operators.chunk import windows
+from veinwork.operators.retrieve import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,16 +29,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Places of chunks within a document.
+PLACES = 100_000
+
+
+def _number():
+    return F.concat(F.lit("财库〔2022〕"), F.col("doc_id") % 97 + 1, F.lit("号"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as chunks: the first line is the title, the source the law, the text the content."""
+    """``documents`` cut into chunks (the windows of ``operators.chunk``): the document's first line is the title, its source the law, and the chunk's number an article's."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    cut = docs.select("doc_id", "source", "lang", F.substring_index("text", "\n", 1).alias("title"), F.posexplode(windows(F.col("text"))).alias("pos", "content"))
+    return cut.select(
+        (F.col("doc_id") * PLACES + F.col("pos")).alias("ord"), "title", F.coalesce("source", F.lit("")).alias("law_title"), F.concat(F.lit("第"), F.col("pos") + 1, F.lit("条")).alias("article_no"),
+        "content", F.coalesce("source", F.lit("")).alias("source_path"), F.coalesce("lang", F.lit("")).alias("region_level"), "doc_id", _number().alias("doc_no"),
+    )
+
+
+def documents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as chunks of their own, whatever their length."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ord"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.coalesce("source", F.lit("")).alias("law_title"),
-        F.lit("").alias("article_no"), F.coalesce("text", F.lit("")).alias("content"), F.coalesce("source", F.lit("")).alias("source_path"), F.coalesce("lang", F.lit("")).alias("region_level"),
+        F.lit("").alias("article_no"), F.coalesce("text", F.lit("")).alias("content"), F.coalesce("source", F.lit("")).alias("source_path"), F.coalesce("lang", F.lit("")).alias("region_level"), "doc_id", _number().alias("doc_no"),
     )
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    """``benchmark`` as questions, each of which names an article and a document's number besides."""
+    asked = F.concat(F.col("text"), F.lit(" 第"), F.col("item_id") % 9 + 1, F.lit("条 财库〔2022〕"), F.col("item_id") % 97 + 1, F.lit("号"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), asked.alias("question"))
 
 
 def fixture(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
@@ -92,6 +115,15 @@ def list_sql(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-#: ``documents`` and ``benchmark`` as in ``corpus`` and ``questions``.
-CORPUS_SQL = "select doc_id as ord, split_part(coalesce(text, ''), chr(10), 1) as title, coalesce(source, '') as law_title, coalesce(text, '') as content, coalesce(source, '') as source_path, coalesce(lang, '') as region_level from documents"
-QUESTIONS_SQL = "select item_id as qid, text as question from benchmark"
+#: The windows of all documents: (doc_id, pos, piece).
+WINDOWS_SQL = """(with recursive d as (select doc_id as id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
+    w as (select id, 0 as i, 0 as s, 0 as e, false as over from d where n > 0
+      union all select w.id, i + 1, s2, e2, e2 >= n from (select w.*, d.n, d.t, case when i = 0 then 0 else greatest(0, e - 120) end as s2 from w join d using (id) where not over) w,
+      lateral (select least(s2 + 800, n) as raw), lateral (select greatest(s2, raw - 60) as low), lateral (select length(regexp_extract(substr(t, low + 1, raw - low + 1), '(?s)^(.*[\\n。；;])', 1)) as behind, length(regexp_extract(substr(t, raw + 1, least(n - 1, raw + 30) - raw + 1), '(?s)^([^\\n。；;]*[\\n。；;])', 1)) as ahead),
+      lateral (select case when raw >= n then n when behind > 0 then low + behind when ahead > 0 then raw + ahead else raw end as e2))
+    select id as doc_id, (i - 1)::bigint as pos, substr(t, s + 1, e - s) as piece from w join d using (id) where i > 0)"""
+#: ``documents`` as in ``corpus``, as chunks of their own, and ``benchmark`` as in ``questions``.
+CORPUS_SQL = f"""select doc_id * {PLACES} + pos as ord, split_part(coalesce(text, ''), chr(10), 1) as title, coalesce(source, '') as law_title, '第' || (pos + 1) || '条' as article_no, piece as content, coalesce(source, '') as source_path, coalesce(lang, '') as region_level, doc_id, '财库〔2022〕' || (doc_id % 97 + 1) || '号' as doc_no
+    from {WINDOWS_SQL} join documents using (doc_id)"""
+WHOLE_SQL = "select doc_id as ord, split_part(coalesce(text, ''), chr(10), 1) as title, coalesce(source, '') as law_title, '' as article_no, coalesce(text, '') as content, coalesce(source, '') as source_path, coalesce(lang, '') as region_level, doc_id, '财库〔2022〕' || (doc_id % 97 + 1) || '号' as doc_no from documents"
+QUESTIONS_SQL = "select item_id as qid, text || ' 第' || (item_id % 9 + 1) || '条 财库〔2022〕' || (item_id % 97 + 1) || '号' as question from benchmark"

@@ -7,30 +7,31 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from veinwork.domain import REGULATIONS as P
+from veinwork.domain import NUMERALS, REGULATIONS as P
 from veinwork.functions import text as T
 from veinwork.operators import answer as A, retrieve as R, selection as E
-from veinwork.plans.base import ORACLES, QUERIES, any_sql, collapse_sql, corpus, CORPUS_SQL, dense_sql, fold_sql, grams_sql, query, questions, squeeze_sql, table
+from veinwork.functions import meta as M
+from veinwork.plans.base import CORPUS_SQL, ORACLES, PLACES, QUERIES, QUESTIONS_SQL, WHOLE_SQL, any_sql, collapse_sql, corpus, dense_sql, documents_whole, fold_sql, grams_sql, query, questions, squeeze_sql, table
 from veinwork.plans.texts import FAST_SQL, GARBLED_SQL, SUMMARY_SQL, TERMS_SQL, WEAK_SQL
 
-_OWN = f"""(case when length(law) >= 4 then 0.03 else 0.0 end) + (case when not summ and not garb then 0.02 else 0.0 end) - (case when n <= 1000 then 0.0 else least(0.18, (n - 1000) / 5200.0) end)
+_OWN = f"""(case when art <> '' then 0.03 else 0.0 end) + (case when length(law) >= 4 then 0.03 else 0.0 end) + (case when not summ and not garb then 0.02 else 0.0 end) - (case when n <= 1000 then 0.0 else least(0.18, (n - 1000) / 5200.0) end)
     - (case when summ then 0.14 else 0.0 end) - (case when garb then 0.16 else 0.0 end) - (case when {WEAK_SQL.format(t='tc', cue=any_sql('tc', P.legal_cues))} then 0.08 else 0.0 end) - (case when n < 40 then 0.36 when n < 120 then 0.12 else 0.0 end)"""
 #: The corpus as scored: compact texts and what each row gets whatever the question.
-CF = f"""cf as (select ord, full_, body, title, law, ({_OWN})::double as own, n from (select *, length(body) as n, {SUMMARY_SQL.format(d='raw', x='content')} as summ, (raw = '' or {GARBLED_SQL.format(d='raw')}) as garb from (
-    select ord, content, {dense_sql('content')} as raw, {collapse_sql('title')} as tc, replace({fold_sql('title || chr(10) || law_title || chr(10) || content')}, ' ', '') as full_, replace({fold_sql('content')}, ' ', '') as body,
-      replace({fold_sql('title')}, ' ', '') as title, replace({fold_sql('law_title')}, ' ', '') as law from (select ord, substr(title, 1, 300) as title, law_title, substr(content, 1, 3200) as content from ({CORPUS_SQL})))))"""
-_SETUP = f"""q as materialized ({TERMS_SQL}), {CF.replace('cf as (', 'cf as materialized (', 1)}, n as (select count(*) as n from cf),
+CF = f"""cf as (select ord, full_, body, title, law, art, fb, ({_OWN})::double as own, n from (select *, length(body) as n, {SUMMARY_SQL.format(d='raw', x='content')} as summ, (raw = '' or {GARBLED_SQL.format(d='raw')}) as garb from (
+    select ord, content, {dense_sql('content')} as raw, {collapse_sql('title')} as tc, replace({fold_sql('title || chr(10) || law_title || chr(10) || article_no || chr(10) || content')}, ' ', '') as full_, replace({fold_sql('content')}, ' ', '') as body,
+      replace({fold_sql('title')}, ' ', '') as title, replace({fold_sql('law_title')}, ' ', '') as law, replace({fold_sql('article_no')}, ' ', '') as art, {fold_sql('content')} as fb from (select ord, substr(title, 1, 300) as title, law_title, article_no, substr(content, 1, 3200) as content from cc))))"""
+_SETUP = f"""q as materialized ({TERMS_SQL}), cc as materialized ({CORPUS_SQL}), {CF.replace('cf as (', 'cf as materialized (', 1)}, n as (select count(*) as n from cf),
     t as materialized (select distinct qid, unnest(terms) as term from q), p as materialized (select distinct qid, unnest(phrases) as term from q),
     idf as materialized (select term, df, ln((n + 1.0) / (df + 0.5)) + 1.0 as w from (select term, count(*) filter (contains(full_, term)) as df from (select term from t union select term from p) cross join cf group by term), n)"""
 _COVER = """(select qid, ord, sum(case when {hit} then w else 0.0 end) / sum(w) as v from {terms} join idf using (term) cross join cf group by qid, ord)"""
 _EXACT = f"""(select qid, ord, case when length(c) >= 4 and contains(body, c) then 1.0 when length(c) >= 6 then coalesce(longest, 0) / least(12, length(c)) else 0.0 end as v from q cross join cf left join (
-    select qid, ord, max(k) as longest from (select distinct qid, k, unnest({grams_sql('c', 'k')}) as g from q, range(4, 13) r(k)) join (select distinct ord, k, unnest({grams_sql('body', 'k')}) as g from cf, range(4, 13) r(k)) using (k, g) group by qid, ord) using (qid, ord))"""
+    select qid, ord, max(k) as longest from (select distinct qid, k, unnest({grams_sql('c', 'k')}) as g from q, range(4, 13) r(k)) join (select ord, k, unnest({grams_sql('body', 'k')}) as g from cf, range(4, 13) r(k)) using (k, g) group by qid, ord) using (qid, ord))"""
 _PARTS = {
-    "coverage": _COVER.format(hit="contains(full_, term)", terms="t"), "phrases": _COVER.format(hit="contains(body, term)", terms="p"), "fields": _COVER.format(hit="contains(title, term) or contains(law, term)", terms="t"),
+    "coverage": _COVER.format(hit="contains(full_, term)", terms="t"), "phrases": _COVER.format(hit="contains(body, term)", terms="p"), "fields": _COVER.format(hit="contains(title, term) or contains(law, term) or contains(art, term)", terms="t"),
     "titles": _COVER.format(hit="contains(title, term)", terms="t"), "laws": _COVER.format(hit="contains(law, term)", terms="t"), "exact": _EXACT,
 }
-_LEXICAL = f"""lex as materialized (select qid, ord, 0.36 * a.v + 0.20 * b.v + 0.18 * f.v + 0.12 * h.v + 0.08 * l.v + 0.06 * x.v as lexical, own from {_PARTS['coverage']} a join {_PARTS['phrases']} b using (qid, ord)
-    join {_PARTS['fields']} f using (qid, ord) join {_PARTS['titles']} h using (qid, ord) join {_PARTS['laws']} l using (qid, ord) join {_PARTS['exact']} x using (qid, ord) join cf using (ord))"""
+_LEXICAL = f"""lex as materialized (select qid, ord, 0.36 * a.v + 0.20 * b.v + 0.18 * f.v + 0.12 * h.v + 0.08 * l.v + 0.06 * x.v + (case when art = qa then 0.25 when contains(fb, qa) then 0.10 else 0.0 end) as lexical, own from {_PARTS['coverage']} a join {_PARTS['phrases']} b using (qid, ord)
+    join {_PARTS['fields']} f using (qid, ord) join {_PARTS['titles']} h using (qid, ord) join {_PARTS['laws']} l using (qid, ord) join {_PARTS['exact']} x using (qid, ord) join cf using (ord) join (select qid, regexp_extract(f, '第[{NUMERALS}]+条') as qa from q) using (qid))"""
 
 
 def _top(source: str, k: int) -> str:
@@ -45,18 +46,18 @@ _PLAIN = "select qid, ord, round(lexical + own, 6) as score from lex"
 
 
 @query("lexical_topk", f"with {_SETUP}, {_LEXICAL} " + _top(_PLAIN, 24))
-def lexical_topk(spark, sf, profile=P):
-    return R.retrieve(R.features(corpus(spark, sf), profile), questions(spark, sf), 24)
+def lexical_topk(spark, sf, profile=P, chunks=corpus):
+    return R.retrieve(R.features(chunks(spark, sf), profile), questions(spark, sf), 24)
 
 
 @query("term_idf", f"with {_SETUP} select term, df, round(w, 6) as idf from idf where term in (select term from t)")
-def term_idf(spark, sf, profile=P):
-    got = R.term_idf(R.features(corpus(spark, sf), profile), questions(spark, sf))
+def term_idf(spark, sf, profile=P, chunks=corpus):
+    got = R.term_idf(R.features(chunks(spark, sf), profile), questions(spark, sf))
     return got.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _part(name):
-    return lambda spark, sf, profile=P: R.retrieve(R.features(corpus(spark, sf), profile), questions(spark, sf), 10, part=name)
+    return lambda spark, sf, profile=P, chunks=corpus: R.retrieve(R.features(chunks(spark, sf), profile), questions(spark, sf), 10, part=name)
 
 
 query("weighted_coverage", _top_part("coverage", 10))(_part("coverage"))
@@ -70,8 +71,10 @@ def _question_vectors(spark, sf):
     return questions(spark, sf).join(v, "qid", "left")
 
 
-def _chunk_vectors(spark, sf):
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+def _chunk_vectors(spark, sf, chunks=None):
+    """The vectors by vec_id, or one for each chunk: its document's."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    return v if chunks is None else chunks(spark, sf).select("ord", "doc_id").join(v.withColumnRenamed("ord", "doc_id"), "doc_id").select("ord", "vector")
 
 
 _COS = "round((list_cosine_similarity(qv.embedding::double[], cv.embedding::double[]) + 1) * 0.5, 6)"
@@ -84,30 +87,34 @@ def vector_topk(spark, sf):
     return R.vector_search(_chunk_vectors(spark, sf), asked, 10)
 
 
-@query("hybrid_topk", f"with {_SETUP}, {_LEXICAL} " + _top("select qid, ord, round(case when qv.vec_id is not null and cv.vec_id is not null then lexical * 0.66 + (list_cosine_similarity(qv.embedding::double[], cv.embedding::double[]) + 1) * 0.5 * 0.34 else lexical end + own, 6) as score from lex left join embeddings qv on qv.vec_id = qid left join embeddings cv on cv.vec_id = ord", 24))
-def hybrid_topk(spark, sf, profile=P):
-    return R.retrieve(R.features(corpus(spark, sf), profile), _question_vectors(spark, sf), 24, vectors=_chunk_vectors(spark, sf))
+@query("hybrid_topk", f"with {_SETUP}, {_LEXICAL} " + _top("select qid, ord, round(case when qv.vec_id is not null and cv.vec_id is not null then lexical * 0.66 + (list_cosine_similarity(qv.embedding::double[], cv.embedding::double[]) + 1) * 0.5 * 0.34 else lexical end + own, 6) as score from lex left join embeddings qv on qv.vec_id = qid left join embeddings cv on cv.vec_id = ord // " + str(PLACES), 24))
+def hybrid_topk(spark, sf, profile=P, chunks=corpus):
+    return R.retrieve(R.features(chunks(spark, sf), profile), _question_vectors(spark, sf), 24, vectors=_chunk_vectors(spark, sf, chunks))
 
 
-@query("merge_max", f"with {_SETUP}, {_LEXICAL} " + _top(f"select qid, ord, max(score) as score from (select qid, ord, score from ({_top(_PLAIN, 24)}) union all select qid, ord, score from ({_top(_VECTORS, 24)})) group by qid, ord", 30))
-def merge_max(spark, sf, profile=P):
+@query("merge_max", f"with {_SETUP}, {_LEXICAL} " + _top(f"select qid, ord, max(score) as score from (select qid, ord, score from ({_top(_PLAIN, 24)}) union all select qid, ord * {PLACES} as ord, score from ({_top(_VECTORS + " where exists (from cf where ord = cv.vec_id * " + str(PLACES) + ")", 24)})) group by qid, ord", 30))
+def merge_max(spark, sf, profile=P, chunks=corpus):
     asked = _question_vectors(spark, sf).where("vector is not null").select("qid", "vector")
-    return R.merge_best(lexical_topk(spark, sf, profile), R.vector_search(_chunk_vectors(spark, sf), asked, 24), 30)
+    first = _chunk_vectors(spark, sf, chunks).where(F.col("ord") % PLACES == 0)  # a document's vector stands with its first chunk
+    return R.merge_best(lexical_topk(spark, sf, profile, chunks), R.vector_search(first, asked, 24), 30)
 
 
-@query("docno_first", f"with {_SETUP}, {_LEXICAL}, wide as materialized ({_top(_PLAIN, 240)}), hit as materialized ({_top('select qid, ord, score from wide join documents on doc_id = ord where contains(text, (qid % 7)::varchar)', 24)}) select * from hit union all select qid, ord, score, rank from wide where rank <= 48 and qid not in (select qid from hit)")
-def docno_first(spark, sf, profile=P):
-    wide = R.retrieve(R.features(corpus(spark, sf), profile), questions(spark, sf), 240).join(table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text"), "ord")
-    return R.number_first(wide, F.contains("text", (F.col("qid") % 7).cast("string")), wide.where("rank <= 48").select("qid", "ord", "score", "rank"), 24)
+@query("docno_first", f"with {_SETUP}, {_LEXICAL}, wide as materialized ({_top(_PLAIN, 240)}), hit as materialized ({_top('select qid, ord, score from wide join cc using (ord) where doc_id % 97 = qid % 97', 24)}) select * from hit union all select qid, ord, score, rank from wide where rank <= 48 and qid not in (select qid from hit)")
+def docno_first(spark, sf, profile=P, chunks=corpus):
+    """Questions name a document's number, n of 97: the 24 best chunks of such documents among the 240 best, else the plain result."""
+    numbered = chunks(spark, sf).select("ord", M.bare_number(M.text_doc_number(F.col("doc_no"))).alias("number"))
+    asked = questions(spark, sf).select("qid", M.asked_doc_number(F.col("question")).alias("asked"))
+    wide = R.retrieve(R.features(chunks(spark, sf), profile), questions(spark, sf), 240).join(numbered, "ord").join(asked, "qid")
+    return R.number_first(wide, F.col("asked") == F.col("number"), wide.where("rank <= 48").select("qid", "ord", "score", "rank"), 24)
 
 
-_STAGE1 = f"""fq as materialized ({FAST_SQL}), fc as materialized (select ord, {squeeze_sql("title || '    ' || content")} as all_, {squeeze_sql('content')} as content, {squeeze_sql('title')} as title from ({CORPUS_SQL})), ft as materialized (select qid, unnest(terms) as term from fq),
+_STAGE1 = f"""fq as materialized ({FAST_SQL}), fc as materialized (select ord, {squeeze_sql("title || doc_no || article_no || content")} as all_, {squeeze_sql("title || article_no || content")} as said, {squeeze_sql('content')} as content, {squeeze_sql('title')} as title, {squeeze_sql('doc_no')} as doc_no, {squeeze_sql('article_no')} as art from ({CORPUS_SQL})), ft as materialized (select qid, unnest(terms) as term from fq),
     fi as materialized (select term, ln(((select count(*) from fc) + 1.0) / (count(*) filter (contains(all_, term)) + 0.5)) + 1.0 as w from (select distinct term from ft) cross join fc group by term),
-    s1 as materialized ({_top("select qid, ord, round(sum(w * (case when contains(content, term) then 0.54 else 0.0 end + case when contains(title, term) then 0.20 else 0.0 end)) / sum(w) + 0.08, 6) as score from ft join fi using (term) cross join fc group by qid, ord", 50)})"""
+    s1 as materialized ({_top("select qid, ord, round(sum(w * (case when contains(content, term) then 0.54 else 0.0 end + case when contains(title, term) then 0.20 else 0.0 end + case when contains(doc_no, term) then 0.16 else 0.0 end + case when contains(art, term) then 0.10 else 0.0 end)) / sum(w) + 0.08 + (case when any_value(art) <> '' then 0.04 else 0.0 end), 6) as score from ft join fi using (term) cross join fc group by qid, ord", 50)})"""
 
 
 def _fast_corpus(spark, sf):
-    return corpus(spark, sf).withColumn("doc_no", F.lit("")).withColumn("content_type", F.lit("structured_text"))
+    return corpus(spark, sf).withColumn("content_type", F.lit("structured_text"))
 
 
 @query("fast_recall", f"with {_STAGE1} select * from s1")
@@ -115,59 +122,59 @@ def fast_recall(spark, sf):
     return R.fast_recall(_fast_corpus(spark, sf), questions(spark, sf), 50)
 
 
-_STAGE2 = f"""s2 as materialized (select qid, ord, score, s as qt, all_ as dt, len(qb) as nq, len(db) as nd, len(list_intersect(qb, db)) as common from (select *, list_distinct({grams_sql('s', 2)}) as qb, list_distinct({grams_sql('all_', 2)}) as db from s1 join fq using (qid) join fc using (ord))),
+_STAGE2 = f"""s2 as materialized (select qid, ord, score, s as qt, said as dt, len(qb) as nq, len(db) as nd, len(list_intersect(qb, db)) as common from (select *, list_distinct({grams_sql('s', 2)}) as qb, list_distinct({grams_sql('said', 2)}) as db from s1 join fq using (qid) join fc using (ord))),
     s3 as materialized (select *, list_max(list_transform(range(4, 13), lambda k: case when len(list_filter({grams_sql('qt', 'k')}, lambda g: contains(dt, g))) > 0 then k else 0 end)) as longest from s2)"""
 
 
 @query("two_stage_rerank", f"with {_STAGE1}, {_STAGE2} " + _top("select qid, ord, round(score * 0.62 + common / (nq + nd - common) * 0.28 + (case when length(qt) >= 4 and contains(dt, qt) then 1.0 when length(qt) <= 3 then 0.0 else longest / least(12, length(qt)) end) * 0.10, 6) as score from s3", 8))
 def two_stage_rerank(spark, sf):
-    first = F.broadcast(fast_recall(spark, sf).select("qid", "ord", F.col("score").alias("first")))  # 50 rows a question of a block
+    first = fast_recall(spark, sf).select("qid", "ord", F.col("score").alias("first"))
     text = T.squeeze(F.concat_ws(" ", "title", "article_no", "content"))
-    got = _fast_corpus(spark, sf).join(first, "ord").select("qid", "ord", "first", text.alias("text")).join(F.broadcast(questions(spark, sf)), "qid")
+    got = _fast_corpus(spark, sf).join(first, "ord").select("qid", "ord", "first", text.alias("text")).join(questions(spark, sf), "qid")
     return R.second_stage(got.select("qid", "ord", "first", T.squeeze(F.col("question")).alias("asked"), "text"), 8)
 
 
 # Selection out of the plain top list; source is the law and the file.
 
 
-def _candidates(spark, sf, profile=P):
-    top = lexical_topk(spark, sf, profile).select("qid", "ord", "score")
-    return top.join(corpus(spark, sf), "ord").withColumn("base", F.col("score"))
+def _candidates(spark, sf, profile=P, chunks=corpus):
+    top = lexical_topk(spark, sf, profile, chunks).select("qid", "ord", "score")
+    return top.join(chunks(spark, sf), "ord").withColumn("base", F.col("score"))
 
 
-_CAND = f"{_SETUP}, {_LEXICAL}, top as materialized ({_top(_PLAIN, 24)}), cand as materialized (select qid, ord, score, title, law_title, source_path, content, row_number() over (partition by qid order by score desc, ord) as rank from top join ({CORPUS_SQL}) using (ord))"
-_DEDUP = "ded as materialized (select qid, ord, score, title, law_title, content, row_number() over (partition by qid order by score desc, ord) as rank from (select *, row_number() over (partition by qid, law_title order by score desc, ord) as k from cand) where k = 1)"
+_CAND = f"{_SETUP}, {_LEXICAL}, top as materialized ({_top(_PLAIN, 24)}), cand as materialized (select qid, ord, score, title, law_title, article_no, source_path, region_level as lang, content, row_number() over (partition by qid order by score desc, ord) as rank from top join cc using (ord))"
+_DEDUP = "ded as materialized (select qid, ord, score, title, law_title, content, row_number() over (partition by qid order by score desc, ord) as rank from (select *, row_number() over (partition by qid, law_title, article_no order by score desc, ord) as k from cand) where k = 1)"
 _FLOOR = "flo as materialized (select * exclude (rank, ok, any_ok), row_number() over (partition by qid order by score desc, ord) as rank from (select *, max(ok) over (partition by qid) as any_ok from (select *, score >= greatest(0.03, 0.55 * max(score) over (partition by qid)) as ok from ded)) where ok or (not any_ok and rank <= 6))"
 
 
 @query("dedupe_best", f"with {_CAND}, {_DEDUP} select qid, ord, score, rank::int as rank from ded")
-def dedupe_best(spark, sf, profile=P):
-    return E.dedupe_best(_candidates(spark, sf, profile)).select("qid", "ord", "score", "rank")
+def dedupe_best(spark, sf, profile=P, chunks=corpus):
+    return E.dedupe_best(_candidates(spark, sf, profile, chunks)).select("qid", "ord", "score", "rank")
 
 
 @query("evidence_floor", f"with {_CAND}, {_DEDUP}, {_FLOOR} select qid, ord, score, rank::int as rank from flo")
-def evidence_floor(spark, sf, profile=P):
-    return E.above_floor(E.dedupe_best(_candidates(spark, sf, profile))).select("qid", "ord", "score", "rank")
+def evidence_floor(spark, sf, profile=P, chunks=corpus):
+    return E.above_floor(E.dedupe_best(_candidates(spark, sf, profile, chunks))).select("qid", "ord", "score", "rank")
 
 
 @query("evidence_leads", f"with {_CAND}, {_DEDUP}, l as (select qid, max(score) filter (rank = 1) as top, max(score) filter (rank = 2) as second from ded group by qid) select qid, top, second, round(top - coalesce(second, 0), 6) as gap, case when top >= 0.78 and (second is null or top - second >= 0.18) then 2 else 3 end as definition_limit, second is null or (top >= 0.58 and top - second >= 0.12) as single from l")
-def single_evidence(spark, sf, profile=P):
-    l = E.leads(E.dedupe_best(_candidates(spark, sf, profile)))
+def single_evidence(spark, sf, profile=P, chunks=corpus):
+    l = E.leads(E.dedupe_best(_candidates(spark, sf, profile, chunks)))
     return l.select("qid", "top", "second", F.round("gap", 6).alias("gap"), E.evidence_limit(F.col("top"), F.col("second"), F.lit(True)).alias("definition_limit"), E.fast_single(F.col("top"), F.col("second"), F.lit(False), F.lit(False)).alias("single"))
 
 
 # The law key here is the language, so that laws repeat.
-_PER_LAW = "pl as materialized (select *, row_number() over (partition by qid order by (n > 2)::int, seed desc, rank) as place from (select *, row_number() over (partition by qid, lang order by seed desc, rank) as n from (select cand.*, lang, row_number() over (partition by qid order by (source_path = 'src3') desc, rank) = 1 and source_path = 'src3' as seed from cand join documents on doc_id = ord)))"
+_PER_LAW = "pl as materialized (select *, row_number() over (partition by qid order by (n > 2)::int, seed desc, rank) as place from (select *, row_number() over (partition by qid, lang order by seed desc, rank) as n from (select cand.*, row_number() over (partition by qid order by (source_path = 'src3') desc, rank) = 1 and source_path = 'src3' as seed from cand)))"
 
 
 @query("select_evidence", f"with {_CAND}, {_PER_LAW} select qid, ord, score, rank::int as rank, place::int as place from pl where place <= 6")
-def select_evidence(spark, sf, profile=P):
-    rows = E.ranked(_candidates(spark, sf, profile)).withColumn("law_title", F.col("region_level"))
+def select_evidence(spark, sf, profile=P, chunks=corpus):
+    rows = E.ranked(_candidates(spark, sf, profile, chunks)).withColumn("law_title", F.col("region_level"))
     return E.per_law(rows, F.col("source_path") == "src3", 6).select("qid", "ord", "score", "rank", "place")
 
 
-def _selected(spark, sf, profile=P):
-    rows = E.ranked(_candidates(spark, sf, profile)).withColumn("law_title", F.col("region_level"))
+def _selected(spark, sf, profile=P, chunks=corpus):
+    rows = E.ranked(_candidates(spark, sf, profile, chunks)).withColumn("law_title", F.col("region_level"))
     got = E.per_law(rows, F.col("source_path") == "src3", 6).join(questions(spark, sf), "qid")
     return got.select("qid", "question", "place", F.col("source_path").alias("title"), T.excerpt(F.col("content"), 200).alias("snippet"))
 
@@ -175,22 +182,22 @@ def _selected(spark, sf, profile=P):
 _SNIP = f"case when length({collapse_sql('content')}) > 200 then substr({collapse_sql('content')}, 1, 200) || ' ...' else {collapse_sql('content')} end"
 
 
-@query("evidence_prompt", f"""with {_CAND}, {_PER_LAW} select qid, '用户问题：' || chr(10) || any_value(text) || chr(10) || chr(10) || '可用依据（按相关度排序）：' || chr(10) || string_agg('证据 ' || place || chr(10) || '- 法规标题：' || source_path || chr(10) || '- 证据片段：' || chr(10) || {_SNIP} || chr(10) ||
-    '- 引用要求：以“法规标题 + 条号/款项”定位，不得输出文件路径。', chr(10) || chr(10) order by place) as prompt, count(*) as n from pl join benchmark on item_id = qid where place <= 6 group by qid""")
-def evidence_prompt(spark, sf, profile=P):
-    return A.prompts(_selected(spark, sf, profile)).select("qid", "prompt", F.col("n").cast("bigint").alias("n"))
+@query("evidence_prompt", f"""with {_CAND}, {_PER_LAW} select qid, '用户问题：' || chr(10) || any_value(question) || chr(10) || chr(10) || '可用依据（按相关度排序）：' || chr(10) || string_agg('证据 ' || place || chr(10) || '- 法规标题：' || source_path || chr(10) || '- 证据片段：' || chr(10) || {_SNIP} || chr(10) ||
+    '- 引用要求：以“法规标题 + 条号/款项”定位，不得输出文件路径。', chr(10) || chr(10) order by place) as prompt, count(*) as n from pl join ({QUESTIONS_SQL}) using (qid) where place <= 6 group by qid""")
+def evidence_prompt(spark, sf, profile=P, chunks=corpus):
+    return A.prompts(_selected(spark, sf, profile, chunks)).select("qid", "prompt", F.col("n").cast("bigint").alias("n"))
 
 
 @query("fallback_answer", f"""with {_CAND}, {_PER_LAW} select qid, '当前大模型不可用，先基于检索证据给出参考结论。' || chr(10) || '结论：已命中多条相关依据，请按以下优先顺序核对。' || chr(10) || '依据列表：' || chr(10) || string_agg(place || '. ' || source_path || chr(10) || '   摘要：' ||
     case when length({_SNIP}) > 180 then substr({_SNIP}, 1, 180) || '...' else {_SNIP} end, chr(10) order by place) as answer from pl where place <= 3 group by qid""")
-def fallback_answer(spark, sf, profile=P):
-    return A.fallback_answers(_selected(spark, sf, profile))
+def fallback_answer(spark, sf, profile=P, chunks=corpus):
+    return A.fallback_answers(_selected(spark, sf, profile, chunks))
 
 
-# The same over whole texts: here documents are not cut into chunks before, so the cap on a chunk's indexed characters must not fall on them.
+# The same over whole documents as chunks of their own, so the cap on a chunk's indexed characters must not fall on them.
 # SQL for those without fragments only: all fragments of whole texts are too many for it.
 WHOLE = replace(P, max_index_chars=(1 << 31) - 1)
 _WHOLE_SQL = ("term_idf", "weighted_coverage", "phrase_coverage", "field_hit")
 for _name in (*_WHOLE_SQL, *"lexical_topk exact_match hybrid_topk merge_max docno_first dedupe_best evidence_floor evidence_leads select_evidence evidence_prompt fallback_answer".split()):
-    _sql = ORACLES[_name].replace(f"substr(content, 1, {P.max_index_chars}) as content", "content") if _name in _WHOLE_SQL else None
-    query(f"{_name}_whole", _sql)(partial(QUERIES[_name], profile=WHOLE))
+    _sql = ORACLES[_name].replace(CORPUS_SQL, WHOLE_SQL).replace(f"substr(content, 1, {P.max_index_chars}) as content", "content") if _name in _WHOLE_SQL else None
+    query(f"{_name}_whole", _sql)(partial(QUERIES[_name], profile=WHOLE, chunks=documents_whole))
