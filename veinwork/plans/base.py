@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veinwork.operators.chunk import windows
 from veinwork.operators.retrieve import spread
@@ -61,13 +61,29 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), asked.alias("question"))
 
 
-def fixture(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, "id int, t string")
+def pick(phrases: list[str], key: Column) -> Column:
+    """One of the phrases by a row's number."""
+    return F.element_at(F.array(*map(F.lit, phrases)), (key % len(phrases) + 1).cast("int"))
 
 
-def values(rows: list[tuple[int, str]], name: str = "f(id, t)") -> str:
-    """The fixture as a SQL relation."""
-    return "(values " + ", ".join("({}, {})".format(i, quoted(t)) for i, t in rows) + f") {name}"
+def phrased(spark: SparkSession, sf_dir: str, phrases: list[str], name: str = "documents", last: bool = False) -> DataFrame:
+    """(id, t): every whole text of ``documents`` or ``benchmark`` with one of the phrases before it (behind it with ``last``), since the tables hold none of what these rules look for."""
+    key = F.col(_KEYS[name])
+    parts = [pick(phrases, key), F.lit("\n" if name == "documents" else " "), F.coalesce("text", F.lit(""))]
+    return table(spark, sf_dir, name).select(key.alias("id"), F.concat(*(parts[::-1] if last else parts)).alias("t"))
+
+
+_KEYS = {"documents": "doc_id", "benchmark": "item_id"}
+
+
+def pick_sql(phrases: list[str], key: str) -> str:
+    return "[" + ", ".join(map(quoted, phrases)) + f"][{key} % {len(phrases)} + 1]"
+
+
+def phrased_sql(phrases: list[str], name: str = "documents", last: bool = False) -> str:
+    """The same as a SQL relation."""
+    parts = [pick_sql(phrases, _KEYS[name]), "chr(10)" if name == "documents" else "' '", "coalesce(text, '')"]
+    return f"(select {_KEYS[name]} as id, {' || '.join(parts[::-1] if last else parts)} as t from {name}) f"
 
 
 def quoted(t: str) -> str:
@@ -115,13 +131,18 @@ def list_sql(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-#: The windows of all documents: (doc_id, pos, piece).
-WINDOWS_SQL = """(with recursive d as (select doc_id as id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
+def windows_sql(source: str) -> str:
+    """The windows of a relation's texts (id, t): (id, pos, piece)."""
+    return f"""(with recursive d as (select id, t, length(t) as n from {source}),
     w as (select id, 0 as i, 0 as s, 0 as e, false as over from d where n > 0
       union all select w.id, i + 1, s2, e2, e2 >= n from (select w.*, d.n, d.t, case when i = 0 then 0 else greatest(0, e - 120) end as s2 from w join d using (id) where not over) w,
       lateral (select least(s2 + 800, n) as raw), lateral (select greatest(s2, raw - 60) as low), lateral (select length(regexp_extract(substr(t, low + 1, raw - low + 1), '(?s)^(.*[\\n。；;])', 1)) as behind, length(regexp_extract(substr(t, raw + 1, least(n - 1, raw + 30) - raw + 1), '(?s)^([^\\n。；;]*[\\n。；;])', 1)) as ahead),
       lateral (select case when raw >= n then n when behind > 0 then low + behind when ahead > 0 then raw + ahead else raw end as e2))
-    select id as doc_id, (i - 1)::bigint as pos, substr(t, s + 1, e - s) as piece from w join d using (id) where i > 0)"""
+    select id, (i - 1)::bigint as pos, substr(t, s + 1, e - s) as piece from w join d using (id) where i > 0)"""
+
+
+#: The windows of all documents: (doc_id, pos, piece).
+WINDOWS_SQL = f"(select id as doc_id, pos, piece from {windows_sql("(select doc_id as id, coalesce(text, '') as t from documents)")})"
 #: ``documents`` as in ``corpus``, as chunks of their own, and ``benchmark`` as in ``questions``.
 CORPUS_SQL = f"""select doc_id * {PLACES} + pos as ord, split_part(coalesce(text, ''), chr(10), 1) as title, coalesce(source, '') as law_title, '第' || (pos + 1) || '条' as article_no, piece as content, coalesce(source, '') as source_path, coalesce(lang, '') as region_level, doc_id, '财库〔2022〕' || (doc_id % 97 + 1) || '号' as doc_no
     from {WINDOWS_SQL} join documents using (doc_id)"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veinwork.functions import meta as M
-from veinwork.operators import evaluate as V, terms as Q, workspace as W
-from veinwork.plans.base import query, strip_sql, table, values
+from veinwork.operators import evaluate as V, workspace as W
+from veinwork.domain import REGULATIONS as P
+from veinwork.plans.base import dense_sql, pick, pick_sql, query, strip_sql, table
+from veinwork.plans.texts import GARBLED_SQL
 from veinwork.sources import files as S, stores
 from veinwork.streaming import ingest as I
 
@@ -185,72 +187,87 @@ def legacy_hash(spark, sf):
 
 # Files.
 
+# Every document is a file's text; eleven of them make four folders, which are numbered.
 _FILES = [
-    (1, "/国家法规/a/content.md"), (2, "/国家法规/a/通知.pdf"), (3, "/国家法规/a/附件/模板.xlsx"), (4, "/江苏省政策法规/b/办法.docx"), (5, "/江苏省政策法规/b/清单.xls"), (6, "/江苏省政策法规/b/list.txt"),
-    (7, "/扬州文件制度/c/封面.pdf"), (8, "/扬州文件制度/c/目录.doc"), (9, "/d/content.html"), (10, "/d/实施细则流程.pdf"), (11, "/d/note.zip"),
+    "/国家法规/a%/content.md", "/国家法规/a%/通知.pdf", "/国家法规/a%/附件/模板.xlsx", "/江苏省政策法规/b%/办法.docx", "/江苏省政策法规/b%/清单.xls", "/江苏省政策法规/b%/list.txt",
+    "/扬州文件制度/c%/封面.pdf", "/扬州文件制度/c%/目录.doc", "/d%/content.html", "/d%/实施细则流程.pdf", "/d%/note.zip",
 ]
+_FIRST_WORDS = ["发稿时间 附件.pdf 见附件\n", *[""] * 7, "来源：门户\n", "", "采购活动应当依照本办法进行。" * 60]
 
 
-def _file_rows(spark):
-    text = F.when(F.col("id") == 1, F.lit("发稿时间 附件.pdf 见附件")).when(F.col("id") == 9, F.repeat(F.lit("正文内容很长。"), 600)).otherwise(F.repeat(F.lit("法"), (F.col("id") * 200).cast("int")))
-    return spark.createDataFrame(_FILES, "id int, path string").select("path", text.alias("text"), (F.col("id") * 1000).alias("size"))
+def _numbered(paths: list[str], every: int):
+    return F.replace(pick(paths, F.col("doc_id")), F.lit("%"), F.floor(F.col("doc_id") / every).cast("string"))
 
 
-@query("primary_selection", "select path, reason from (values ('/国家法规/a/通知.pdf', 'content.* 疑似摘要，自动切换为正文文件'), ('/江苏省政策法规/b/办法.docx', '目录无 content.*，过滤明显参考类文件后入库'), ('/扬州文件制度/c/封面.pdf', '目录无 content.*，全部文件按独立主文入库'), ('/扬州文件制度/c/目录.doc', '目录无 content.*，全部文件按独立主文入库'), ('/国家法规/a/附件/模板.xlsx', '目录无 content.*，全部文件按独立主文入库'), ('/d/content.html', '命中 content.*')) v(path, reason)")
-def primary_selection(spark, sf):
-    return S.primaries(_file_rows(spark)).select("path", "reason")
+def _numbered_sql(paths: list[str], every: int) -> str:
+    return f"replace({pick_sql(paths, 'doc_id')}, '%', (doc_id // {every})::varchar)"
 
 
-@query("attachments", "select * from (values ('/国家法规/a/通知.pdf', '/国家法规/a/附件/模板.xlsx'), ('/d/content.html', '/d/实施细则流程.pdf')) v(\"primary\", path)")
-def attachments(spark, sf):
-    rows = _file_rows(spark)
-    return S.attachments(rows, S.primaries(rows)).where("primary not like '%附件%'")
+def _file_rows(spark, sf):
+    text = F.concat(pick(_FIRST_WORDS, F.col("doc_id")), F.coalesce("text", F.lit("")))
+    return table(spark, sf, "documents").select(_numbered(_FILES, len(_FILES)).alias("path"), text.alias("text")).withColumn("size", F.length("text"))
 
 
-_KIND = [(1, "办法.pdf"), (2, "模板.docx"), (3, "x.csv"), (4, "扫描.pdf")]
+_REFERENCE = f"(regexp_matches(name, '{P.reference_file}') and not regexp_matches(name, '{P.legal_file}'))"
+_KINDS = f"""(select *, ext in ('md','txt','html','htm','pdf','doc','docx','xls','xlsx','csv','ppt','pptx') and name <> 'list.txt' as is_primary, ext in ('pdf','doc','docx','xls','xlsx','txt','md','html','htm') and name <> 'list.txt' as is_attachment,
+    name in ('content.md', 'content.html') as is_content, {_REFERENCE} as is_reference from (select *, regexp_extract(path, '([^/]*)$', 1) as name, regexp_extract(path, '\\.([^./]*)$', 1) as ext, regexp_extract(path, '^(.*)/[^/]*$', 1) as folder
+    from (select {_numbered_sql(_FILES, len(_FILES))} as path, {pick_sql(_FIRST_WORDS, 'doc_id')} || coalesce(text, '') as text from documents)))"""
+_ARTICLES_IN = f"len(regexp_extract_all(text, '{P.article}'))"
+_PRIMARIES = f"""(select *, case when page is null then case when plain then '目录无 content.*，过滤明显参考类文件后入库' else '目录无 content.*，全部文件按独立主文入库' end when switched then 'content.* 疑似摘要，自动切换为正文文件' else '命中 content.*' end as reason
+    from (select *, summary and best is not null as switched from (select *, max(case when path = page then n = 0 or (n <= 2400 and articles <= 1 and (hints >= 2 or (coalesce(longest, 0) > 0 and coalesce(longest, 0) >= greatest(1200.0, n * 1.6)))) end) over w as summary, arg_max(path, (rating, path)) filter (path <> page and not is_reference) over w as best, max(not is_content and not is_reference) over w as plain
+    from (select *, max(case when path <> page and not is_reference then n end) over (partition by folder) as longest from (select *, min(case when is_content then path end) over (partition by folder) as page, length({dense_sql('text')}) as n, {_ARTICLES_IN} as articles,
+      regexp_matches(text, '{P.summary_hint_ingest}')::int + (length({dense_sql('text')}) <= 2400)::int + (contains(text, '.pdf') or contains(text, '附件'))::int as hints,
+      case ext when 'pdf' then 120 when 'doc' then 110 when 'docx' then 110 when 'md' then 90 when 'txt' then 90 when 'html' then 75 when 'htm' then 75 when 'xls' then 60 when 'xlsx' then 60 else 0 end
+        + (case when regexp_matches(name, '{P.legal_file}') then 35 else 0 end) - (case when regexp_matches(name, '{P.reference_file}') then 35 else 0 end) + floor(least(30.0, log10(greatest(1, length(text))) * 6))::int as rating from {_KINDS} where is_primary)) window w as (partition by folder)))
+    where case when page is not null then path = case when switched then best else page end else not plain or not is_reference end)"""
 
 
-@query("attachment_kind", f"select id, case when regexp_matches(lower(t), '\\.(xls|xlsx|csv)$') or regexp_matches(t, '(样本|模板|清单|汇总|目录|台账|流程|封面|附表|表格|格式)') then '参考型附件' when regexp_matches(t, '(办法|细则|标准|规定|条例|通知|决定|意见|合同|制度|规则|指引|规范)') then '正文型附件' else '参考型附件' end as kind from {values(_KIND)}")
-def attachment_kind(spark, sf):
-    from veinwork.plans.base import fixture
+@query("primary_selection", f"select path, reason from {_PRIMARIES}")
+def primary_selection(spark, sf):
+    return S.primaries(_file_rows(spark, sf)).select("path", "reason")
 
-    return fixture(spark, _KIND).select("id", S.attachment_kind(F.col("t"), F.lit("短")).alias("kind"))
 
+@query("attachments", f"""with k as materialized (select * from {_KINDS}), m as materialized (select path as main, folder from {_PRIMARIES}), f as (select folder from k group by folder having max(is_content) or count(*) filter (is_primary) <= 1)
+    select distinct main as "primary", path from (select main, path from m join (select path, regexp_extract(path, '^(.*?)/附件/', 1) as folder from k where is_attachment and contains(path, '/附件/')) using (folder)
+      union all select main, path from m join (select path, folder from k where is_attachment and not is_content and folder in (select folder from f)) using (folder)) where main <> path""")
+def attachments(spark, sf):
+    rows = _file_rows(spark, sf)
+    return S.attachments(rows, S.primaries(rows))
+
+
+@query("attachment_kind", f"""select path, case when regexp_matches(name, '\\.(xls|xlsx|csv)$') or regexp_matches(name, '{P.reference_attachment}') or {GARBLED_SQL.format(d='d')} or not (regexp_matches(name, '{P.legal_attachment}') or length(d) > 1200 or regexp_matches(d, '{P.article_any}'))
+    then '参考型附件' else '正文型附件' end as kind from (select path, name, {dense_sql('text')} as d from {_KINDS})""")
+def attachment_kind(spark, sf):
+    return _file_rows(spark, sf).select("path", S.attachment_kind(M.file_name(F.col("path")), F.col("text")).alias("kind"))
 
-@query("file_kinds", "select path, name, ext in ('md','txt','html','htm','pdf','doc','docx','xls','xlsx','csv','ppt','pptx') and name <> 'list.txt' as is_primary, ext in ('pdf','doc','docx','xls','xlsx','txt','md','html','htm') and name <> 'list.txt' as is_attachment, name in ('content.md', 'content.html') as is_content, regexp_matches(name, '(封面|目录|样本|模板|清单|汇总|台账|流程|附表|格式|名录)') and not regexp_matches(name, '(办法|细则|条例|规定|通知|决定|意见|规则|指引|法|实施)') as is_reference from (select *, regexp_extract(t, '([^/]*)$', 1) as name, regexp_extract(t, '\\.([^./]*)$', 1) as ext, t as path from " + values(_FILES) + ")")
+
+@query("file_kinds", f"select path, name, is_primary, is_attachment, is_content, is_reference from {_KINDS}")
 def file_kinds(spark, sf):
-    return S.file_kinds(_file_rows(spark)).select("path", "name", "is_primary", "is_attachment", "is_content", "is_reference")
+    return S.file_kinds(_file_rows(spark, sf)).select("path", "name", "is_primary", "is_attachment", "is_content", "is_reference")
 
 
-@query("raw_attachments", "select regexp_replace(name, '\\.[^.]+$', '') as title, '附件原文 ' || regexp_replace(name, '\\.[^.]+$', '') || ' ' || regexp_extract(t, '([^/]*)/[^/]*$', 1) || ' ' || name as content, t as source_path from (select t, regexp_extract(t, '([^/]*)$', 1) as name from " + values(_FILES) + ")")
+@query("raw_attachments", f"select regexp_replace(name, '\\.[^.]+$', '') as title, '附件原文 ' || regexp_replace(name, '\\.[^.]+$', '') || ' ' || regexp_extract(folder, '([^/]*)$', 1) || ' ' || name as content, path as source_path from {_KINDS}")
 def raw_attachments(spark, sf):
-    return S.raw_attachment_rows(_file_rows(spark)).select("title", "content", "source_path")
+    return S.raw_attachment_rows(_file_rows(spark, sf)).select("title", "content", "source_path")
 
 
-_NAMES = [(1, "/国家法规/政府采购法实施条例/1_正文.pdf"), (2, "/data/x/03-关于某事项的通知.docx"), (3, "/a/corpus/abc.md")]
+_NAMES = ["/国家法规/政府采购法实施条例%/1_正文.pdf", "/data/x%/03-关于某事项的通知.docx", "/a%/corpus/abc.md"]
 
 
-@query("titles_of_files", "select * from (values (1, '政府采购法实施条例', '政府采购法实施条例'), (2, '关于某事项的通知', '关于某事项的通知'), (3, 'corpus', '短')) v(id, title, repaired)")
+@query("titles_of_files", f"select doc_id as id, {_numbered_sql(['政府采购法实施条例%', '关于某事项的通知', 'corpus'], 3)} as title, {_numbered_sql(['政府采购法实施条例%', '关于某事项的通知', '短'], 3)} as repaired from documents")
 def titles_of_files(spark, sf):
-    from veinwork.plans.base import fixture
-
-    return fixture(spark, _NAMES).select("id", M.title(F.lit(""), F.col("t")).alias("title"), M.repaired_title(F.lit("短"), F.col("t")).alias("repaired"))
+    """Titles out of the files' paths alone, one path for a document."""
+    path = _numbered(_NAMES, 3)
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), M.title(F.lit(""), path).alias("title"), M.repaired_title(F.lit("短"), path).alias("repaired"))
 
 
 @query("documents_of_files")
 def documents_of_files(spark, sf):
-    metas = spark.createDataFrame([("/国家法规/a", '{"title": "某通知", "文号": "财库 [2022] 3 号", "note": "x"}')], "folder string, json string")
-    return S.documents(S.primaries(_file_rows(spark)), metas)
-
-
-_ASKED = [(1, "价格减免 20 本国产品"), (2, "政府采购有哪几种方式"), (3, "甲乙")]
-
-
-@query("query_expansion")
-def query_expansion(spark, sf):
-    from veinwork.plans.base import fixture
-
-    return fixture(spark, _ASKED).select("id", Q.enriched_query(F.col("t"), F.col("t")).alias("query"), F.array_join(Q.keywords(F.col("t"), F.array().cast("array<string>")), "|").alias("keywords"), F.array_join(W.split_codes(F.col("t")), "|").alias("codes"))
+    """A meta.json lies in every second folder."""
+    rows = _file_rows(spark, sf)
+    folders = rows.select(M.parent(F.col("path")).alias("folder")).distinct().where(F.crc32("folder") % 2 == 0)
+    metas = folders.select("folder", F.to_json(F.struct(F.lit("某通知").alias("title"), F.concat(F.lit("财库 [2022] "), F.crc32("folder") % 900 + 1, F.lit(" 号")).alias("文号"), F.lit("x").alias("note"))).alias("json"))
+    return S.documents(S.primaries(rows), metas)
 
 
 @query("export_lines", "select conv_id, turn, sum(greatest(1, ceil(length(l) / 95.0)))::bigint as n from (select conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) as l from conversations) group by conv_id, turn")

@@ -143,6 +143,8 @@ def _candidates(spark, sf, profile=P, chunks=corpus):
 
 
 _CAND = f"{_SETUP}, {_LEXICAL}, top as materialized ({_top(_PLAIN, 24)}), cand as materialized (select qid, ord, score, title, law_title, article_no, source_path, region_level as lang, content, row_number() over (partition by qid order by score desc, ord) as rank from top join cc using (ord))"
+#: The plain top list as ``top``, beside the corpus ``cc``.
+CANDIDATES_SQL = f"{_SETUP}, {_LEXICAL}, top as materialized ({_top(_PLAIN, 24)})"
 _DEDUP = "ded as materialized (select qid, ord, score, title, law_title, content, row_number() over (partition by qid order by score desc, ord) as rank from (select *, row_number() over (partition by qid, law_title, article_no order by score desc, ord) as k from cand) where k = 1)"
 _FLOOR = "flo as materialized (select * exclude (rank, ok, any_ok), row_number() over (partition by qid order by score desc, ord) as rank from (select *, max(ok) over (partition by qid) as any_ok from (select *, score >= greatest(0.03, 0.55 * max(score) over (partition by qid)) as ok from ded)) where ok or (not any_ok and rank <= 6))"
 

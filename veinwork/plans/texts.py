@@ -8,7 +8,8 @@ from veinwork.domain import REGULATIONS as P
 from veinwork.functions import meta as M, text as T
 from veinwork.operators import chunk as C, terms as Q
 from veinwork.operators.retrieve import spread
-from veinwork.plans.base import any_sql, collapse_sql, corpus, CORPUS_SQL, dense_sql, distinct_sql, fixture, fold_sql, grams_sql, list_sql, query, questions, QUESTIONS_SQL, squeeze_sql, strip_sql, table, values
+from veinwork.operators.workspace import split_codes
+from veinwork.plans.base import any_sql, collapse_sql, corpus, CORPUS_SQL, dense_sql, distinct_sql, fold_sql, grams_sql, list_sql, phrased, phrased_sql, pick, pick_sql, query, questions, QUESTIONS_SQL, squeeze_sql, strip_sql, table, windows_sql, WINDOWS_SQL
 
 _NUM = "[一二三四五六七八九十百千万0-9]+"
 
@@ -105,25 +106,25 @@ def snippet_window(spark, sf):
 
 
 _META = [
-    (1, "[文号] 财库〔2022〕3号\n[发文机关] 财政部\n[疑似扫描] true\n正文第一行\n[未知] x\n[文号] 财库〔2023〕9号"),
-    (2, "无头部\n- Law_Level:  地方 \n- url: https://a.example/x"),
-    (3, ""),
-    (4, "[疑似乱码] TRUE\n[疑似摘要页] false\nabc"),
+    "[文号] 财库〔2022〕3号\n[发文机关] 财政部\n[疑似扫描] true\n正文第一行\n[未知] x\n[文号] 财库〔2023〕9号",
+    "无头部\n- Law_Level:  地方 \n- url: https://a.example/x",
+    "",
+    "[疑似乱码] TRUE\n[疑似摘要页] false\nabc",
 ]
 
 
 @query("meta_lines", f"""select id, {strip_sql("regexp_replace(t, '(?m)^\\[(" + "|".join(P.meta_keys) + ")\\].*$', '', 'g')")} as body, {strip_sql("regexp_replace(t, '(?m)^\\[[^\\]]+\\].*$', '', 'g')")} as bare,
     {strip_sql("regexp_extract(t, '(?m)^\\[文号\\]\\s*(.+)$', 1)")} as first_number, coalesce(trim(list_last(regexp_extract_all(t, '(?m)^\\[文号\\]\\s*(.*)$', 1))), '') as last_number,
     coalesce(lower(trim(list_last(regexp_extract_all(t, '(?m)^\\[疑似扫描\\]\\s*(.*)$', 1)))) = 'true', false) as scanned, coalesce(lower(trim(list_last(regexp_extract_all(t, '(?m)^\\[疑似乱码\\]\\s*(.*)$', 1)))) = 'true', false) as garbled,
-    {strip_sql("regexp_extract(t, '(?im)^-\\s*law_level:\\s*(.*)$', 1)")} as law_level from {values(_META)}""")
+    {strip_sql("regexp_extract(t, '(?im)^-\\s*law_level:\\s*(.*)$', 1)")} as law_level from {phrased_sql(_META)}""")
 def meta_lines(spark, sf):
     t = F.col("t")
-    return fixture(spark, _META).select("id", T.drop_meta(t).alias("body"), T.drop_marked(t).alias("bare"), T.meta_value(t, "文号").alias("first_number"), F.coalesce(T.meta_map(t)["文号"], F.lit("")).alias("last_number"), M.flags(t)["scanned"].alias("scanned"), M.flags(t)["garbled"].alias("garbled"), T.dash_value(t, "law_level").alias("law_level"))
+    return phrased(spark, sf, _META).select("id", T.drop_meta(t).alias("body"), T.drop_marked(t).alias("bare"), T.meta_value(t, "文号").alias("first_number"), F.coalesce(T.meta_map(t)["文号"], F.lit("")).alias("last_number"), M.flags(t)["scanned"].alias("scanned"), M.flags(t)["garbled"].alias("garbled"), T.dash_value(t, "law_level").alias("law_level"))
 
 
 _RULES = [
-    (1, "关于印发 财库 [2022] 3 号 的通知 第二十六条 第一款 自2024年3月5日起施行 财政部办公厅"), (2, "财政部令第74号 （一）采购 2024-3-5 和 2024/12/15"), (3, "中华人民共和国政府采购法"), (4, "政府采购法实施条例（附件: 表1）"),
-    (5, "江苏省政策法规 某某管理办法 苏财购〔2021〕17号 扬州市财政局"), (6, "plain text, no numbers"), (7, "某县住房城乡建设部通知 2024年12月31日"), (8, "国办发〔2025〕34号 国家法规"), (9, ""), (10, "2024-03-05 发布"),
+    "关于印发 财库 [2022] 3 号 的通知 第二十六条 第一款 自2024年3月5日起施行 财政部办公厅", "财政部令第74号 （一）采购 2024-3-5 和 2024/12/15", "中华人民共和国政府采购法", "政府采购法实施条例（附件: 表1）",
+    "江苏省政策法规 某某管理办法 苏财购〔2021〕17号 扬州市财政局", "plain text, no numbers", "某县住房城乡建设部通知 2024年12月31日", "国办发〔2025〕34号 国家法规", "", "2024-03-05 发布",
 ]
 
 
@@ -138,10 +139,10 @@ _ISSUER = "coalesce(" + ", ".join(f"case when contains(u, '{i}') then '{i}' end"
 
 
 @query("document_numbers", f"""select id, coalesce({_numbered_sql('u', P.doc_no)}, {_ORDER}, '') as doc_no, coalesce(translate(coalesce({_numbered_sql('t', P.doc_no_asked)}, {_numbered_sql('d', P.doc_no_asked)}), '（）〔〕()[]', ''), '') as asked,
-    regexp_replace(regexp_extract(t, '{P.doc_no_fast}'), '\\s+', '', 'g') as fast from (select id, t, {dense_sql('t')} as d, {_UNBRACKET.format(x=dense_sql('t'))} as u from {values(_RULES)})""")
+    regexp_replace(regexp_extract(t, '{P.doc_no_fast}'), '\\s+', '', 'g') as fast from (select id, t, {dense_sql('t')} as d, {_UNBRACKET.format(x=dense_sql('t'))} as u from {phrased_sql(_RULES)})""")
 def document_numbers(spark, sf):
     t = F.col("t")
-    return fixture(spark, _RULES).select("id", M.doc_number(t).alias("doc_no"), M.asked_doc_number(t).alias("asked"), M.fast_doc_number(t).alias("fast"))
+    return phrased(spark, sf, _RULES).select("id", M.doc_number(t).alias("doc_no"), M.asked_doc_number(t).alias("asked"), M.fast_doc_number(t).alias("fast"))
 
 
 @query("legal_fields", f"""select id, regexp_extract(t, '第{_NUM}条') as article, coalesce(nullif(regexp_extract(t, '第{_NUM}款'), ''), regexp_extract(t, '（{_NUM}）')) as clause,
@@ -149,10 +150,10 @@ def document_numbers(spark, sf):
     case when contains(t, '中华人民共和国') and ends_with(t, '法') then 'LAW' when contains(t, '条例') then 'ADMIN_REGULATION' when {any_sql('t', ('办法', '规定', '规则', '细则'))} then 'MINISTERIAL_RULE'
       when {any_sql('t', ('通知', '意见', '决定', '指引'))} then 'NORMATIVE_DOC' else 'OTHER' end as category,
     case when contains(t, '国家法规') then 'NATIONAL' when contains(t, '江苏省政策法规') then 'PROVINCIAL' when contains(t, '扬州文件制度') then 'MUNICIPAL' else 'UNKNOWN' end as region,
-    {_ISSUER} as issuer from (select id, t, {_UNBRACKET.format(x=dense_sql('t'))} as u from {values(_RULES)})""")
+    {_ISSUER} as issuer from (select id, t, {_UNBRACKET.format(x=dense_sql('t'))} as u from {phrased_sql(_RULES)})""")
 def legal_fields(spark, sf):
     t = F.col("t")
-    return fixture(spark, _RULES).select("id", M.article_no(t).alias("article"), M.clause_no(t).alias("clause"), M.law_title(t).alias("law"), M.category(t).alias("category"), M.region(t).alias("region"), M.issuer(t).alias("issuer"))
+    return phrased(spark, sf, _RULES).select("id", M.article_no(t).alias("article"), M.clause_no(t).alias("clause"), M.law_title(t).alias("law"), M.category(t).alias("category"), M.region(t).alias("region"), M.issuer(t).alias("issuer"))
 
 
 def _date_sql(x: str) -> str:
@@ -162,10 +163,10 @@ def _date_sql(x: str) -> str:
 
 
 @query("publish_dates", f"""select id, case when len(a) > 0 then {_date_sql('a[len(a)]')} else '' end as published, case when e <> '' then {_date_sql('e')} else '' end as effective, len(a) as n
-    from (select id, regexp_extract_all(t, '{P.date_cn}', 0) || regexp_extract_all(t, '{P.date_iso}', 0) as a, regexp_extract(t, '{P.date_effective}', 1) as e from {values(_RULES)})""")
+    from (select id, regexp_extract_all(t, '{P.date_cn}', 0) || regexp_extract_all(t, '{P.date_iso}', 0) as a, regexp_extract(t, '{P.date_effective}', 1) as e from {phrased_sql(_RULES)})""")
 def publish_dates(spark, sf):
     t = F.col("t")
-    return fixture(spark, _RULES).select("id", M.publish_date(t).alias("published"), M.effective_date(t).alias("effective"), F.size(M.all_dates(t)).cast("bigint").alias("n"))
+    return phrased(spark, sf, _RULES).select("id", M.publish_date(t).alias("published"), M.effective_date(t).alias("effective"), F.size(M.all_dates(t)).cast("bigint").alias("n"))
 
 
 @query("date_extract", f"""select event_id, {_date_sql('t')} as day from (select event_id, case event_id % 3 when 0 then year(ts) || '年' || month(ts) || '月' || day(ts) || '日'
@@ -201,70 +202,112 @@ def official_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", M.official_url(F.lit(None).cast("string"), F.concat(F.lit("来源 "), F.coalesce("url", F.lit("")), F.lit(") 等"))).alias("url"))
 
 
-_TITLES = [(1, "采购法 第二条 第一款（财库〔2022〕3号）"), (2, "采购法 第二条 （一）"), (3, "政府采购法"), (4, ""), (5, "实施条例第十条")]
+_TITLES = ["采购法 第二条 第一款（财库〔2022〕3号）", "采购法 第二条 （一）", "政府采购法", "", "实施条例第十条"]
 _PARTS = "^(.*?)(第[一二三四五六七八九十百千万0-9]+条)?(\\s*第[一二三四五六七八九十百千万0-9]+款)?(?:（(.+?)）)?$"
 
 
 @query("title_parts", f"""select id, case when t = '' then '未知法规' when trim(regexp_extract(t, '{_PARTS}', 1)) = '' then t else trim(regexp_extract(t, '{_PARTS}', 1)) end as law, trim(regexp_extract(t, '{_PARTS}', 2)) as article,
-    trim(regexp_extract(t, '{_PARTS}', 3)) as clause, trim(regexp_extract(t, '{_PARTS}', 4)) as doc_no from {values(_TITLES)}""")
+    trim(regexp_extract(t, '{_PARTS}', 3)) as clause, trim(regexp_extract(t, '{_PARTS}', 4)) as doc_no from (select doc_id as id, {collapse_sql(f"split_part(coalesce(text, ''), chr(10), 1) || ' ' || {pick_sql(_TITLES, 'doc_id')}")} as t from documents)""")
 def title_parts(spark, sf):
-    return fixture(spark, _TITLES).select("id", M.title_parts(F.col("t")).alias("p")).select("id", "p.*")
+    """Titles are the documents' first lines, with what a displayed title says of its place."""
+    said = F.concat(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), F.lit(" "), pick(_TITLES, F.col("doc_id")))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), M.title_parts(said).alias("p")).select("id", "p.*")
 
 
-_COMPARE = [(1, "请解释公开招标与邀请招标的区别"), (2, "询价和竞争性谈判的适用边界是什么"), (3, "没有比较"), (4, "A与B关系")]
+_COMPARE = ["请解释公开招标与邀请招标的区别", "询价和竞争性谈判的适用边界是什么", "没有比较", "A与B关系"]
 
 
-@query("compare_pairs", f"""select id, l as left_side, r as right_side from (select id, {strip_sql("regexp_replace(regexp_replace(regexp_replace(regexp_extract(d, '" + P.compare + "', 1), '^(请解释|解释|说明|请按法规依据说明|请按依据说明|请按法规说明)', ''), '^(在[一-龥]{1,8}，)', ''), '(的|之)$', '')")} as l,
-    {strip_sql("regexp_replace(regexp_replace(regexp_replace(regexp_extract(d, '" + P.compare + "', 3), '^(请解释|解释|说明|请按法规依据说明|请按依据说明|请按法规说明)', ''), '^(在[一-龥]{1,8}，)', ''), '(的|之)$', '')")} as r
-    from (select id, {dense_sql('t')} as d from {values(_COMPARE)})) where length(l) >= 2 and length(r) >= 2""")
+_SIDE = "regexp_replace(regexp_replace(regexp_replace(regexp_extract(d, '" + P.compare + "', {}), '^(请解释|解释|说明|请按法规依据说明|请按依据说明|请按法规说明)', ''), '^(在[一-龥]{{1,8}}，)', ''), '(的|之)$', '')"
+
+
+def pairs_sql(source: str) -> str:
+    sides = [strip_sql(_SIDE.replace("{2,20}", "{{2,20}}").format(i)) for i in (1, 3)]
+    return f"select id, l as left_side, r as right_side from (select id, {sides[0]} as l, {sides[1]} as r from (select id, {dense_sql('t')} as d from {source})) where length(l) >= 2 and length(r) >= 2"
+
+
+@query("compare_pairs", pairs_sql(phrased_sql(_COMPARE, "benchmark")))
 def compare_pairs(spark, sf):
-    return fixture(spark, _COMPARE).select("id", Q.compare_pair(F.col("t")).alias("p")).where("p is not null").select("id", F.col("p.left").alias("left_side"), F.col("p.right").alias("right_side"))
+    return phrased(spark, sf, _COMPARE, "benchmark").select("id", Q.compare_pair(F.col("t")).alias("p")).where("p is not null").select("id", F.col("p.left").alias("left_side"), F.col("p.right").alias("right_side"))
 
 
-_ASKED = [(1, "啥是政府采购法？办理流程，有哪些条件"), (2, "政府采购有哪几种采购方式"), (3, "第二十六条的处罚是什么意思"), (4, "关于印发 实施条例 的通知 20 价格"), (5, "本国产品价格减免 江苏")]
+_ASKED = ["啥是政府采购法？办理流程，有哪些条件", "政府采购有哪几种采购方式", "第二十六条的处罚是什么意思", "关于印发 实施条例 的通知 20 价格", "本国产品价格减免 江苏"]
 _INTENT = "case " + " ".join(f"when {any_sql('q', w)} then '{k}'" for k, w in P.intents) + " else 'OTHER' end"
 
 
-@query("query_intent", f"""select id, {_INTENT} as intent_type, case when contains(q, '政府采购法') then '中华人民共和国政府采购法' when contains(q, '实施条例') then '中华人民共和国政府采购法实施条例' else '' end as target_law,
-    regexp_extract(q, '第{_NUM}条') as target_article, array_to_string({distinct_sql("list_filter(regexp_split_to_array(q, '[\\s，。！？、,.!?;；:：]+'), lambda w: length(w) >= 2)")}[1:12], '|') as keywords
-    from (select id, lower(replace(replace(replace(t, '啥是', '什么是'), '啥叫', '什么是'), '啥意思', '什么意思')) as q from {values(_ASKED)})""")
+def intent_sql(source: str) -> str:
+    """(id, intent_type, target_law, target_article, words)."""
+    return f"""select id, {_INTENT} as intent_type, case when contains(q, '政府采购法') then '中华人民共和国政府采购法' when contains(q, '实施条例') then '中华人民共和国政府采购法实施条例' else '' end as target_law,
+    regexp_extract(q, '第{_NUM}条') as target_article, {distinct_sql("list_filter(regexp_split_to_array(q, '[\\s，。！？、,.!?;；:：]+'), lambda w: length(w) >= 2)")}[1:12] as words
+    from (select id, lower(replace(replace(replace({strip_sql('t')}, '啥是', '什么是'), '啥叫', '什么是'), '啥意思', '什么意思')) as q from {source})"""
+
+
+@query("query_intent", f"select id, intent_type, target_law, target_article, array_to_string(words, '|') as keywords from ({intent_sql(phrased_sql(_ASKED, 'benchmark'))})")
 def query_intent(spark, sf):
-    got = fixture(spark, _ASKED).select("id", Q.intent(F.col("t")).alias("i"))
+    got = phrased(spark, sf, _ASKED, "benchmark").select("id", Q.intent(F.col("t")).alias("i"))
     return got.select("id", "i.intent_type", "i.target_law", "i.target_article", F.array_join("i.keywords", "|").alias("keywords"))
 
 
-@query("question_kinds", f"""select id, {any_sql('n', P.broad)} as broad, contains(n, '与') and {any_sql('n', ('适用边界', '区别', '差异', '关系', '比较'))} as compare, {any_sql('n', P.ratio_words)} or (contains(n, '20') and contains(n, '价格')) as ratio,
-    {any_sql('n', ('什么是', '是什么', '是指', '定义', '概念', '含义'))} as definition, contains(n, '采购') and {any_sql('n', ('几种', '多少种', '方式'))} as method,
-    {any_sql('n', ('关于', '印发', '转发'))} and {any_sql('n', P.title_words)} as title_style, {any_sql('n', P.region_words)} as regional from (select id, {fold_sql('t')} as n from {values(_ASKED)})""")
+_METHOD = f"(contains(n, '采购') and {any_sql('n', ('几种', '多少种', '方式'))})"
+
+
+def kinds_sql(source: str) -> str:
+    return f"""select id, {any_sql('n', P.broad)} as broad, contains(n, '与') and {any_sql('n', ('适用边界', '区别', '差异', '关系', '比较'))} as compare, {any_sql('n', P.ratio_words)} or (contains(n, '20') and contains(n, '价格')) as ratio,
+    {any_sql('n', ('什么是', '是什么', '是指', '定义', '概念', '含义'))} as definition, {_METHOD} as method,
+    {any_sql('n', ('关于', '印发', '转发'))} and {any_sql('n', P.title_words)} as title_style, {any_sql('n', P.region_words)} as regional from (select id, {fold_sql('t')} as n from {source})"""
+
+
+@query("question_kinds", kinds_sql(phrased_sql(_ASKED, "benchmark")))
 def question_kinds(spark, sf):
-    return fixture(spark, _ASKED).select("id", Q.kinds(F.col("t")).alias("k")).select("id", "k.*")
+    return phrased(spark, sf, _ASKED, "benchmark").select("id", Q.kinds(F.col("t")).alias("k")).select("id", "k.*")
+
+
+def keywords_sql(n: str, own: str) -> str:
+    """The keywords of a folded question; ``own`` is a list."""
+    extra = lambda test, words: f"(case when {test} then {list_sql(words)} else [] end)"
+    every = " || ".join([
+        f"list_filter(list_transform({own}, lambda k: {fold_sql('k')}), lambda k: length(k) >= 2)", f"list_filter(string_split({n}, ' '), lambda w: length(w) >= 2 and not list_contains({list_sql(P.question_stopwords)}, w))",
+        extra(f"contains({n}, '减免')", ("扣除", "优惠", "价格扣除", "评审优惠")), extra(f"contains({n}, '本国产品')", ("本国产品标准", "声明函", "组件成本")), extra(any_sql(n, ("20", "二十")), ("20%", "20％", "百分之二十")),
+        extra(_METHOD.replace("(n,", f"({n},"), ("采购方式", *P.methods, "政府采购法", "第二十六条")),
+    ])
+    return f"list_transform([{every}], lambda a: {distinct_sql('a')}[1:20])[1]"
 
 
-_ARTICLES = [(1, "[文号] x\n总则\n序言\n第一条 甲。依照第二条办理。\n第二条 乙\n  第三条 丙"), (2, "# 标题\n正文一\n\n1. 小节\n正文二；"), (3, "只有一段"), (4, ""), (5, "第一章 总则\n内容\n第二章 分则\n内容\n内容")]
+_EXPANDED = ["价格减免 20 本国产品", "政府采购有哪几种方式", "甲乙"]
+
+
+@query("query_expansion", f"""select id, {strip_sql(f"t || case when contains(n, '减免') then ' 价格扣除 评审优惠 优惠' else '' end || case when contains(n, '本国产品') then ' 本国产品标准 声明函 组件成本' else '' end || case when {any_sql('n', ('20', '二十'))} then ' 20% 20％ 百分之二十' else '' end || case when {_METHOD} then ' 政府采购法 第二十六条 采购方式 {' '.join(P.methods)}' else '' end")} as query,
+    array_to_string({keywords_sql('n', '[]::varchar[]')}, '|') as keywords, array_to_string({distinct_sql('c')}, '|') as codes from (select id, t, {fold_sql('t')} as n, list_filter(regexp_split_to_array(t, '[\\s,，;；]+'), lambda x: x <> '') as c from {phrased_sql(_EXPANDED, 'benchmark')})""")
+def query_expansion(spark, sf):
+    t = F.col("t")
+    return phrased(spark, sf, _EXPANDED, "benchmark").select("id", Q.enriched_query(t, t).alias("query"), F.array_join(Q.keywords(t, F.array().cast("array<string>")), "|").alias("keywords"), F.array_join(split_codes(t), "|").alias("codes"))
+
+
+_ARTICLES = ["[文号] x\n总则\n序言\n第一条 甲。依照第二条办理。\n第二条 乙\n  第三条 丙", "# 标题\n正文一\n\n1. 小节\n正文二；", "只有一段", "", "第一章 总则\n内容\n第二章 分则\n内容\n内容"]
 _ART = f"第{_NUM}条"
 _STARTS = f"regexp_replace(regexp_replace(t, '({_ART})', chr(10) || '\\1', 'g'), chr(10) || chr(10) || '({_ART})', chr(10) || '\\1', 'g')"
 
 
-@query("article_blocks", f"""select id, pos - 1 as pos, {strip_sql('part')} as block from (select id, unnest(p[2:]) as part, unnest(range(1, len(p))) as pos from (select id, string_split(regexp_replace({_STARTS}, '(?m)^([^\\S\\n]*{_ART})', chr(1) || '\\1', 'g'), chr(1)) as p from {values(_ARTICLES)}))""")
+@query("article_blocks", f"""select id, pos - 1 as pos, {strip_sql('part')} as block from (select id, unnest(p[2:]) as part, unnest(range(1, len(p))) as pos from (select id, string_split(regexp_replace({_STARTS}, '(?m)^([^\\S\\n]*{_ART})', chr(1) || '\\1', 'g'), chr(1)) as p from {phrased_sql(_ARTICLES)}))""")
 def article_blocks(spark, sf):
-    return fixture(spark, _ARTICLES).select("id", F.posexplode(C.article_blocks(C.at_line_starts(F.col("t")))).alias("pos", "block")).select("id", F.col("pos").cast("bigint").alias("pos"), "block")
+    return phrased(spark, sf, _ARTICLES).select("id", F.posexplode(C.article_blocks(C.at_line_starts(F.col("t")))).alias("pos", "block")).select("id", F.col("pos").cast("bigint").alias("pos"), "block")
 
 
 def _sections_sql(source: str) -> str:
     return f"""select id, row_number() over (partition by id order by g) - 1 as pos, string_agg(line || chr(10), '' order by i) as section from (select id, i, line, sum(h) over (partition by id order by i) as g from (
     select id, i, line, (regexp_matches(line, '^(#{{1,6}}\\s+.+|第{_NUM}[章节条款].*|[0-9]+[.、].+)$'))::int as h from (select id, i, {strip_sql('raw')} as line from (
-    select id, unnest(string_split(t, chr(10))) as raw, unnest(range(1, 1 + len(string_split(t, chr(10))))) as i from {source})) where line <> '')) group by id, g"""
+    select id, unnest(string_split(t, chr(10))) as raw, unnest(range(1, 1 + len(string_split(t, chr(10))))) as i from {source})) where line <> '')) group by id, g
+    union all select id, 0, t from {source} where {strip_sql('t')} = ''"""
 
 
-@query("sections", _sections_sql(values([r for r in _ARTICLES if r[1]])))
+@query("sections", _sections_sql(phrased_sql(_ARTICLES)))
 def sections(spark, sf):
-    got = fixture(spark, [r for r in _ARTICLES if r[1]]).select("id", F.posexplode(C.sections(F.col("t"))).alias("pos", "section"))
+    got = phrased(spark, sf, _ARTICLES).select("id", F.posexplode(C.sections(F.col("t"))).alias("pos", "section"))
     return got.select("id", F.col("pos").cast("bigint").alias("pos"), "section")
 
 
-@query("document_sections", _sections_sql("(select doc_id as id, text as t from documents where length(text) > 0) f"))
+@query("document_sections", _sections_sql("(select doc_id as id, coalesce(text, '') as t from documents) f"))
 def document_sections(spark, sf):
-    got = table(spark, sf, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("id"), F.posexplode(C.sections(F.col("text"))).alias("pos", "section"))
+    got = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.posexplode(C.sections(F.col("text"))).alias("pos", "section"))
     return got.select("id", F.col("pos").cast("bigint").alias("pos"), "section")
 
 
@@ -274,33 +317,40 @@ def paragraphs(spark, sf):
     return got.select("page_id", F.col("pos").cast("bigint").alias("pos"), "paragraph")
 
 
-_HEADED = [(1, "---\ndoc_no: \"财库〔2022〕3号\"\nissuer: 财政部\nurl: https://a.example/1\n---\n前言\n#### 第一条 总则\n" + "采购活动应当遵循公开透明原则。" * 3 + "\n#### 第二条\n短\n#### 第三条 附则\n" + "本办法自公布之日起施行。" * 4), (2, "无前言\n\n" + "这一段足够长。" * 20 + "\n\n短段")]
+_HEADED = ["---\ndoc_no: \"财库〔2022〕3号\"\nissuer: 财政部\nurl: https://a.example/1\n---\n前言\n#### 第一条 总则\n" + "采购活动应当遵循公开透明原则。" * 3 + "\n#### 第二条\n短\n#### 第三条 附则\n" + "本办法自公布之日起施行。" * 4, "无前言\n\n" + "这一段足够长。" * 20 + "\n\n短段"]
 
 
-@query("headed_articles", f"""select id, h as heading, {strip_sql('x')} as content from (select id, unnest(hs) as h, unnest(string_split(regexp_replace(t, '(?m)^{P.article_heading}$', chr(1), 'g'), chr(1))[2:]) as x from (select id, t, regexp_extract_all(t, '(?m)^{P.article_heading}$', 1) as hs from {values(_HEADED)})) where length({strip_sql('x')}) >= 30""")
+@query("headed_articles", f"""select id, h as heading, {strip_sql('x')} as content from (select id, unnest(hs) as h, unnest(string_split(regexp_replace(t, '(?m)^{P.article_heading}$', chr(1), 'g'), chr(1))[2:]) as x from (select id, t, regexp_extract_all(t, '(?m)^{P.article_heading}$', 1) as hs from {phrased_sql(_HEADED)})) where length({strip_sql('x')}) >= 30""")
 def headed_articles(spark, sf):
-    return fixture(spark, _HEADED).select("id", F.explode(C.headed_articles(F.col("t"))).alias("a")).select("id", "a.heading", "a.content")
+    return phrased(spark, sf, _HEADED).select("id", F.explode(C.headed_articles(F.col("t"))).alias("a")).select("id", "a.heading", "a.content")
 
 
 @query("front_matter", f"""select id, coalesce(trim(replace(regexp_extract(b, '(?m)^doc_no:(.*)$', 1), '"', '')), '') as doc_no, coalesce(trim(regexp_extract(b, '(?m)^issuer:(.*)$', 1)), '') as issuer, coalesce(trim(regexp_extract(b, '(?m)^url:(.*)$', 1)), '') as url, length(body) as n
-    from (select id, regexp_extract(t, '(?s)^---\\n(.*?)\\n---\\n', 1) as b, regexp_replace(t, '(?s)^---\\n.*?\\n---\\n', '') as body from {values(_HEADED)})""")
+    from (select id, regexp_extract(t, '(?s)^---\\n(.*?)\\n---\\n', 1) as b, regexp_replace(t, '(?s)^---\\n.*?\\n---\\n', '') as body from {phrased_sql(_HEADED)})""")
 def front_matter(spark, sf):
-    got = fixture(spark, _HEADED).select("id", M.front_matter(F.col("t")).alias("f"))
+    got = phrased(spark, sf, _HEADED).select("id", M.front_matter(F.col("t")).alias("f"))
     of = lambda k: F.coalesce(F.col("f.fields")[k], F.lit("")).alias(k)
     return got.select("id", of("doc_no"), of("issuer"), of("url"), F.length("f.body").cast("bigint").alias("n"))
 
 
-@query("fast_chunks")
+def _dash_sql(key: str) -> str:
+    return f"nullif({strip_sql(f"regexp_extract(body, '(?im)^-[^\\S\\n]*{key}:[^\\S\\n]*(.*)$', 1)")}, '')"
+
+
+_FRONT = "nullif(trim(trim(regexp_extract(b, '(?m)^{}:(.*)$', 1)), '\"'), '')"
+_FAST_NO = f"nullif(regexp_replace(regexp_extract(body, '{P.doc_no_fast}'), '\\s+', '', 'g'), '')"
+
+
+@query("fast_chunks", f"""select '文件' || id as title, coalesce({_FRONT.format('doc_no')}, {_FAST_NO}, '') as doc_no, coalesce({_FRONT.format('issuer')}, '') as issuer, coalesce({_dash_sql('law_level')}, '') as law_level, part.h as article_no, part.x as content, '/c/文件' || id || '.md' as source_path, 'structured_text' as content_type,
+    coalesce({", ".join(_FRONT.format(k) for k in ("source_url", "url", "source_link"))}, {", ".join(_dash_sql(k) for k in ("source_url", "url", "source_link", "来源链接"))}, '') as source_url, pos::int - 1 as pos
+    from (select *, unnest(parts) as part, unnest(range(1, len(parts) + 1)) as pos from (select *, list_filter(case when regexp_matches(body, '(?m)^{P.article_heading}$') then list_transform(list_zip(regexp_extract_all(body, '(?m)^{P.article_heading}$', 1), string_split(regexp_replace(body, '(?m)^{P.article_heading}$', chr(1), 'g'), chr(1))[2:]), lambda z: {{'h': {strip_sql('z[1]')}, 'x': {strip_sql('z[2]')}, 'n': 30}})
+      else list_transform(regexp_split_to_array(body, '\\n\\s*\\n'), lambda z: {{'h': '', 'x': {strip_sql('z')}, 'n': 120}}) end, lambda z: length(z.x) >= z.n) as parts
+    from (select id, regexp_extract(t, '(?s)^---\\n(.*?)\\n---\\n', 1) as b, regexp_replace(t, '(?s)^---\\n.*?\\n---\\n', '') as body from {phrased_sql(_HEADED)})))""")
 def fast_chunks(spark, sf):
-    return C.fast_chunks(fixture(spark, _HEADED).select(F.concat(F.lit("/c/文件"), "id", F.lit(".md")).alias("path"), F.col("t").alias("text")))
+    return C.fast_chunks(phrased(spark, sf, _HEADED).select(F.concat(F.lit("/c/文件"), "id", F.lit(".md")).alias("path"), F.col("t").alias("text")))
 
 
-@query("chunk_windows", f"""with recursive d as (select doc_id as id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
-    w as (select id, 0 as i, 0 as s, 0 as e, false as over from d where n > 0
-      union all select w.id, i + 1, s2, e2, e2 >= n from (select w.*, d.n, d.t, case when i = 0 then 0 else greatest(0, e - 120) end as s2 from w join d using (id) where not over) w,
-      lateral (select least(s2 + 800, n) as raw), lateral (select greatest(s2, raw - 60) as low), lateral (select length(regexp_extract(substr(t, low + 1, raw - low + 1), '(?s)^(.*[\\n。；;])', 1)) as behind, length(regexp_extract(substr(t, raw + 1, least(n - 1, raw + 30) - raw + 1), '(?s)^([^\\n。；;]*[\\n。；;])', 1)) as ahead),
-      lateral (select case when raw >= n then n when behind > 0 then low + behind when ahead > 0 then raw + ahead else raw end as e2))
-    select id as doc_id, (i - 1)::bigint as pos, md5(substr(t, s + 1, e - s)) as piece, (e - s)::bigint as size from w join d using (id) where i > 0""")
+@query("chunk_windows", f"select doc_id, pos, md5(piece) as piece, length(piece) as size from {WINDOWS_SQL}")
 def chunk_windows(spark, sf):
     got = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(C.windows(F.col("text"))).alias("pos", "piece"))
     return got.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5("piece").alias("piece"), F.length("piece").cast("bigint").alias("size"))
@@ -319,26 +369,42 @@ def substantive_chunks(spark, sf):
     return got.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.length("line").cast("bigint").alias("n"))
 
 
-@query("chunk_documents")
+_CHUNK_TITLES = ["某办法", "某条例（附件: 表1）", "关于某事的通知"]
+_BODY = "regexp_replace(raw, '(?m)^\\[[^\\]]+\\].*$', '', 'g')"
+_CLAUSE = f"coalesce(nullif(regexp_extract(raw, '第{_NUM}款'), ''), regexp_extract(raw, '（{_NUM}）'))"
+
+
+@query("chunk_documents", f"""with d as materialized (select id, {pick_sql(_CHUNK_TITLES, 'id')} as title, {pick_sql(['某办法', '某条例', '关于某事的通知'], 'id')} as law_title, {pick_sql(['MINISTERIAL_RULE', 'ADMIN_REGULATION', 'NORMATIVE_DOC'], 'id')} as doc_category, t as text, {_STARTS} as t from {phrased_sql(_ARTICLES)}),
+    a as materialized (select id, unnest(p[2:]) as part, unnest(range(1, len(p))) as i from (select id, string_split(regexp_replace(t, '(?m)^([^\\S\\n]*{_ART})', chr(1) || '\\1', 'g'), chr(1)) as p from d)),
+    s as materialized ({_sections_sql('d')}), long as materialized (select id * 1000000 + pos as id, section as t from s where length(section) > 800),
+    every as (select id, i, 0 as j, part from a where id in (select id from a group by id having count(*) > 1)
+      union all select id, pos, 0, section from s where length(section) <= 800 and id not in (select id from a group by id having count(*) > 1)
+      union all select id // 1000000, id % 1000000, pos, piece from {windows_sql('long')} where id // 1000000 not in (select id from a group by id having count(*) > 1)),
+    u as (select id, {distinct_sql('l')} as l from (select id, list({strip_sql('part')} order by i, j) filter ({dense_sql('part')} <> '') as l from every group by id))
+    select id || '#' || pos as chunk_id, id::varchar as document_id, title, 'NATIONAL' as region_level, '/c/a.md' as source_path, '[法规标题] ' || law_title || chr(10) || '[法规类别] ' || doc_category || chr(10) || case when article_no <> '' then '[条号] ' || article_no || chr(10) else '' end || case when {_CLAUSE} <> '' then '[款项] ' || {_CLAUSE} || chr(10) else '' end || raw as content,
+      law_title, article_no, doc_category, pos from (select id, raw, pos::int - 1 as pos, regexp_extract(raw, '{_ART}') as article_no from (select id, unnest(l) as raw, unnest(range(1, len(l) + 1)) as pos from u)) join d using (id)
+    where regexp_matches(title, '{P.attachment_suffix}') or contains(text, '[文档类型] 附件') or length({dense_sql(_BODY)}) >= 36 or ({dense_sql(_BODY)} <> '' and regexp_matches({_BODY}, '{_ART}')) or (contains(raw, '[文档类型] 主文') and regexp_matches(raw, '(\\[疑似扫描\\] true|\\[提示\\] 主文抽取失败|\\[提示\\] 主文疑似扫描稿或可读文本为空)'))""")
 def chunk_documents(spark, sf):
-    docs = fixture(spark, _ARTICLES).select(F.col("id").cast("string").alias("id"), F.lit("某办法").alias("title"), F.lit("NATIONAL").alias("region_level"), F.lit("/c/a.md").alias("source_path"), F.col("t").alias("text"))
+    docs = spread(phrased(spark, sf, _ARTICLES)).select(F.col("id").cast("string").alias("id"), pick(_CHUNK_TITLES, F.col("id")).alias("title"), F.lit("NATIONAL").alias("region_level"), F.lit("/c/a.md").alias("source_path"), F.col("t").alias("text"))
     return C.chunk_documents(docs)
 
 
-_ANSWERS = [(1, "<think>plan\nx</think>结论：可以。\n\n\n\n来源路径: /home/a/b.md\n见 /opt/data/x.pdf 末"), (2, ""), (3, "<THINK>未完"), (4, "正常\n\n回答")]
+_ANSWERS = ["<think>plan\nx</think>结论：可以。\n\n\n\n来源路径: /home/a/b.md\n见 /opt/data/x.pdf 末", "", "<THINK>未完", "正常\n\n回答"]
 
 
-@query("sanitize_answer", f"""select id, {strip_sql("regexp_replace(regexp_replace(regexp_replace(" + strip_sql("regexp_replace(" + strip_sql("regexp_replace(t, '(?is)<think>.*?</think>', '', 'g')") + ", '(?is)<think>.*$', '', 'g')") + ", '(?im)^\\s*(\\*\\*)?(目录|文件绝对路径|文件路径|来源路径|绝对路径)(\\*\\*)?\\s*[:：].*$', '', 'g'), '(?i)(/users/\\S+|/home/\\S+|/opt/\\S+|/tmp/\\S+|/var/\\S+|[a-z]:\\\\\\\\\\S+)', '[已隐藏路径]', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} as answer from {values(_ANSWERS)}""")
+@query("sanitize_answer", f"""select id, case when length(a) > {P.answer_chars} then substr(a, 1, {P.answer_chars}) || '...' else a end as answer from (select id, {strip_sql("regexp_replace(regexp_replace(regexp_replace(" + strip_sql("regexp_replace(" + strip_sql("regexp_replace(t, '(?is)<think>.*?</think>', '', 'g')") + ", '(?is)<think>.*$', '', 'g')") + ", '(?im)^\\s*(\\*\\*)?(目录|文件绝对路径|文件路径|来源路径|绝对路径)(\\*\\*)?\\s*[:：].*$', '', 'g'), '(?i)(/users/\\S+|/home/\\S+|/opt/\\S+|/tmp/\\S+|/var/\\S+|[a-z]:\\\\\\\\\\S+)', '[已隐藏路径]', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} as a from {phrased_sql(_ANSWERS)})""")
 def sanitize_answer(spark, sf):
-    return fixture(spark, _ANSWERS).select("id", T.clean_answer(F.col("t")).alias("answer"))
+    return phrased(spark, sf, _ANSWERS).select("id", T.clean_answer(F.col("t")).alias("answer"))
 
 
-_JSON = [(1, '{"name": "某办法", "文号": "财库〔2022〕3号", "url": "https://a.example", "note": " a  b ", "n": 5}'), (2, "{}"), (3, "not json")]
+# Every tenth document's meta.json is empty, and every tenth none; the others hold the whole text as a note.
 
 
 @query("meta_json", """select id, coalesce(nullif(trim(j->>'$.title'), ''), nullif(trim(j->>'$.name'), ''), '') as title, coalesce(nullif(trim(j->>'$."文号"'), ''), '') as doc_no, coalesce(nullif(trim(j->>'$.url'), ''), '') as source_url,
-    coalesce(array_to_string(list_filter([case when j->>'$.note' is not null then 'note=' || trim(regexp_replace(j->>'$.note', '\\s+', ' ', 'g')) end, case when j->>'$.n' is not null then 'n=' || (j->>'$.n') end], lambda x: x is not null), ';'), '') as extras
-    from (select id, try_cast(t as json) as j from """ + values(_JSON) + ")")
+    coalesce(array_to_string(list_filter([case when coalesce(j->>'$.note', '') <> '' then 'note=' || case when length(x) > 200 then substr(x, 1, 200) || '...' else x end end, case when j->>'$.n' is not null then 'n=' || (j->>'$.n') end], lambda x: x is not null), ';'), '') as extras
+    from (select id, j, """ + collapse_sql("j->>'$.note'") + """ as x from (select doc_id as id, case doc_id % 10 when 0 then null when 1 then '{}'::json else json_object('name', source, '文号', '财库〔2022〕' || doc_id || '号', 'url', 'https://a.example', 'note', coalesce(text, ''), 'n', doc_id) end as j from documents))""")
 def meta_json(spark, sf):
-    got = fixture(spark, _JSON).select("id", M.meta_json(F.col("t")).alias("m"))
+    held = F.to_json(F.struct(F.col("source").alias("name"), F.concat(F.lit("财库〔2022〕"), "doc_id", F.lit("号")).alias("文号"), F.lit("https://a.example").alias("url"), F.coalesce("text", F.lit("")).alias("note"), F.col("doc_id").alias("n")))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, "not json").when(F.col("doc_id") % 10 == 1, "{}").otherwise(held).alias("t"))
+    got = docs.select("id", M.meta_json(F.col("t")).alias("m"))
     return got.select("id", "m.title", "m.doc_no", "m.source_url", F.array_join(F.transform(F.map_entries("m.extras"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("extras"))
