@@ -15,6 +15,9 @@ MODULES = {
     "op8_html_extract": "pages",
     "op9_lm_score": "lm",
     "op10_token_counts": "tokens",
+    "op11_ngram_join": "ngram_join",
+    "op12_merkle_manifest": "manifest",
+    "op13_hard_negatives": "negatives",
 }
 
 
