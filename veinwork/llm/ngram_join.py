@@ -2,7 +2,9 @@
 
 Two sets of at least ``percent`` / 100 similarity share an element among the first n - ceil(n percent / 100) + 1 of each, in any common order of all elements (prefix filter). The order here is by
 frequency class and hash; frequencies come from a sketch of fixed size over all texts, so errors in them change only the order, never a result. Documents of equal sets are one class. Classes
-that share a prefix element form a cluster (union-find over one edge a class and element), so every link lies inside a cluster; within it T-occurrence search finds all links.
+that share a prefix element form a cluster (union-find over one edge a class and element), so every link lies inside a cluster; within it T-occurrence search finds all links. The members of an element
+that is frequent by the sketch are dealt to several tasks first. Elements of few classes give their pairs instead, of which those go that can't be links: sets hold a parity bit for each hash cell, and no fewer elements
+differ than bits do. So long texts that happen to share a passage do not run together.
 
 A cluster is cut into cells of bounded size by size band and hash, and only cells whose sizes allow a link meet, each pair of cells in one group of its own; a set is copied to as many groups as its
 cell has partners, and no pairs are emitted. In a group the sets of one side are indexed as inverted lists, and each set of the other side looks for those that occur in at least T of its lists (DivideSkip): the L longest
@@ -17,17 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veinwork.llm.components import components
-from veinwork.llm.dedup import _keyed, _salted, groups
+from veinwork.llm.dedup import _keyed, groups
 from veinwork.llm.scratch import drop, map_arrow, stage, table
 from veinwork.llm.words import mix, shingle_hashes, slices
 
 #: Cells of the frequency sketch, parts that they are added up in, and partial sums of each part.
 CELLS, PARTS, PARTIAL = 1 << 22, 64, 16
+#: Members of an element that one task has, about: more frequent ones are dealt to several.
+MEMBERS = 1024
+#: An element of so many classes of like size gives all their pairs, to be looked at one by one.
+FEW = 8
 #: Rows and elements that a cell of a cluster has, about.
-CELL_ROWS, CELL_ELEMENTS = 1024, 1 << 19
+CELL_ROWS, CELL_ELEMENTS = 512, 1 << 19
+#: Bits of the filter by which a text pass leaves out the sets that no group needs.
+WANTED_BITS = 1 << 24
 #: Growth of sizes from band to band: a little more than any link at 80 per cent allows, so that linked sets are at most one band apart.
 BAND = 1.26
 #: The share of a list's logarithm that a probe costs, as in DivideSkip's choice of the number of long lists.
@@ -83,35 +91,141 @@ def frequency_classes(docs: DataFrame, width: int, cells: int = CELLS) -> np.nda
     return out.reshape(-1)
 
 
-def prefix(elements: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
-    """The first elements of a set (sorted hashes) in the order of frequency class and hash, as many as a link can't do without one of."""
-    n = len(elements)
-    order = np.argsort(frequency[_cell(elements, len(frequency))], kind="stable")
-    return elements[order[: n - least_overlap(n, percent) + 1]]
+def prefix(elements: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first elements of a set (sorted hashes) in the order of frequency class and hash, as many as a link can't do without one of, and their classes."""
+    own = frequency[_cell(elements, len(frequency))]
+    order = np.argsort(own, kind="stable")[: len(elements) - least_overlap(len(elements), percent) + 1]
+    return elements[order], own[order]
 
 
-def _sketched(width: int, percent: int, shared):
+def _sketched(width: int, percent: int, members: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = shared.value
+        frequency, mean = shared.value
+        alone = math.log2(max(members, 4 * mean))  # classes up to this one go to one task
         for batch in slices(batches, "text"):
             sets = list(shingle_hashes(batch.column("text"), width))
-            first = [prefix(s, frequency, percent) if len(s) else s for s in sets]
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
+            first = [prefix(s, frequency, percent) if len(s) else (s, np.zeros(0, np.uint8)) for s in sets]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p, _ in first])]).astype(np.int32))
+            spread = np.maximum(0, np.concatenate([c for _, c in first]).astype(np.int32) + 1 - math.ceil(alone))
+            sums = [pa.array([int(mix(s ^ x).sum(dtype=np.uint64)) for s in sets], pa.uint64()).view(pa.int64()) for x in (np.uint64(0), _STEP)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(mix(s).sum(dtype=np.uint64)) for s in sets], pa.uint64()).view(pa.int64()),
-                 pa.array([int(mix(s ^ _STEP).sum(dtype=np.uint64)) for s in sets], pa.uint64()).view(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))],
-                names=["doc_id", "text_key", "n", "f1", "f2", "prefix"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), *sums, pa.array([parity(s) for s in sets], pa.binary()),
+                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p for p, _ in first]).view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(spread))],
+                names=["doc_id", "text_key", "n", "f1", "f2", "bits", "prefix", "spread"])
 
-    return run, "doc_id bigint, text_key bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>"
+    return run, "doc_id bigint, text_key bigint, n bigint, f1 bigint, f2 bigint, bits binary, prefix array<bigint>, spread array<int>"
 
 
-def _sets(width: int):
+def parity(elements: np.ndarray) -> bytes:
+    """For each of 2 ** k cells, half as many as elements or more, whether an odd number of elements falls there."""
+    cells = 1 << max(6, (len(elements) // 2).bit_length())
+    return np.packbits(np.bincount((mix(elements) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """The number of elements in one set but not in the other is this much at least. Of unequal bitmaps the longer is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _possible(percent: int):
+    """The pairs whose bitmaps allow a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = [s.tobytes() for s in shingle_hashes(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "elements"])
+        for batch in batches:
+            total = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist()
+            differ = [differing(x, y) for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist())]
+            keep = pa.array([(100 + percent) * d <= (100 - percent) * t for d, t in zip(differ, total)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
 
-    return run, "id bigint, elements binary"
+    return run, "a bigint, b bigint"
+
+
+def _band(n: np.ndarray) -> np.ndarray:
+    return (np.log(n) / math.log(BAND)).astype(np.int64)
+
+
+def _starred(percent: int):
+    """Of rows sorted by (key, salt, n), cut where a size is too large to be linked with the one before: an edge (a, b) from each row to the first of its run, ``sure``; of a run of few rows all pairs, not ``sure``.
+    Where a key has several parts, a row for the first of each size band of a run as well, with keys (and no b) that parts with members of the same band or the next have in common."""
+    names = ["a", "b", "key", "sure"]
+
+    def edges(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.array(np.full(len(a), sure))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, low = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, salt, n, id_, spread = (batch.column(c).to_numpy() for c in ("key", "salt", "n", "id", "spread"))
+            before = last or (key[0], salt[0], 0)
+            k0, s0, n0 = (np.concatenate([[before[c]], x[:-1]]) for c, x in enumerate((key, salt, n)))
+            new = (key != k0) | (salt != s0) | (n * percent > n0 * 100)
+            of = np.cumsum(new)  # the run's number; 0 goes on from the batch before, the last may go on in the next
+            size = np.bincount(of)
+            few = (size[of] <= FEW) & (of > 0) & (of < of[-1]) & (spread == 0)
+            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            first = np.where(start >= 0, id_[start], low)
+            last, low = (int(key[-1]), int(salt[-1]), int(n[-1])), int(first[-1])
+            edge = (~new) & (id_ != first) & ~few
+            yield edges(id_[edge], first[edge], True)
+            for d in range(1, FEW):
+                i = np.flatnonzero(few[d:] & (of[d:] == of[:-d]))
+                yield edges(np.maximum(id_[i], id_[i + d]), np.minimum(id_[i], id_[i + d]), False)
+            band = _band(n)
+            head = np.flatnonzero((spread > 0) & (new | (band != _band(np.maximum(n0, 1)))))
+            for up in (0, 1):
+                keys = mix(key[head].view(np.uint64) ^ mix((band[head] + up).view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(id_[head]), pa.nulls(len(head), pa.int64()), pa.array(keys), pa.array(np.full(len(head), True))], names=names)
+
+    return run, "a bigint, b bigint, key bigint, sure boolean"
+
+
+def _edges(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) over which all classes of a key that may be linked reach each other: members (id, n, key, spread) go to 2 ** spread parts of a key, and the parts' first ones are joined after. ``bits``: (id, n, bits)."""
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.pow(F.lit(2), F.col("spread")).cast("int")).cast("int"))
+    run, schema = _starred(percent)
+    star = stage(map_arrow(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n"), run, schema).distinct(), "star")
+    heads = star.where("key is not null")
+    low = heads.groupBy("key").agg(F.min("a").alias("b"))
+    side = lambda c: bits.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    run, schema = _possible(percent)
+    pairs = map_arrow(star.where("not sure").select("a", "b").join(side("a"), "a").join(side("b"), "b"), run, schema)
+    return star.where("sure and key is null").select("a", "b").union(heads.select("key", "a").join(low, "key").where("a <> b").select("a", "b")).union(pairs)
+
+
+def _sets(width: int, shared):
+    """The sets of the texts whose key the filter knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            cell = (mix(batch.column("text_key").to_numpy().view(np.uint64)) & np.uint64(WANTED_BITS - 1)).astype(np.int64)
+            for part in slices(iter([batch.filter(pa.array((known[cell >> 3] >> (cell & 7) & 1).astype(bool)))]), "text"):
+                yield pa.RecordBatch.from_arrays([part.column("text_key"), pa.array([s.tobytes() for s in shingle_hashes(part.column("text"), width)], pa.binary())], names=["text_key", "elements"])
+
+    return run, "text_key bigint, elements binary"
+
+
+def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key's bit, as the number of a byte and a value."""
+    for batch in batches:
+        cell = np.unique(mix(batch.column("text_key").to_numpy().view(np.uint64)) & np.uint64(WANTED_BITS - 1)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cell >> 6), pa.array(np.left_shift(np.uint64(1), (cell & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+
+def _wanted(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the keys' hashes, of ``WANTED_BITS`` bits however many keys there are: false positives only."""
+    words = map_arrow(keys.select("text_key"), _filter_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(WANTED_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 class Index:
@@ -206,21 +320,22 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "root", "links"])
 
 
-def _cells(rows: DataFrame, cell_rows: int, cell_elements: int) -> DataFrame:
-    """Rows (id, cluster, n, copies) dealt to groups (cluster, i, j, side): small clusters to one group, others by pairs of cells; ``meets`` says that the group is of two cells."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
-    rows = rows.withColumn("band", band)
-    many = lambda: F.ceil(F.greatest(F.sum("rows") / cell_rows, F.sum("all") / cell_elements)).cast("int")
+_PLACES = "array<struct<cluster:bigint,i:bigint,j:bigint,side:int,meets:boolean>>"
+
+
+def _placed(rows: DataFrame, cell_rows: int, cell_elements: int) -> DataFrame:
+    """Rows (id, cluster, n, ...) with ``places``, the groups (cluster, i, j) and the side there that each goes to: small clusters are one group, others are cut into cells; ``meets`` says that the group is of two cells."""
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int"))
+    many = F.ceil(F.greatest(F.sum("rows") / cell_rows, F.sum("all") / cell_elements)).cast("int")
     bands = rows.groupBy("cluster", "band").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
-    of_cluster = bands.groupBy("cluster").agg(many().alias("parts"))
-    of_band = bands.groupBy("cluster", "band").agg(many().alias("cells"))
-    above = of_band.select("cluster", (F.col("band") - 1).alias("band"), F.col("cells").alias("above"))
-    below = of_band.select("cluster", (F.col("band") + 1).alias("band"), F.col("cells").alias("below"))
-    sizes = of_band.join(of_cluster, "cluster").join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left").fillna(0, ["above", "below"])
-    got = _salted(rows.withColumn("cb", F.xxhash64("cluster", "band")), sizes.withColumn("cb", F.xxhash64("cluster", "band")).drop("cluster", "band"), "cb").drop("cb")
+    large = bands.groupBy("cluster").agg(many.alias("parts")).where("parts > 1").select("cluster")
+    of_band = stage(bands.join(large, "cluster").groupBy("cluster", "band").agg(many.alias("cells")), "cells")
+    near = lambda by, name: of_band.select("cluster", (F.col("band") + by).alias("band"), F.col("cells").alias(name))
+    sizes = of_band.join(near(-1, "above"), ["cluster", "band"], "left").join(near(1, "below"), ["cluster", "band"], "left").fillna(0, ["above", "below"])
+    got = rows.join(sizes, ["cluster", "band"], "left")
     own = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
     code = lambda b, c: b.cast("bigint") * (1 << 32) + c  # noqa: E731  a cell's number: band and part
-    pair = lambda a, b, s, m: F.struct(a.alias("i"), b.alias("j"), F.lit(s).alias("side"), F.lit(m).alias("meets"))
+    pair = lambda a, b, s, m: F.struct("cluster", a.alias("i"), b.alias("j"), F.lit(s).alias("side"), F.lit(m).alias("meets"))
     me = code(F.col("band"), own)
     seq = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
     later = F.transform(seq(own + 1, F.col("cells") - 1), lambda c: pair(me, code(F.col("band"), c), 0, True))
@@ -228,11 +343,11 @@ def _cells(rows: DataFrame, cell_rows: int, cell_elements: int) -> DataFrame:
     up = F.transform(seq(F.lit(0), F.col("above") - 1), lambda c: pair(me, code(F.col("band") + 1, c), 0, True))
     down = F.transform(seq(F.lit(0), F.col("below") - 1), lambda c: pair(code(F.col("band") - 1, c), me, 1, True))
     zero = F.lit(0).cast("bigint")
-    places = F.when(F.col("parts") <= 1, F.array(pair(zero, zero, 0, False))).otherwise(F.concat(F.array(pair(me, me, 0, False)), later, former, up, down))
-    return got.withColumn("p", F.explode(places)).select("id", "cluster", "copies", "p.i", "p.j", "p.side", "p.meets")
+    places = F.when(F.col("cells").isNull(), F.array(pair(zero, zero, 0, False))).otherwise(F.concat(F.array(pair(me, me, 0, False)), later, former, up, down))
+    return got.withColumn("places", places.cast(_PLACES)).drop("band", "cells", "above", "below")
 
 
-def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, cells: int = CELLS, cell_rows: int = CELL_ROWS, cell_elements: int = CELL_ELEMENTS) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, cells: int = CELLS, members: int = MEMBERS, cell_rows: int = CELL_ROWS, cell_elements: int = CELL_ELEMENTS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every document: the set's size, the smallest doc_id that it reaches over links of similarity ``percent`` / 100 or more (80 at least), and how many other documents it is
     itself linked with, copies counted.
 
@@ -244,27 +359,30 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, cells: i
         raise ValueError("percent must be 80 to 100: size bands are made for it")
     spark = docs.sparkSession
     docs = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).withColumnRenamed("_text_key", "text_key")
-    run, schema = _sketched(width, percent, spark.sparkContext.broadcast(frequency_classes(docs, width, cells)))
+    frequency = frequency_classes(docs, width, cells)
+    run, schema = _sketched(width, percent, members, spark.sparkContext.broadcast((frequency, float(np.exp2(frequency).mean()))))
     sketch = stage(map_arrow(docs, run, schema).withColumn("row", F.monotonically_increasing_id()), "sketch")
 
     # Classes of equal sets; one of its rows stands for each.
     first = F.min(F.struct("row", "text_key")).alias("first")
     classes = stage(sketch.where("n > 0").groupBy("f1", "f2", "n").agg(first, F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()), "classes")
     named = classes.select(F.col("first.row").alias("row"), "id")
-    members = sketch.select("row", "prefix").join(named, "row").select("id", F.explode("prefix").alias("key"))
-    shared = members.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("c")).where("c > 1").select("key", "low")
-    edges = stage(_salted(members, shared, "key").select(F.col("id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct(), "edges")
-    clusters = stage(components(edges).select("id", F.col("component").alias("cluster")), "clusters")
-    drop(edges)
-
-    # The sets of those classes, each from the text of one row.
-    wanted = classes.join(clusters, "id")
-    read = wanted.select(F.col("first.text_key").alias("text_key"), "id")
-    run, schema = _sets(width)
-    sets = stage(map_arrow(docs.join(read, "text_key").dropDuplicates(["text_key", "id"]).select("id", "text"), run, schema), "sets")
-    dealt = _cells(wanted.select("id", "cluster", "n", "copies"), cell_rows, cell_elements).join(sets, "id")
+    own = sketch.select("row", "n", F.arrays_zip("prefix", "spread").alias("p")).join(named, "row").select("id", "n", F.explode("p").alias("p"))
+    own = own.select("id", "n", F.col("p.prefix").alias("key"), F.col("p.spread").alias("spread"))
+    bits = sketch.select("row", "n", "bits").join(named, "row").select("id", "n", "bits")
+    clusters = components(_edges(own, bits, percent)).select("id", F.col("component").alias("cluster"))
+
+    # The sets of those classes, each from the text of one row, straight to their groups.
+    wanted = classes.join(clusters, "id").select("id", "cluster", "n", "copies", F.col("first.text_key").alias("text_key"))
+    read = stage(_placed(wanted, cell_rows, cell_elements).select("text_key", "id", "copies", "places"), "places")
+    run, schema = _sets(width, spark.sparkContext.broadcast(_wanted(read)))
+    sets = map_arrow(docs.select("text_key", "text"), run, schema)
+    if not sketch.join(read, "text_key", "left_semi").groupBy("text_key").count().where("count > 1").isEmpty():  # rows of equal id and text: one is taken
+        sets = sets.groupBy("text_key").agg(F.first("elements").alias("elements"))
+    dealt = sets.join(read, "text_key").select("id", "copies", "elements", F.inline("places"))
     run, schema = _joined(percent)
     links = stage(map_arrow(dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), run, schema), "links")
+    drop(read)
     linked = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
 
     # Classes with their component's smallest id and their links, then all rows.
@@ -272,7 +390,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, percent: int = 80, cells: i
     full = classes.join(linked, "id", "left").join(count, "id", "left").withColumn("group", F.coalesce("component", "id"))
     low = full.groupBy("group").agg(F.min("least").alias("component_id"))
     full = stage(full.join(low, "group").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("gn"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
-    drop(sets, clusters, links)
+    drop(links)
     out = sketch.select("doc_id", "n", "f1", "f2").join(full, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("gn")), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
