@@ -28,40 +28,59 @@ def article_blocks(c: Column, profile: Profile = REGULATIONS) -> Column:
 def sections(c: Column, profile: Profile = REGULATIONS) -> Column:
     """Lines gathered from heading to heading; each line ends in a line feed."""
     lines = F.filter(F.transform(F.split(filled(c), r"\R"), strip), lambda t: ~blank(t))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    def step(acc: Column, line: Column) -> Column:
-        breaks = line.rlike(profile.heading) & (acc["open"] != "")
-        return F.struct(F.when(breaks, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.concat(F.when(breaks, "").otherwise(acc["open"]), line, F.lit("\n")).alias("open"))
+    def between(x: Column) -> Column:
+        starts, lines = x["starts"], x["lines"]
+        end = lambda i: F.coalesce(F.get(starts, i + 1), F.size(lines))
+        return F.transform(starts, lambda s, i: F.concat(F.array_join(F.slice(lines, s + 1, end(i) - s), "\n"), F.lit("\n")))
 
-    got = F.aggregate(lines, start, step, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
-    return F.when(F.size(got) == 0, F.array(filled(c))).otherwise(got)
+    def cut(lines: Column) -> Column:
+        starts = F.filter(F.transform(lines, lambda t, i: F.when((i == 0) | t.rlike(profile.heading), i)), lambda i: i.isNotNull())
+        return F.when(F.size(lines) == 0, F.array(filled(c))).otherwise(bind(F.struct(starts.alias("starts"), lines.alias("lines")), between))
+
+    return bind(lines, cut)
 
 
 def windows(c: Column, size: int = REGULATIONS.chunk_size, overlap: int = REGULATIONS.chunk_overlap) -> Column:
-    """Overlapping windows that end behind a line feed, full stop or semicolon near the size: up to 60 characters back, else up to 30 on."""
-    t = filled(c)
-    n = F.length(t)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("out"))
+    """Overlapping windows that end behind a line feed, full stop or semicolon near the size: up to 60 characters back, else up to 30 on.
+
+    The text is cut once into pieces a little longer than a window, so that a window is read from three of them at most, wherever it stands; the steps keep the windows' ends only. Time grows with the text's length.
+    """
+    long = size + 64
+
+    def of(x: Column) -> Column:
+        n, pieces = x["n"], x["pieces"]
+        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("over"), F.array().cast("array<int>").alias("ends"))
 
-    def ahead(raw: Column) -> Column:
-        on = F.substring(t, raw + 1, F.least(n - 1, raw + 30) - raw + 1)
-        return bind(F.length(F.regexp_extract(on, "(?s)^([^\\n。；;]*[\\n。；;])", 1)), lambda k: F.when(k > 0, raw + k).otherwise(raw))
+        def part(at: Column, length: Column) -> Column:
+            k = F.floor(at / long).cast("int")
+            return F.substring(F.concat_ws("", F.get(pieces, k), F.get(pieces, k + 1), F.get(pieces, k + 2)), at - k * long + 1, length)
 
-    def end_of(at: Column, raw: Column) -> Column:
-        low = F.greatest(at, raw - 60)
-        back = F.substring(t, low + 1, raw - low + 1)  # the characters low .. raw
-        return bind(F.length(F.regexp_extract(back, "(?s)^(.*[\\n。；;])", 1)), lambda k: F.when(k > 0, low + k).otherwise(ahead(raw)))
+        def ahead(raw: Column) -> Column:
+            on = part(raw, F.least(n - 1, raw + 30) - raw + 1)
+            return bind(F.length(F.regexp_extract(on, "(?s)^([^\\n。；;]*[\\n。；;])", 1)), lambda k: F.when(k > 0, raw + k).otherwise(raw))
 
-    def step(acc: Column, _: Column) -> Column:
-        def cut(end: Column) -> Column:
-            return F.struct(F.greatest(F.lit(0), end - overlap).alias("at"), (end >= n).alias("over"), F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, end - acc["at"]))).alias("out"))
+        def end_of(at: Column, raw: Column) -> Column:
+            low = F.greatest(at, raw - 60)
+            back = part(low, raw - low + 1)  # the characters low .. raw
+            return bind(F.length(F.regexp_extract(back, "(?s)^(.*[\\n。；;])", 1)), lambda k: F.when(k > 0, low + k).otherwise(ahead(raw)))
 
-        fresh = bind(F.least(acc["at"] + size, n), lambda raw: bind(F.when(raw >= n, n).otherwise(end_of(acc["at"], raw)), cut))
-        return F.when(acc["over"], acc).otherwise(fresh)
+        def step(acc: Column, _: Column) -> Column:
+            def cut(end: Column) -> Column:
+                return F.struct(F.greatest(F.lit(0), end - overlap).alias("at"), (end >= n).alias("over"), F.concat(acc["ends"], F.array(end)).alias("ends"))
 
-    steps = F.sequence(F.lit(0), F.ceil(n / F.lit(max(1, size - overlap - 60))).cast("int"))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.aggregate(steps, start, step, lambda acc: acc["out"]))
+            fresh = bind(F.least(acc["at"] + size, n), lambda raw: bind(F.when(raw >= n, n).otherwise(end_of(acc["at"], raw)), cut))
+            return F.when(acc["over"], acc).otherwise(fresh)
+
+        def read(ends: Column) -> Column:
+            first = lambda i: F.when(i == 0, 0).otherwise(F.greatest(F.lit(0), F.get(ends, i - 1) - overlap))
+            return F.transform(ends, lambda end, i: part(first(i), end - first(i)))
+
+        steps = F.sequence(F.lit(0), F.ceil(n / F.lit(max(1, size - overlap - 60))).cast("int"))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(bind(F.aggregate(steps, start, step, lambda acc: acc["ends"]), read))
+
+    t = filled(c)
+    return bind(F.struct(F.length(t).alias("n"), F.regexp_extract_all(t, F.lit(f"(?s).{{1,{long}}}"), F.lit(0)).alias("pieces")), of)
 
 
 def chunks(c: Column, profile: Profile = REGULATIONS) -> Column:
