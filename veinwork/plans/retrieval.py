@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veinwork.domain import NUMERALS, REGULATIONS as P
 from veinwork.functions import text as T
-from veinwork.operators import answer as A, retrieve as R, selection as E
+from veinwork.operators import answer as A, inverted as I, retrieve as R, selection as E
 from veinwork.functions import meta as M
 from veinwork.plans.base import CORPUS_SQL, ORACLES, PLACES, QUERIES, QUESTIONS_SQL, WHOLE_SQL, any_sql, collapse_sql, corpus, dense_sql, documents_whole, fold_sql, grams_sql, query, questions, squeeze_sql, table
 from veinwork.plans.texts import FAST_SQL, GARBLED_SQL, SUMMARY_SQL, TERMS_SQL, WEAK_SQL
@@ -56,6 +56,27 @@ def term_idf(spark, sf, profile=P, chunks=corpus):
     return got.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+_indexes: dict[tuple[str, str], I.Index] = {}
+
+
+def index(spark, sf) -> I.Index:
+    """The inverted index of the corpus, built once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        _indexes[key] = I.build(R.features(corpus(spark, sf)))
+    return _indexes[key]
+
+
+@query("indexed_topk", ORACLES["lexical_topk"])
+def indexed_topk(spark, sf):
+    return I.top_chunks(index(spark, sf), questions(spark, sf), 24)
+
+
+@query("indexed_idf", ORACLES["term_idf"])
+def indexed_idf(spark, sf):
+    return I.term_idf(index(spark, sf), questions(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 def _part(name):
     return lambda spark, sf, profile=P, chunks=corpus: R.retrieve(R.features(chunks(spark, sf), profile), questions(spark, sf), 10, part=name)
 
