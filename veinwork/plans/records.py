@@ -10,7 +10,7 @@ from veinwork.domain import REGULATIONS as P
 from veinwork.plans.base import dense_sql, pick, pick_sql, query, strip_sql, table
 from veinwork.plans.texts import GARBLED_SQL
 from veinwork.sources import files as S, stores
-from veinwork.streaming import ingest as I
+from veinwork.streaming import ingest as I, memo
 
 
 def _results(spark, sf):
@@ -277,3 +277,21 @@ def export_lines(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(lines(F.col("text"))).cast("bigint").alias("n"))
 
 
+
+
+def _requests(spark, sf):
+    """Events as requests to two instances: the type and a user's group are the question; answers of low value are not kept, a purchase of a high value reloads the corpus."""
+    e = table(spark, sf, "events")
+    return e.select((F.col("user_id") % 2).alias("instance"), F.col("event_id").alias("id"), "ts", memo.memo_key(F.concat_ws(" ", "event_type", (F.col("user_id") % 10).cast("string"))).alias("key"),
+                    (F.col("value") >= 5).alias("cacheable"), ((F.col("event_type") == "purchase") & (F.col("value") >= 60)).alias("reload"))
+
+
+@query("answer_memo", """with recursive r as (select event_id as id, user_id % 2 as instance, ts, event_type || (user_id % 10) as key, value >= 5 as cacheable, event_type = 'purchase' and value >= 60 as reload from events),
+    o as (select *, sum(reload::int) over (partition by instance order by ts, id) as era, row_number() over (partition by instance order by ts, id) as place from r),
+    k as materialized (select * from o where not reload and cacheable),
+    p as (select instance, key, era, min(ts) as made from k group by all
+      union select p.instance, p.key, p.era, (select min(ts) from k where k.instance = p.instance and k.key = p.key and k.era = p.era and k.ts > p.made + interval 30 minutes) from p where p.made is not null),
+    m as (select id, max(p.made) as made from o join p on not reload and p.instance = o.instance and p.key = o.key and p.era = o.era and p.made < o.ts and o.ts <= p.made + interval 30 minutes group by id)
+    select instance, id, m.made is not null as hit, m.made from r left join m using (id)""")
+def answer_memo(spark, sf):
+    return memo.replay(_requests(spark, sf)).withColumn("made", F.col("made").cast("timestamp_ntz"))
