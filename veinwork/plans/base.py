@@ -39,11 +39,16 @@ def _number():
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` cut into chunks (the windows of ``operators.chunk``): the document's first line is the title, its source the law, and the chunk's number an article's."""
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    cut = docs.select("doc_id", "source", "lang", F.substring_index("text", "\n", 1).alias("title"), F.posexplode(windows(F.col("text"))).alias("pos", "content"))
+    return chunk_table(spread(table(spark, sf_dir, "documents")))
+
+
+def chunk_table(docs: DataFrame, *more: str) -> DataFrame:
+    """The same of any table of documents, with ``more`` of its columns."""
+    docs = docs.select("doc_id", "source", "lang", *more, F.coalesce("text", F.lit("")).alias("text"))
+    cut = docs.select("doc_id", "source", "lang", *more, F.substring_index("text", "\n", 1).alias("title"), F.posexplode(windows(F.col("text"))).alias("pos", "content"))
     return cut.select(
         (F.col("doc_id") * PLACES + F.col("pos")).alias("ord"), "title", F.coalesce("source", F.lit("")).alias("law_title"), F.concat(F.lit("第"), F.col("pos") + 1, F.lit("条")).alias("article_no"),
-        "content", F.coalesce("source", F.lit("")).alias("source_path"), F.coalesce("lang", F.lit("")).alias("region_level"), "doc_id", _number().alias("doc_no"),
+        "content", F.coalesce("source", F.lit("")).alias("source_path"), F.coalesce("lang", F.lit("")).alias("region_level"), "doc_id", _number().alias("doc_no"), *more,
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import partial
 
@@ -11,7 +12,9 @@ from veinwork.domain import NUMERALS, REGULATIONS as P
 from veinwork.functions import text as T
 from veinwork.operators import answer as A, inverted as I, retrieve as R, selection as E
 from veinwork.functions import meta as M
-from veinwork.plans.base import CORPUS_SQL, ORACLES, PLACES, QUERIES, QUESTIONS_SQL, WHOLE_SQL, any_sql, collapse_sql, corpus, dense_sql, documents_whole, fold_sql, grams_sql, query, questions, squeeze_sql, table
+from veinwork.plans.base import CORPUS_SQL, ORACLES, PLACES, QUERIES, QUESTIONS_SQL, WHOLE_SQL, any_sql, chunk_table, collapse_sql, corpus, dense_sql, documents_whole, fold_sql, grams_sql, query, questions, squeeze_sql, table
+from veinwork.scratch import shared_dir
+from veinwork.streaming.index import LiveIndex
 from veinwork.plans.texts import FAST_SQL, GARBLED_SQL, SUMMARY_SQL, TERMS_SQL, WEAK_SQL
 
 _OWN = f"""(case when art <> '' then 0.03 else 0.0 end) + (case when length(law) >= 4 then 0.03 else 0.0 end) + (case when not summ and not garb then 0.02 else 0.0 end) - (case when n <= 1000 then 0.0 else least(0.18, (n - 1000) / 5200.0) end)
@@ -77,6 +80,23 @@ def indexed_idf(spark, sf):
     return I.term_idf(index(spark, sf), questions(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+#: Three batches of changes: the documents of odd ids, those of even ids, then new texts for some and deletions of others, with some old versions that come late.
+_CHANGED = "select doc_id, source, lang, case when doc_id % 10 = 4 then upper(coalesce(text, '')) || ' revised' else text end as text from documents where doc_id % 10 <> 3"
+_NEW_CF = CF.replace("cf as (", "cf as materialized (", 1)
+
+
+@query("live_frequencies", f"with changed as materialized ({_CHANGED}), cc as materialized ({CORPUS_SQL.replace('documents', 'changed')}), {_NEW_CF} select gram, count(*) as df from (select distinct ord, gram from (select ord, unnest({grams_sql('full_', 2)} || {grams_sql('full_', 3)} || {grams_sql('full_', 4)}) as gram from cf)) group by gram")
+def live_frequencies(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    live = LiveIndex(spark, f"{shared_dir(spark)}/veinwork/live-{uuid.uuid4().hex}", docs.schema, lambda d: chunk_table(d, "version"))
+    first = docs.withColumns({"version": F.lit(1), "deleted": F.lit(False)})
+    revised = docs.withColumns({"version": F.lit(2), "deleted": F.col("doc_id") % 10 == 3, "text": F.concat(F.upper(F.coalesce("text", F.lit(""))), F.lit(" revised"))}).where("doc_id % 10 in (3, 4)")
+    live.apply(first.where("doc_id % 2 = 1"), 0)
+    live.apply(revised.unionByName(first.where("doc_id % 10 = 5")), 1)  # documents of even ids are revised before they come
+    live.apply(first.where("doc_id % 2 = 0"), 2)
+    return live.frequencies()
+
+
 def _part(name):
     return lambda spark, sf, profile=P, chunks=corpus: R.retrieve(R.features(chunks(spark, sf), profile), questions(spark, sf), 10, part=name)
 
