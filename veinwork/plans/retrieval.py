@@ -81,7 +81,7 @@ def indexed_idf(spark, sf):
 
 
 #: Three batches of changes: the documents of odd ids, those of even ids, then new texts for some and deletions of others, with some old versions that come late.
-_CHANGED = "select doc_id, source, lang, case when doc_id % 10 = 4 then upper(coalesce(text, '')) || ' revised' else text end as text from documents where doc_id % 10 <> 3"
+_CHANGED = "select doc_id, source, lang, case when doc_id % 10 = 4 then replace(coalesce(text, ''), 'e', 'o') || ' revised' else text end as text from documents where doc_id % 10 <> 3"
 _NEW_CF = CF.replace("cf as (", "cf as materialized (", 1)
 
 
@@ -90,7 +90,7 @@ def live_frequencies(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     live = LiveIndex(spark, f"{shared_dir(spark)}/veinwork/live-{uuid.uuid4().hex}", docs.schema, lambda d: chunk_table(d, "version"))
     first = docs.withColumns({"version": F.lit(1), "deleted": F.lit(False)})
-    revised = docs.withColumns({"version": F.lit(2), "deleted": F.col("doc_id") % 10 == 3, "text": F.concat(F.upper(F.coalesce("text", F.lit(""))), F.lit(" revised"))}).where("doc_id % 10 in (3, 4)")
+    revised = docs.withColumns({"version": F.lit(2), "deleted": F.col("doc_id") % 10 == 3, "text": F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("e"), F.lit("o")), F.lit(" revised"))}).where("doc_id % 10 in (3, 4)")
     live.apply(first.where("doc_id % 2 = 1"), 0)
     live.apply(revised.unionByName(first.where("doc_id % 10 = 5")), 1)  # documents of even ids are revised before they come
     live.apply(first.where("doc_id % 2 = 0"), 2)
