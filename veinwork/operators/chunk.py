@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from veinwork.functions.meta import article_no, category, clause_no, enriched, law_title
 from veinwork.functions.text import bind, blank, dense, filled, strip
@@ -102,11 +102,18 @@ def attachment_document(title: Column, path: Column, text: Column, profile: Prof
     return filled(title).rlike(profile.attachment_suffix) | F.contains(filled(path), F.lit("/附件/")) | F.contains(filled(text), F.lit("[文档类型] 附件"))
 
 
-def chunk_documents(docs: DataFrame, profile: Profile = REGULATIONS) -> DataFrame:
-    """(id, title, region_level, source_path, text) into the chunk table. A chunk's number counts the chunks that are left out as well."""
+def chunk_documents(docs: DataFrame, profile: Profile = REGULATIONS, seen: tuple[Observation, Observation] | None = None) -> DataFrame:
+    """(id, title, region_level, source_path, text) into the chunk table. A chunk's number counts the chunks that are left out as well.
+
+    ``seen``: two observations that get the numbers of ``documents``, and of ``chunks`` and ``skipped`` ones, when the result is written."""
+    if seen:
+        docs = docs.observe(seen[0], F.count(F.lit(1)).alias("documents"))
     law = law_title(F.col("title"), profile)
     cut = docs.withColumn("law_title", law).withColumn("doc_category", category(law, profile)).select("*", F.posexplode(chunks(F.col("text"), profile)).alias("pos", "raw"))
-    kept = cut.where(attachment_document(F.col("title"), F.col("source_path"), F.col("text"), profile) | substantive(F.col("raw"), profile))
+    keep = attachment_document(F.col("title"), F.col("source_path"), F.col("text"), profile) | substantive(F.col("raw"), profile)
+    if seen:
+        cut = cut.withColumn("_keep", F.coalesce(keep, F.lit(False))).observe(seen[1], F.count_if("_keep").alias("chunks"), F.count_if(~F.col("_keep")).alias("skipped"))
+    kept = cut.where(F.col("_keep") if seen else keep)
     article, clause = article_no(F.col("raw"), profile), clause_no(F.col("raw"), profile)
     return kept.select(
         F.concat_ws("#", "id", "pos").alias("chunk_id"), F.col("id").alias("document_id"), "title", "region_level", "source_path",

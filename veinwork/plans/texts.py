@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veinwork.domain import REGULATIONS as P
@@ -9,7 +11,9 @@ from veinwork.functions import meta as M, text as T
 from veinwork.operators import chunk as C, terms as Q
 from veinwork.operators.retrieve import spread
 from veinwork.operators.workspace import split_codes
-from veinwork.plans.base import any_sql, collapse_sql, corpus, CORPUS_SQL, dense_sql, distinct_sql, fold_sql, grams_sql, list_sql, phrased, phrased_sql, pick, pick_sql, query, questions, QUESTIONS_SQL, squeeze_sql, strip_sql, table, windows_sql, WINDOWS_SQL
+from veinwork.plans.base import ORACLES, any_sql, collapse_sql, corpus, CORPUS_SQL, dense_sql, distinct_sql, fold_sql, grams_sql, list_sql, phrased, phrased_sql, pick, pick_sql, query, questions, QUESTIONS_SQL, squeeze_sql, strip_sql, table, windows_sql, WINDOWS_SQL
+from veinwork.scratch import shared_dir
+from veinwork.sources import stores
 
 _NUM = "[一二三四五六七八九十百千万0-9]+"
 
@@ -385,8 +389,22 @@ _CLAUSE = f"coalesce(nullif(regexp_extract(raw, '第{_NUM}款'), ''), regexp_ext
       law_title, article_no, doc_category, pos from (select id, raw, pos::int - 1 as pos, regexp_extract(raw, '{_ART}') as article_no from (select id, unnest(l) as raw, unnest(range(1, len(l) + 1)) as pos from u)) join d using (id)
     where regexp_matches(title, '{P.attachment_suffix}') or contains(text, '[文档类型] 附件') or length({dense_sql(_BODY)}) >= 36 or ({dense_sql(_BODY)} <> '' and regexp_matches({_BODY}, '{_ART}')) or (contains(raw, '[文档类型] 主文') and regexp_matches(raw, '(\\[疑似扫描\\] true|\\[提示\\] 主文抽取失败|\\[提示\\] 主文疑似扫描稿或可读文本为空)'))""")
 def chunk_documents(spark, sf):
-    docs = spread(phrased(spark, sf, _ARTICLES)).select(F.col("id").cast("string").alias("id"), pick(_CHUNK_TITLES, F.col("id")).alias("title"), F.lit("NATIONAL").alias("region_level"), F.lit("/c/a.md").alias("source_path"), F.col("t").alias("text"))
-    return C.chunk_documents(docs)
+    return C.chunk_documents(_documents_to_cut(spark, sf))
+
+
+def _documents_to_cut(spark, sf):
+    return spread(phrased(spark, sf, _ARTICLES)).select(F.col("id").cast("string").alias("id"), pick(_CHUNK_TITLES, F.col("id")).alias("title"), F.lit("NATIONAL").alias("region_level"), F.lit("/c/a.md").alias("source_path"), F.col("t").alias("text"))
+
+
+_CUT_SQL, _, _REST = ORACLES["chunk_documents"].partition("    select id || '#' ||")
+_CUT_FROM, _, _KEPT = ("from " + _REST.partition("doc_category, pos from ")[2]).partition("\n    where ")
+
+
+@query("ingest_counters", f"{_CUT_SQL} select (select count(*) from d) as documents, count(*) filter ({_KEPT}) as chunks, count(*) filter (not ({_KEPT})) as skipped {_CUT_FROM}")
+def ingest_counters(spark, sf):
+    """The counters of writing all chunks, taken while they are written."""
+    got = stores.ingest(_documents_to_cut(spark, sf), f"{shared_dir(spark)}/veinwork/chunks-{uuid.uuid4().hex}")
+    return spark.createDataFrame([(got["documents"], got["chunks"], got["skipped"])], "documents bigint, chunks bigint, skipped bigint")
 
 
 _ANSWERS = ["<think>plan\nx</think>结论：可以。\n\n\n\n来源路径: /home/a/b.md\n见 /opt/data/x.pdf 末", "", "<THINK>未完", "正常\n\n回答"]

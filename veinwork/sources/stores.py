@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
+
+from veinwork.domain import REGULATIONS, Profile
+from veinwork.operators.chunk import chunk_documents
 
 CHUNK = "chunkId string, documentId string, title string, regionLevel string, sourcePath string, content string, lawTitle string, articleNo string, docCategory string"
 
@@ -63,3 +66,10 @@ def merge_document(store: DataFrame, changes: DataFrame) -> DataFrame:
     """A key-value store (id, payload) with the last change (id, payload, at) of each id in place."""
     last = changes.groupBy("id").agg(F.max_by("payload", "at").alias("payload"))
     return store.join(last.select("id"), "id", "left_anti").unionByName(last)
+
+
+def ingest(docs: DataFrame, path: str, profile: Profile = REGULATIONS) -> dict[str, int]:
+    """Cuts documents (id, title, region_level, source_path, text) into chunks and writes them. The numbers of documents, of chunks written and of chunks left out are taken on the way, in the same pass."""
+    seen = (Observation(), Observation())
+    chunk_documents(docs, profile, seen).write.mode("overwrite").parquet(path)
+    return {**seen[0].get, **seen[1].get}
