@@ -140,7 +140,7 @@ def merge_max(spark, sf, profile=P, chunks=corpus):
     return R.merge_best(lexical_topk(spark, sf, profile, chunks), R.vector_search(first, asked, 24), 30)
 
 
-@query("docno_first", f"with {_SETUP}, {_LEXICAL}, wide as materialized ({_top(_PLAIN, 240)}), hit as materialized ({_top('select qid, ord, score from wide join cc using (ord) where doc_id % 97 = qid % 97', 24)}) select * from hit union all select qid, ord, score, rank from wide where rank <= 48 and qid not in (select qid from hit)")
+@query("docno_first", f"with {_SETUP}, {_LEXICAL}, wide as materialized ({_top(_PLAIN, 240)}), hit as materialized ({_top(f'select qid, ord, score from wide where (ord // {PLACES}) % 97 = qid % 97', 24)}) select * from hit union all select qid, ord, score, rank from wide where rank <= 48 and qid not in (select qid from hit)")
 def docno_first(spark, sf, profile=P, chunks=corpus):
     """Questions name a document's number, n of 97: the 24 best chunks of such documents among the 240 best, else the plain result."""
     numbered = chunks(spark, sf).select("ord", M.bare_number(M.text_doc_number(F.col("doc_no"))).alias("number"))
