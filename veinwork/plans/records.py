@@ -8,8 +8,8 @@ from veinwork.functions import meta as M
 from veinwork.operators import evaluate as V, workspace as W
 from veinwork.domain import REGULATIONS as P
 from veinwork.plans.base import dense_sql, pick, pick_sql, query, strip_sql, table
-from veinwork.plans.texts import GARBLED_SQL
-from veinwork.sources import files as S, stores
+from veinwork.plans.texts import GARBLED_SQL, _html_sql
+from veinwork.sources import extract, files as S, stores
 from veinwork.streaming import ingest as I, memo
 
 
@@ -278,7 +278,6 @@ def export_lines(spark, sf):
 
 
 
-
 def _requests(spark, sf):
     """Events as requests to two instances: the type and a user's group are the question; answers of low value are not kept, a purchase of a high value reloads the corpus."""
     e = table(spark, sf, "events")
@@ -295,3 +294,15 @@ def _requests(spark, sf):
     select instance, id, m.made is not null as hit, m.made from r left join m using (id)""")
 def answer_memo(spark, sf):
     return memo.replay(_requests(spark, sf)).withColumn("made", F.col("made").cast("timestamp_ntz"))
+
+
+_KINDS = ["html", "pdf", "txt", "bin", "PDF"]
+
+
+@query("mixed_files", f"""select page_id, md5(text) as text, length(text) as n, false as scanned, strategy from (select page_id, case when k in ('html', 'pdf', 'PDF') then {_html_sql('html')} when k = 'txt' then html else '' end as text,
+    case k when 'html' then 'html' when 'txt' then 'plain' when 'bin' then 'unsupported' else 'html-mime' end as strategy from (select page_id, coalesce(html, '') as html, {pick_sql(_KINDS, 'page_id')} as k from pages))""")
+def mixed_files(spark, sf):
+    """Pages as files of several names, two of them wrong."""
+    pages = table(spark, sf, "pages")
+    files = pages.select("page_id", F.concat(F.lit("/c/"), F.col("page_id"), F.lit("."), pick(_KINDS, F.col("page_id"))).alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    return extract.read_by_content(files).select("page_id", F.md5("text").alias("text"), F.length("text").cast("bigint").alias("n"), "scanned", "strategy")

@@ -24,7 +24,7 @@ WEIGHTS = (("pdf", 120), ("doc", 110), ("docx", 110), ("md", 90), ("txt", 90), (
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, size) of all files below the root."""
+    """(path, content, size) of all files below the root that hold a byte."""
     got = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return got.select(F.regexp_replace("path", "^file:", "").alias("path"), "content", F.col("length").alias("size"))
 
