@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -70,32 +72,51 @@ def links(rows: DataFrame, most: int = 4) -> DataFrame:
     return got.where((F.col("_any") & (F.col("at") >= 0) & (F.col("place") <= most)) | (~F.col("_any") & (F.col("place") == 1))).select("qid", "label", "url", "place")
 
 
-def answer_with(prompts_: DataFrame, chat: Callable[[list[str]], list[str]]) -> DataFrame:
-    """The (qid, prompt) rows with ``answer`` by a model: ``chat`` gets a batch's prompts. It runs on the executors."""
+def asked(call: Callable[[list], list], part: list, tries: int, wait: float, limit: float | None) -> list | None:
+    """A model's results for one batch; None if it fails ``tries`` times, each after a longer wait, or takes more than ``limit`` seconds. A call that hangs is left behind on a thread of its own."""
+    for k in range(tries):
+        if k:
+            time.sleep(wait * 2 ** (k - 1))
+        got: list = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chat(b.column("prompt").to_pylist()), pa.string())], names=[*b.schema.names, "answer"])
+        def once(got: list = got) -> None:
+            try:
+                got.append(list(call(part)))
+            except Exception:
+                return  # counted as a failed try
 
-    ship(prompts_.sparkSession)
-    return prompts_.mapInArrow(run, T.StructType([*prompts_.schema.fields, T.StructField("answer", T.StringType())]))
+        thread = threading.Thread(target=once, daemon=True)
+        thread.start()
+        thread.join(limit)
+        if got:
+            return got[0]
+    return None
 
 
-def embed_with(texts: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], batch: int = 32) -> DataFrame:
-    """The (id, text) rows with ``vector`` by a model, in batches; what fails has none."""
+def _in_batches(rows: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa.DataType, call: Callable[[list], list], failed, batch: int, tries: int, wait: float, limit: float | None) -> DataFrame:
+    """``rows`` with a column ``name`` of what ``call`` gives for ``source``, a batch at a time; a batch that fails, and what it leaves out, has ``failed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list = []
-            texts_ = b.column("text").to_pylist()
-            for i in range(0, len(texts_), batch):
-                part = texts_[i : i + batch]
-                got = embed(part)
-                out += [*got, *[None] * len(part)][: len(part)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names, "vector"])
-
-    ship(texts.sparkSession)
-    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+            given, out = b.column(source).to_pylist(), []
+            for i in range(0, len(given), batch):
+                part = given[i : i + batch]
+                got = asked(call, part, tries, wait, limit) or []
+                out += [*got, *[failed] * len(part)][: len(part)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([failed if x is None else x for x in out], arrow)], names=[*b.schema.names, name])
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, kind)]))
+
+
+def answer_with(prompts_: DataFrame, chat: Callable[[list[str]], list[str]], batch: int = 32, tries: int = 3, wait: float = 0.5, limit: float | None = 120.0) -> DataFrame:
+    """The (qid, prompt) rows with ``answer`` by a model: ``chat`` gets a batch's prompts. It runs on the executors. Batches that fail have the text of an unavailable model, those of others stay."""
+    return _in_batches(prompts_, "prompt", "answer", T.StringType(), pa.string(), chat, UNAVAILABLE, batch, tries, wait, limit)
+
+
+def embed_with(texts: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], batch: int = 32, tries: int = 3, wait: float = 0.5, limit: float | None = 120.0) -> DataFrame:
+    """The (id, text) rows with ``vector`` by a model, in batches; what fails has none."""
+    return _in_batches(texts, "text", "vector", T.ArrayType(T.FloatType()), pa.list_(pa.float32()), embed, None, batch, tries, wait, limit)
 
 
 def export_lines(text: Column, width: int = 95) -> Column:
