@@ -2,17 +2,17 @@
 
 A page is read into text nodes, one for each block of text, each under its root-to-leaf path of tags with their classes (inline elements of a block belong to its path, unless they are named boilerplate). Per path, text length and punctuation are
 summed over its nodes: a path's text ratio and punctuation ratio say how much running text its nodes hold. The ratios, on a log scale, are fused (added up) and smoothed along the page with a
-Gaussian; a path's score is the mean over its nodes, plus what its features add. Features are what the page says of its parts by tags and names: an article's mark, plain text
-blocks, a heading beside the path raise a score; links, and tags or names of menus, notices, adverts, comments and so on lower it. Paths above a threshold, drawn from the page's best path, are content.
+Gaussian; a path's score is the mean over its nodes. Paths above a threshold, drawn from the page's best path, are content, and the smallest part of the page that holds them is the article. An article's mark and a heading
+beside a path add to its score; what lies under tags or names of menus, notices, adverts, comments and so on is never content.
 
-The text is that of the content paths, and within the smallest part of the page that holds them also of plain blocks (headings, paragraphs, list items, quotes, cells) that the features speak against no more than
-against the best path: a heading or a list's item is too short to have a ratio of its own. What browsers don't show as text (scripts, styles, hidden elements, controls of forms) is none here either.
+The text is that of every block of this part, short or long, but for what lies under such tags or names within it. Where the page has no narrower part than its body, blocks that are nothing but links are menus. What browsers don't show as text (scripts, styles,
+hidden elements, controls of forms) is none here either.
 
 Defined results: null and empty html, and pages without content, give an empty text. Character references are decoded; white
 space inside a block becomes one space; blocks are trimmed, empty ones left out, and joined in page order by a line feed. Unclosed and
 stray tags are put up with: an end tag closes its nearest open element; a new paragraph closes an open one; a quote that nothing closes is no quote; what follows an element
 of raw text without an end (but scripts and styles) is read as if its tag were not there. Of paths with the same score none goes before another. Time grows with the page's length, whatever its nesting. Each row is worked on alone:
-repeated rows give repeated results, null ids are kept, and columns other than page_id, url and html are ignored.
+repeated rows give repeated results, null ids are kept, an empty table gives an empty one, and columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ BLOCK = frozenset(
     "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Controls and what they belong to.
-CONTROLS = frozenset("button select option input label datalist dialog audio video map head".split())
+CONTROLS = frozenset("button select option input datalist dialog audio video map head".split())
 #: What may stand in a page's head; anything else ends it.
 _HEAD = frozenset("head html base link meta title script style noscript template".split())
 #: Elements and words in class, id or role that speak of menus, page furniture and readers' words.
@@ -64,9 +64,8 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 #: Beyond so many characters and marks a node is running text, and more of them is no more so.
 MOST_CHARS, MOST_MARKS = 400, 8
-#: What the features add to a path's score (powers of two), the threshold's distance from the best path, and by how much the features of a plain block may fall short of that path's.
-MARK_WEIGHT, PLAIN_WEIGHT, HEADING_WEIGHT, LINK_WEIGHT, BOILER_WEIGHT = 3.0, 1.0, 2.0, -5.0, -12.0
-BELOW_BEST, FEATURES_BELOW = 3.0, 4.5
+#: What a mark and a heading beside a path add to its score (powers of two), and the threshold's distance from the best path.
+MARK_WEIGHT, HEADING_WEIGHT, BELOW_BEST = 2.0, 2.0, 3.5
 _KERNEL = np.exp(-0.5 * (np.arange(-2, 3) / 0.7) ** 2)
 _KERNEL /= _KERNEL.sum()
 
@@ -224,13 +223,13 @@ class Page:
 
 
 def ratios(paths: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Each path's fused ratio of text and punctuation, smoothed along the page and averaged over the path's nodes; ``paths`` has numbers from 0."""
-    nodes = np.bincount(paths)
-    size = np.bincount(paths, [len(t) for t in texts]) / nodes
+    """Each path's fused ratio of text and punctuation, smoothed along the page and averaged over the path's nodes, and with it the path's share of the page's text; ``paths`` has numbers from 0."""
+    nodes, chars = np.bincount(paths), np.bincount(paths, [len(t) for t in texts])
+    size = chars / nodes
     marks = np.bincount(paths, [len(_PUNCTUATION.findall(t)) for t in texts]) / nodes
     fused = np.log2(1 + np.minimum(size, MOST_CHARS)) + np.log2(1 + np.minimum(marks, MOST_MARKS))
     smooth = np.convolve(np.pad(fused[paths], 2, mode="edge"), _KERNEL, "valid")
-    return np.bincount(paths, smooth) / nodes
+    return np.bincount(paths, smooth) / nodes + np.log2(chars / chars.sum())
 
 
 def extract(source: str | None) -> str:
@@ -242,17 +241,17 @@ def extract(source: str | None) -> str:
     places, paths = np.unique([x[0] for x in full], return_inverse=True)
     texts = ["".join(x[7]).strip() for x in full]
     nodes, chars = np.bincount(paths), np.bincount(paths, list(map(len, texts)))
-    headed, inside = list(page.headed), [False] * len(page.parent)
-    for e in range(1, len(page.parent)):  # parents come first
-        headed[e] = headed[e] or headed[page.parent[e]]
     share = lambda k: np.bincount(paths, [float(x[k]) for x in full]) / nodes
-    features = MARK_WEIGHT * share(4) + BOILER_WEIGHT * share(5) + LINK_WEIGHT * share(6) * nodes / chars
-    scores = ratios(paths, texts) + features + PLAIN_WEIGHT * share(3) + HEADING_WEIGHT * np.bincount(paths, [float(headed[page.parent[x[1]]]) for x in full]) / nodes
-    top = int(np.argmax(scores))
-    if scores[top] <= 0:
+    plain, linked = share(5) == 0, share(6) * nodes / chars >= 1
+    headed = list(page.headed)
+    for e in range(1, len(headed)):  # parents come first
+        headed[e] = headed[e] or headed[page.parent[e]]
+    beside = np.bincount(paths, [float(headed[page.parent[x[1]]]) for x in full]) / nodes
+    scores = np.where(plain, ratios(paths, texts) + MARK_WEIGHT * share(4) + HEADING_WEIGHT * beside, -np.inf)
+    best = scores.max()
+    if not np.isfinite(best):
         return ""
-    content = set(places[(scores > 0) & (scores >= scores[top] - BELOW_BEST)].tolist())
-    spoken = set(places[features >= features[top] - FEATURES_BELOW].tolist())
+    content = set(places[scores >= best - BELOW_BEST].tolist())
 
     # the smallest part that holds all content
     below = np.bincount([x[1] for x in full if x[0] in content], minlength=len(page.parent))
@@ -261,14 +260,16 @@ def extract(source: str | None) -> str:
     root = int(np.flatnonzero(below == below[0])[-1])
     while page.tags[root] in PLAIN or page.tags[root] not in BLOCK:  # what holds a paragraph may hold its heading
         root = page.parent[root]
+    inside = [False] * len(page.parent)
     inside[root] = True
     for e in range(root + 1, len(inside)):
         inside[e] = inside[page.parent[e]]
+    wanted = set(places[plain & ~(linked & (page.tags[root] in ("html", "body")))].tolist()) | content
 
     lines: list[str] = []
     last, held = None, []
-    for path, element, block, plain, *_, texts in full:
-        if path not in content and not (inside[element] and plain and path in spoken):
+    for path, element, block, *_, texts in full:
+        if path not in wanted or not inside[element]:
             continue
         if block != last:
             lines.append("".join(held))
