@@ -140,6 +140,66 @@ def test_token_edits(spark):
     assert got[1]["n_tokens"] == full(rows[0][1]) and got[1]["n_tokens_edited"] == full("x\nsame line\n<NUM>") and got[1]["n_edits"] == 2 and got[2]["n_tokens"] == 0
     given = documents(spark, [(1, "hello world")]).selectExpr("doc_id", "text", "array(struct(0L as start, 5L as end, 'bye' as text), struct(50L as start, 60L as end, cast(null as string) as text)) as edits")
     assert tokens.count_tokens(given, edits="edits").first()["n_tokens_edited"] == full("bye world")
+    assert tokens.count_tokens(given.limit(0), edits="edits").collect() == []
+
+
+def encoder():
+    return tokens.Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokens.RANKS, "rb"))})
+
+
+def edited(text, edits):
+    out, at = [], 0
+    for a, b, new in edits:
+        out += text[at:a], new
+        at = max(at, min(b, len(text)))
+    return "".join((*out, text[at:]))
+
+
+def test_many_token_edits():
+    enc, rng = encoder(), random.Random(8)
+    make = lambda n: "".join(rng.choice("aab cc  \t\n\n'slltre123é中🙂 .,!") for _ in range(n))
+    for k in range(400):
+        text = make(rng.choice([0, 5, 60, 300, 2000]))
+        places = sorted(rng.randint(0, len(text)) for _ in range(2 * rng.choice([1, 3, 20])))
+        edits = [(a, b, make(rng.choice([0, 0, 1, 3, 300 if k % 40 == 0 else 2]))) for a, b in zip(places[::2], places[1::2])]
+        tree = tokens.Tree(text, enc, leaf=rng.choice([1, 2, 64]))
+        tree.apply(edits)
+        assert tree.text() == edited(text, edits) and tree.total == len(enc.coder.encode_ordinary(tree.text()))
+
+
+def test_token_edits_take_linear_time():
+    enc = encoder()
+    for text in ("same line\n\n" * 20_000, "same line\n" * 22_000, "".join(f"line {i} 1234567{i}\n" for i in range(10_000)), " " * 220_000 + "x"):
+        edits = tokens.cleaning_edits(text) or [(i, i + 1, "") for i in range(0, 200_000, 2)]
+        began = time.time()
+        before, after, _ = tokens.recount(text, edits, enc)
+        assert time.time() - began < 2
+        assert (before, after) == tuple(len(enc.coder.encode_ordinary(t)) for t in (text, edited(text, edits)))
+
+
+@pytest.mark.parametrize("edits", [[(0, 5, ""), (3, 9, "")], [(12, 15, ""), (0, 5, "")]])
+def test_overlapping_token_edits_are_refused(edits):
+    with pytest.raises(ValueError, match="overlap"):
+        tokens.recount("some text to be edited", edits, encoder())
+
+
+def test_kept_trees(spark):
+    enc = encoder()
+    full = lambda t: len(enc.coder.encode_ordinary(t))
+    texts = {1: "one two  three\n" * 300, 2: None, 3: "", 4: "x 中文 y"}
+    kept = tokens.keep_trees(documents(spark, list(texts.items())))
+    for r in kept.collect():
+        text = texts[r["doc_id"]] or ""
+        assert "".join(x["text"] for x in r["leaves"]) == text and sum(sum(x["tokens"]) for x in r["leaves"]) == full(text) == r["n_tokens"]
+    edits = {1: [(3, 3, " more"), (400, 420, "")], 2: [(0, 0, "new text")], 3: None, 4: [(0, 1, None)]}
+    changes = spark.createDataFrame(list(edits.items()), "doc_id bigint, edits array<struct<start bigint, end bigint, text string>>")
+    again = tokens.edit_trees(kept.join(changes, "doc_id"), "edits")
+    for r in again.collect():
+        want = edited(texts[r["doc_id"]] or "", [(a, b, t or "") for a, b, t in edits[r["doc_id"]] or []])
+        assert "".join(x["text"] for x in r["leaves"]) == want and r["n_tokens"] == full(want) and r["n_tokens_before"] == full(texts[r["doc_id"]] or "")
+        assert r["n_reencoded"] <= 12  # of some 1,200 pre-tokens
+    twice = tokens.edit_trees(again.drop("n_tokens_before", "n_edits", "n_reencoded").join(changes.where("doc_id = 4"), "doc_id"), "edits")
+    assert twice.first()["n_tokens"] == full("中文 y")
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- ad --><div class="ad">Buy, now.</div>%s<footer>&copy; x</footer>"""
@@ -163,7 +223,7 @@ def test_pages(html, want):
         (PAGE % "<article><p>One, two. Three.</p></article><article><p>Four, five. Six.</p></article>", "One, two. Three.\nFour, five. Six."),
         (PAGE % "<div class=entry><p>One, two.</p></div><div class=entry><p>Three, four.</p></div>", "One, two.\nThree, four."),
         (PAGE % "<article><h2 id=related-work>Related work</h2><p class=comment-on-law>One, two.</p><div class=share>Share, now.</div></article>", "Related work\nOne, two."),
-        (PAGE % "<article><p>One, two. Three, four. Five, six.</p><div class=box>Login</div></article>", "One, two. Three, four. Five, six."),
+        (PAGE % "<article><p>One, two. Three, four. Five, six.</p><div class=box>Login</div></article>", "One, two. Three, four. Five, six.\nLogin"),  # nothing says that it is none of the article's
     ],
 )
 def test_marked_parts(html, want):
@@ -181,19 +241,15 @@ def plain_scores(page):
     fused = [math.log2(1 + min(text[x[0]], 400)) + math.log2(1 + min(marks[x[0]], 8)) for x in full]
     weights = [math.exp(-0.5 * (k / 0.7) ** 2) for k in range(-2, 3)]
     smooth = [sum(w * fused[min(max(i + k, 0), len(full) - 1)] for w, k in zip(weights, range(-2, 3))) / sum(weights) for i in range(len(full))]
-    return {p: sum(s for s, x in zip(smooth, full) if x[0] == p) / len(xs) for p, xs in by.items()}
+    all_text = sum(len(x[7].strip()) for x in full)
+    return {p: sum(s for s, x in zip(smooth, full) if x[0] == p) / len(xs) + math.log2(text[p] * len(xs) / all_text) for p, xs in by.items()}
 
 
-def unmarked(html):
-    """A page without what its tags and names say of its parts."""
-    return re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", html).replace('<div class="ad">', "<div>")
-
-
-def test_path_ratios_choose_the_text(spark):
+def test_path_ratios_choose_the_text(spark, monkeypatch):
     import numpy as np
 
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
-    same = 0
+    found = [pages.extract(r["html"]) for r in rows]
     for r in rows:
         page = pages.Page(r["html"])
         full = [x for x in page.nodes if "".join(x[7]).strip()]
@@ -203,8 +259,27 @@ def test_path_ratios_choose_the_text(spark):
         article = r["html"][r["html"].index("<article>") : r["html"].index("</article>")]
         want = [re.sub(r"\s+", " ", pages.entities.unescape(t)).strip() for t in re.split("<[^>]*>", article)]
         assert pages.extract(r["html"]).split("\n") == [t for t in want if t]
-        same += pages.extract(unmarked(r["html"])) == pages.extract(r["html"])
-    assert same >= 0.95 * len(rows)  # the ratios find the article without any marks and names
+    for names in ("BOILER", "BOILER_WORDS", "MARKED", "MARKED_WORDS"):
+        monkeypatch.setattr(pages, names, frozenset())
+    same = lambda: sum(pages.extract(r["html"]) == f for r, f in zip(rows, found))
+    assert same() >= 0.95 * len(rows)  # the ratios find the article without any marks and names
+    for k in (2.0, 8.0, 12.0):  # and nothing else does
+        monkeypatch.setattr(pages, "ratios", lambda paths, texts: np.full(paths.max() + 1, k))
+        assert same() <= 0.05 * len(rows)
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize(
+    ("block", "said"),
+    [
+        ("<div>By the author</div>", "By the author"), ("<div>A short closing line</div>", "A short closing line"), ("<span>Short lead</span>", "Short lead"), ("<section>Short section text</section>", "Short section text"),
+        ("<code>inline</code>", "inline"), ("<ul><li><a>First source</a></li></ul>", "First source"), ("<p>Press <label>Enter</label>.</p>", "Press Enter."),
+    ],
+)
+def test_short_blocks_of_an_article_stay(tag, block, said):
+    long = "A long paragraph, of text. " + "More words, and more. " * 12
+    for inside, want in ((f"{block}<p>{long}</p>", f"{said}\n{long.strip()}"), (f"<p>{long}</p>{block}", f"{long.strip()}\n{said}")):
+        assert pages.extract(f"<{tag}>{inside}</{tag}>") == pages.extract(PAGE % f"<{tag}>{inside}</{tag}>") == want
 
 
 @pytest.mark.parametrize("part", ["<b>", "<div>", '<a title="', "<i class='x", "<li>a", "<textarea>", "<ul><li>", "<p><b></i>", "<tr><td>", "<", "<!-- ", "</p>", "<p>x, y."])
@@ -226,6 +301,7 @@ def test_page_table(spark):
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in pages.extract_pages(df).collect()) == [(0, "", 0), (1, "a, b", 4)]
     got = pages.query(spark, SF).collect()
     assert len(got) == 50 and all(r["n_chars"] == len(r["text"]) > 0 for r in got)
+    assert pages.extract_pages(df.limit(0)).collect() == []
 
 
 def test_languages(spark):
