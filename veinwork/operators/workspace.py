@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veinwork.functions.text import blank, filled, strip
 
@@ -82,6 +82,66 @@ def latest_state(events: DataFrame, key: list[str], at: str) -> DataFrame:
     return got.select(*key, at, "_row.*").where(~F.coalesce("deleted", F.lit(False)))
 
 
+def project_lives(log: DataFrame) -> DataFrame:
+    """(project_id, user_id, name, created_at, born, dead) of every project that the log creates: its owner and the places in the log at which it begins and, unless null, ends.
+
+    The log has (seq, at, kind, user_id, project_id, talk_id, text), where seq is the order. A project is created once; only its owner deletes it."""
+    made = log.where("kind = 'create_project' and project_id is not null").groupBy("project_id").agg(F.min_by(F.struct("user_id", strip(F.col("text")).alias("name"), F.col("at").alias("created_at"), F.col("seq").alias("born")), "seq").alias("p")).select("project_id", "p.*")
+    gone = log.where("kind = 'delete_project'").join(made, ["project_id", "user_id"]).where("seq > born").groupBy("project_id").agg(F.min("seq").alias("dead"))
+    return made.join(gone, "project_id", "left")
+
+
+def _alive(log: DataFrame, lives: DataFrame) -> DataFrame:
+    """The events that name a project of the same user's which is there at the time."""
+    return log.join(lives.select("project_id", "user_id", "born", "dead"), ["project_id", "user_id"]).where("seq > born and (dead is null or seq < dead)")
+
+
+def talk_spans(log: DataFrame, lives: DataFrame) -> DataFrame:
+    """(user_id, talk_id, project_id, source, seq, at, until, dead, title): where a conversation stands from one place in the log to another; ``source`` is the project it comes from, null when it is made.
+
+    A conversation is made once, in a living project, and moves to living projects of the same user; it ends with the project that it stands in, and nothing brings it back.
+    All of this is running values over one sort by conversation, so a long history is streamed and never held."""
+    order = Window.partitionBy("user_id", "talk_id").orderBy("seq")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = _alive(log.where("kind in ('create_talk', 'move_talk') and talk_id is not null"), lives).withColumn("makes", F.col("kind") == "create_talk")
+    made = steps.withColumn("n", F.count_if("makes").over(so_far)).where("n >= 1 and (not makes or n = 1)")
+    held = made.withColumns({"source": F.lag("project_id").over(order), "broken": F.coalesce(F.lag("dead").over(order) < F.col("seq"), F.lit(False))})
+    kept = held.withColumn("broken", F.max("broken").over(so_far)).where("not broken and (makes or source <> project_id)")
+    return kept.select("user_id", "talk_id", "project_id", "source", "seq", "at", F.least(F.lead("seq").over(order), "dead").alias("until"), "dead", F.when(F.col("makes"), strip(F.col("text"))).alias("title"))
+
+
+def talk_messages(log: DataFrame, spans: DataFrame) -> DataFrame:
+    """(user_id, talk_id, project_id, seq, at, text): the messages appended to a conversation through the project in which it stands at the time; the others are refused."""
+    places = spans.select("user_id", "talk_id", "project_id", F.col("seq").alias("_from"), "until")
+    got = log.where("kind = 'append'").join(places, ["user_id", "talk_id", "project_id"]).where("seq > _from and (until is null or seq < until)")
+    return got.select("user_id", "talk_id", "project_id", "seq", "at", strip(F.col("text")).alias("text"))
+
+
+def talks(spans: DataFrame, messages: DataFrame) -> DataFrame:
+    """(user_id, talk_id, project_id, title, created_at, updated_at, n_messages): the conversations that are left. Moves and messages change updated_at."""
+    spans = spans.select("user_id", "talk_id", "project_id", "seq", "at", "dead", "title", F.lit(0).alias("said"))
+    said = messages.select("user_id", "talk_id", *(F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in ("project_id", "seq")), "at", *(F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in ("dead", "title")), F.lit(1).alias("said"))
+    got = spans.unionByName(said).groupBy("user_id", "talk_id").agg(
+        F.max_by(F.struct("project_id", "dead"), "seq").alias("_last"), F.max("title").alias("title"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"), F.sum("said").alias("n_messages"),
+    )
+    return got.where("_last.dead is null").select("user_id", "talk_id", "_last.project_id", "title", "created_at", "updated_at", "n_messages")
+
+
+def projects(log: DataFrame, lives: DataFrame, spans: DataFrame, messages: DataFrame) -> DataFrame:
+    """(user_id, project_id, name, created_at, updated_at): the projects that are left. Renaming, conversations made or moved (in both projects) and messages change updated_at."""
+    renamed = _alive(log.where("kind = 'update_project'"), lives).select("project_id", "at", "seq", strip(F.col("text")).alias("name"))
+    none = [F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("name")]
+    touched = renamed.unionByName(spans.select("project_id", "at", *none)).unionByName(spans.where("source is not null").select(F.col("source").alias("project_id"), "at", *none)).unionByName(messages.select("project_id", "at", *none))
+    last = touched.groupBy("project_id").agg(F.max("at").alias("_at"), F.max_by("name", "seq").alias("_name"))
+    return lives.where("dead is null").join(last, "project_id", "left").select("user_id", "project_id", F.coalesce("_name", "name").alias("name"), "created_at", F.greatest("created_at", "_at").alias("updated_at"))
+
+
+def pinned_order(projects: DataFrame, pinned: Column) -> DataFrame:
+    """The projects with ``rank``: a user's pinned ones first, then those changed last, ties by number."""
+    order = Window.partitionBy("user_id").orderBy(F.desc(F.coalesce(pinned, F.lit(False))), F.desc("updated_at"), "project_id")
+    return projects.withColumn("rank", F.row_number().over(order))
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: list[str], at: str | None = None) -> DataFrame:
     """The table with the changed rows in place of those with the same key. Of several changes of one key the last by ``at`` counts, or without it the greatest by all columns in order."""
     rest = [c for c in changes.columns if c not in key]

@@ -167,6 +167,45 @@ def latest_state(spark, sf):
     return W.latest_state(rows, ["user_id"], "ts").select("user_id", "ts", "event_type")
 
 
+# The events as a workspace's log: some of them name another user's project, one that is not there, or a project in which the conversation does not stand.
+_LOG = """log as materialized (select event_id as seq, floor(epoch(ts))::bigint as moment, user_id, (user_id + (event_id % 11 = 0)::int) * 10 + (event_id // 3) % 4 as project_id, user_id * 10 + (event_id // 7) % 3 as talk_id, ' ' || event_type || ' ' || event_id || ' ' as text,
+      case when event_type = 'signup' then 'create_project' when event_type = 'error' and event_id % 8 = 0 then 'delete_project' when event_type = 'error' then 'update_project' when event_type = 'purchase' then 'create_talk' when event_type = 'click' then 'move_talk' else 'append' end as kind from events),
+    life as materialized (select m.*, (select min(seq) from log d where d.kind = 'delete_project' and d.project_id = m.project_id and d.user_id = m.user_id and d.seq > m.born) as dead from (select project_id, arg_min(user_id, seq) as user_id, trim(arg_min(text, seq)) as name, arg_min(moment, seq) as created_at, min(seq) as born from log where kind = 'create_project' group by project_id) m),
+    ok as materialized (select log.*, dead, row_number() over (partition by user_id, talk_id order by seq) as i from log join life using (project_id, user_id) where seq > born and (dead is null or seq < dead) and kind in ('create_talk', 'move_talk', 'append')),
+    fold as (select user_id, talk_id, 0::bigint as i, null::bigint as p, null::bigint as over, null::bigint as source, null::varchar as title, null::bigint as created, null::bigint as updated, 0 as said, 'none' as did, false as ever from (select distinct user_id, talk_id from ok)
+      union all select f.user_id, f.talk_id, k.i, case when yes and kind <> 'append' then project_id else p end, case when yes and kind <> 'append' then dead else over end, case when yes and kind = 'move_talk' then p end, case when yes and kind = 'create_talk' then trim(text) else title end,
+        case when yes and kind = 'create_talk' then moment else created end, case when yes then moment else updated end, said + (yes and kind = 'append')::int, case when yes then kind else 'none' end, ever or (yes and kind = 'create_talk')
+        from fold f join ok k on k.user_id = f.user_id and k.talk_id = f.talk_id and k.i = f.i + 1,
+        lateral (select case kind when 'create_talk' then not ever when 'move_talk' then ever and (over is null or seq < over) and project_id <> p else ever and (over is null or seq < over) and project_id = p end as yes))"""
+_TOUCHED = """touched as (select p as project_id, updated as moment from fold where did <> 'none' union all select source, updated from fold where did = 'move_talk' union all select project_id, moment from log join life using (project_id, user_id) where kind = 'update_project' and seq > born and (dead is null or seq < dead)),
+    named as (select project_id, trim(arg_max(text, seq)) as name from log join life using (project_id, user_id) where kind = 'update_project' and seq > born and (dead is null or seq < dead) group by project_id)"""
+
+
+def _log(spark, sf):
+    e, n = table(spark, sf, "events"), F.col("event_id")
+    kind = F.when(F.col("event_type") == "signup", "create_project").when((F.col("event_type") == "error") & (n % 8 == 0), "delete_project").when(F.col("event_type") == "error", "update_project")
+    kind = kind.when(F.col("event_type") == "purchase", "create_talk").when(F.col("event_type") == "click", "move_talk").otherwise("append")
+    return e.select(
+        n.alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "user_id", ((F.col("user_id") + (n % 11 == 0).cast("int")) * 10 + F.floor(n / 3) % 4).alias("project_id"), (F.col("user_id") * 10 + F.floor(n / 7) % 3).alias("talk_id"),
+        F.concat(F.lit(" "), "event_type", F.lit(" "), n, F.lit(" ")).alias("text"), kind.alias("kind"),
+    )
+
+
+@query("workspace_talks", f"with recursive {_LOG} select f.user_id, f.talk_id, p as project_id, title, created as created_at, updated as updated_at, said::bigint as n_messages from fold f join (select user_id, talk_id, max(i) as i from fold group by user_id, talk_id) using (user_id, talk_id, i) where p is not null and over is null")
+def workspace_talks(spark, sf):
+    log = _log(spark, sf)
+    spans = W.talk_spans(log, W.project_lives(log))
+    return W.talks(spans, W.talk_messages(log, spans))
+
+
+@query("workspace_projects", f"with recursive {_LOG}, {_TOUCHED} select l.user_id, l.project_id, coalesce(n.name, l.name) as name, l.created_at, greatest(l.created_at, coalesce(t, 0)) as updated_at, row_number() over (partition by l.user_id order by l.project_id % 10 = 2 desc, greatest(l.created_at, coalesce(t, 0)) desc, l.project_id) as rank from life l left join named n using (project_id) left join (select project_id, max(moment) as t from touched group by project_id) using (project_id) where dead is null")
+def workspace_projects(spark, sf):
+    log = _log(spark, sf)
+    lives = W.project_lives(log)
+    spans = W.talk_spans(log, lives)
+    return W.pinned_order(W.projects(log, lives, spans, W.talk_messages(log, spans)), F.col("project_id") % 10 == 2)
+
+
 @query("merge_store", "select s_suppkey::varchar as id, coalesce(arg_max(p, changed), any_value(s_name)) as payload from supplier left join (select c_custkey as k, c_name as p, c_acctbal as changed from customer where c_custkey % 3 = 0) on k = s_suppkey group by s_suppkey")
 def merge_store(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("payload"))
