@@ -6,6 +6,8 @@ import time
 
 from pyspark.sql import functions as F
 
+from veinwork.operators.retrieve import features
+from veinwork.plans.base import PLACES, chunk_table
 from veinwork.domain import REGULATIONS
 from veinwork.operators import chunk
 
@@ -61,3 +63,13 @@ def test_long_texts_take_time_in_proportion(spark):
             assert time.time() - began < 30  # some 4 s on an idle machine; minutes before
             assert got["all"] >= len(long) - 1 and (f is chunk.sections or got["n"] > 5000)
     assert REGULATIONS.chunk_size == 800
+
+
+def test_titles_are_whole_and_places_differ(spark):
+    title = "word " * 199
+    docs = spark.createDataFrame([(1, "s", "en", f"{title}alpha\nbody"), (2, "s", "en", f"{title}omega\nbody"), (3, "s", "en", "x" * 70_000_000)], "doc_id bigint, source string, lang string, text string")
+    short = chunk_table(docs.where("doc_id < 3"))
+    got = {r["title_compact"][-5:] for r in features(short).select("title_compact").collect()}
+    assert got == {"alpha", "omega"}
+    n = chunk_table(docs).where("doc_id = 3").selectExpr("count(distinct ord) as n", "count(*) as m", "max(ord) as last").first()
+    assert n["n"] == n["m"] > 100_000 and n["last"] // PLACES == 3

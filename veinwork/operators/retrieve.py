@@ -27,10 +27,9 @@ BLOCK = 2048
 def features(chunks: DataFrame, profile: Profile = REGULATIONS) -> DataFrame:
     """What scoring needs of the chunk table (ord, title, law_title, article_no, content): compact texts and what
     each chunk gets whatever the question."""
-    cut = lambda c, n: F.substring(filled(F.col(c)), 1, n)
     chunks = spread(chunks)
-    content = cut("content", profile.max_index_chars)
-    got = chunks.select("ord", cut("title", 300).alias("title"), cut("law_title", 400).alias("law"), cut("article_no", 40).alias("article"), content.alias("content"), drop_meta(content, profile).alias("body"))
+    content = F.substring(filled(F.col("content")), 1, profile.max_index_chars)
+    got = chunks.select("ord", filled(F.col("title")).alias("title"), filled(F.col("law_title")).alias("law"), filled(F.col("article_no")).alias("article"), content.alias("content"), drop_meta(content, profile).alias("body"))
     said = lambda k: F.contains(F.col("content"), F.lit(f"[{k}] true"))
     extra = [meta_value(F.col("content"), k) for k in ("文号", "发文机关", "发布日期", "施行日期")]
     out = got.select(

@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Places of chunks within a document.
-PLACES = 100_000
+#: Places of chunks within a document: a text has at most 2^31 bytes and a window moves on by 620 characters at least, which makes fewer than 2^22 chunks.
+PLACES = 1 << 22
 
 
 def _number():

@@ -22,7 +22,7 @@ _OWN = f"""(case when art <> '' then 0.03 else 0.0 end) + (case when length(law)
 #: The corpus as scored: compact texts and what each row gets whatever the question.
 CF = f"""cf as (select ord, full_, body, title, law, art, fb, ({_OWN})::double as own, n from (select *, length(body) as n, {SUMMARY_SQL.format(d='raw', x='content')} as summ, (raw = '' or {GARBLED_SQL.format(d='raw')}) as garb from (
     select ord, content, {dense_sql('content')} as raw, {collapse_sql('title')} as tc, replace({fold_sql('title || chr(10) || law_title || chr(10) || article_no || chr(10) || content')}, ' ', '') as full_, replace({fold_sql('content')}, ' ', '') as body,
-      replace({fold_sql('title')}, ' ', '') as title, replace({fold_sql('law_title')}, ' ', '') as law, replace({fold_sql('article_no')}, ' ', '') as art, {fold_sql('content')} as fb from (select ord, substr(title, 1, 300) as title, law_title, article_no, substr(content, 1, 3200) as content from cc))))"""
+      replace({fold_sql('title')}, ' ', '') as title, replace({fold_sql('law_title')}, ' ', '') as law, replace({fold_sql('article_no')}, ' ', '') as art, {fold_sql('content')} as fb from (select ord, title, law_title, article_no, substr(content, 1, 3200) as content from cc))))"""
 _SETUP = f"""q as materialized ({TERMS_SQL}), cc as materialized ({CORPUS_SQL}), {CF.replace('cf as (', 'cf as materialized (', 1)}, n as (select count(*) as n from cf),
     t as materialized (select distinct qid, unnest(terms) as term from q), p as materialized (select distinct qid, unnest(phrases) as term from q),
     idf as materialized (select term, df, ln((n + 1.0) / (df + 0.5)) + 1.0 as w from (select term, count(*) filter (contains(full_, term)) as df from (select term from t union select term from p) cross join cf group by term), n)"""
