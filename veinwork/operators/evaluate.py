@@ -104,3 +104,17 @@ def random_questions(spark, dimensions: dict[str, list[str]], templates: list[st
     for name, values in dimensions.items():
         rows = rows.withColumn("_v", F.explode(F.array(*map(F.lit, values)))).withColumn("question", F.replace("question", F.lit("{" + name + "}"), F.col("_v"))).drop("_v")
     return rows.distinct().orderBy(F.xxhash64("question", F.lit(seed)), "question").limit(n)
+
+
+def drawn(values: list[str], key: Column, name: str, seed: int = 7) -> Column:
+    """One of the values for each key, drawn by a hash of the seed, the name and the key: the same in every run and on every partition."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.lit(name), key.cast("string"))), 1, 7), 16, 10).cast("long")
+    return F.element_at(F.array(*map(F.lit, values)), (place % len(values)).cast("int") + 1)
+
+
+def drawn_questions(rows: DataFrame, key: str, topic: str, dimensions: dict[str, list[str]], templates: list[str], seed: int = 7) -> DataFrame:
+    """(key, question) for each row: a drawn template with a drawn value of each dimension in place of its name, and the row's own topic (null: empty) in place of {topic}. A narrow pass."""
+    question = drawn(templates, F.col(key), "template", seed)
+    for name, values in dimensions.items():
+        question = F.replace(question, F.lit("{" + name + "}"), drawn(values, F.col(key), name, seed))
+    return rows.select(key, F.replace(question, F.lit("{topic}"), filled(F.col(topic))).alias("question"))

@@ -92,9 +92,16 @@ def question_templates(spark, sf):
     return V.templated(table(spark, sf, "pages").select(F.col("page_id").alias("pos"), F.col("url").alias("title")), _TEMPLATES)
 
 
-@query("random_questions")
+_DRAWN = {"template": ["{law}对{topic}有什么要求？", "{topic}适用{law}哪一条？"], "law": ["政府采购法", "实施条例", "招标投标法"]}
+
+
+def _drawn_sql(name: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in _DRAWN[name]) + f"][('0x' || substr(md5('7|{name}|' || item_id), 1, 7))::bigint % {len(_DRAWN[name])} + 1]"
+
+
+@query("random_questions", f"select item_id, replace(replace({_drawn_sql('template')}, '{{law}}', {_drawn_sql('law')}), '{{topic}}', coalesce(text, '')) as question from benchmark")
 def random_questions(spark, sf):
-    return V.random_questions(spark, {"law": ["政府采购法", "实施条例"], "topic": ["公开招标", "询价", "竞争性谈判"]}, ["{law}对{topic}有什么要求？", "{topic}适用{law}哪一条？"], 10)
+    return V.drawn_questions(table(spark, sf, "benchmark"), "item_id", "text", {"law": _DRAWN["law"]}, _DRAWN["template"])
 
 
 # Workspaces.
