@@ -82,6 +82,10 @@ class Profile:
         ("PENALTY", ("处罚", "罚款", "违法", "责任", "禁止"), 0.07),
     )
     broad: tuple[str, ...] = ("有哪些", "哪些", "几种", "哪几种", "多少种", "方式有哪些", "风险点", "注意事项", "核心要求", "要点", "总结", "全流程", "全面", "概述")
+    fast_broad: tuple[str, ...] = ("有哪些", "要点", "清单", "总结", "流程")
+    fast_compare: tuple[str, ...] = ("区别", "差异", "边界", "对比")
+    fast_definition: tuple[str, ...] = ("什么是", "含义", "概念")
+    method_anchor: str = "中华人民共和国政府采购法 第二十六条 采购采用以下方式 公开招标 邀请招标 竞争性谈判 单一来源采购 询价 竞争性磋商"
     ratio_words: tuple[str, ...] = ("价格减免", "价格扣除", "评审优惠", "扣除比例", "优惠比例", "百分之", "20%", "20％")
     methods: tuple[str, ...] = ("公开招标", "邀请招标", "竞争性谈判", "单一来源采购", "询价", "竞争性磋商")
     region_words: tuple[str, ...] = ("江苏", "扬州", "本市", "市本级", "省级", "地方", "苏财", "扬财", "省财政厅", "市财政局")
@@ -97,6 +101,8 @@ class Profile:
     max_phrases: int = 24
     max_fast_terms: int = 96
     max_index_chars: int = 3200
+    embedded_chars: int = 1800
+    fast_embedded_chars: int = 1400
     snippet_chars: int = 760
     answer_chars: int = 12000
     top_k: int = 24

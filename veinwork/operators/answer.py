@@ -61,10 +61,10 @@ def mention_place(answer: Column, title: Column, doc_no: Column, article: Column
     return F.coalesce(find(squeeze(doc_no)), find(t), find(F.when(F.length(t) > 12, F.substring(t, 1, 12)).otherwise(t)), find(squeeze(article)), F.lit(-1))
 
 
-def links(rows: DataFrame, most: int = 4) -> DataFrame:
+def links(rows: DataFrame, most: int = 4, label: Column | None = None) -> DataFrame:
     """(qid, label, url, place): links to the sources that an answer mentions, by place of mention, one for a label; else the first that has one."""
     at = mention_place(F.col("answer"), F.col("title"), F.col("doc_no"), F.col("article_no"))
-    got = rows.where(F.col("url") != "").withColumn("at", at).withColumn("label", first_filled(F.col("doc_no"), F.col("title")))
+    got = rows.where(F.col("url") != "").withColumn("at", at).withColumn("label", first_filled(F.col("doc_no"), F.col("title")) if label is None else label)
     any_ = F.max(F.col("at") >= 0).over(Window.partitionBy("qid"))
     order = [F.when(F.col("at") < 0, F.lit(2147483647)).otherwise(F.col("at")), F.col("rank")]
     got = got.withColumn("_any", any_).withColumn("_n", F.row_number().over(Window.partitionBy("qid", "label").orderBy(*order))).where("_n = 1")

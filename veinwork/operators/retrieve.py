@@ -342,13 +342,16 @@ def _second(asked: str, text: str) -> float:
 
 
 def second_stage(rows: DataFrame, k: int = REGULATIONS.fast_rerank) -> DataFrame:
-    """(qid, ord, score, rank): the k best of the first stage's rows (qid, ord, first, asked, text), both texts squeezed, re-scored."""
+    """(qid, ord, score, rank): the k best of the first stage's rows (qid, ord, first, asked, text), both texts squeezed, re-scored; with a column ``semantic`` rows that have one are scored with it too."""
     id_type = rows.schema["qid"].dataType.simpleString()
+    hybrid = "semantic" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q, first, asked, text = (b.column(c).to_pylist() for c in ("qid", "first", "asked", "text"))
-            scores = [round(f * 0.62 + _second(a or "", t or ""), 6) for f, a, t in zip(first, asked, text)]
+            meant = b.column("semantic").to_pylist() if hybrid else [None] * len(first)
+            lexical = [f * 0.62 + _second(a or "", t or "") for f, a, t in zip(first, asked, text)]
+            scores = [round(s if m is None else s * 0.58 + m * 0.42, 6) for s, m in zip(lexical, meant)]
             yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("ord"), pa.array(scores, pa.float64())], names=["qid", "ord", "score"])
 
     ship(rows.sparkSession)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veinwork.plans import records, retrieval, rules, texts  # noqa: F401  they register their queries
+from veinwork.plans import fast, records, retrieval, rules, texts  # noqa: F401  they register their queries
 from veinwork.plans.base import ORACLES, QUERIES
 
 
