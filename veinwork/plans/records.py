@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veinwork.functions import meta as M
@@ -9,6 +11,7 @@ from veinwork.operators import evaluate as V, workspace as W
 from veinwork.domain import REGULATIONS as P
 from veinwork.plans.base import dense_sql, pick, pick_sql, query, strip_sql, table
 from veinwork.plans.texts import GARBLED_SQL, _html_sql
+from veinwork.scratch import shared_dir
 from veinwork.sources import extract, files as S, stores
 from veinwork.streaming import ingest as I, memo
 
@@ -352,3 +355,16 @@ def mixed_files(spark, sf):
     pages = table(spark, sf, "pages")
     files = pages.select("page_id", F.concat(F.lit("/c/"), F.col("page_id"), F.lit("."), pick(_KINDS, F.col("page_id"))).alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
     return extract.read_by_content(files).select("page_id", F.md5("text").alias("text"), F.length("text").cast("bigint").alias("n"), "scanned", "strategy")
+
+
+_ODD = '{"}] \\ "['
+
+
+@query("restored_store", "select 'd' || doc_id as chunk_id, md5('{\"}] \\ \"[' || coalesce(text, '')) as content, length(coalesce(text, '')) as n, coalesce(lang, '') as region_level from documents")
+def restored_store(spark, sf):
+    """Every whole text through a store of JSON arrays and back; braces, quotes and escapes before each so that the cut has to tell them from structure."""
+    item = F.struct(F.concat(F.lit("d"), "doc_id").alias("chunkId"), F.concat(F.lit(_ODD), F.coalesce("text", F.lit(""))).alias("content"), F.coalesce("lang", F.lit("")).alias("regionLevel"))
+    folder = f"{shared_dir(spark)}/veinwork/store-{uuid.uuid4().hex}"
+    table(spark, sf, "documents").select(F.concat(F.lit("["), F.to_json(item), F.lit("]"))).write.text(folder)
+    got = stores.read_chunk_store(spark, folder)
+    return got.select(F.col("chunkId").alias("chunk_id"), F.md5("content").alias("content"), (F.length("content") - len(_ODD)).cast("bigint").alias("n"), F.col("regionLevel").alias("region_level"))

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions
 
 from veinwork.domain import REGULATIONS, Profile
 from veinwork.operators.chunk import chunk_documents
+from veinwork.sources.json_array import read_objects
 
 CHUNK = "chunkId string, documentId string, title string, regionLevel string, sourcePath string, content string, lawTitle string, articleNo string, docCategory string"
 
 
 def read_chunk_store(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table of a JSON array, with ``ord`` by place."""
-    got = spark.read.text(path, wholetext=True)
-    rows = got.select(F.posexplode(F.from_json("value", f"array<struct<{CHUNK.replace(' string', ':string')}>>")).alias("ord", "c"))
-    return rows.select(F.col("ord").cast("bigint").alias("ord"), "c.*")
+    """The chunk table of a JSON array, with ``ord`` by place. The array is read by as many tasks as it has ranges."""
+    return read_objects(spark, path).select("ord", F.from_json("value", CHUNK).alias("c")).select("ord", "c.*")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -38,8 +37,8 @@ def usable(spark: SparkSession, path: str) -> bool:
 
 def read_eval_set(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """The items of a ``{"data": [...]}`` file, in order, or the first ``limit``."""
-    schema = "data array<struct<id:string,question:string,source_group:string,category:string,anchor:string,expected_answer:string,source_file:string,source_line:int>>"
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)["data"]).alias("pos", "i")).select("pos", "i.*")
+    schema = "id string, question string, source_group string, category string, anchor string, expected_answer string, source_file string, source_line int"
+    rows = read_objects(spark, path, level=2).select(F.col("ord").alias("pos"), F.from_json("value", schema).alias("i")).select("pos", "i.*")
     return rows.where(F.col("pos") < limit) if limit else rows
 
 
