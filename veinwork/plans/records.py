@@ -12,7 +12,7 @@ from veinwork.domain import REGULATIONS as P
 from veinwork.plans.base import dense_sql, pick, pick_sql, query, strip_sql, table
 from veinwork.plans.texts import GARBLED_SQL, _html_sql
 from veinwork.scratch import shared_dir
-from veinwork.sources import extract, files as S, stores
+from veinwork.sources import extract, files as S, reports, stores
 from veinwork.streaming import ingest as I, memo
 
 
@@ -368,3 +368,73 @@ def restored_store(spark, sf):
     table(spark, sf, "documents").select(F.concat(F.lit("["), F.to_json(item), F.lit("]"))).write.text(folder)
     got = stores.read_chunk_store(spark, folder)
     return got.select(F.col("chunkId").alias("chunk_id"), F.md5("content").alias("content"), (F.length("content") - len(_ODD)).cast("bigint").alias("n"), F.col("regionLevel").alias("region_level"))
+
+
+# A compared run of all answers: every fifth has no old one.
+def _compared(spark, sf):
+    old = F.when(F.col("doc_id") % 5 != 0, F.when(F.col("doc_id") % 4 == 0, "MISS").when(F.col("doc_id") % 4 == 1, "OK").otherwise(F.col("status")))
+    rows = _run(spark, sf).withColumns({"pos": F.col("doc_id"), "question": F.concat(F.lit("q<"), "doc_id", F.lit(">")), "old_status": old, "old_top_title": F.col("category"), "old_answer": F.col("answer")})
+    now = F.col("status")
+    verdict = F.when(old.isNull(), "NEW_ONLY").when((old == "MISS") & (now == "OK"), "IMPROVED").when((old == "OK") & (now == "MISS"), "REGRESSED").when(old == now, "SAME").otherwise("CHANGED")
+    return rows.withColumns({"compare": verdict, "compare_notes": F.concat_ws("/", "old_status", "status")})
+
+
+_FIG = "case when {x} like '%.' then {x} || '0' else {x} end"
+_SCORE = _FIG.format(x="rtrim(top_score::decimal(30,4)::varchar, '0')")
+_COMPARED = f"""{_RESULTS}, r as ({_RUN}), o as (select *, doc_id as pos, 'q<' || doc_id || '>' as question, case when doc_id % 5 = 0 then null when doc_id % 4 = 0 then 'MISS' when doc_id % 4 = 1 then 'OK' else status end as old_status, coalesce(nullif(category, ''), '未分类') as cat from r),
+    c as materialized (select *, case when old_status is null then 'NEW_ONLY' when old_status = 'MISS' and status = 'OK' then 'IMPROVED' when old_status = 'OK' and status = 'MISS' then 'REGRESSED' when old_status = status then 'SAME' else 'CHANGED' end as compare, concat_ws('/', old_status, status) as compare_notes,
+      case when length(pos::varchar) < 3 then lpad(pos::varchar, 3, '0') else pos::varchar end as number, {_SCORE} as score from o)"""
+_SHORT = "case when length({t}) > {n} then substr({t}, 1, {n}) || '...' else {t} end"
+
+
+def _one_line(x: str, n: int) -> str:
+    return _SHORT.format(t=strip_sql(f"translate({x}, chr(10) || chr(13), '  ')"), n=n)
+
+
+def _joined(*lines: str) -> str:
+    return " || chr(10) || ".join(lines)
+
+
+_PAGE = _joined(
+    "'# 第 ' || number || ' 题（' || cat || '）'", "''", "'## 问题'", "question", "''", "'## 旧版结果'", "'- old_status: ' || coalesce(old_status, '')", "'- old_top_title: ' || coalesce(category, '')", f"'- old_answer_snippet: ' || {_one_line('answer', 480)}", "''",
+    "'## 新版结果'", "'- status: ' || status", "'- evidence_count: ' || evidence_count", "'- top_score: ' || score", "'- anchor: ' || anchor", "''", "'## Top1 证据标题'", "coalesce(top_title, '')", "''", "'## 对比结论'", "'- compare: ' || compare", "'- notes: ' || compare_notes", "''", "'## 回答'", "coalesce(answer, '')",
+)
+
+
+def _escaped(x: str) -> str:
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{raw}', '{name}')"
+    return x
+
+
+_CARD = f"""'<article class=''card''><h2>' || number || '. ' || {_escaped('cat')} || '</h2><div><b>问题:</b> ' || {_escaped('question')} || '</div><div><b>状态:</b> ' || status || ' | <b>evidence:</b> ' || evidence_count || ' | <b>top_score:</b> ' || score || '</div><div><b>Top1:</b> ' || {_escaped("coalesce(top_title, '')")} || '</div><div><b>旧版状态:</b> ' || coalesce(old_status, '')
+    || '</div><div><b>旧版Top1:</b> ' || {_escaped("coalesce(category, '')")} || '</div><div><b>对比:</b> ' || compare || ' / ' || compare_notes || '</div><pre>' || {_escaped("coalesce(answer, '')")} || '</pre></article>'"""
+
+
+@query("question_pages", f"with {_COMPARED} select doc_id, md5({_PAGE}) as page, md5({_CARD}) as card, length({_PAGE}) as n from c")
+def question_pages(spark, sf):
+    """The page and the printed card of every answer."""
+    page = reports.page(True)
+    return _compared(spark, sf).select("doc_id", F.md5(page).alias("page"), F.md5(reports.card(True)).alias("card"), F.length(page).cast("bigint").alias("n"))
+
+
+_MANY = ", ".join(f"count(*) filter ({x}) as {n}" for n, x in (("ok", "status = 'OK'"), ("miss", "status = 'MISS'"), ("err", "status = 'ERR'"), ("fallback", "fallback"), ("empty_evidence", "evidence_count = 0"), ("anchor_hit", "trim(anchor) <> '' and (contains(top_title, trim(anchor)) or contains(answer, trim(anchor)))")))
+_TOTALS = ", ".join(f"'- {m.upper()}: ' || {m}" for m in reports.METRICS[:-1]) + ", '- AVG_TOP_SCORE: ' || " + _FIG.format(x="rtrim(avg_top_score::decimal(30,4)::varchar, '0')")
+
+
+def _list(part: int, lines: str, source: str) -> str:
+    return f"select {part} as part, (unnest(range(len(l)))) as n, unnest(l) as line from (select [{lines}] as l from {source})"
+
+
+def _sampled(part: int, head: str, where: str, lines: str, most: int = 8) -> str:
+    first = f"(select * from c where {where} order by pos limit {most})"
+    return f"select {part} as part, (unnest(range(2))) as n, unnest(['', '{head}']) as line where exists (from c where {where}) union all select {part + 1}, pos * 3 + unnest(range(3)), unnest([{lines}]) from {first}"
+
+
+@query("evaluation_report", f"""with {_COMPARED}, m as (select count(*) as total, {_MANY}, round(avg(top_score::double) filter (status <> 'ERR'), 4) as avg_top_score from c), k as (select {", ".join(f"count(*) filter (compare = '{x}') as {x.lower()}" for x in reports.COMPARED)} from c)
+    {" union all ".join([_list(0, "'# Run', '', '## 总体结果'", '(select 1)'), _list(1, _TOTALS, 'm'), _list(2, "'', '## 新旧对比'", '(select 1)'), _list(3, ", ".join(f"'- {x}: ' || {x.lower()}" for x in reports.COMPARED), 'k'),
+      _sampled(4, '## MISS 样本', "status = 'MISS'", f"'- 问题：' || question, '  - top_title: ' || coalesce(top_title, ''), '  - answer_snippet: ' || {_one_line('answer', 380)}"),
+      _sampled(6, '## 回退样本', "compare = 'REGRESSED'", "'- 问题：' || question, '  - old_status: ' || old_status || ' -> new_status: ' || status, '  - notes: ' || compare_notes")])}""")
+def evaluation_report(spark, sf):
+    """The summary of the compared run."""
+    return reports.report(_compared(spark, sf), "Run", True)
