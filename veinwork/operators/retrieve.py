@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veinwork.functions.text import dense, drop_meta, filled, fold, garbled, meta_value, summary_body, weak_title
 from veinwork.operators.score import quality_terms
-from veinwork.operators.terms import fast_terms, profile_of
+from veinwork.operators.terms import fast_terms, method_question, profile_of
 from veinwork.domain import REGULATIONS, Profile
 from veinwork.ship import ship
 
@@ -364,6 +364,18 @@ def merge_best(first: DataFrame, second: DataFrame, limit: int) -> DataFrame:
     return _merged([both], limit)
 
 
+def with_method_anchor(chunk_features: DataFrame, questions: DataFrame, k: int = REGULATIONS.top_k, profile: Profile = REGULATIONS) -> DataFrame:
+    """(qid, ord, score, rank): the k best chunks, and for questions about ways of procurement also the best of the profile's anchor query (twice as many, 48 at least), the better score of each chunk.
+    The anchor's list is the same for all, so it is retrieved once: at most 2k rows, handed to each such question."""
+    spark, more = chunk_features.sparkSession, max(2 * k, 48)
+    first = retrieve(chunk_features, questions, k, profile)
+    anchor = retrieve(chunk_features, spark.createDataFrame([(0, profile.method_anchor)], "qid bigint, question string"), more, profile).collect()
+    asked = questions.where(method_question(fold(F.col("question"))))
+    found = F.array(*(F.struct(F.lit(r["ord"]).cast("bigint").alias("ord"), F.lit(r["score"]).alias("score")) for r in anchor)) if anchor else F.array().cast("array<struct<ord:bigint,score:double>>")
+    second = asked.select("qid", F.explode(found).alias("a")).select("qid", "a.ord", "a.score")
+    return merge_best(first, second, max(3 * k, 72))
+
+
 def number_first(results: DataFrame, matches: Column, plain: DataFrame, k: int) -> DataFrame:
     """Of a wide result, the k best rows that match; questions without any take the plain result."""
     hits = _merged([results.where(matches).select("qid", "ord", "score")], k)

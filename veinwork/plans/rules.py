@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from veinwork.domain import NUMERALS, REGULATIONS as P
 from veinwork.functions import meta as M, text as T
-from veinwork.operators import answer as A, score as S, selection as E, terms as Q
+from veinwork.operators import answer as A, retrieve as R, score as S, selection as E, terms as Q
 from veinwork.plans.base import any_sql, collapse_sql, corpus, dense_sql, distinct_sql, fold_sql, grams_sql, list_sql, phrased, phrased_sql, pick, pick_sql, query, questions, QUESTIONS_SQL, squeeze_sql, strip_sql, table
-from veinwork.plans.retrieval import CANDIDATES_SQL, lexical_topk
+from veinwork.plans.retrieval import CANDIDATES_SQL, lexical_topk, _PLAIN, _top
 from veinwork.plans.texts import GARBLED_SQL, intent_sql, keywords_sql, kinds_sql, pairs_sql, SUMMARY_SQL
 
 # What the rules look for is in no synthetic text: it is added to questions, titles and chunks by their numbers.
@@ -181,3 +181,14 @@ def merged_intent(spark, sf):
 @query("shrink_summary", "select page_id, case when length(t) > 700 then substr(t, 1, 700) || '...' else t end as text from (select page_id, regexp_replace(regexp_replace('发稿时间 x' || chr(10) || coalesce(html, ''), '(?m)^\\s*(发稿时间|访问量|当前位置|上一篇|下一篇|打印本页|关闭窗口).*$', '', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') as t from pages)")
 def shrink_summary(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.shrink_summary(F.concat(F.lit("发稿时间 x\n"), F.coalesce("html", F.lit("")))).alias("text"))
+
+
+# The second retrieval of questions about ways of procurement, by the anchor query as question -1.
+_ANCHORED_SQL = f"select id as qid, f.t as question from {_ASKED_REL} union all select -1, '{P.method_anchor}'"
+
+
+@query("method_topk", f"""with {CANDIDATES_SQL.split(', top as materialized')[0].replace(QUESTIONS_SQL, _ANCHORED_SQL)}, every as materialized ({_top(_PLAIN, 48)}), way as (select id as qid from ({kinds_sql(_ASKED_REL)}) where method)
+    {_top("select qid, ord, max(score) as score from (select qid, ord, score from every where qid >= 0 and rank <= 24 union all select way.qid, ord, score from way cross join every where every.qid = -1) group by qid, ord", 72)}""")
+def method_topk(spark, sf):
+    asked = questions(spark, sf).select("qid", F.concat("question", F.lit(" "), pick(_ASKED, F.col("qid"))).alias("question"))
+    return R.with_method_anchor(R.features(corpus(spark, sf)), asked)
