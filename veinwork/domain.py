@@ -48,6 +48,7 @@ class Profile:
     doc_no_order: str = rf"({_DOC_NO_INGEST})\s*第\s*([0-9]{{1,4}})\s*号"
     doc_no_asked: str = rf"({_DOC_NO_ASKED})\s*[〔\[\(]?\s*(20\d{{2}})\s*[〕\]\)]?\s*(\d{{1,4}})\s*号"
     doc_no_fast: str = rf"({_DOC_NO_FAST})\s*[〔\[（(]?\s*(20\d{{2}})?\s*[〕\]）)]?\s*([0-9]{{1,4}})\s*号|第\s*[0-9]{{1,4}}\s*号"
+    doc_no_evaluated: tuple[str, ...] = ("([\u4e00-\u9fa5]{1,8}[〔\\[]\\d{4}[〕\\]]\\d+号)", "(\\d{4}年第?\\d+号)")
     date_cn: str = rf"(20\d{{2}})\s*年\s*{_MONTH}\s*月\s*{_DAY}\s*日"
     date_iso: str = rf"(20\d{{2}})[-/.]{_MONTH}[-/.]{_DAY}"
     date_effective: str = r"(?:自|从)?\s*((?:20\d{2})\s*年\s*(?:1[0-2]|0?[1-9])\s*月\s*(?:3[01]|[12]?\d)\s*日)\s*(?:起)?(?:施行|实施|执行)"

@@ -62,6 +62,11 @@ def fast_doc_number(c: Column, profile: Profile = REGULATIONS) -> Column:
     return dense(F.regexp_extract(filled(c), profile.doc_no_fast, 0))
 
 
+def evaluated_doc_number(c: Column, profile: Profile = REGULATIONS) -> Column:
+    """The number of a document in an evaluation's titles and paths: with brackets first, else by year; empty if there is none."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(filled(c), p, 1), F.lit("")) for p in profile.doc_no_evaluated), F.lit(""))
+
+
 def bare_number(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(filled(c)), r"\s+", ""), "（）〔〕()[]", "")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veinwork.functions.meta import evaluated_doc_number
 from veinwork.functions.text import blank, filled, shorten, strip
 from veinwork.operators.answer import MISS
 
@@ -92,6 +93,17 @@ def candidates_by_path(chunks: DataFrame, least: int = 80) -> DataFrame:
     return got.where(F.length("best_content") >= least).orderBy(F.desc("chunks"), "source_path")
 
 
+def pdf_candidates(chunks: DataFrame, least: int = 80) -> DataFrame:
+    """The candidates among pdf files, with a title and a document's number: of the file's first chunk the law's title, its own, or the file's name; the number is the title's or else the path's."""
+    named = chunks.where(F.endswith(F.lower("source_path"), F.lit(".pdf")))
+    stem = F.regexp_extract("source_path", r"([^/]*?)\.[^./]*$", 1)
+    title = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("law_title", "title")), stem)
+    titles = named.groupBy(F.col("source_path").alias("_path")).agg(F.min_by(title, "ord").alias("title"))
+    got = candidates_by_path(named, least).join(titles, F.col("source_path") == F.col("_path")).drop("_path")
+    number = lambda c: F.nullif(evaluated_doc_number(F.col(c)), F.lit(""))
+    return got.withColumn("doc_no", F.coalesce(number("title"), number("source_path"), F.lit("")))
+
+
 def templated(rows: DataFrame, templates: list[str], key: str = "pos", title: str = "title") -> DataFrame:
     """(key, question): the templates in turn, by the key, with the title in place of {title}."""
     pick = F.element_at(F.array(*map(F.lit, templates)), (F.col(key) % len(templates)).cast("int") + 1)

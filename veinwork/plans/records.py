@@ -438,3 +438,21 @@ def _sampled(part: int, head: str, where: str, lines: str, most: int = 8) -> str
 def evaluation_report(spark, sf):
     """The summary of the compared run."""
     return reports.report(_compared(spark, sf), "Run", True)
+
+
+_LAW_TITLES = ["", "关于印发办法的通知（财库〔2022〕3号）", "2022年第5号公告", "某条例"]
+_SUFFIXES = [".pdf", ".PDF", ".md", "（苏财购〔2021〕7号）.pdf"]
+_NUMBERED = "coalesce(nullif(regexp_extract({x}, '([\\x{{4e00}}-\\x{{9fa5}}]{{1,8}}[〔\\[]\\d{{4}}[〕\\]]\\d+号)', 1), ''), nullif(regexp_extract({x}, '(\\d{{4}}年第?\\d+号)', 1), ''))"
+
+
+@query("pdf_documents", f"""with c as (select doc_id as ord, '/c/' || coalesce(source, '') || '/' || doc_id % 11 || {pick_sql(_SUFFIXES, 'doc_id')} as source_path, {pick_sql(_LAW_TITLES, 'doc_id // 3')} as law_title, case when doc_id % 2 = 0 then split_part(coalesce(text, ''), chr(10), 1) else '' end as title, {strip_sql('text')} as content from documents),
+    g as (select source_path, count(*) as chunks, md5(arg_max(content, length(content) * 100000000 - ord)) as best_content, arg_min(coalesce(nullif(law_title, ''), nullif(title, ''), regexp_extract(source_path, '([^/]*?)\\.[^./]*$', 1)), ord) as title from c where lower(source_path) like '%.pdf' group by source_path having max(length(content)) >= 80)
+    select *, coalesce({_NUMBERED.format(x='title')}, {_NUMBERED.format(x='source_path')}, '') as doc_no from g""")
+def pdf_documents(spark, sf):
+    """The pdf files among paths of several kinds, with titles and numbers."""
+    text = F.coalesce("text", F.lit(""))
+    path = F.concat(F.lit("/c/"), F.coalesce("source", F.lit("")), F.lit("/"), (F.col("doc_id") % 11).cast("string"), pick(_SUFFIXES, F.col("doc_id")))
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("ord"), path.alias("source_path"), pick(_LAW_TITLES, F.floor(F.col("doc_id") / 3)).alias("law_title"), F.when(F.col("doc_id") % 2 == 0, F.substring_index(text, "\n", 1)).otherwise("").alias("title"), text.alias("content"), F.lit("").alias("article_no"),
+    )
+    return V.pdf_candidates(rows).select("source_path", "chunks", F.md5("best_content").alias("best_content"), "title", "doc_no")
