@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from veinwork.operators import scan
+from veinwork.operators import retrieve, scan
 from veinwork.plans import catalog
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -62,3 +62,14 @@ def reads(df) -> int:
 def test_lexical_topk_reads_written_chunks(spark, tables):
     got = catalog.queries()["lexical_topk"](spark, tables)
     assert reads(got) == 0 and got.count() == 12 * 24
+
+
+#: How often each query's result reads the documents once its candidates are written: before, they were cut and scored again for each use.
+READS = {
+    "dedupe_best": 0,
+}
+
+
+@pytest.mark.parametrize("name", READS)
+def test_documents_are_cut_once(spark, tables, name):
+    assert reads(catalog.queries()[name](spark, tables)) <= READS[name]
