@@ -67,6 +67,7 @@ def test_lexical_topk_reads_written_chunks(spark, tables):
 #: How often each query's result reads the documents once its candidates are written: before, they were cut and scored again for each use.
 READS = {
     "dedupe_best": 0,
+    "docno_first_whole": 0,
 }
 
 
