@@ -68,6 +68,7 @@ def test_lexical_topk_reads_written_chunks(spark, tables):
 READS = {
     "dedupe_best": 0,
     "docno_first_whole": 0,
+    "compat_evidence": 0,
 }
 
 

@@ -9,6 +9,7 @@ from veinwork.functions import meta as M, text as T
 from veinwork.operators import answer as A, retrieve as R, score as S, selection as E, terms as Q
 from veinwork.plans.base import any_sql, collapse_sql, corpus, dense_sql, distinct_sql, fold_sql, grams_sql, list_sql, phrased, phrased_sql, pick, pick_sql, query, questions, QUESTIONS_SQL, squeeze_sql, strip_sql, table
 from veinwork.plans.retrieval import CANDIDATES_SQL, lexical_topk, _PLAIN, _top
+from veinwork.scratch import stage
 from veinwork.plans.texts import GARBLED_SQL, intent_sql, keywords_sql, kinds_sql, pairs_sql, SUMMARY_SQL
 
 # What the rules look for is in no synthetic text: it is added to questions, titles and chunks by their numbers.
@@ -22,11 +23,12 @@ _PATHS = ["/c/a.md", "/c/b.md", "/c/list.txt"]
 def _retrieved(spark, sf):
     """The plain top list with its questions and chunks, as the rules see them."""
     asked = questions(spark, sf).select("qid", F.concat("question", F.lit(" "), pick(_ASKED, F.col("qid"))).alias("question"))
-    chunk = corpus(spark, sf).select(
+    top = stage(lexical_topk(spark, sf).select("qid", "ord", F.col("score").alias("base")), "top")
+    chunk = corpus(spark, sf, top).select(
         "ord", pick(_LAWS, F.col("doc_id")).alias("law_title"), "article_no", "doc_no", pick(_REGIONS, F.col("doc_id")).alias("region"), pick(_PATHS, F.col("ord")).alias("source_path"),
         F.concat(pick(_SAID, F.col("ord")), "content").alias("body"), T.summary_body(F.col("content")).alias("summary"), T.garbled(F.col("content")).alias("garbled"),
     )
-    return lexical_topk(spark, sf).select("qid", "ord", F.col("score").alias("base")).join(chunk, "ord").join(asked, "qid")
+    return stage(top.join(chunk, "ord").join(asked, "qid"), "retrieved")
 
 
 def _rules(rows):
