@@ -69,6 +69,7 @@ READS = {
     "dedupe_best": 0,
     "docno_first_whole": 0,
     "compat_evidence": 0,
+    "evidence_leads": 0,
 }
 
 
