@@ -70,6 +70,7 @@ READS = {
     "docno_first_whole": 0,
     "compat_evidence": 0,
     "evidence_leads": 0,
+    "evidence_prompt": 0,
 }
 
 
