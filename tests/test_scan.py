@@ -71,6 +71,7 @@ READS = {
     "compat_evidence": 0,
     "evidence_leads": 0,
     "evidence_prompt": 0,
+    "hybrid_topk": 0,
 }
 
 
