@@ -72,6 +72,7 @@ READS = {
     "evidence_leads": 0,
     "evidence_prompt": 0,
     "hybrid_topk": 0,
+    "hybrid_topk_whole": 0,
 }
 
 
