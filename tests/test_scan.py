@@ -73,6 +73,7 @@ READS = {
     "evidence_prompt": 0,
     "hybrid_topk": 0,
     "hybrid_topk_whole": 0,
+    "merge_max": 1,
 }
 
 
