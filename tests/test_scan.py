@@ -74,6 +74,7 @@ READS = {
     "hybrid_topk": 0,
     "hybrid_topk_whole": 0,
     "merge_max": 1,
+    "method_topk": 0,
 }
 
 
