@@ -75,6 +75,7 @@ READS = {
     "hybrid_topk_whole": 0,
     "merge_max": 1,
     "method_topk": 0,
+    "select_evidence": 0,
 }
 
 
