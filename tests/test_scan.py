@@ -76,6 +76,7 @@ READS = {
     "merge_max": 1,
     "method_topk": 0,
     "select_evidence": 0,
+    "compat_ask": 0,
 }
 
 
