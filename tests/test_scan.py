@@ -77,6 +77,7 @@ READS = {
     "method_topk": 0,
     "select_evidence": 0,
     "compat_ask": 0,
+    "docno_first": 0,
 }
 
 
