@@ -78,6 +78,7 @@ READS = {
     "select_evidence": 0,
     "compat_ask": 0,
     "docno_first": 0,
+    "source_links": 0,
 }
 
 
