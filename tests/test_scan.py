@@ -79,6 +79,7 @@ READS = {
     "compat_ask": 0,
     "docno_first": 0,
     "source_links": 0,
+    "tune_scores": 0,
 }
 
 
