@@ -86,3 +86,8 @@ READS = {
 @pytest.mark.parametrize("name", READS)
 def test_documents_are_cut_once(spark, tables, name):
     assert reads(catalog.queries()[name](spark, tables)) <= READS[name]
+
+
+def test_exact_match_counts_no_terms(spark, tables, monkeypatch):
+    monkeypatch.setattr(retrieve, "_frequencies", None)  # its score has no weights
+    assert catalog.queries()["exact_match"](spark, tables).count() == 12 * 10
