@@ -80,6 +80,7 @@ READS = {
     "docno_first": 0,
     "source_links": 0,
     "tune_scores": 0,
+    "evidence_prompt_whole": 0,
 }
 
 
