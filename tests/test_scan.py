@@ -81,6 +81,7 @@ READS = {
     "source_links": 0,
     "tune_scores": 0,
     "evidence_prompt_whole": 0,
+    "evidence_leads_whole": 0,
 }
 
 
