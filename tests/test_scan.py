@@ -82,6 +82,7 @@ READS = {
     "tune_scores": 0,
     "evidence_prompt_whole": 0,
     "evidence_leads_whole": 0,
+    "dedupe_best_whole": 0,
 }
 
 
