@@ -83,6 +83,7 @@ READS = {
     "evidence_prompt_whole": 0,
     "evidence_leads_whole": 0,
     "dedupe_best_whole": 0,
+    "fallback_answer_whole": 0,
 }
 
 
