@@ -84,6 +84,7 @@ READS = {
     "evidence_leads_whole": 0,
     "dedupe_best_whole": 0,
     "fallback_answer_whole": 0,
+    "select_evidence_whole": 0,
 }
 
 
