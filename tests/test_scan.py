@@ -96,3 +96,8 @@ def test_documents_are_cut_once(spark, tables, name):
 def test_exact_match_counts_no_terms(spark, tables, monkeypatch):
     monkeypatch.setattr(retrieve, "_frequencies", None)  # its score has no weights
     assert catalog.queries()["exact_match"](spark, tables).count() == 12 * 10
+
+
+def test_merge_max_whole_takes_every_document_s_vector(spark, tables):
+    got = catalog.queries()["merge_max_whole"](spark, tables)
+    assert reads(got) == 1 and got.count() == 12 * 30
