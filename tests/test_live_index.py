@@ -68,3 +68,13 @@ def test_stream_of_changes(spark, tmp_path):
     stream = spark.readStream.schema(DOCS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     live.follow(stream, str(tmp_path / "check")).awaitTermination()
     assert state(live.index()) == state(I.build(R.features(CUT(spark.createDataFrame(current(rows), DOCS))), 2))
+
+
+def test_a_batch_joins_no_entries(spark, tmp_path, monkeypatch):
+    plans = []
+    write = LiveIndex._write
+    monkeypatch.setattr(LiveIndex, "_write", lambda self, df, name, batch: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), write(self, df, name, batch)))
+    rows = spark.createDataFrame([(1, 1, False, "s", "en", "one text of some words"), (2, 1, False, "s", "en", "another")], DOCS)
+    LiveIndex(spark, str(tmp_path / "live"), rows.schema, CUT).apply(rows, 0)
+    assert {n for n, _ in plans} == {"changes", "features", "postings", "deltas"}
+    assert not any("Join" in p for n, p in plans if n in ("features", "postings"))
