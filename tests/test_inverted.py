@@ -66,3 +66,11 @@ def test_long_fragments(spark):
     pairs = [("".join(rng.choice("abc") for _ in range(rng.randrange(0, 20))), "".join(rng.choice("abc") for _ in range(rng.randrange(0, 60)))) for _ in range(300)]
     got = spark.createDataFrame(pairs, "q string, t string").select(I._fragment(F.col("q"), F.col("t")).alias("a"), exact_match(F.col("q"), F.col("t")).alias("b"))
     assert all(abs(r["a"] - r["b"]) < 1e-12 for r in got.collect())
+
+
+def test_no_text_is_written_twice(spark, chunks):
+    features = R.features(chunks)
+    index = I.build(features, 2)
+    written = spark.read.parquet(*index.features.inputFiles()).columns
+    assert "body_folded" in written and not {"full", "body_compact"} & set(written)
+    assert index.features.columns == features.columns and sorted(index.features.select("ord", "full").collect()) == sorted(features.select("ord", "full").collect())
